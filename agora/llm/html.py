@@ -261,9 +261,9 @@ def templates(pages: DataFrame, html: str = "html", url: str = "url", least_page
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
     """``pages`` with ``text``, their main text."""
-    sites = templates(pages, html, url, least_pages, least_share).withColumnRenamed("host", "_host")
+    sites = templates(pages, html, url, least_pages, least_share).withColumnRenamed("host", "__host")
     kept = [c for c in pages.columns if c != "text"]
-    joined = pages.select(*kept, host_of(F.col(url)).alias("_site")).join(sites, F.col("_site") == F.col("_host"), "left")
+    joined = pages.select(*kept, host_of(F.col(url)).alias("__site")).join(sites, F.col("__site") == F.col("__host"), "left")
 
     @F.pandas_udf("string")
     def text_of(page: pd.Series, template: pd.Series) -> pd.Series:

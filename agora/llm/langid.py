@@ -44,7 +44,7 @@ class Model:
     _class: np.ndarray | None = None
 
     def __getstate__(self):
-        return {"languages": self.languages, "codes": self.codes, "counts": self.counts, "_table": None, "_class": None}
+        return {"languages": self.languages, "codes": self.codes, "counts": self.counts, "__table": None, "__class": None}
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """(class of each byte, code lengths in bits [language, first, second, next]); bytes not met share class 0."""
@@ -107,8 +107,8 @@ def _count_strings(batches):
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 1000) -> Model:
     """A model from documents with a non-null language, at most ``sample`` of each."""
     least = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id), F.xxhash64(F.col(text)))
-    ranked = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.row_number().over(least).alias("_place"))
-    chosen = ranked.where(F.col("_place") <= sample).select("lang", "text")
+    ranked = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.row_number().over(least).alias("__place"))
+    chosen = ranked.where(F.col("__place") <= sample).select("lang", "text")
     counts = chosen.mapInArrow(_count_strings, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     model = Model(sorted(counts["lang"].unique()))
     for name in model.languages:
@@ -127,5 +127,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = shared.value
         return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    df = docs.drop("lang_pred", "score").withColumn("_said", predict(F.col(text)))
-    return df.select(*[c for c in df.columns if c != "_said"], F.col("_said.lang_pred"), F.col("_said.score"))
+    df = docs.drop("lang_pred", "score").withColumn("__said", predict(F.col(text)))
+    return df.select(*[c for c in df.columns if c != "__said"], F.col("__said.lang_pred"), F.col("__said.score"))

@@ -41,16 +41,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    df = sources.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int")))
-    df = df.withColumn("_most", F.col("source_size") * F.lit(float(cap))).withColumn("_full_at", F.col("_most") / F.col("_weight"))
-    fill = Window.orderBy(F.col("_full_at"), F.col("source").asc_nulls_last())
+    df = sources.withColumn("__weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int")))
+    df = df.withColumn("__most", F.col("source_size") * F.lit(float(cap))).withColumn("__full_at", F.col("__most") / F.col("__weight"))
+    fill = Window.orderBy(F.col("__full_at"), F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("_most").over(before), F.lit(0.0))) / F.sum("_weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
+    level = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("__most").over(before), F.lit(0.0))) / F.sum("__weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
     # The first source, in the order of filling, that the level does not fill gives the level for it and all after it.
-    df = df.withColumn("_level", level)
-    df = df.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_full_at"), F.struct("_full_at", "_level"))).over(every)["_level"])
-    target = F.least(F.col("_most"), F.coalesce(F.col("_weight") * F.col("_level"), F.col("_most")))
+    df = df.withColumn("__level", level)
+    df = df.withColumn("__level", F.min(F.when(F.col("__level") <= F.col("__full_at"), F.struct("__full_at", "__level"))).over(every)["__level"])
+    target = F.least(F.col("__most"), F.coalesce(F.col("__weight") * F.col("__level"), F.col("__most")))
     return df.withColumn("target", target).select("source", "source_size", "target")
 
 
@@ -62,23 +62,23 @@ def rates(histogram: DataFrame, cap: float = 2.0, steps: int = NEWTON_STEPS) ->
     # In the order of size, so that sums of doubles come out alike in every run.
     own = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     unit = F.col("source_size") / F.sum("n").over(own)
-    df = histogram.withColumn("_z", F.when(unit > 0, F.col("size") / unit).otherwise(0.0))
-    df = df.withColumns({"_goal": F.when(unit > 0, F.col("target") / unit).otherwise(0.0), "_lambda": F.lit(0.0), "_low": F.lit(-700.0), "_high": F.lit(700.0)})
-    bounded = lambda: F.exp(F.least(F.col("_lambda") * F.col("_z"), F.lit(50.0)))
+    df = histogram.withColumn("__z", F.when(unit > 0, F.col("size") / unit).otherwise(0.0))
+    df = df.withColumns({"__goal": F.when(unit > 0, F.col("target") / unit).otherwise(0.0), "__lambda": F.lit(0.0), "__low": F.lit(-700.0), "__high": F.lit(700.0)})
+    bounded = lambda: F.exp(F.least(F.col("__lambda") * F.col("__z"), F.lit(50.0)))
     for _ in range(steps):
         raw = bounded()
         inside = raw < cap
         df = df.withColumns(
             {
-                "_gap": F.sum(F.col("n") * F.col("_z") * F.least(raw, F.lit(cap))).over(own) - F.col("_goal"),
-                "_slope": F.sum(F.when(inside, F.col("n") * F.col("_z") * F.col("_z") * raw).otherwise(0.0)).over(own),
+                "__gap": F.sum(F.col("n") * F.col("__z") * F.least(raw, F.lit(cap))).over(own) - F.col("__goal"),
+                "__slope": F.sum(F.when(inside, F.col("n") * F.col("__z") * F.col("__z") * raw).otherwise(0.0)).over(own),
             }
         )
-        df = df.withColumns({"_low": F.when(F.col("_gap") < 0, F.col("_lambda")).otherwise(F.col("_low")), "_high": F.when(F.col("_gap") > 0, F.col("_lambda")).otherwise(F.col("_high"))})
-        step = F.col("_lambda") - F.col("_gap") / F.col("_slope")
-        safe = (F.col("_slope") > 0) & (step > F.col("_low")) & (step < F.col("_high"))
-        middle = (F.col("_low") + F.col("_high")) / 2
-        df = df.withColumn("_lambda", F.when(F.col("_gap") == 0, F.col("_lambda")).when(safe, step).otherwise(middle))
+        df = df.withColumns({"__low": F.when(F.col("__gap") < 0, F.col("__lambda")).otherwise(F.col("__low")), "__high": F.when(F.col("__gap") > 0, F.col("__lambda")).otherwise(F.col("__high"))})
+        step = F.col("__lambda") - F.col("__gap") / F.col("__slope")
+        safe = (F.col("__slope") > 0) & (step > F.col("__low")) & (step < F.col("__high"))
+        middle = (F.col("__low") + F.col("__high")) / 2
+        df = df.withColumn("__lambda", F.when(F.col("__gap") == 0, F.col("__lambda")).when(safe, step).otherwise(middle))
     full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
     rate = F.when((F.col("source_size") > 0) & full, F.lit(cap)).when(F.col("source_size") > 0, F.least(bounded(), F.lit(cap))).otherwise(1.0)
     return df.withColumn("rate", rate).select("source", "size", "n", "source_size", "target", "rate")
@@ -88,9 +88,9 @@ def group_copies(rated: DataFrame, cap: float = 2.0) -> DataFrame:
     """Adds ``group_copies``: how many copies all documents of a (source, size) group get together."""
     along = Window.partitionBy("source").orderBy("size")
     upto = F.sum(F.col("n") * F.col("rate")).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    df = rated.withColumn("_upto", F.floor(upto + 0.5))
-    copies = F.col("_upto") - F.coalesce(F.lag("_upto").over(along), F.lit(0))
-    return df.withColumn("group_copies", F.greatest(F.lit(0), F.least(copies, F.floor(cap * F.col("n")))).cast("long")).drop("_upto")
+    df = rated.withColumn("__upto", F.floor(upto + 0.5))
+    copies = F.col("__upto") - F.coalesce(F.lag("__upto").over(along), F.lit(0))
+    return df.withColumn("group_copies", F.greatest(F.lit(0), F.least(copies, F.floor(cap * F.col("n")))).cast("long")).drop("__upto")
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_rows: int = 2000) -> DataFrame:
@@ -102,29 +102,29 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     sized = docs.withColumn("size", size_of(F.col(text)))
     counted = written(sized.groupBy(F.col(source).alias("source"), "size").agg(F.count("*").alias("n")), new_folder(spark, "mix-sizes"))
     goals = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
-    histogram = counted.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    histogram = counted.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     plan = written(group_copies(rates(histogram, cap), cap), new_folder(spark, "mix-plan"))
 
     # A group is cut into blocks of about block_rows documents; a block's documents are ranked by themselves.
-    plan = plan.withColumn("_blocks", F.ceil(F.col("n") / block_rows)).withColumnsRenamed({"source": "_source", "size": "_size", "n": "_n"})
+    plan = plan.withColumn("__blocks", F.ceil(F.col("n") / block_rows)).withColumnsRenamed({"source": "__source", "size": "__size", "n": "__n", "group_copies": "__group_copies"})
     row = F.xxhash64(F.col(doc_id))
-    joined = sized.join(plan, F.col(source).eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).withColumn("_block", F.pmod(row, F.col("_blocks")))
+    joined = sized.join(plan, F.col(source).eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))).withColumn("__block", F.pmod(row, F.col("__blocks")))
     # Sizes of blocks are needed for groups of more than one block only; a sum over (source, size, block) gives them all.
-    many = joined.where("_blocks > 1").groupBy("_source", "_size", "_block", "_n", "group_copies").agg(F.count("*").alias("_m"))
-    along = Window.partitionBy("_source", "_size").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.expr("cast(cast(_end as decimal(38,0)) * group_copies div _n as bigint)")
-    many = many.withColumn("_end", F.sum("_m").over(along)).withColumn("_share_end", upto)
-    many = many.withColumn("_share", F.col("_share_end") - F.coalesce(F.lag("_share_end").over(Window.partitionBy("_source", "_size").orderBy("_block")), F.lit(0)))
-    many = many.select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_block").alias("_b"), "_m", "_share")
-    joined = joined.join(many, (F.col("_blocks") > 1) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_block") == F.col("_b")), "left")
-    n, k = F.coalesce("_m", "_n"), F.coalesce("_share", "group_copies")
-    place = F.row_number().over(Window.partitionBy("_source", "_size", "_block").orderBy(F.xxhash64(F.col(doc_id), F.lit(1)), F.col(doc_id)))
+    many = joined.where("__blocks > 1").groupBy("__source", "__size", "__block", "__n", "__group_copies").agg(F.count("*").alias("__m"))
+    along = Window.partitionBy("__source", "__size").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.expr("cast(cast(__end as decimal(38,0)) * __group_copies div __n as bigint)")
+    many = many.withColumn("__end", F.sum("__m").over(along)).withColumn("__share_end", upto)
+    many = many.withColumn("__share", F.col("__share_end") - F.coalesce(F.lag("__share_end").over(Window.partitionBy("__source", "__size").orderBy("__block")), F.lit(0)))
+    many = many.select(F.col("__source").alias("__s"), F.col("__size").alias("__z"), F.col("__block").alias("__b"), "__m", "__share")
+    joined = joined.join(many, (F.col("__blocks") > 1) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__block") == F.col("__b")), "left")
+    n, k = F.coalesce("__m", "__n"), F.coalesce("__share", "__group_copies")
+    place = F.row_number().over(Window.partitionBy("__source", "__size", "__block").orderBy(F.xxhash64(F.col(doc_id), F.lit(1)), F.col(doc_id)))
     copies = F.expr("0").cast("long") + F.floor(k / n) + F.when(place <= k % n, 1).otherwise(0)
     out = joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*docs.columns, *added)
 
 
 def copied(mixed: DataFrame) -> DataFrame:
-    """A row for every copy that the mix takes, numbered from 0 in ``copy``."""
+    """A row for every copy that the mix takes, numbered from 0 in ``__copy``."""
     times = F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))
-    return mixed.where("copies > 0").withColumn("copy", F.explode(times))
+    return mixed.where("copies > 0").withColumn("__copy", F.explode(times))

@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024,
         encode = encoder(vocabulary)
         for batch in batches:
             rows = []
-            for own, body in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
+            for own, body in zip(batch.column("__id").to_pylist(), batch.column("__text").to_pylist()):
                 ids = encode(body) + end
                 n = len(ids) // 4
                 first = n % capacity or capacity
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024,
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col(doc_id).cast("bigint").alias("__id"), F.col(text).alias("__text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
 def _longest(left: np.ndarray, gap: int) -> int:
@@ -142,23 +142,23 @@ def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     spark = cut.sparkSession
     total = cut.count()
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 20_000))
-    keyed = cut.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
-    counted = written(keyed.groupBy("length", "_block").agg(F.count("*").alias("_n")), new_folder(spark, "packing-counts"))
-    histogram = {int(r.length): int(r.n) for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
+    keyed = cut.withColumn("__block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    counted = written(keyed.groupBy("length", "__block").agg(F.count("*").alias("__n")), new_folder(spark, "packing-counts"))
+    histogram = {int(r.length): int(r.n) for r in counted.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most capacity rows
     where = Places(bins(histogram, capacity))
-    before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    based = counted.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = keyed.withColumn("_own", own).join(based, ["length", "_block"]).withColumn("_rank", F.col("_base") + F.col("_own") - 1)
+    before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    based = counted.select("length", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("length", "__block").orderBy("doc_id", "piece", "ids_crc32"))
+    ranked = keyed.withColumn("__own", own).join(based, ["length", "__block"]).withColumn("__rank", F.col("__base") + F.col("__own") - 1)
     names = list(cut.columns)
 
     def dealt(batches):
         for batch in batches:
-            sequence, offset = where.of(batch.column("length").to_numpy(), batch.column("_rank").to_numpy().copy())
+            sequence, offset = where.of(batch.column("length").to_numpy(), batch.column("__rank").to_numpy().copy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return ranked.select(*names, "_rank").mapInArrow(dealt, f"{fields}, sequence_id bigint, offset bigint")
+    return ranked.select(*names, "__rank").mapInArrow(dealt, f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

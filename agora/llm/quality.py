@@ -64,6 +64,14 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{GAPS}+"), lambda w: w != "")
 
 
+def _once(value: Column) -> Column:
+    """``value``, computed where it stands: the optimizer neither repeats it in a lambda nor moves it into a filter.
+
+    Expressions that name the task's partition count as not deterministic, and such columns are never inlined.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
@@ -73,68 +81,69 @@ def _repeat_words(df: DataFrame, window: int) -> DataFrame:
 
     Stretches are known by 96 bits of two hashes.  They are sorted by these, so the cost is near to linear in the
     length of the text; the starts of equal neighbours are sorted again and each start covers the words to the next.
-    Each array that a lambda reads by place is a column of its own, so it is computed once per row.
+    Each array that a lambda reads by place is a column of its own, computed once per row (``_once``).
     """
 
     def keyed(i: Column) -> Column:
-        words = [F.col("_words")[i + k] for k in range(window)]
+        words = [F.col("__words")[i + k] for k in range(window)]
         return F.struct(F.xxhash64(*words).alias("h"), F.hash(*words[::-1]).alias("g"), i.alias("i"))
 
-    n = F.size("_words")
+    n = F.size("__words")
     none = F.array().cast("array<int>")
-    df = df.withColumn("_keys", F.when(n >= window, F.sort_array(F.transform(F.sequence(F.lit(0), n - window), keyed))))
+    df = df.withColumn("__keys", _once(F.when(n >= window, F.sort_array(F.transform(F.sequence(F.lit(0), n - window), keyed)))))
     pairs = F.zip_with(
-        F.slice("_keys", F.lit(1), F.size("_keys") - 1),
-        F.slice("_keys", F.lit(2), F.size("_keys") - 1),
+        F.slice("__keys", F.lit(1), F.size("__keys") - 1),
+        F.slice("__keys", F.lit(2), F.size("__keys") - 1),
         lambda a, b: F.when((a["h"] == b["h"]) & (a["g"] == b["g"]), F.array(a["i"], b["i"])).otherwise(none),
     )
-    df = df.withColumn("_starts", F.when(F.size("_keys") > 1, F.sort_array(F.array_distinct(F.flatten(pairs)))).otherwise(none)).drop("_keys")
+    df = df.withColumn("__starts", _once(F.when(F.size("__keys") > 1, F.sort_array(F.array_distinct(F.flatten(pairs)))).otherwise(none))).drop("__keys")
     steps = F.zip_with(
-        F.slice("_starts", F.lit(1), F.size("_starts") - 1),
-        F.slice("_starts", F.lit(2), F.size("_starts") - 1),
+        F.slice("__starts", F.lit(1), F.size("__starts") - 1),
+        F.slice("__starts", F.lit(2), F.size("__starts") - 1),
         lambda a, b: F.least(b - a, F.lit(window)),
     )
     covered = F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step) + window
-    return df.withColumn("n_repeat_words", F.when(F.size("_starts") > 0, covered).otherwise(F.lit(0)).cast("long")).drop("_starts")
+    return df.withColumn("n_repeat_words", F.when(F.size("__starts") > 0, covered).otherwise(F.lit(0)).cast("long")).drop("__starts")
 
 
 def measures(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     """``docs`` with its counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines) and ratios."""
     body = F.coalesce(F.col(text), F.lit(""))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-    df = docs.withColumn("_words", word_list(F.col(text)))
-    df = df.withColumn("_lines", F.filter(F.split(body, "\n"), lambda line: line.rlike(rf"[^\x20\x09-\x0D]")))
+    df = docs.withColumn("__words", _once(word_list(F.col(text))))
+    df = df.withColumn("__lines", _once(F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))))
     df = _repeat_words(df, window)
     in_list = lambda w: F.rtrim(F.lower(w), F.lit(TRAILING)).isin(*STOP_WORDS)
     df = df.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size("__words").cast("long"),
             "word_chars": F.length(F.regexp_replace(body, GAPS, "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(body, rf"[^{SYMBOLS}]", "")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_capitals": F.length(F.regexp_replace(body, r"\P{Lu}", "")),
-            "_letter_words": F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))),
-            "_stop_words": F.size(F.filter("_words", in_list)),
-            "_bullets": F.size(F.filter("_lines", lambda line: line.rlike(rf"^{GAPS}*[-*•]{GAPS}"))),
-            "_ellipses": F.size(F.filter("_lines", lambda line: line.rlike(rf"(\.\.\.|…){GAPS}*$"))),
+            "n_lines": F.size("__lines").cast("long"),
+            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+            "__capitals": F.length(F.regexp_replace(body, r"\P{Lu}", "")),
+            "__letter_words": F.size(F.filter("__words", lambda w: w.rlike(r"\p{L}"))),
+            "__stop_words": F.size(F.filter("__words", in_list)),
+            "__bullets": F.size(F.filter("__lines", lambda line: line.rlike(rf"^{GAPS}*[-*•]{GAPS}"))),
+            "__ellipses": F.size(F.filter("__lines", lambda line: line.rlike(rf"(\.\.\.|…){GAPS}*$"))),
         }
     )
     df = df.withColumns(
         {
             "mean_word_chars": _ratio(F.col("word_chars"), F.col("n_words")),
             "symbol_ratio": _ratio(F.col("n_symbols"), F.col("n_words")),
-            "letter_word_ratio": _ratio(F.col("_letter_words"), F.col("n_words")),
-            "capital_ratio": _ratio(F.col("_capitals"), F.col("word_chars")),
+            "letter_word_ratio": _ratio(F.col("__letter_words"), F.col("n_words")),
+            "capital_ratio": _ratio(F.col("__capitals"), F.col("word_chars")),
             # One is added, so that a text of a few words needs none.
-            "stop_word_ratio": _ratio(F.col("_stop_words") + 1, F.col("n_words")),
+            "stop_word_ratio": _ratio(F.col("__stop_words") + 1, F.col("n_words")),
             "duplicate_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
-            "bullet_line_ratio": _ratio(F.col("_bullets"), F.col("n_lines")),
-            "ellipsis_line_ratio": _ratio(F.col("_ellipses"), F.col("n_lines")),
+            "bullet_line_ratio": _ratio(F.col("__bullets"), F.col("n_lines")),
+            "ellipsis_line_ratio": _ratio(F.col("__ellipses"), F.col("n_lines")),
         }
     )
-    rest = [c for c in df.columns if c not in counts and not c.startswith("_")]
-    return df.select(*rest, *counts)
+    ratios = ("mean_word_chars", "symbol_ratio", "letter_word_ratio", "capital_ratio", "stop_word_ratio", "duplicate_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
+    kept = [c for c in docs.columns if c not in counts + ratios]
+    return df.select(*kept, *[_once(F.col(c)).alias(c) for c in ratios + counts])
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:

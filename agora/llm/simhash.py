@@ -65,8 +65,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, lanes: i
         found = [fingerprint(t, shingle, lanes) for t in texts]
         return pd.DataFrame({"lanes": [np.array(f, dtype=np.uint64).view(np.int64) for f, _ in found], "shingles": [n for _, n in found]})
 
-    df = docs.drop("lanes", "shingles", "_print").withColumn("_print", of(F.col(text)))
-    return df.select(*[c for c in df.columns if c != "_print"], "_print.*")
+    df = docs.drop("lanes", "shingles", "__print").withColumn("__print", of(F.col(text)))
+    return df.select(*[c for c in df.columns if c != "__print"], "__print.*")
 
 
 def _parts_for(distinct: int) -> int:
@@ -155,27 +155,27 @@ def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, leng
     parts = _parts_for(distinct.count())
     keys = _populations(F.col("lanes"), n_lanes, parts)
     span = F.lit(0) if length_ratio is None else F.floor(F.log(F.col("shingles") + 1.0) / float(-np.log(length_ratio))).cast("int")
-    df = distinct.select("id", "lanes", span.alias("_span"), F.array(*keys).alias("_pop"))
+    df = distinct.select("id", "lanes", span.alias("__span"), F.array(*keys).alias("__pop"))
     reach = radius
     if parts == 1 and radius > 8:  # classes as wide as the radius: those within it are the same class and the next
-        df, reach = df.withColumn("_pop", F.array((F.col("_pop")[0] / radius).cast("int"))), 1
-    sizes = written(df.groupBy("_span", "_pop").agg(F.count("*").alias("_n")), f"{folder}/classes")
-    sizes = sizes.select("_span", "_pop", F.ceil(F.col("_n") / tile).alias("_tiles"))
+        df, reach = df.withColumn("__pop", F.array((F.col("__pop")[0] / radius).cast("int"))), 1
+    sizes = written(df.groupBy("__span", "__pop").agg(F.count("*").alias("__n")), f"{folder}/classes")
+    sizes = sizes.select("__span", "__pop", F.ceil(F.col("__n") / tile).alias("__tiles"))
     name = lambda span, pop, k: F.concat_ws(":", span, F.concat_ws(".", pop.cast("array<string>")), k)
 
-    dealt = df.join(sizes, ["_span", "_pop"]).withColumn("tile", name(F.col("_span"), F.col("_pop"), F.pmod(F.xxhash64("id"), F.col("_tiles"))))
+    dealt = df.join(sizes, ["__span", "__pop"]).withColumn("tile", name(F.col("__span"), F.col("__pop"), F.pmod(F.xxhash64("id"), F.col("__tiles"))))
     grouped = dealt.groupBy("tile").agg(F.flatten(F.collect_list(F.concat(F.array("id"), F.col("lanes")))).alias("members"))
     tiles = written(grouped.mapInArrow(_packed, "tile string, data binary"), f"{folder}/tiles")
 
     moves = _steps(parts, reach)
     spans = (0,) if length_ratio is None else (-1, 0, 1)
     every = F.explode(F.array(*[F.array(*[F.lit(d) for d in (s, *m)]) for s in spans for m in moves]))
-    near = sizes.withColumn("_move", every).select(
-        F.col("_span").alias("_span1"), F.col("_pop").alias("_pop1"), F.col("_tiles").alias("_tiles1"),
-        (F.col("_span") + F.col("_move")[0]).alias("_span"), F.zip_with("_pop", F.slice("_move", 2, parts), lambda a, d: a + d).alias("_pop"),
+    near = sizes.withColumn("__move", every).select(
+        F.col("__span").alias("__span1"), F.col("__pop").alias("__pop1"), F.col("__tiles").alias("__tiles1"),
+        (F.col("__span") + F.col("__move")[0]).alias("__span"), F.zip_with("__pop", F.slice("__move", 2, parts), lambda a, d: a + d).alias("__pop"),
     )
-    pairs = near.join(sizes, ["_span", "_pop"]).withColumn("_k1", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_tiles1") - 1))).withColumn("_k2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_tiles") - 1)))
-    pairs = pairs.select(name(F.col("_span1"), F.col("_pop1"), F.col("_k1")).alias("one"), name(F.col("_span"), F.col("_pop"), F.col("_k2")).alias("two")).where("one <= two")
+    pairs = near.join(sizes, ["__span", "__pop"]).withColumn("__k1", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__tiles1") - 1))).withColumn("__k2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__tiles") - 1)))
+    pairs = pairs.select(name(F.col("__span1"), F.col("__pop1"), F.col("__k1")).alias("one"), name(F.col("__span"), F.col("__pop"), F.col("__k2")).alias("two")).where("one <= two")
     left = tiles.select(F.col("tile").alias("one"), F.col("data").alias("left"))
     right = tiles.select(F.col("tile").alias("two"), F.col("data").alias("right"))
     # Pairs are dealt at random over the tasks: each is work of about the same size.
@@ -192,21 +192,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     folder = new_folder(spark, "simhash")
     printed = fingerprints(docs.drop("component_id"), text, shingle, lanes)
-    slim = written(printed.select(F.col(doc_id).alias("_id"), F.col("lanes").alias("_lanes"), F.col("shingles").alias("_shingles")), f"{folder}/prints")
+    slim = written(printed.select(F.col(doc_id).alias("__id"), F.col("lanes").alias("__lanes"), F.col("shingles").alias("__shingles")), f"{folder}/prints")
     # With one lane the fingerprint is its own key; with several, its hash (of 64 bits) stands for it.
-    key = F.col("_lanes")[0] if lanes == 1 and length_ratio is None else F.xxhash64("_lanes", "_shingles")
+    key = F.col("__lanes")[0] if lanes == 1 and length_ratio is None else F.xxhash64("__lanes", "__shingles")
     distinct = written(
-        slim.groupBy(key.alias("id")).agg(F.min("_id").alias("least"), F.first("_lanes").alias("lanes"), F.first("_shingles").alias("shingles")), f"{folder}/distinct"
+        slim.groupBy(key.alias("id")).agg(F.min("__id").alias("least"), F.first("__lanes").alias("lanes"), F.first("__shingles").alias("shingles")), f"{folder}/distinct"
     )
     found = components(links(distinct, lanes, radius, length_ratio=length_ratio), "simhash-components")
     named = distinct.join(found, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("root"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = written(named.join(of_root, "root").select(F.col("id").alias("_key"), "component_id"), f"{folder}/groups")
+    groups = written(named.join(of_root, "root").select(F.col("id").alias("__group"), "component_id"), f"{folder}/groups")
     kept = [c for c in docs.columns if c not in ("lanes", "shingles", "component_id") and (keep_text or c != text)]
     if set(kept) <= {doc_id, text} and not keep_text:
-        printed = slim.select(F.col("_id").alias(doc_id), F.col("_lanes").alias("lanes"), F.col("_shingles").alias("shingles"))
+        printed = slim.select(F.col("__id").alias(doc_id), F.col("__lanes").alias("lanes"), F.col("__shingles").alias("shingles"))
     own = F.col("lanes")[0] if lanes == 1 and length_ratio is None else F.xxhash64("lanes", "shingles")
-    return printed.withColumn("_own", own).join(groups, F.col("_own") == F.col("_key")).select(*kept, "lanes", "shingles", "component_id")
+    return printed.withColumn("__own", own).join(groups, F.col("__own") == F.col("__group")).select(*kept, "lanes", "shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, radius: int = 52, length_ratio: float | None = 0.8) -> DataFrame:
@@ -216,8 +216,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     of 256 bits.
     """
     folder = new_folder(docs.sparkSession, "simhash-keep")
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), f"{folder}/rows")
-    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
-    grouped = near_duplicates(rows.select(key.alias("_key"), F.col(text).alias("_text")), "_key", "_text", shingle, lanes, radius, length_ratio, keep_text=False)
-    first = grouped.where(F.col("_key") == F.col("component_id")).select(F.col("_key.row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/rows")
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
+    grouped = near_duplicates(rows.select(key.alias("__key"), F.col(text).alias("__text")), "__key", "__text", shingle, lanes, radius, length_ratio, keep_text=False)
+    first = grouped.where(F.col("__key") == F.col("component_id")).select(F.col("__key.row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)

@@ -48,15 +48,15 @@ def stored(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
 def add_missing(docs: DataFrame, cache: str, vocabulary: str, text: str = "text", normalise=lambda c: F.coalesce(c, F.lit(""))) -> None:
     """Encodes the contents of ``docs`` that the cache lacks, each once, and appends their counts."""
     spark, tokenizer = docs.sparkSession, tokenizer_digest(vocabulary)
-    content = docs.select(normalise(F.col(text)).alias("_body")).withColumn("content", content_digest(F.col("_body")))
+    content = docs.select(normalise(F.col(text)).alias("__body")).withColumn("content", content_digest(F.col("__body")))
     # One row per content leaves each map task, so a text with many copies is not gathered anywhere.
-    different = content.groupBy("content").agg(F.first("_body").alias("_body"))
+    different = content.groupBy("content").agg(F.first("__body").alias("__body"))
     misses = different.join(stored(spark, cache, tokenizer), "content", "left_anti")
 
     def count(batches):
         encode = encoder(vocabulary)
         for batch in batches:
-            n = [len(encode(t)) // 4 for t in batch.column("_body").to_pylist()]
+            n = [len(encode(t)) // 4 for t in batch.column("__body").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array([tokenizer] * len(n)), pa.array(n, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
     misses.mapInArrow(count, CACHE).write.mode("append").parquet(cache)
@@ -66,6 +66,6 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str, text: str = "text
     """``docs`` with n_bytes (UTF-8) and n_tokens of each text."""
     add_missing(docs, cache, vocabulary, text, normalise)
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
-    keyed = docs.select(*kept, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("n_bytes"), content_digest(normalise(F.col(text))).alias("_content"))
-    counts = stored(docs.sparkSession, cache, tokenizer_digest(vocabulary)).withColumnRenamed("content", "_known")
-    return keyed.join(counts, F.col("_content") == F.col("_known"), "left").select(*kept, "n_bytes", "n_tokens")
+    keyed = docs.select(*kept, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("n_bytes"), content_digest(normalise(F.col(text))).alias("__content"))
+    counts = stored(docs.sparkSession, cache, tokenizer_digest(vocabulary)).withColumnRenamed("content", "__known")
+    return keyed.join(counts, F.col("__content") == F.col("__known"), "left").select(*kept, "n_bytes", "n_tokens")

@@ -109,15 +109,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_i
     pivots = choose_pivots(sample, PIVOTS)
 
     def blocks(df: DataFrame, size: int, seed: int) -> DataFrame:
-        n = df.groupBy("dim").agg(F.ceil(F.count("*") / size).alias("_blocks"))
-        dealt = df.join(n, "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_blocks")))
+        n = df.groupBy("dim").agg(F.ceil(F.count("*") / size).alias("__blocks"))
+        dealt = df.join(n, "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("__blocks")))
         return dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("members")).mapInArrow(_packed(pivots), "dim int, block bigint, n bigint, data binary")
 
     few = written(blocks(asked, QUERY_BLOCK, 1), f"{folder}/query-blocks")
     many = written(blocks(points, BLOCK, 2), f"{folder}/blocks")
     # The pairs of block numbers are a small table; the blocks themselves meet by equality of dimension and number.
-    n_few = few.groupBy("dim").agg((F.max("block") + 1).alias("_few"))
-    numbers = many.select("dim", "block").join(n_few, "dim").withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_few") - 1)))
+    n_few = few.groupBy("dim").agg((F.max("block") + 1).alias("__few"))
+    numbers = many.select("dim", "block").join(n_few, "dim").withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__few") - 1)))
     left = few.select("dim", F.col("block").alias("query_block"), F.col("n").alias("qn"), F.col("data").alias("q"))
     work = numbers.select("dim", "block", "query_block").join(many, ["dim", "block"]).join(left, ["dim", "query_block"])
     work = work.select("dim", "qn", "q", "n", "data").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
