@@ -1,0 +1,4 @@
+"""Named queries over the driver's tables."""
+
+from . import behaviour, contents, records  # noqa: F401  they register themselves
+from .registry import COVERS, QUERIES, SQL  # noqa: F401
