@@ -261,7 +261,7 @@ def templates(pages: DataFrame, html: str = "html", url: str = "url", least_page
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
     """``pages`` with ``text``, their main text."""
-    sites = templates(pages, html, url, least_pages, least_share).withColumnRenamed("host", "__host")
+    sites = templates(pages, html, url, least_pages, least_share).withColumnsRenamed({"host": "__host", "template": "__template"})
     kept = [c for c in pages.columns if c != "text"]
     joined = pages.select(*kept, host_of(F.col(url)).alias("__site")).join(sites, F.col("__site") == F.col("__host"), "left")
 
@@ -276,4 +276,4 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages:
             out.append(main_text(one, sets[key]))
         return pd.Series(out, dtype=object)
 
-    return joined.select(*kept, text_of(F.col(html), F.col("template")).alias("text"))
+    return joined.select(*kept, text_of(F.col(html), F.col("__template")).alias("text"))

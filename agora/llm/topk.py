@@ -38,7 +38,8 @@ def choose_pivots(sample: list[list[int]], n: int) -> dict[int, np.ndarray]:
     """Per number of components: vectors far from each other, each next one the farthest from those before."""
     chosen = {}
     for dim in {len(v) for v in sample}:
-        own = np.array([v for v in sample if len(v) == dim], dtype=np.float64).reshape(-1, dim)
+        same = [v for v in sample if len(v) == dim]
+        own = np.array(same, dtype=np.float64).reshape(len(same), dim)
         at, apart = [0], np.linalg.norm(own - own[0], axis=1)
         while len(at) < n and apart.max() > 0:
             at.append(int(apart.argmax()))
