@@ -87,7 +87,7 @@ def test_language_on_held_out_documents(spark, docs):
     assert n > 150 and right / n > 0.97
     model = langid.train(table)
     rows = {r.doc_id: r for r in langid.identify(docs, model).collect()}
-    assert len(rows) == 7 and (rows[2].lang_pred, rows[2].score) == ("und", 0.0) and rows[8].lang_pred == "und"
+    assert len(rows) == 8 and (rows[2].lang_pred, rows[2].score) == ("und", 0.0) and rows[8].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in rows.values())
     assert langid.identify(docs.limit(0), langid.train(table.limit(0))).count() == 0
     assert langid.Model([]).predict("abc") == ("und", 0.0)

@@ -21,7 +21,7 @@ TEXTS = [(1, "hello world, it's"), (2, None), (3, ""), (4, "word " * 3000), (Non
 
 
 def ids_of(name, text, end=None):
-    ids = Tokenizer.from_file(public_path(name)).encode(text or "", add_special_tokens=False).ids
+    ids = ENCODERS[name][1].encode(text or "", add_special_tokens=False).ids
     return ids + ([] if end is None else [end])
 
 
