@@ -39,8 +39,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024,
         encode = encoder(vocabulary)
         for batch in batches:
             rows = []
-            for own, body in zip(batch.column("__id").to_pylist(), batch.column("__text").to_pylist()):
-                ids = encode(body) + end
+            for own, body in zip(batch.column("__id").to_pylist(), encode.ids_of(batch.column("__text"))):
+                ids = body + end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 for k, at in enumerate([0, *range(first, n, capacity)]):

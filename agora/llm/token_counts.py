@@ -56,7 +56,7 @@ def add_missing(docs: DataFrame, cache: str, vocabulary: str, text: str = "text"
     def count(batches):
         encode = encoder(vocabulary)
         for batch in batches:
-            n = [len(encode(t)) // 4 for t in batch.column("__body").to_pylist()]
+            n = list(encode.counts_of(batch.column("__body")))
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array([tokenizer] * len(n)), pa.array(n, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
     misses.mapInArrow(count, CACHE).write.mode("append").parquet(cache)

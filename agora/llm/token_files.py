@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +117,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     def compress(batches):
         encode, codec = encoder(vocabulary), _codec(dictionary, level)
         for batch in batches:
+            found = encode.ids_of(batch.column("_text"))
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = [encode(t) + end for t in part.column("_text").to_pylist()]
+                ids = [i + end for i in islice(found, part.num_rows)]
                 frames = [codec.compress(i) for i in ids]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
 
