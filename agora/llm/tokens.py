@@ -26,13 +26,13 @@ _CUT = re.compile(r" (?<=\S )(?=\S)")
 _UNSURE = r"[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 #: A word that every pre-tokenizer here cuts between its letters and its signs.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&#$*|<>]*)")
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 class WordwiseEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.  ``kept`` bounds the number of words remembered."""
 
-    def __init__(self, path: str, kept: int = 1_200_000):
+    def __init__(self, path: str, kept: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
