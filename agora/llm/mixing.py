@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import new_folder, written
 
 WORD_GAPS = r"[\x20\x09-\x0D]+"
-NEWTON_STEPS = 24
+NEWTON_STEPS = 60
 
 
 def size_of(text: Column) -> Column:
@@ -54,34 +54,47 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     return df.withColumn("target", target).select("source", "source_size", "target")
 
 
+def _sum(term: Column) -> Column:
+    """A sum that comes out alike whatever the order of rows."""
+    return F.sum(term.cast("decimal(28,12)")).cast("double")
+
+
 def rates(histogram: DataFrame, cap: float = 2.0, steps: int = NEWTON_STEPS) -> DataFrame:
-    """(source, size, n, source_size, target, rate) from the same without rate.
+    """(source, size, n, source_size, target, rate) from the same without rate, a stored table.
 
-    All sources iterate at once; a step is two sums over the rows of a source.
+    All sources iterate at once.  A step sums over the histogram with partial sums in every task; what goes from step to
+    step is a row per source.  Sources that are at their target, or cannot reach it, leave the iteration.
     """
-    # In the order of size, so that sums of doubles come out alike in every run.
-    own = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    unit = F.col("source_size") / F.sum("n").over(own)
-    df = histogram.withColumn("__z", F.when(unit > 0, F.col("size") / unit).otherwise(0.0))
-    df = df.withColumns({"__goal": F.when(unit > 0, F.col("target") / unit).otherwise(0.0), "__lambda": F.lit(0.0), "__low": F.lit(-700.0), "__high": F.lit(700.0)})
-    bounded = lambda: F.exp(F.least(F.col("__lambda") * F.col("__z"), F.lit(50.0)))
-    for _ in range(steps):
-        raw = bounded()
-        inside = raw < cap
-        df = df.withColumns(
-            {
-                "__gap": F.sum(F.col("n") * F.col("__z") * F.least(raw, F.lit(cap))).over(own) - F.col("__goal"),
-                "__slope": F.sum(F.when(inside, F.col("n") * F.col("__z") * F.col("__z") * raw).otherwise(0.0)).over(own),
-            }
+    folder = new_folder(histogram.sparkSession, "mix-newton")
+    goals = histogram.groupBy(F.col("source").alias("__s")).agg(F.sum("n").alias("__docs"), F.max("source_size").alias("__words"), F.max("target").alias("__target"))
+    unit = F.col("__words") / F.col("__docs")
+    full = F.col("__target") >= cap * F.col("__words") * (1 - 1e-12)
+    state = goals.select("__s", unit.alias("__unit"), (F.col("__target") / unit).alias("__goal"), F.lit(0.0).alias("__lambda"), F.lit(-700.0).alias("__low"), F.lit(700.0).alias("__high"), ((F.col("__words") == 0) | full).alias("__done"))
+    state = written(state, f"{folder}/0")
+
+    def raw() -> Column:
+        return F.exp(F.least(F.col("__lambda") * F.col("size") / F.col("__unit"), F.lit(50.0)))
+
+    for k in range(steps):
+        if (open_ := state.where("NOT __done")).isEmpty():
+            break
+        z = F.col("size") / F.col("__unit")
+        moved = histogram.join(open_, F.col("source").eqNullSafe(F.col("__s"))).groupBy(*open_.columns)
+        moved = moved.agg(
+            (_sum(F.col("n") * z * F.least(raw(), F.lit(cap))) - F.col("__goal")).alias("__gap"),
+            _sum(F.when(raw() < cap, F.col("n") * z * z * raw()).otherwise(0.0)).alias("__slope"),
         )
-        df = df.withColumns({"__low": F.when(F.col("__gap") < 0, F.col("__lambda")).otherwise(F.col("__low")), "__high": F.when(F.col("__gap") > 0, F.col("__lambda")).otherwise(F.col("__high"))})
+        moved = moved.withColumns({"__low": F.when(F.col("__gap") < 0, F.col("__lambda")).otherwise(F.col("__low")), "__high": F.when(F.col("__gap") > 0, F.col("__lambda")).otherwise(F.col("__high"))})
         step = F.col("__lambda") - F.col("__gap") / F.col("__slope")
         safe = (F.col("__slope") > 0) & (step > F.col("__low")) & (step < F.col("__high"))
-        middle = (F.col("__low") + F.col("__high")) / 2
-        df = df.withColumn("__lambda", F.when(F.col("__gap") == 0, F.col("__lambda")).when(safe, step).otherwise(middle))
-    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
-    rate = F.when((F.col("source_size") > 0) & full, F.lit(cap)).when(F.col("source_size") > 0, F.least(bounded(), F.lit(cap))).otherwise(1.0)
-    return df.withColumn("rate", rate).select("source", "size", "n", "source_size", "target", "rate")
+        near = F.abs("__gap") <= 1e-9 * F.greatest(F.col("__goal"), F.lit(1.0))
+        after = F.when(near, F.col("__lambda")).when(safe, step).otherwise((F.col("__low") + F.col("__high")) / 2)
+        moved = moved.withColumns({"__lambda": after, "__done": near}).select(*open_.columns)
+        state = written(moved.union(state.where("__done")), f"{folder}/{k + 1}")
+    at_most = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
+    rate = F.when((F.col("source_size") > 0) & at_most, F.lit(cap)).when(F.col("source_size") > 0, F.least(raw(), F.lit(cap))).otherwise(1.0)
+    found = histogram.join(state, F.col("source").eqNullSafe(F.col("__s")))
+    return found.withColumn("rate", rate).select("source", "size", "n", "source_size", "target", "rate")
 
 
 def group_copies(rated: DataFrame, cap: float = 2.0) -> DataFrame:
@@ -103,6 +116,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     counted = written(sized.groupBy(F.col(source).alias("source"), "size").agg(F.count("*").alias("n")), new_folder(spark, "mix-sizes"))
     goals = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
     histogram = counted.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    histogram = written(histogram, new_folder(spark, "mix-histogram"))
     plan = written(group_copies(rates(histogram, cap), cap), new_folder(spark, "mix-plan"))
 
     # A group is cut into blocks of about block_rows documents; a block's documents are ranked by themselves.
