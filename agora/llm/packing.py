@@ -149,7 +149,7 @@ def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     based = counted.select("length", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     own = F.row_number().over(Window.partitionBy("length", "__block").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = keyed.withColumn("__own", own).join(based, ["length", "__block"]).withColumn("__rank", F.col("__base") + F.col("__own") - 1)
+    ranked = keyed.withColumn("__own", own).join(based.hint("merge"), ["length", "__block"]).withColumn("__rank", F.col("__base") + F.col("__own") - 1)
     names = list(cut.columns)
 
     def dealt(batches):
