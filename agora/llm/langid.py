@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
+_HASHES = 1 << 40
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -105,9 +106,21 @@ def _count_strings(batches):
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 1000) -> Model:
-    """A model from documents with a non-null language, at most ``sample`` of each."""
-    least = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id), F.xxhash64(F.col(text)))
-    ranked = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.row_number().over(least).alias("__place"))
+    """A model from documents with a non-null language, at most ``sample`` of each.
+
+    A bound on the hash, from the number of documents of a language, leaves about four times ``sample`` of them, so
+    that what is ranked does not grow with the table or its number of tasks.
+    """
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text))).alias("__hash"), F.col(text).alias("text"))
+    # A row per language, as the model has; as literals they filter in the scan, and no text is shuffled for them.
+    bounds = {r.lang: int(4 * sample * _HASHES / r.n) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect() if r.n > 4 * sample}
+    place = F.pmod("__hash", F.lit(_HASHES))
+    few = usable
+    if bounds:
+        bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
+        few = usable.where(bound.isNull() | (place < bound))
+    least = Window.partitionBy("lang").orderBy(place, "__hash")
+    ranked = few.select("lang", "text", F.row_number().over(least).alias("__place"))
     chosen = ranked.where(F.col("__place") <= sample).select("lang", "text")
     counts = chosen.mapInArrow(_count_strings, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     model = Model(sorted(counts["lang"].unique()))
