@@ -59,15 +59,29 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return _record(headers, http + (payload if refers_to is None else b""))
 
 
+def _pressed(batches):
+    """Payloads go through the shuffle compressed."""
+    from zstandard import ZstdCompressor
+
+    press = ZstdCompressor(level=5).compress
+    for batch in batches:
+        frames = [press(h.encode("utf-8", "replace")) for h in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(frames, pa.binary())], names=batch.schema.names)
+
+
 def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, file_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes archives to ``folder`` and returns the manifest; a file that it does not list is a failed attempt's."""
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("bigint").alias("id"), F.col(url).alias("url"), body.alias("html"), F.sha1(body).alias("_digest"))
+    rows = pages.select(F.col(page_id).cast("bigint").alias("id"), F.col(url).alias("url"), F.sha1(body).alias("_digest"), F.octet_length(body).alias("_n"), body.alias("html"))
     newest = rows.groupBy("_digest").agg(F.max("id").alias("_newest"))
-    twin = (F.col("id").isNull() | (F.col("id") != F.col("_newest"))) & F.col("_newest").isNotNull() & (F.octet_length("html") >= least_bytes)
-    dealt = rows.join(newest, "_digest").select("id", "url", "html", F.when(twin, F.col("_newest")).alias("refers_to"))
+    twin = (F.col("id").isNull() | (F.col("id") != F.col("_newest"))) & F.col("_newest").isNotNull() & (F.col("_n") >= least_bytes)
+    packed = rows.mapInArrow(_pressed, "id bigint, url string, _digest string, _n int, html binary")
+    dealt = packed.join(newest, "_digest").select("id", "url", "html", F.when(twin, F.col("_newest")).alias("refers_to"))
 
     def write(batches):
+        from zstandard import ZstdDecompressor
+
+        unpress = ZstdDecompressor().decompress
         fs, path = file_system(folder)
         fs.create_dir(path, recursive=True)
         out, name, n, size, done = None, "", 0, 0, []
@@ -80,7 +94,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
                         info = _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                         out.write(info)
                         size = len(info)
-                    record = page_record(row[0], row[1], row[2].encode("utf-8", "replace"), row[3], date)
+                    record = page_record(row[0], row[1], unpress(row[2]), row[3], date)
                     out.write(record)
                     n, size = n + 1, size + len(record)
                     if size >= file_bytes:
