@@ -34,6 +34,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 SEED = 42
 TILE = 8192
+SPREAD = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> tuple[list[int], int]:
@@ -199,9 +200,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         slim.groupBy(key.alias("id")).agg(F.min("__id").alias("least"), F.first("__lanes").alias("lanes"), F.first("__shingles").alias("shingles")), f"{folder}/distinct"
     )
     found = components(links(distinct, lanes, radius, length_ratio=length_ratio), "simhash-components")
-    named = distinct.join(found, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("root"))
-    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = written(named.join(of_root, "root").select(F.col("id").alias("__group"), "component_id"), f"{folder}/groups")
+    named = written(distinct.join(found, F.col("id") == F.col("node"), "left").select("id", "least", "component"), f"{folder}/named")
+    # Most fingerprints have no link and name themselves; those of a large group are spread over SPREAD parts of its key.
+    linked = named.where(F.col("component").isNotNull()).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    of_root = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+    together = linked.join(of_root, ["component", "part"]).select(F.col("id").alias("__group"), "component_id")
+    alone = named.where(F.col("component").isNull()).select(F.col("id").alias("__group"), F.col("least").alias("component_id"))
+    groups = written(together.union(alone), f"{folder}/groups")
     kept = [c for c in docs.columns if c not in ("lanes", "shingles", "component_id") and (keep_text or c != text)]
     if set(kept) <= {doc_id, text} and not keep_text:
         printed = slim.select(F.col("__id").alias(doc_id), F.col("__lanes").alias("lanes"), F.col("__shingles").alias("shingles"))
