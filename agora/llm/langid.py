@@ -138,6 +138,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     df = docs.drop("lang_pred", "score").withColumn("__said", predict(F.col(text)))

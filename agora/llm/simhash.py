@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, lanes: i
     @F.pandas_udf("struct<lanes: array<bigint>, shingles: bigint>")
     def of(texts: pd.Series) -> pd.DataFrame:
         found = [fingerprint(t, shingle, lanes) for t in texts]
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame({"lanes": [np.array(f, dtype=np.uint64).view(np.int64) for f, _ in found], "shingles": [n for _, n in found]})
 
     df = docs.drop("lanes", "shingles", "__print").withColumn("__print", of(F.col(text)))

@@ -159,6 +159,7 @@ class WordwiseEncoder:
             odd = pc.match_substring_regex(texts, _UNSURE).to_numpy(zero_copy_only=False) if self._wordwise else np.ones(len(texts), bool)
             yield texts, odd
             start = end
+        pa.default_memory_pool().release_unused()  # workers stay alive beside the executor between tasks
 
     def ids_of(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each whole text; a null or empty text has none."""
