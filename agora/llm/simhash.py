@@ -10,6 +10,10 @@ skipped; this is still exact, and keeps the compared share of all pairs falling
 A pair of tiles yields at most one link per fingerprint (a forest that spans the links found there), so a group of
 thousands of copies of each other never becomes all of its pairs.  Groups are the connected components of the links.
 
+With ``jaccard`` the estimate only proposes: fingerprints are taken over the set of a text's different shingles, the sets
+lie in files of the shared folder, and a pair within the radius becomes a link only if its sets, read from there, have at
+least that Jaccard similarity.  A tile's forest is made of checked links, so a rejected pair hides no true one.
+
 Defined results: text is lower-cased in A-Z only and split into words at ASCII white space.  Fewer words than a shingle
 make one shingle of all of them; a text with no word, or a null one, has fingerprint zero and links as any other.
 Repeated rows are rows of their own in one group.  A null id never names a group unless the group has no other id.
@@ -19,6 +23,8 @@ An empty table gives an empty table.  All columns of the input are kept; an adde
 from __future__ import annotations
 
 import re
+import uuid
+from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -28,13 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import new_folder, written
+from .shared import file_system, new_folder, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 SEED = 42
 TILE = 8192
 SPREAD = 64
+SETS_BYTES = 32 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> tuple[list[int], int]:
@@ -71,6 +78,106 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, lanes: i
     return df.select(*[c for c in df.columns if c != "__print"], "__print.*")
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the different shingles of one text; empty for a text without a word."""
+    from xxhash import xxh64_intdigest
+
+    words = _WORD.findall(text.translate(_LOWER)) if text else []
+    if len(words) < shingle:
+        words, shingle = [" ".join(words)] if words else [], 1
+    found = []
+    for start in range(0, len(words) - shingle + 1, 1 << 16):
+        some = words[start : start + (1 << 16) + shingle - 1]
+        found.append(np.fromiter((xxh64_intdigest(" ".join(s), SEED) for s in zip(*[some[k:] for k in range(shingle)])), dtype="<u8"))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype="<u8")
+
+
+def set_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """Unsigned lanes of a set of hashes; lanes after the first use the hashes mixed again (the finish of splitmix64)."""
+    set_bits = np.zeros((lanes, 64), dtype=np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        for lane in range(lanes):
+            mixed = hashes[start : start + (1 << 14)]
+            if lane:
+                mixed = mixed + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                mixed = mixed ^ (mixed >> np.uint64(31))
+            set_bits[lane] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits((2 * set_bits > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+def _stored(folder: str, shingle: int, lanes: int):
+    """Per text: the key of its shingle set, its lanes, and where in the files of ``folder`` the set is.
+
+    A file's name is drawn by the attempt that writes it, so rows of the attempt that counts name its own files.
+    """
+
+    def run(batches):
+        from xxhash import xxh3_64_intdigest
+
+        fs, path = file_system(folder)
+        fs.create_dir(path, recursive=True)
+        name, at = uuid.uuid4().int >> 65, 0
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            for batch in batches:
+                for part in range(0, batch.num_rows, 256):
+                    some = batch.slice(part, 256)
+                    keys, prints, counts, places = [], [], [], []
+                    for text in some.column("__text").to_pylist():
+                        hashes = shingle_set(text, shingle)
+                        data = hashes.tobytes()
+                        keys.append(xxh3_64_intdigest(data))
+                        prints.append(set_fingerprint(hashes, lanes).view(np.int64))
+                        counts.append(len(hashes))
+                        places.append(at)
+                        out.write(data)
+                        at += len(data)
+                    arrays = [some.column("__id"), pa.array(prints, pa.list_(pa.int64())), pa.array(counts, pa.int64()), pa.array(np.array(keys, dtype=np.uint64).view(np.int64))]
+                    arrays += [pa.array([name] * len(places), pa.int64()), pa.array(places, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__lanes", "__shingles", "__own", "__file", "__place"])
+                pa.default_memory_pool().release_unused()
+
+    return run
+
+
+class _Sets:
+    """Shingle sets in the files of a folder; those read last stay in memory, up to SETS_BYTES."""
+
+    def __init__(self, folder: str):
+        (self.fs, self.path), self.files, self.kept, self.bytes = file_system(folder), OrderedDict(), OrderedDict(), 0
+
+    def read(self, name: int, place: int, n: int) -> np.ndarray:
+        key = (name, place)
+        if key in self.kept:
+            self.kept.move_to_end(key)
+            return self.kept[key]
+        if name not in self.files:
+            if len(self.files) >= 64:
+                self.files.popitem(last=False)[1].close()
+            self.files[name] = self.fs.open_input_file(f"{self.path}/{name}")
+        self.files.move_to_end(name)
+        found = np.frombuffer(self.files[name].read_at(8 * n, place), dtype="<u8").copy()
+        self.kept[key], self.bytes = found, self.bytes + found.nbytes
+        while self.bytes > SETS_BYTES and len(self.kept) > 1:
+            self.bytes -= self.kept.popitem(last=False)[1].nbytes
+        return found
+
+    def similar(self, one: np.ndarray, others: np.ndarray, jaccard: float) -> np.ndarray:
+        """Which of ``others`` (rows of file, place, number) have a set as similar to that of ``one``; read in blocks."""
+        mine = self.read(*one.tolist())
+        sets = [self.read(*row) for row in others.tolist()]
+        sizes = np.array([len(s) for s in sets])
+        if not len(mine):
+            return sizes == 0
+        every = np.concatenate(sets)
+        at = np.searchsorted(mine, every)
+        found = np.concatenate([[0], np.cumsum(mine[np.minimum(at, len(mine) - 1)] == every)])
+        ends = np.cumsum(sizes)
+        both = found[ends] - found[ends - sizes]
+        return both >= jaccard * (len(mine) + sizes - both)
+
+
 def _parts_for(distinct: int) -> int:
     """In how many parts of a lane the population is counted: more, as there are more fingerprints to a class."""
     return 1 if distinct <= 2_000_000 else 2 if distinct <= 50_000_000 else 4 if distinct <= 1_000_000_000 else 8
@@ -94,8 +201,11 @@ def _steps(parts: int, radius: int) -> list[list[int]]:
     return found
 
 
-def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Links (places in left, then right) within the radius, reduced to a spanning forest; right None: within left."""
+def _forest(left: np.ndarray, right: np.ndarray | None, radius: int, check=None) -> list[tuple[int, int]]:
+    """Links (places in left, then right) within the radius, reduced to a spanning forest; right None: within left.
+
+    ``check`` tells which of some places are similar to a place; only those become links.
+    """
     both = left if right is None else np.concatenate([left, right])
     label = np.arange(len(both))
     links: list[tuple[int, int]] = []
@@ -114,7 +224,14 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tup
             at = start + i
             hits = np.flatnonzero(near[i]) + first
             hits = hits[label[hits] != label[at]]
+            if check is not None:  # nearest first, so that a group is soon one and few pairs are read
+                hits, some = hits[np.argsort(apart[i][hits - first], kind="stable")], 1
             while len(hits):
+                if check is not None:
+                    true = hits[:some][check(at, hits[:some])]
+                    hits, some = np.concatenate([true, hits[some:]]) if len(true) else hits[some:], min(2 * some, 64)
+                    if not len(true):
+                        continue
                 found = hits[0]
                 links.append((at, int(found)))
                 low, high = sorted((label[at], label[found]))
@@ -123,15 +240,30 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tup
     return links
 
 
-def _compare(n_lanes: int, radius: int):
+def _compare(n_lanes: int, radius: int, folder: str | None = None, jaccard: float | None = None):
+    width = n_lanes + (1 if folder is None else 4)
+
     def run(batches):
+        sets = None if folder is None else _Sets(folder)
         for batch in batches:
             a, b = [], []
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                one = np.frombuffer(left, dtype="<i8").view(np.uint64).reshape(-1, n_lanes + 1)
-                two = None if right is None else np.frombuffer(right, dtype="<i8").view(np.uint64).reshape(-1, n_lanes + 1)
+                one = np.frombuffer(left, dtype="<i8").view(np.uint64).reshape(-1, width)
+                two = None if right is None else np.frombuffer(right, dtype="<i8").view(np.uint64).reshape(-1, width)
                 ids = one[:, 0] if two is None else np.concatenate([one[:, 0], two[:, 0]])
-                for x, y in _forest(one[:, 1:], None if two is None else two[:, 1:], radius):
+                check = None
+                if sets is not None:
+                    where = (one if two is None else np.concatenate([one, two]))[:, n_lanes + 1 :].astype(np.int64)
+
+                    def check(at, hits, where=where):
+                        n, m = where[at, 2], where[hits, 2]
+                        good = np.minimum(n, m) >= jaccard * np.maximum(n, m)
+                        if good.any():
+                            good[good] = sets.similar(where[at], where[hits[good]], jaccard)
+                        return good
+
+                lanes = slice(1, n_lanes + 1)
+                for x, y in _forest(one[:, lanes], None if two is None else two[:, lanes], radius, check):
                     a.append(ids[x])
                     b.append(ids[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in (a, b)], names=["a", "b"])
@@ -146,9 +278,12 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(rows, type=pa.binary())], names=["tile", "data"])
 
 
-def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, length_ratio: float | None = None) -> DataFrame:
+def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, length_ratio: float | None = None, sets: str | None = None, jaccard: float | None = None) -> DataFrame:
     """Links (a, b) between rows of ``distinct(id, lanes, shingles)`` that join all pairs within the radius.
 
+    With ``sets``, the folder of shingle sets, ``distinct`` has their ``file`` and ``place`` too, and only pairs within
+    the radius whose sets have a similarity of ``jaccard`` or more are joined.
+
     With ``length_ratio``, a pair also needs numbers of shingles of at least this ratio up to one class of lengths:
     documents whose similarity reaches the ratio have it, so classes of lengths that are not neighbours are skipped.
     """
@@ -157,7 +292,8 @@ def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, leng
     parts = _parts_for(distinct.count())
     keys = _populations(F.col("lanes"), n_lanes, parts)
     span = F.lit(0) if length_ratio is None else F.floor(F.log(F.col("shingles") + 1.0) / float(-np.log(length_ratio))).cast("int")
-    df = distinct.select("id", "lanes", span.alias("__span"), F.array(*keys).alias("__pop"))
+    member = [F.array("id"), F.col("lanes")] if sets is None else [F.array("id"), F.col("lanes"), F.array("file", "place", "shingles")]
+    df = distinct.select("id", F.concat(*member).alias("__member"), span.alias("__span"), F.array(*keys).alias("__pop"))
     reach = radius
     if parts == 1 and radius > 8:  # classes as wide as the radius: those within it are the same class and the next
         df, reach = df.withColumn("__pop", F.array((F.col("__pop")[0] / radius).cast("int"))), 1
@@ -166,7 +302,7 @@ def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, leng
     name = lambda span, pop, k: F.concat_ws(":", span, F.concat_ws(".", pop.cast("array<string>")), k)
 
     dealt = df.join(sizes, ["__span", "__pop"]).withColumn("tile", name(F.col("__span"), F.col("__pop"), F.pmod(F.xxhash64("id"), F.col("__tiles"))))
-    grouped = dealt.groupBy("tile").agg(F.flatten(F.collect_list(F.concat(F.array("id"), F.col("lanes")))).alias("members"))
+    grouped = dealt.groupBy("tile").agg(F.flatten(F.collect_list("__member")).alias("members"))
     tiles = written(grouped.mapInArrow(_packed, "tile string, data binary"), f"{folder}/tiles")
 
     moves = _steps(parts, reach)
@@ -183,7 +319,7 @@ def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, leng
     # Pairs are dealt at random over the tasks: each is work of about the same size.
     work = pairs.join(left, "one").join(right, "two").withColumn("right", F.when(F.col("one") != F.col("two"), F.col("right")))
     work = work.select("left", "right").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    return written(work.mapInArrow(_compare(n_lanes, radius), "a bigint, b bigint"), f"{folder}/links")
+    return written(work.mapInArrow(_compare(n_lanes, radius, sets, jaccard), "a bigint, b bigint"), f"{folder}/links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, lanes: int = 1, radius: int = 3, length_ratio: float | None = None, keep_text: bool = True) -> DataFrame:
@@ -200,30 +336,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = written(
         slim.groupBy(key.alias("id")).agg(F.min("__id").alias("least"), F.first("__lanes").alias("lanes"), F.first("__shingles").alias("shingles")), f"{folder}/distinct"
     )
-    found = components(links(distinct, lanes, radius, length_ratio=length_ratio), "simhash-components")
+    groups = _groups(distinct, links(distinct, lanes, radius, length_ratio=length_ratio), folder)
+    kept = [c for c in docs.columns if c not in ("lanes", "shingles", "component_id") and (keep_text or c != text)]
+    if set(kept) <= {doc_id, text} and not keep_text:
+        printed = slim.select(F.col("__id").alias(doc_id), F.col("__lanes").alias("lanes"), F.col("__shingles").alias("shingles"))
+    own = F.col("lanes")[0] if lanes == 1 and length_ratio is None else F.xxhash64("lanes", "shingles")
+    return printed.withColumn("__own", own).join(groups, F.col("__own") == F.col("__group")).select(*kept, "lanes", "shingles", "component_id")
+
+
+def _groups(distinct: DataFrame, linked: DataFrame, folder: str) -> DataFrame:
+    """(__group, component_id) for every id of ``distinct``: the least document that its links reach."""
+    found = components(linked, "simhash-components")
     named = written(distinct.join(found, F.col("id") == F.col("node"), "left").select("id", "least", "component"), f"{folder}/named")
     # Most fingerprints have no link and name themselves; those of a large group are spread over SPREAD parts of its key.
     linked = named.where(F.col("component").isNotNull()).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
     of_root = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
     together = linked.join(of_root, ["component", "part"]).select(F.col("id").alias("__group"), "component_id")
     alone = named.where(F.col("component").isNull()).select(F.col("id").alias("__group"), F.col("least").alias("component_id"))
-    groups = written(together.union(alone), f"{folder}/groups")
-    kept = [c for c in docs.columns if c not in ("lanes", "shingles", "component_id") and (keep_text or c != text)]
-    if set(kept) <= {doc_id, text} and not keep_text:
-        printed = slim.select(F.col("__id").alias(doc_id), F.col("__lanes").alias("lanes"), F.col("__shingles").alias("shingles"))
-    own = F.col("lanes")[0] if lanes == 1 and length_ratio is None else F.xxhash64("lanes", "shingles")
-    return printed.withColumn("__own", own).join(groups, F.col("__own") == F.col("__group")).select(*kept, "lanes", "shingles", "component_id")
+    return written(together.union(alone), f"{folder}/groups")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, radius: int = 52, length_ratio: float | None = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, radius: int = 52, jaccard: float = 0.8) -> DataFrame:
     """One row of each near-duplicate group, that with the least id (null last); of repeated ids any one row.
 
-    The default links texts whose five-word shingles have an estimated cosine of 0.8 or more: an angle of at most 52
-    of 256 bits.
+    Linked are texts whose sets of five-word shingles have a Jaccard similarity of at least ``jaccard``, counted on
+    64-bit hashes.  Pairs to be counted are those of equal sets and those within the radius, of similar numbers of shingles;
+    at 0.8 a pair differs in 39 of 256 bits on average, with a standard deviation below 6.
     """
     folder = new_folder(docs.sparkSession, "simhash-keep")
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/rows")
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
-    grouped = near_duplicates(rows.select(key.alias("__key"), F.col(text).alias("__text")), "__key", "__text", shingle, lanes, radius, length_ratio, keep_text=False)
-    first = grouped.where(F.col("__key") == F.col("component_id")).select(F.col("__key.row").alias("__row"))
+    asked = rows.select(key.alias("__id"), F.col(text).alias("__text"))
+    schema = f"__id {asked.schema['__id'].dataType.simpleString()}, __lanes array<bigint>, __shingles bigint, __own bigint, __file bigint, __place bigint"
+    slim = written(asked.mapInArrow(_stored(f"{folder}/sets", shingle, lanes), schema), f"{folder}/prints")
+    # Lanes and number are the set's own; where it is read may be any of its copies.
+    place = F.min(F.struct("__file", "__place"))
+    distinct = slim.groupBy(F.col("__own").alias("id")).agg(F.min("__id").alias("least"), F.first("__lanes").alias("lanes"), F.first("__shingles").alias("shingles"), place.alias("at"))
+    distinct = written(distinct.select("id", "least", "lanes", "shingles", F.col("at.__file").alias("file"), F.col("at.__place").alias("place")), f"{folder}/distinct")
+    groups = _groups(distinct, links(distinct, lanes, radius, length_ratio=jaccard, sets=f"{folder}/sets", jaccard=jaccard), folder)
+    first = groups.select(F.col("component_id.row").alias("__row"))
     return rows.join(first, "__row", "left_semi").select(*docs.columns)

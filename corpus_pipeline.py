@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of similar ones: five-word shingles, cosine of 0.8 or more."""
+    """Keeps the document with the least id of each group of similar ones: five-word shingles, Jaccard similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 

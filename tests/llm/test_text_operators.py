@@ -184,3 +184,36 @@ def test_near_copies_go_and_others_stay(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate([*originals, *copies])]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+
+
+def shingles_of(text, k=5):
+    words = [w.lower() for w in WORD.findall(text)]
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+def test_near_copies_are_checked_exactly(spark):
+    """Groups by brute force over the shingles: estimates below 0.8, also of pairs in a large group, link nothing."""
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 9000, n)]
+    passage, texts = word(200), []
+    texts += [passage + word(60) for _ in range(120)]  # Jaccard 0.62 of each two
+    for _ in range(30):
+        own = word(200)
+        texts += [own, [*own[: 200 - n], *word(n)] if (n := int(rng.integers(5, 50))) else own]
+    texts += [["same"] * 4000 + word(9), ["same"] * 4000 + word(9), ["same"] * 4000 + word(9)]  # equal fingerprints before
+    texts = [" ".join(t) for t in texts]
+    sets = [shingles_of(t) for t in texts]
+    first = list(range(len(sets)))
+
+    def root(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            first[b] = a
+    want = sorted({root(i) for i in range(len(sets))})
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == want and 150 < len(want) < len(texts)
