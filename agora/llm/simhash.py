@@ -3,8 +3,8 @@
 A fingerprint has one bit per hash bit, set if more than half of the shingles' hashes have it; a wider fingerprint of
 several lanes uses several seeds.  Equal fingerprints are brought together first.  The different ones are dealt into
 tiles of bounded size within a class of equal population counts, and two tiles are compared, by exclusive-or and bit
-counts in numpy, only if their counts can differ by no more than the radius.  With many fingerprints the population is
-counted in 2, 4 or 8 parts of a fingerprint, and classes farther apart than the radius in the sum over the parts are
+counts in numpy, only if their counts can differ by no more than the radius.  With many fingerprints, and a radius of at
+most 8, the population is counted in 2, 4 or 8 parts of a fingerprint, and classes farther apart than the radius in the sum over the parts are
 skipped; this is still exact, and keeps the compared share of all pairs falling as the table grows.
 
 A pair of tiles yields at most one link per fingerprint (a forest that spans the links found there), so a group of
@@ -289,13 +289,14 @@ def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, leng
     """
     spark = distinct.sparkSession
     folder = new_folder(spark, "simhash-tiles")
-    parts = _parts_for(distinct.count())
+    # Moves between parts grow with the power ``parts`` of the radius, and a wide radius skips little in any number of parts.
+    parts = 1 if radius > 8 else _parts_for(distinct.count())
     keys = _populations(F.col("lanes"), n_lanes, parts)
     span = F.lit(0) if length_ratio is None else F.floor(F.log(F.col("shingles") + 1.0) / float(-np.log(length_ratio))).cast("int")
     member = [F.array("id"), F.col("lanes")] if sets is None else [F.array("id"), F.col("lanes"), F.array("file", "place", "shingles")]
     df = distinct.select("id", F.concat(*member).alias("__member"), span.alias("__span"), F.array(*keys).alias("__pop"))
     reach = radius
-    if parts == 1 and radius > 8:  # classes as wide as the radius: those within it are the same class and the next
+    if radius > 8:  # classes as wide as the radius: those within it are the same class and the next
         df, reach = df.withColumn("__pop", F.array((F.col("__pop")[0] / radius).cast("int"))), 1
     sizes = written(df.groupBy("__span", "__pop").agg(F.count("*").alias("__n")), f"{folder}/classes")
     sizes = sizes.select("__span", "__pop", F.ceil(F.col("__n") / tile).alias("__tiles"))

@@ -168,6 +168,16 @@ def test_tiles_lose_no_link(spark, monkeypatch, parts, radius):
     assert {v: root(v) for v in values} == brute_components([(v, v) for v in values], radius)
 
 
+def test_a_wide_radius_has_few_moves_on_any_number_of_fingerprints(spark, monkeypatch):
+    asked, steps = [], simhash._steps
+    monkeypatch.setattr(simhash, "_parts_for", lambda n: 2)
+    monkeypatch.setattr(simhash, "_steps", lambda parts, radius: asked.append(len(steps(parts, radius))) or steps(parts, radius))
+    rows = [(k, [(1 << k) - 1, 0, 0, 0], 9) for k in (0, 9, 40, 60)] + [(5, [0, 0, 0, -1], 9)]
+    distinct = spark.createDataFrame(rows, "id bigint, lanes array<bigint>, shingles bigint")
+    found = {frozenset((r.a, r.b)) for r in simhash.links(distinct, 4, 52, length_ratio=0.8).collect()}
+    assert asked == [3] and {frozenset(p) for p in ((0, 9), (0, 40), (60, 9), (60, 40))} & found and not any(5 in p for p in found)
+
+
 def test_simhash_edge_cases(spark, docs):
     rows = simhash.near_duplicates(docs).select("doc_id", "component_id", "n_chars", "kept").collect()
     assert len(rows) == len(ROWS) and {r.component_id for r in rows if r.doc_id in (2, 3, 8)} == {2}
