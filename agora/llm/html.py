@@ -2,8 +2,12 @@
 
 Every page is parsed to a tree.  Each block element's subtree has a hash of its tags, class, id and text.  Spark
 counts, per host, on how many different pages a subtree occurs; a subtree on many of a host's pages is part of the
-site's template and is deleted wherever it recurs on that host.  Pages that are whole copies of each other count once,
-and prose inside the page's own article is never counted, so copied articles are not taken for a template.
+site's template and is deleted wherever it recurs on that host.  Pages that are whole copies of each other count once.
+
+Inside the page's own article, copied prose is protected: paragraphs, headings, quotes and cells are never taken out by
+themselves unless they are mostly links; a box (any other block) with at least half of the article's text is not counted,
+and any other box counts once per longest text outside of it, so copies of an article, also with small changes, count
+once.  A box that recurs in different articles of the host is template, whatever its share of links.
 
 Beside templates, elements that HTML itself or their class, id or role marks as navigation, header, footer, sidebar,
 notice, advert, form, script, style or reader comments go.  What is left of the article (the longest ``article``, else
@@ -35,6 +39,7 @@ DROPPED = RAW | frozenset("head template svg math object embed canvas audio vide
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("html body article main section aside nav header footer div table td th tr ul ol dl li dd dt blockquote form figure fieldset button caption".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead tfoot caption figcaption summary address center hgroup header main html body br".split())
 LISTS = frozenset("ul ol dl table menu select datalist body html".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners nav navbar"
@@ -182,19 +187,56 @@ def main_element(root: Node) -> Node | None:
     return None
 
 
-def subtrees(html: str | None) -> list[int]:
-    """Hash of the whole page, then those of its block subtrees with text outside of its article, each once."""
+def _boxes(main: Node) -> dict[int, int]:
+    """Hashes of the boxes inside an article, with the hash of the longest text outside of each."""
+    from xxhash import xxh64_intdigest
+
+    texts, spans, stack = [], [], [(main, False)]
+    begins: list[int] = []
+    while stack:  # each text and each box takes its place in page order; a box spans the texts from begin to end
+        node, done = stack.pop()
+        if type(node) is str:
+            if text := " ".join(node.split()):
+                texts.append((len(text), text))
+        elif done:
+            spans.append((node, begins.pop(), len(texts)))
+        else:
+            if node is not main and node.letters and node.tag not in PROSE and node.tag not in INLINE and node.tag not in RAW:
+                begins.append(len(texts))
+                stack.append((node, True))
+            stack.extend((c, False) for c in reversed(node.children))
+    before, after = [(0, "")], [(0, "")]
+    for text in texts:
+        before.append(max(before[-1], text))
+    for text in reversed(texts):
+        after.append(max(after[-1], text))
+    found = {}
+    for node, begin, end in spans:
+        if 2 * node.letters < main.letters:
+            longest = max(before[begin], after[len(texts) - end])[1]
+            found[node.hash] = xxh64_intdigest(longest.encode("utf-8", "replace"))
+    return found
+
+
+def subtrees(html: str | None) -> tuple[int, dict[int, int]]:
+    """Hash of the whole page; hashes of a page's block subtrees with text, each with the hash of what counts once: outside of the article the
+    whole page, inside of it the longest text outside of the subtree."""
     root = parse(html or "")
     digest(root)
-    main, found, stack = main_element(root), {}, [root]
+    main, stack = main_element(root), [root]
+    found = {} if main is None else _boxes(main)
     while stack:
         node = stack.pop()
         if node is main or node.tag in ("head", *RAW):
             continue
         if node.letters and node.tag not in INLINE and node.tag not in ("#root", "html", "body") and not any(n is main for n in walk(node)):
-            found[node.hash] = None
+            found[node.hash] = root.hash
         stack.extend(c for c in node.children if type(c) is not str)
-    return [root.hash, *found]
+    return root.hash, found
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _linked(node: Node) -> int:
@@ -221,7 +263,7 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
                     out.append(" ")
                     stack.extend(n for n in reversed(list(walk(node))) if re.fullmatch("h[1-6]", n.tag))
                 continue
-            if main is not None and node.hash in template and 2 * _linked(node) > node.letters:
+            if main is not None and node.hash in template and (node.tag not in PROSE | INLINE or 2 * _linked(node) > node.letters):
                 continue
         if node.tag not in INLINE:
             out.append(" ")
@@ -246,10 +288,10 @@ def templates(pages: DataFrame, html: str = "html", url: str = "url", least_page
         for batch in batches:
             hosts, whole, part = [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                own, *rest = (h - (1 << 64) if h >> 63 else h for h in subtrees(page))
-                hosts += [host] * (1 + len(rest))
-                whole += [own] * (1 + len(rest))
-                part += [None, *rest]
+                own, found = subtrees(page)
+                hosts += [host] * (1 + len(found))
+                whole += [_signed(own), *map(_signed, found.values())]
+                part += [None, *map(_signed, found)]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(part, pa.int64())], names=["host", "page", "subtree"])
 
     found = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host IS NOT NULL").mapInArrow(emit, "host string, page bigint, subtree bigint")

@@ -56,6 +56,18 @@ def test_site_templates_go_and_copied_articles_stay(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_recurring_boxes_inside_articles_go_and_copied_articles_stay(spark):
+    box = "<div class='x1'><p>Get our letter each week</p></div>"
+    prose = lambda k: "".join(f"<section><p>{k} part {j} of a long story told at length</p></section>" for j in range(4))
+    rows = [(n, "http://a.example/", f"<article><h1>T{n}</h1><p>Story number {n} of this site is told here at some length</p>{box}<p>end {n}</p></article>") for n in range(12)]
+    rows += [(100 + n, "http://b.example/", f"<article><h1>Copy {n}</h1>{prose('same')}</article>") for n in range(12)]
+    rows += [(200 + n, "http://c.example/", f"<article><h1>Copy {n}</h1><div>{prose('same')}</div></article>") for n in range(12)]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    told = " ".join(f"same part {j} of a long story told at length" for j in range(4))
+    assert [text[n] for n in range(12)] == [f"T{n} Story number {n} of this site is told here at some length end {n}" for n in range(12)]
+    assert [text[100 + n] for n in range(12)] == [text[200 + n] for n in range(12)] == [f"Copy {n} {told}" for n in range(12)]
+
+
 INNER = warc.page_record(77, "http://evil", b"inside", None, "2024-01-01T00:00:00Z").decode()
 PAGES = [(1, "http://a/ b\r\n", "same"), (5, "u", "same"), (5, "u", "same"), (2, None, None), (3, "v", ""), (4, "w", INNER + "tail"), (6, "x", "WARC/1.1\r\nContent-Length: 5\r\n\r\nabc" * 40), (7, "y", "é" * 5000), (None, "z", "alone"), (None, "z", "same")]
 
