@@ -10,9 +10,11 @@ and any other box counts once per longest text outside of it, so copies of an ar
 once.  A box that recurs in different articles of the host is template, whatever its share of links.
 
 Beside templates, elements that HTML itself or their class, id or role marks as navigation, header, footer, sidebar,
-notice, advert, form, script, style or reader comments go.  What is left of the article (the longest ``article``, else
-``main``, else the element that its class or id marks as content, else the body) is the text: character references
-decoded, white space in a block made one space, blocks joined by one space in page order.
+notice, advert, form, script, style or reader comments go.  What is left of the article is the text: character references
+decoded, white space in a block made one space, blocks joined by one space in page order.  The article is the ``article``
+element, or the least element around all of several; else ``main``; else the element that its class or id marks as
+content; each only if it has at least half of the text of the page that is neither boilerplate nor template.  If none
+has, the whole body is the text.
 
 Defined results: a null or empty html, or one with no text, gives an empty text.  A page without a host has no site and
 no template.  Repeated rows are pages of their own.  An empty table gives an empty table.  All columns of the input are
@@ -163,30 +165,76 @@ def digest(root: Node) -> None:
         node.hash = xxh64_intdigest("\x1e".join(parts).encode("utf-8", "replace"))
 
 
-def main_element(root: Node) -> Node | None:
-    """The element that the page itself says is the article: the one with most text of the best kind."""
-    kinds: list[list[Node]] = [[], [], []]
-    stack = [root]
-    total = 0
+def _letters(root: Node, template: frozenset[int]) -> dict[int, int]:
+    """Letters of each node (by its id) without boilerplate, headers, lists of links and templates below it."""
+    own: dict[int, int] = {}
+    nodes, stack = [], [root]
     while stack:
         node = stack.pop()
-        if _boilerplate(node):
+        nodes.append(node)
+        stack.extend(c for c in node.children if type(c) is not str and not (_boilerplate(c) or c.tag == "header" or c.hash in template))
+    for node in reversed(nodes):
+        letters = sum(len(" ".join(c.split())) if type(c) is str else own.get(id(c), 0) for c in node.children)
+        own[id(node)] = 0 if node.tag in ("ul", "ol") and 2 * _linked(node) > node.letters else letters
+    return own
+
+
+def main_element(root: Node, template: frozenset[int] = frozenset()) -> Node | None:
+    """The element that the page itself says is the article, if at least half of the page's own text is in it.
+
+    Of several articles with text none inside another, it is the least element around them all.
+    """
+    letters = _letters(root, template)
+    total = letters[id(root)]
+    articles, mains, marked = [], [], []
+    stack: list[tuple[Node, tuple, bool]] = [(root, (), False)]
+    while stack:
+        node, above, within = stack.pop()
+        if not letters.get(id(node)):
             continue
-        total = max(total, node.letters)
         if node.tag == "article":
-            kinds[0].append(node)
+            if not within:
+                articles.append((*_path(above), node))
+            within = True
         elif node.tag == "main" or node.attributes.get("role", "").lower() == "main":
-            kinds[1].append(node)
+            mains.append(node)
         elif node.attributes and node.tag not in ("html", "body") and _marks(node) & CONTENT:
-            kinds[2].append(node)
-        stack.extend(c for c in node.children if type(c) is not str)
-    for k, found in enumerate(kinds):
-        best = max(found, key=lambda n: n.letters, default=None)
-        if best is not None and best.letters and (k < 2 or 2 * best.letters >= total):
+            marked.append(node)
+        stack.extend((c, (above, node), within) for c in reversed(node.children) if type(c) is not str)
+    around = None
+    for level in zip(*articles):
+        if any(n is not level[0] for n in level):
+            break
+        around = level[0]
+    for best in (around, max(mains, key=lambda n: letters[id(n)], default=None), max(marked, key=lambda n: letters[id(n)], default=None)):
+        if best is not None and best.tag not in ("#root", "html", "body") and 2 * letters[id(best)] >= total:
             return best
     return None
 
 
+def _path(above: tuple) -> list[Node]:
+    """Nodes from the root down, of a chain of (chain, node)."""
+    found = []
+    while above:
+        above, node = above
+        found.append(node)
+    return found[::-1]
+
+
+def _articles(root: Node) -> list[Node]:
+    """The outermost articles of a page without a main element; their prose is protected as that of a main element."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if _boilerplate(node):
+            continue
+        if node.tag == "article" and node.letters:
+            found.append(node)
+        else:
+            stack.extend(c for c in node.children if type(c) is not str)
+    return found
+
+
 def _boxes(main: Node) -> dict[int, int]:
     """Hashes of the boxes inside an article, with the hash of the longest text outside of each."""
     from xxhash import xxh64_intdigest
@@ -224,12 +272,17 @@ def subtrees(html: str | None) -> tuple[int, dict[int, int]]:
     root = parse(html or "")
     digest(root)
     main, stack = main_element(root), [root]
-    found = {} if main is None else _boxes(main)
+    inside = _articles(root) if main is None else [main]
+    found = {h: k for n in inside for h, k in _boxes(n).items()}
+    holders, ends = set(), {id(n) for n in inside}
+    for node in reversed(list(walk(root))):  # children first
+        if id(node) in ends or any(type(c) is not str and id(c) in holders for c in node.children):
+            holders.add(id(node))
     while stack:
         node = stack.pop()
-        if node is main or node.tag in ("head", *RAW):
+        if any(node is a for a in inside) or node.tag in ("head", *RAW):
             continue
-        if node.letters and node.tag not in INLINE and node.tag not in ("#root", "html", "body") and not any(n is main for n in walk(node)):
+        if node.letters and node.tag not in INLINE and node.tag not in ("#root", "html", "body") and id(node) not in holders:
             found[node.hash] = root.hash
         stack.extend(c for c in node.children if type(c) is not str)
     return root.hash, found
@@ -247,28 +300,32 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """The text of the article, without boilerplate and without the subtrees in ``template``."""
     root = parse(html or "")
     digest(root)
-    main = main_element(root)
+    main = main_element(root, template)
+    inside = {id(n) for n in (_articles(root) if main is None else [main])}
     out: list[str] = []
-    stack: list = [main or root]
+    stack: list = [(main or root, False)]
     while stack:
-        node = stack.pop()
+        node, own = stack.pop()
         if type(node) is str:
             out.append(node)
             continue
+        own = own or id(node) in inside
         if node is not main:
-            if _boilerplate(node) or (main is None and (node.hash in template or (node.tag in ("ul", "ol") and 2 * _linked(node) > node.letters))):
+            if _boilerplate(node):
+                continue
+            if not own and (node.hash in template or (node.tag in ("ul", "ol") and 2 * _linked(node) > node.letters)):
                 continue
             if node.tag == "header":  # a page's header goes; of an article's own, the headings stay
-                if main is not None:
+                if own:
                     out.append(" ")
-                    stack.extend(n for n in reversed(list(walk(node))) if re.fullmatch("h[1-6]", n.tag))
+                    stack.extend((n, True) for n in reversed(list(walk(node))) if re.fullmatch("h[1-6]", n.tag))
                 continue
-            if main is not None and node.hash in template and (node.tag not in PROSE | INLINE or 2 * _linked(node) > node.letters):
+            if own and node.hash in template and id(node) not in inside and (node.tag not in PROSE | INLINE or 2 * _linked(node) > node.letters):
                 continue
         if node.tag not in INLINE:
             out.append(" ")
-            stack.append(" ")
-        stack.extend(reversed(node.children))
+            stack.append((" ", own))
+        stack.extend((c, own) for c in reversed(node.children))
     return " ".join("".join(out).split())
 
 

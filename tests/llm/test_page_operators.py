@@ -32,6 +32,21 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "the story of the page is told here in more words than a card has"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<main><p>{LONG}</p><article><p>a card</p></article></main>", f"{LONG} a card"),
+    (f"<body><nav>menu</nav><p>{LONG}</p><article><p>a card</p></article><p>{LONG}</p></body>", f"{LONG} a card {LONG}"),
+    (f"<body><header>site</header><main><article><p>one {LONG}</p></article><p>and</p><article><p>two</p></article></main><footer>f</footer></body>", f"one {LONG} and two"),
+    (f"<body><article><h1>T</h1><p>{LONG}</p></article><article><p>two</p></article><article class='related'>z</article></body>", f"T {LONG} two"),
+    (f"<body><div>{'<ul><li><a>menu entry</a></li></ul>' * 30}</div><article><p>short</p></article></body>", "short"),
+    (f"<article><p>{LONG}</p><article><p>inner</p></article></article><p>side</p>", f"{LONG} inner"),
+])
+def test_the_article_is_what_has_the_text(page, text):
+    assert html.main_text(page) == text
+
+
 def test_pages_of_the_table(spark):
     """These pages have one article of plain blocks; its text is what is left without tags."""
     for row in queries.op5_html_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
