@@ -1,8 +1,8 @@
 """Main text of HTML pages, with site templates removed.
 
 Every page is parsed to a tree.  Each block element's subtree has a hash of its tags, class, id and text.  Spark
-counts, per host, on how many different pages a subtree occurs; a subtree on many of a host's pages is part of the
-site's template and is deleted wherever it recurs on that host.  Pages that are whole copies of each other count once.
+counts, per host, on how many different pages a subtree occurs; a subtree on ``least_pages`` of them, however many the
+host has, is part of the site's template and is deleted wherever it recurs on that host.  Pages that are whole copies of each other count once.
 
 Inside the page's own article, copied prose is protected: paragraphs, headings, quotes and cells are never taken out by
 themselves unless they are mostly links; a box (any other block) with at least half of the article's text is not counted,
@@ -54,6 +54,8 @@ ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo comment c
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CONTENT = frozenset("content article articlebody post entry story maincontent".split())
 
+SPREAD = 16
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -266,8 +268,8 @@ def _boxes(main: Node) -> dict[int, int]:
     return found
 
 
-def subtrees(html: str | None) -> tuple[int, dict[int, int]]:
-    """Hash of the whole page; hashes of a page's block subtrees with text, each with the hash of what counts once: outside of the article the
+def subtrees(html: str | None) -> dict[int, int]:
+    """Hashes of a page's block subtrees with text, each with the hash of what counts once: outside of the article the
     whole page, inside of it the longest text outside of the subtree."""
     root = parse(html or "")
     digest(root)
@@ -285,7 +287,7 @@ def subtrees(html: str | None) -> tuple[int, dict[int, int]]:
         if node.letters and node.tag not in INLINE and node.tag not in ("#root", "html", "body") and id(node) not in holders:
             found[node.hash] = root.hash
         stack.extend(c for c in node.children if type(c) is not str)
-    return root.hash, found
+    return found
 
 
 def _signed(value: int) -> int:
@@ -335,44 +337,50 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def templates(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
-    """(host, template): hashes of the subtrees on at least ``least_pages`` and ``least_share`` of a host's different pages.
-
-    A page has at most so many subtrees as elements, so a host's list is no longer than 1 / ``least_share`` pages' own.
-    """
+def _subtrees(pages: DataFrame, html: str, url: str) -> DataFrame:
+    """(doc, once, subtree, key) of the pages with a host: ``doc`` stands for equal pages of a host, ``once`` for what
+    counts once, and ``key`` for host and subtree; as 64-bit hashes they make little shuffle."""
 
     def emit(batches):
         for batch in batches:
-            hosts, whole, part = [], [], []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                own, found = subtrees(page)
-                hosts += [host] * (1 + len(found))
-                whole += [_signed(own), *map(_signed, found.values())]
-                part += [None, *map(_signed, found)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(part, pa.int64())], names=["host", "page", "subtree"])
-
-    found = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host IS NOT NULL").mapInArrow(emit, "host string, page bigint, subtree bigint")
-    counted = written(found.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")), new_folder(pages.sparkSession, "html-subtrees"))
-    of_host = counted.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
-    often = counted.where(F.col("subtree").isNotNull() & (F.col("n") >= least_pages)).join(of_host, "host").where(F.col("n") >= least_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("template"))
-
-
-def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
-    """``pages`` with ``text``, their main text."""
-    sites = templates(pages, html, url, least_pages, least_share).withColumnsRenamed({"host": "__host", "template": "__template"})
+            columns: list[list] = [[], [], [], []]
+            for host, doc, page in zip(*(batch.column(c).to_pylist() for c in ("host", "doc", "html"))):
+                found = subtrees(page)
+                for column, values in zip(columns, ([host] * len(found), [doc] * len(found), map(_signed, found.values()), map(_signed, found))):
+                    column += values
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "doc", "once", "subtree"])
+
+    host = host_of(F.col(url))
+    asked = pages.select(host.alias("host"), F.xxhash64(host, F.col(html)).alias("doc"), F.col(html).alias("html")).where("host IS NOT NULL")
+    found = asked.mapInArrow(emit, "host string, doc bigint, once bigint, subtree bigint").select("doc", "once", "subtree", F.xxhash64("host", "subtree").alias("key"))
+    return written(found, new_folder(pages.sparkSession, "html-subtrees"))
+
+
+def templates(found: DataFrame, least_pages: int = 5) -> DataFrame:
+    """(key): the subtrees in ``found`` on at least ``least_pages`` different pages of a host."""
+    counted = found.select("key", "once").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= least_pages).select("key")
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = 5) -> DataFrame:
+    """``pages`` with ``text``, their main text.
+
+    A page meets its own subtrees that are templates, not its host's whole list; a template on all pages of a large
+    host is spread over SPREAD parts.
+    """
+    found = _subtrees(pages, html, url)
+    often = templates(found, least_pages).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+    met = found.select("doc", "subtree", "key", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("part")).join(often, ["key", "part"])
+    own = met.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("subtree").alias("__template"))
     kept = [c for c in pages.columns if c != "text"]
-    joined = pages.select(*kept, host_of(F.col(url)).alias("__site")).join(sites, F.col("__site") == F.col("__host"), "left")
+    host = host_of(F.col(url))
+    rows = pages.select(*kept, F.when(host.isNotNull(), F.xxhash64(host, F.col(html))).alias("__page"))
+    joined = rows.join(own, F.col("__page") == F.col("__doc"), "left")
 
     @F.pandas_udf("string")
     def text_of(page: pd.Series, template: pd.Series) -> pd.Series:
-        sets = {}
-        out = []
-        for one, hashes in zip(page, template):
-            key = None if hashes is None else hashes.tobytes()
-            if key not in sets:
-                sets[key] = frozenset() if hashes is None else frozenset(h & ((1 << 64) - 1) for h in hashes.tolist())
-            out.append(main_text(one, sets[key]))
-        return pd.Series(out, dtype=object)
+        sets = (frozenset() if hashes is None else frozenset(h & ((1 << 64) - 1) for h in hashes.tolist()) for hashes in template)
+        return pd.Series([main_text(*both) for both in zip(page, sets)], dtype=object)
 
     return joined.select(*kept, text_of(F.col(html), F.col("__template")).alias("text"))

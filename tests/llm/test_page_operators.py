@@ -83,6 +83,15 @@ def test_recurring_boxes_inside_articles_go_and_copied_articles_stay(spark):
     assert [text[100 + n] for n in range(12)] == [text[200 + n] for n in range(12)] == [f"Copy {n} {told}" for n in range(12)]
 
 
+def test_a_template_does_not_depend_on_the_size_of_its_host(spark):
+    menu = "<div><p>Menu of one section</p></div>"
+    page = lambda n: f"<body>{menu if n < 6 else ''}<p>Own words number {n}</p></body>"
+    pages = spark.createDataFrame([(n, "http://big.example/", page(n)) for n in [*range(200), *[3] * 40]], "page_id bigint, url string, html string")
+    for some in (pages, pages.where("page_id < 25")):
+        rows = html.extract(some.repartition(3)).collect()
+        assert len(rows) == some.count() and all(r.text == f"Own words number {r.page_id}" for r in rows)
+
+
 INNER = warc.page_record(77, "http://evil", b"inside", None, "2024-01-01T00:00:00Z").decode()
 PAGES = [(1, "http://a/ b\r\n", "same"), (5, "u", "same"), (5, "u", "same"), (2, None, None), (3, "v", ""), (4, "w", INNER + "tail"), (6, "x", "WARC/1.1\r\nContent-Length: 5\r\n\r\nabc" * 40), (7, "y", "é" * 5000), (None, "z", "alone"), (None, "z", "same")]
 
