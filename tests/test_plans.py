@@ -34,3 +34,7 @@ def test_query_matches_sql(spark, duck, name):
     names = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, found.fetchall())
+
+
+def test_containment_claims_no_intervals_or_findings():
+    assert not {"JN-23", "AG-26", "RT-09"} & set(plans.registry.COVERS["containment_proof_audit"])
