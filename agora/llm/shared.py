@@ -9,10 +9,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,6 +39,35 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than one in HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot keys, ever.
+HOT_SHARE = 2048
+
+
+def join_spread(rows: DataFrame, found: DataFrame, keys: Sequence[str], by: Sequence[Column], counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` left-joined with ``found``, a row per key at most, so that no key's rows meet in one task.
+
+    Hot keys, fewer than HOT_SHARE, meet a broadcast of their rows of ``found``; rows of such keys are dealt over all tasks
+    of the other join, a merge, by a hash of ``by``, where they match nothing.  Keys compare as null-safe.  Column names
+    of ``found`` other than its keys must be new.  ``counts``, a stored table of the keys and ``n``, says how many rows have
+    a key; without it the key columns of ``rows`` are read once more.
+    """
+    values = [c for c in found.columns if c not in keys]
+    key = F.struct(*[F.col(k) for k in keys])
+    if counts is None:
+        counted = written(rows.select(key.alias("__key")).groupBy("__key").agg(F.count("*").alias("__n")), new_folder(rows.sparkSession, "hot-keys"))
+    else:
+        counted = counts.select(key.alias("__key"), F.col("n").alias("__n"))
+    total = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first().n
+    own = found.select(key.alias("__of"), *values)
+    hot = counted.where(F.col("__n") * HOT_SHARE > total).select("__key").join(own, F.col("__key") == F.col("__of"), "left")
+    hot = hot.select(F.col("__key").alias("__hot"), *[F.col(v).alias(f"__hot_{v}") for v in values])
+    first = rows.withColumn("__key", key).join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left")
+    first = first.withColumn("__spread", F.when(F.col("__hot").isNotNull(), F.xxhash64(*by).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
+    rest = own.withColumn("__none", F.lit(0).cast("bigint"))
+    joined = first.join(rest.hint("merge"), (F.col("__key") == F.col("__of")) & (F.col("__spread") == F.col("__none")), "left")
+    return joined.select(*rows.columns, *[F.when(F.col("__hot").isNotNull(), F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values])
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system behind a URI (file, hdfs, s3, gs) or a plain path, and the path in it; usable inside tasks."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)

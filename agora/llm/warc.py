@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import file_system, new_folder, written
+from .shared import file_system, join_spread, new_folder, written
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC_BYTES = 10
 _LENGTH = re.compile(rb"(?:^|\r\n)content-length:[ \t]*([0-9]{1,18})[ \t]*(?=\r\n)", re.I)
-HEAD_BYTES = 1 << 20
+HEAD_BYTES = 1 << 16  # how much of a header is read at first; a longer one is read on to its end
 PREFIX = "urn:agora:page:"
 MANIFEST = "file string, n_records bigint, n_bytes bigint"
 RECORDS = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, payload binary, refers_to bigint"
@@ -73,10 +73,11 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     """Writes archives to ``folder`` and returns the manifest; a file that it does not list is a failed attempt's."""
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("bigint").alias("id"), F.col(url).alias("url"), F.sha1(body).alias("_digest"), F.octet_length(body).alias("_n"), body.alias("html"))
-    newest = rows.groupBy("_digest").agg(F.max("id").alias("_newest"))
+    newest = written(rows.groupBy("_digest").agg(F.max("id").alias("_newest"), F.count("*").alias("n")), new_folder(pages.sparkSession, "warc-newest"))
     twin = (F.col("id").isNull() | (F.col("id") != F.col("_newest"))) & F.col("_newest").isNotNull() & (F.col("_n") >= least_bytes)
     packed = rows.mapInArrow(_pressed, "id bigint, url string, _digest string, _n int, html binary")
-    dealt = packed.join(newest, "_digest").select("id", "url", "html", F.when(twin, F.col("_newest")).alias("refers_to"))
+    met = join_spread(packed, newest.drop("n"), ["_digest"], [F.col("id"), F.col("url")], newest)
+    dealt = met.select("id", "url", "html", F.when(twin, F.col("_newest")).alias("refers_to"))
 
     def write(batches):
         from zstandard import ZstdDecompressor
@@ -113,11 +114,12 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
 
 def _head(file, size: int, at: int, buffer: bytes, origin: int) -> tuple[bytes, int] | None:
     """(header, offset of the block) of a candidate at ``at``; ``buffer`` holds the bytes from ``origin`` on."""
-    head = buffer[at - origin : at - origin + HEAD_BYTES]
+    head, asked = buffer[at - origin : at - origin + HEAD_BYTES], HEAD_BYTES
     end = head.find(b"\r\n\r\n")
-    if end < 0 and origin + len(buffer) < size and len(head) < HEAD_BYTES:
-        head = file.read_at(min(HEAD_BYTES, size - at), at)
-        end = head.find(b"\r\n\r\n")
+    while end < 0 and at + len(head) < size:
+        before = len(head)
+        head, asked = head + file.read_at(min(asked, size - at - before), at + before), 4 * asked
+        end = head.find(b"\r\n\r\n", max(0, before - 3))
     return None if end < 0 else (head[: end + 2], at + end + 4)
 
 
