@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
+from .shared import join_spread
 from .tokens import encoder
 
 CACHE = "content binary, tokenizer string, n_tokens bigint"
@@ -67,5 +69,7 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str, text: str = "text
     add_missing(docs, cache, vocabulary, text, normalise)
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
     keyed = docs.select(*kept, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("n_bytes"), content_digest(normalise(F.col(text))).alias("__content"))
-    counts = stored(docs.sparkSession, cache, tokenizer_digest(vocabulary)).withColumnRenamed("content", "__known")
-    return keyed.join(counts, F.col("__content") == F.col("__known"), "left").select(*kept, "n_bytes", "n_tokens")
+    counts = stored(docs.sparkSession, cache, tokenizer_digest(vocabulary)).withColumnRenamed("content", "__content")
+    # A text that many documents have is met by all tasks; rows of one text are told apart by their other short columns.
+    by = [F.col(f.name) for f in docs.schema.fields if f.name in kept and f.name != text and isinstance(f.dataType, AtomicType)]
+    return join_spread(keyed, counts, ["__content"], by or [F.lit(0)]).select(*kept, "n_bytes", "n_tokens")
