@@ -158,11 +158,23 @@ DOCUMENTS = "id bigint, start bigint, n_tokens bigint, ids binary"
 _ARROW = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def _document(file, codec, entry, base: int) -> dict:
-    frame = file.read_at(int(entry["end"] - entry["start"]), int(entry["start"]))
+def _document(file, codec, entry, base: int, run: bytes | None = None, origin: int = 0) -> dict:
+    """A document by its index entry, from a run of frames that begins at ``origin`` or else by a read of its own."""
+    start, end = int(entry["start"]), int(entry["end"])
+    frame = file.read_at(end - start, start) if run is None else run[start - origin : end - origin]
     return {"id": int(entry["id"]) if entry["known"] else None, "start": base + int(entry["before"]), "n_tokens": int(entry["n"]), "ids": codec.decompress(frame, max_output_size=4 * int(entry["n"]))}
 
 
+def _runs(index: np.ndarray, ids: int = 2 << 20, documents: int = 2048):
+    """(first, last) of runs of neighbours that are read and yielded together: few ids, few documents, or one long one."""
+    upto, first = np.cumsum(index["n"].astype(np.int64)), 0
+    while first < len(index):
+        last = int(np.searchsorted(upto, (upto[first - 1] if first else 0) + ids, side="right"))
+        last = min(max(first + 1, last), first + documents)
+        yield first, last
+        first = last
+
+
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(id, start, n_tokens, ids) of every document in ``folder``; start counts the ids of all documents before it."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -175,15 +187,11 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 with _opened(folder, name, dictionary) as file:
-                    rows, held = [], 0
-                    for entry in _index(file):
-                        rows.append(_document(file, codec, entry, base))
-                        held += len(rows[-1]["ids"])
-                        if held > 8 << 20 or len(rows) >= 2048:
-                            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                            rows, held = [], 0
-                    if rows:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    index = _index(file)
+                    for first, last in _runs(index):
+                        origin = int(index["start"][first])
+                        run = file.read_at(int(index["end"][last - 1]) - origin, origin)
+                        yield pa.RecordBatch.from_pylist([_document(file, codec, e, base, run, origin) for e in index[first:last]], schema=_ARROW)
 
     return based.select("file", "base").repartition(max(1, manifest.count())).mapInArrow(read, DOCUMENTS)
 
