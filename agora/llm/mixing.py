@@ -21,10 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, written
+from .shared import join_spread, new_folder, written
 
 WORD_GAPS = r"[\x20\x09-\x0D]+"
-NEWTON_STEPS = 60
 
 
 def size_of(text: Column) -> Column:
@@ -59,11 +58,12 @@ def _sum(term: Column) -> Column:
     return F.sum(term.cast("decimal(28,12)")).cast("double")
 
 
-def rates(histogram: DataFrame, cap: float = 2.0, steps: int = NEWTON_STEPS) -> DataFrame:
+def rates(histogram: DataFrame, cap: float = 2.0) -> DataFrame:
     """(source, size, n, source_size, target, rate) from the same without rate, a stored table.
 
     All sources iterate at once.  A step sums over the histogram with partial sums in every task; what goes from step to
-    step is a row per source.  Sources that are at their target, or cannot reach it, leave the iteration.
+    step is a row per source.  Sources that are at their target, or whose bracket is down to one number, leave the
+    iteration; after 30 steps every third one halves the bracket, so that it ends whatever the sizes are.
     """
     folder = new_folder(histogram.sparkSession, "mix-newton")
     goals = histogram.groupBy(F.col("source").alias("__s")).agg(F.sum("n").alias("__docs"), F.max("source_size").alias("__words"), F.max("target").alias("__target"))
@@ -75,9 +75,8 @@ def rates(histogram: DataFrame, cap: float = 2.0, steps: int = NEWTON_STEPS) ->
     def raw() -> Column:
         return F.exp(F.least(F.col("__lambda") * F.col("size") / F.col("__unit"), F.lit(50.0)))
 
-    for k in range(steps):
-        if (open_ := state.where("NOT __done")).isEmpty():
-            break
+    k = 0
+    while not (open_ := state.where("NOT __done")).isEmpty():
         z = F.col("size") / F.col("__unit")
         moved = histogram.join(open_, F.col("source").eqNullSafe(F.col("__s"))).groupBy(*open_.columns)
         moved = moved.agg(
@@ -86,11 +85,13 @@ def rates(histogram: DataFrame, cap: float = 2.0, steps: int = NEWTON_STEPS) ->
         )
         moved = moved.withColumns({"__low": F.when(F.col("__gap") < 0, F.col("__lambda")).otherwise(F.col("__low")), "__high": F.when(F.col("__gap") > 0, F.col("__lambda")).otherwise(F.col("__high"))})
         step = F.col("__lambda") - F.col("__gap") / F.col("__slope")
-        safe = (F.col("__slope") > 0) & (step > F.col("__low")) & (step < F.col("__high"))
+        safe = F.lit(k < 30 or k % 3 != 2) & (F.col("__slope") > 0) & (step > F.col("__low")) & (step < F.col("__high"))
         near = F.abs("__gap") <= 1e-9 * F.greatest(F.col("__goal"), F.lit(1.0))
         after = F.when(near, F.col("__lambda")).when(safe, step).otherwise((F.col("__low") + F.col("__high")) / 2)
-        moved = moved.withColumns({"__lambda": after, "__done": near}).select(*open_.columns)
-        state = written(moved.union(state.where("__done")), f"{folder}/{k + 1}")
+        closed = F.col("__high") - F.col("__low") <= 4e-16 * F.greatest(F.abs("__low"), F.abs("__high"), F.lit(1.0))
+        moved = moved.withColumns({"__lambda": after, "__done": near | closed}).select(*open_.columns)
+        k += 1
+        state = written(moved.union(state.where("__done")), f"{folder}/{k}")
     at_most = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
     rate = F.when((F.col("source_size") > 0) & at_most, F.lit(cap)).when(F.col("source_size") > 0, F.least(raw(), F.lit(cap))).otherwise(1.0)
     found = histogram.join(state, F.col("source").eqNullSafe(F.col("__s")))
@@ -122,7 +123,10 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     # A group is cut into blocks of about block_rows documents; a block's documents are ranked by themselves.
     plan = plan.withColumn("__blocks", F.ceil(F.col("n") / block_rows)).withColumnsRenamed({"source": "__source", "size": "__size", "n": "__n", "group_copies": "__group_copies"})
     row = F.xxhash64(F.col(doc_id))
-    joined = sized.join(plan, F.col(source).eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))).withColumn("__block", F.pmod(row, F.col("__blocks")))
+    # Neither the plan, which grows with the table, is broadcast, nor do documents of one source and size meet in one task.
+    keyed = sized.withColumns({"__source": F.col(source), "__size": F.col("size")})
+    joined = join_spread(keyed, plan, ["__source", "__size"], [F.col(doc_id), F.xxhash64(F.col(text))], plan.select("__source", "__size", F.col("__n").alias("n")))
+    joined = joined.withColumn("__block", F.pmod(row, F.col("__blocks")))
     # Sizes of blocks are needed for groups of more than one block only; a sum over (source, size, block) gives them all.
     many = joined.where("__blocks > 1").groupBy("__source", "__size", "__block", "__n", "__group_copies").agg(F.count("*").alias("__m"))
     along = Window.partitionBy("__source", "__size").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
