@@ -3,7 +3,7 @@
 Each round hooks every component to its least neighbour, halves the depth of the resulting trees by pointer jumping
 until all are flat, and keeps one edge between each two components that are still apart.  A component with a neighbour
 either hooks or is hooked to, so at least half of those that have edges vanish in a round.  Every table is written to
-the shared folder, so a lost executor costs a task, not the history.
+the shared folder, so a lost executor costs a task, not the history; a node with very many neighbours meets them in many tasks.
 """
 
 from __future__ import annotations
@@ -11,16 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, written
+from .shared import join_spread, new_folder, written
 
 
 def _flatten(parents: DataFrame, folder: str, tag: str) -> DataFrame:
     """(node, parent) with every parent a root; parents are never larger than their node."""
     step = 0
     while True:
-        up = parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p")).where("_n <> _p")
+        up = parents.where("node <> parent").select(F.col("node").alias("parent"), F.col("parent").alias("_p"))
         parents = written(
-            parents.join(up, F.col("parent") == F.col("_n"), "left").select("node", F.coalesce("_p", "parent").alias("parent"), F.col("_p").isNotNull().alias("moved")),
+            join_spread(parents, up, ["parent"], [F.col("node")]).select("node", F.coalesce("_p", "parent").alias("parent"), F.col("_p").isNotNull().alias("moved")),
             f"{folder}/{tag}-{step}",
         )
         if parents.where("moved").isEmpty():
@@ -40,10 +40,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if labels is None:
             labels = roots.withColumnRenamed("parent", "component")
         else:
-            labels = labels.join(roots, F.col("component") == roots["node"], "left").select(labels["node"], F.coalesce(roots["parent"], F.col("component")).alias("component"))
+            onward = roots.select(F.col("node").alias("component"), F.col("parent").alias("_root"))
+            labels = join_spread(labels, onward, ["component"], [F.col("node")]).select("node", F.coalesce("_root", "component").alias("component"))
             labels = written(labels, f"{folder}/labels-{turn}")
         of_a, of_b = (roots.select(F.col("node").alias(k), F.col("parent").alias(f"r{k}")) for k in "ab")
-        live = live.join(of_a, "a").join(of_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        live = join_spread(live, of_a, ["a"], [F.col("b")])
+        live = join_spread(written(live, f"{folder}/half-{turn}"), of_b, ["b"], [F.col("a")]).where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         live, turn = written(live, f"{folder}/edges-{turn}"), turn + 1
     if labels is None:
         labels = live.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import file_system, new_folder, written
+from .shared import file_system, join_spread, new_folder, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -108,13 +108,13 @@ def set_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
 
 
 def _stored(folder: str, shingle: int, lanes: int):
-    """Per text: the key of its shingle set, its lanes, and where in the files of ``folder`` the set is.
+    """Per text: the key of its shingle set (128 bits), its lanes, and where in the files of ``folder`` the set is.
 
     A file's name is drawn by the attempt that writes it, so rows of the attempt that counts name its own files.
     """
 
     def run(batches):
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
         fs, path = file_system(folder)
         fs.create_dir(path, recursive=True)
@@ -127,13 +127,13 @@ def _stored(folder: str, shingle: int, lanes: int):
                     for text in some.column("__text").to_pylist():
                         hashes = shingle_set(text, shingle)
                         data = hashes.tobytes()
-                        keys.append(xxh3_64_intdigest(data))
+                        keys.append(xxh3_128_digest(data))
                         prints.append(set_fingerprint(hashes, lanes).view(np.int64))
                         counts.append(len(hashes))
                         places.append(at)
                         out.write(data)
                         at += len(data)
-                    arrays = [some.column("__id"), pa.array(prints, pa.list_(pa.int64())), pa.array(counts, pa.int64()), pa.array(np.array(keys, dtype=np.uint64).view(np.int64))]
+                    arrays = [some.column("__id"), pa.array(prints, pa.list_(pa.int64())), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())]
                     arrays += [pa.array([name] * len(places), pa.int64()), pa.array(places, pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__lanes", "__shingles", "__own", "__file", "__place"])
                 pa.default_memory_pool().release_unused()
@@ -332,17 +332,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     folder = new_folder(spark, "simhash")
     printed = fingerprints(docs.drop("component_id"), text, shingle, lanes)
     slim = written(printed.select(F.col(doc_id).alias("__id"), F.col("lanes").alias("__lanes"), F.col("shingles").alias("__shingles")), f"{folder}/prints")
-    # With one lane the fingerprint is its own key; with several, its hash (of 64 bits) stands for it.
-    key = F.col("__lanes")[0] if lanes == 1 and length_ratio is None else F.xxhash64("__lanes", "__shingles")
-    distinct = written(
-        slim.groupBy(key.alias("id")).agg(F.min("__id").alias("least"), F.first("__lanes").alias("lanes"), F.first("__shingles").alias("shingles")), f"{folder}/distinct"
-    )
+    # Different fingerprints, and with a ratio different numbers of shingles, are rows of their own; one lane is its own id.
+    keys = ["__lanes"] if length_ratio is None else ["__lanes", "__shingles"]
+    counted = slim.groupBy(*keys).agg(F.min("__id").alias("least"), F.first("__shingles").alias("shingles"), F.count("*").alias("n"))
+    own = F.col("__lanes")[0] if lanes == 1 and length_ratio is None else F.monotonically_increasing_id()
+    distinct = written(counted.select(*keys, own.alias("id"), "least", F.col("__lanes").alias("lanes"), "shingles", "n"), f"{folder}/distinct")
     groups = _groups(distinct, links(distinct, lanes, radius, length_ratio=length_ratio), folder)
+    found = distinct.join(groups, F.col("id") == F.col("__group")).select(*keys, "component_id")
     kept = [c for c in docs.columns if c not in ("lanes", "shingles", "component_id") and (keep_text or c != text)]
     if set(kept) <= {doc_id, text} and not keep_text:
         printed = slim.select(F.col("__id").alias(doc_id), F.col("__lanes").alias("lanes"), F.col("__shingles").alias("shingles"))
-    own = F.col("lanes")[0] if lanes == 1 and length_ratio is None else F.xxhash64("lanes", "shingles")
-    return printed.withColumn("__own", own).join(groups, F.col("__own") == F.col("__group")).select(*kept, "lanes", "shingles", "component_id")
+    keyed = printed.withColumns({"__lanes": F.col("lanes"), "__shingles": F.col("shingles")})
+    return join_spread(keyed, found, keys, [F.col(doc_id)], distinct.select(*keys, "n")).select(*kept, "lanes", "shingles", "component_id")
 
 
 def _groups(distinct: DataFrame, linked: DataFrame, folder: str) -> DataFrame:
@@ -368,12 +369,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/rows")
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
     asked = rows.select(key.alias("__id"), F.col(text).alias("__text"))
-    schema = f"__id {asked.schema['__id'].dataType.simpleString()}, __lanes array<bigint>, __shingles bigint, __own bigint, __file bigint, __place bigint"
+    schema = f"__id {asked.schema['__id'].dataType.simpleString()}, __lanes array<bigint>, __shingles bigint, __own binary, __file bigint, __place bigint"
     slim = written(asked.mapInArrow(_stored(f"{folder}/sets", shingle, lanes), schema), f"{folder}/prints")
     # Lanes and number are the set's own; where it is read may be any of its copies.
     place = F.min(F.struct("__file", "__place"))
-    distinct = slim.groupBy(F.col("__own").alias("id")).agg(F.min("__id").alias("least"), F.first("__lanes").alias("lanes"), F.first("__shingles").alias("shingles"), place.alias("at"))
-    distinct = written(distinct.select("id", "least", "lanes", "shingles", F.col("at.__file").alias("file"), F.col("at.__place").alias("place")), f"{folder}/distinct")
+    # A set goes by the row of its first document, which no other set has.
+    distinct = slim.groupBy("__own").agg(F.min("__id").alias("least"), F.first("__lanes").alias("lanes"), F.first("__shingles").alias("shingles"), place.alias("at"))
+    distinct = written(distinct.select(F.col("least.row").alias("id"), "least", "lanes", "shingles", F.col("at.__file").alias("file"), F.col("at.__place").alias("place")), f"{folder}/distinct")
     groups = _groups(distinct, links(distinct, lanes, radius, length_ratio=jaccard, sets=f"{folder}/sets", jaccard=jaccard), folder)
     first = groups.select(F.col("component_id.row").alias("__row"))
     return rows.join(first, "__row", "left_semi").select(*docs.columns)
