@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAPS = r"[\x20\x09-\x0D]"
-SYMBOLS = r"#*$%&|<>"
+SPACES = " \t\n\v\f\r"
+SYMBOLS = "#*$%&|<>"
+#: The part of a word up to its first letter, for counting; possessive and anchored, so linear in the text.
+LETTER_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = tuple(
@@ -76,27 +79,31 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _repeat_words(df: DataFrame, window: int) -> DataFrame:
+def _repeat_words(df: DataFrame, window: int, key=F.xxhash64) -> DataFrame:
     """Adds n_repeat_words: words within ``window``-word stretches that occur twice or more.
 
-    Stretches are known by 96 bits of two hashes.  They are sorted by these, so the cost is near to linear in the
-    length of the text; the starts of equal neighbours are sorted again and each start covers the words to the next.
-    Each array that a lambda reads by place is a column of its own, computed once per row (``_once``).
+    Stretches are sorted by a hash, so the cost is near to linear in the length of the text, and equal neighbours are
+    compared word by word.  Should different stretches ever share a hash, that text's are sorted by their words instead.
+    The starts of equal neighbours are sorted again and each start covers the words to the next.  Each array that a lambda
+    reads by place is a column of its own, computed once per row (``_once``).
     """
-
-    def keyed(i: Column) -> Column:
-        words = [F.col("__words")[i + k] for k in range(window)]
-        return F.struct(F.xxhash64(*words).alias("h"), F.hash(*words[::-1]).alias("g"), i.alias("i"))
-
     n = F.size("__words")
+    stretch = lambda i: F.slice("__words", i + 1, F.lit(window))
+    hashed = lambda i: F.struct(key(*[F.col("__words")[i + k] for k in range(window)]).alias("h"), i.alias("i"))
+    worded = lambda i: F.struct(stretch(i).alias("h"), i.alias("i"))
     none = F.array().cast("array<int>")
-    df = df.withColumn("__keys", _once(F.when(n >= window, F.sort_array(F.transform(F.sequence(F.lit(0), n - window), keyed)))))
-    pairs = F.zip_with(
-        F.slice("__keys", F.lit(1), F.size("__keys") - 1),
-        F.slice("__keys", F.lit(2), F.size("__keys") - 1),
-        lambda a, b: F.when((a["h"] == b["h"]) & (a["g"] == b["g"]), F.array(a["i"], b["i"])).otherwise(none),
-    )
-    df = df.withColumn("__starts", _once(F.when(F.size("__keys") > 1, F.sort_array(F.array_distinct(F.flatten(pairs)))).otherwise(none))).drop("__keys")
+    starts = F.sequence(F.lit(0), n - window)
+
+    def twins(keys: str, same) -> Column:
+        """Both starts of each two neighbours that are the same; null in the place of those that only share a key."""
+        before, after = F.slice(keys, F.lit(1), F.size(keys) - 1), F.slice(keys, F.lit(2), F.size(keys) - 1)
+        return F.flatten(F.zip_with(before, after, lambda a, b: F.when(a["h"] != b["h"], none).when(same(a["i"], b["i"]), F.array(a["i"], b["i"])).otherwise(F.array(F.lit(None).cast("int")))))
+
+    df = df.withColumn("__keys", _once(F.when(n >= window, F.sort_array(F.transform(starts, hashed)))))
+    df = df.withColumn("__twins", _once(F.when(F.size("__keys") > 1, twins("__keys", lambda a, b: stretch(a) == stretch(b))).otherwise(none))).drop("__keys")
+    df = df.withColumn("__keys", _once(F.when(F.array_contains(F.transform("__twins", lambda i: i.isNull()), True), F.sort_array(F.transform(starts, worded)))))
+    found = F.when(F.col("__keys").isNull(), F.col("__twins")).otherwise(twins("__keys", lambda a, b: F.lit(True)))
+    df = df.withColumn("__starts", _once(F.sort_array(F.array_distinct(found)))).drop("__keys", "__twins")
     steps = F.zip_with(
         F.slice("__starts", F.lit(1), F.size("__starts") - 1),
         F.slice("__starts", F.lit(2), F.size("__starts") - 1),
@@ -117,12 +124,12 @@ def measures(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     df = df.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.regexp_replace(body, GAPS, "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(body, rf"[^{SYMBOLS}]", "")).cast("long"),
+            "word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
+            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
             "n_lines": F.size("__lines").cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "__capitals": F.length(F.regexp_replace(body, r"\P{Lu}", "")),
-            "__letter_words": F.size(F.filter("__words", lambda w: w.rlike(r"\p{L}"))),
+            "__letter_words": F.regexp_count(body, F.lit(LETTER_WORD)),
             "__stop_words": F.size(F.filter("__words", in_list)),
             "__bullets": F.size(F.filter("__lines", lambda line: line.rlike(rf"^{GAPS}*[-*•]{GAPS}"))),
             "__ellipses": F.size(F.filter("__lines", lambda line: line.rlike(rf"(\.\.\.|…){GAPS}*$"))),
