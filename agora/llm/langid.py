@@ -1,24 +1,27 @@
 """Language ID: prediction by partial matching over bytes.
 
-For each language a tree of byte contexts of order 0 to 2 keeps how often each byte followed.  Statistics are frozen
-after training.  In a context seen T times with q different next bytes, a byte seen n times has probability
+For each language a tree of byte contexts of order 0 to ``order`` keeps how often each byte followed.  Statistics are
+frozen after training.  In a context seen T times with q different next bytes, a byte seen n times has probability
 n / (T + q), and the rest, q / (T + q), is the escape to the next shorter context; below order 0 all 256 bytes are
-alike.  The code length of a text is the sum of -log2 of these probabilities over its bytes, and the language with the
-shortest code is predicted.  The blended probabilities of all three-byte strings over the bytes met in training are
-worked out once per Python worker, so a text costs one table look-up per byte and language.
+alike.  So the order varies from byte to byte: it is the longest at which the context was followed by that byte.  The code
+length of a text is the sum of -log2 of these probabilities over its bytes, and the language with the shortest code is
+predicted.
+
+Trees are held sparsely: for each order the strings (context and next byte) that occur, with their code lengths under a
+group of languages, and the contexts with the cost of their escapes.  A byte is looked up at the highest order first and
+goes down, paying escapes, while its string is unknown to the group.
 
 Training reads whole texts of at most ``sample`` labelled documents per language (those with the least hash of their
-id: a bound on the model, not on what is predicted) and counts in tasks; only counts of three-byte strings, at most
-256 ** 3 per language, reach the driver.
+id: a bound on the model, not on what is predicted) and counts in tasks; only counts of different strings of
+``order`` + 1 bytes, bounded by the bytes of the sample, reach the driver.
 
-Defined results: ``und`` with score 0 for a null text, an empty one, one without a letter, or if no language was
-learned.  Ties between languages go to the smaller name.  Rows are judged one by one; a column of the input with the
-name of an added one is replaced.  An empty table gives an empty table.
+Defined results: ``und`` with score 0 for a null text, an empty one, one without a letter (Unicode category L), or if no
+language was learned.  Ties between languages go to the smaller name.  Rows are judged one by one; a column of the input
+with the name of an added one is replaced.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,83 +32,169 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
+ORDER = 4
+GROUP = 8
+PART = 1 << 18
 _HASHES = 1 << 40
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+class _Keys:
+    """Places of 64-bit keys: sorted by a hash, found through the first place of each of its values."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        place = self._hash(keys)
+        self.order = np.argsort(place, kind="stable")
+        self.keys = np.append(keys[self.order], np.uint64(0))
+        counts = np.bincount(place, minlength=1 << bits)
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        self.longest = int(counts.max(initial=0))
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among those given, in the order of the hash; -1 if it is none."""
+        place = self._hash(keys)
+        at, end = self.first[place], self.first[place + 1]
+        found = np.where((self.keys[at] == keys) & (at < end), at, -1)
+        open_ = np.flatnonzero((found < 0) & (at + 1 < end))
+        for k in range(1, self.longest):
+            if not len(open_):
+                break
+            now = at[open_] + k
+            hit = self.keys[now] == keys[open_]
+            found[open_[hit]] = now[hit]
+            open_ = open_[~hit & (now + 1 < end[open_])]
+        return found
+
+
+class _Tree:
+    """The context trees of a few languages: per order, strings with code lengths and contexts with escapes, in bits."""
+
+    def __init__(self, codes: list[np.ndarray], counts: list[np.ndarray], order: int):
+        self.levels: list[tuple[_Keys, np.ndarray, _Keys, np.ndarray]] = []
+        below = None
+        for k in range(order + 1):
+            mask = np.uint64((1 << 8 * (k + 1)) - 1)
+            strings = np.unique(np.concatenate([c & mask for c in codes]))
+            contexts = np.unique(strings >> np.uint64(8))
+            seen = np.zeros((len(strings), len(codes)))
+            for lang, (c, n) in enumerate(zip(codes, counts)):
+                np.add.at(seen[:, lang], np.searchsorted(strings, c & mask), n)
+            of = np.searchsorted(contexts, strings >> np.uint64(8))
+            total, kinds = np.zeros((len(contexts), len(codes))), np.zeros((len(contexts), len(codes)))
+            np.add.at(total, of, seen)
+            np.add.at(kinds, of, seen > 0)
+            weight = np.where(total > 0, total + kinds, 1.0)
+            escapes = -np.log2(np.where(total > 0, kinds / weight, 1.0))
+            shorter = 8.0 if below is None else below[1][np.searchsorted(below[0], strings & np.uint64((1 << 8 * k) - 1))]
+            lengths = np.where(seen > 0, np.log2(weight[of]) - np.log2(np.maximum(seen, 1)), escapes[of] + shorter)
+            below = strings, lengths
+            keys, roots = _Keys(strings), _Keys(contexts)
+            self.levels.append((keys, lengths[keys.order].astype(np.float32), roots, escapes[roots.order].astype(np.float32)))
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each string, after the bytes before it: [string, language]."""
+        out = np.zeros((len(codes), self.levels[0][1].shape[1]), dtype=np.float32)
+        open_ = np.arange(len(codes))
+        for k in range(len(self.levels) - 1, -1, -1):
+            keys, lengths, roots, escapes = self.levels[k]
+            own = codes[open_] & np.uint64((1 << 8 * (k + 1)) - 1)
+            at = keys.find(own)
+            hit = at >= 0
+            out[open_[hit]] += lengths[at[hit]]
+            open_, own = open_[~hit], own[~hit]
+            if not len(open_):
+                return out
+            root = roots.find(own >> np.uint64(8))
+            out[open_[root >= 0]] += escapes[root[root >= 0]]
+        out[open_] += 8.0
+        return out
 
 
 @dataclass
 class Model:
-    """Counts of byte strings of three (first, second, next) per language; a leading 0 stands for the start."""
+    """Counts of strings of ``order`` + 1 bytes per language; zero bytes stand for what is before the start."""
 
     languages: list[str]
-    #: Per language: codes of three bytes in a 32-bit integer, ascending, and their counts.
+    #: Per language: strings as 64-bit integers, the next byte lowest, and their counts.
     codes: list[np.ndarray] = field(default_factory=list)
     counts: list[np.ndarray] = field(default_factory=list)
-    _table: np.ndarray | None = None
-    _class: np.ndarray | None = None
+    order: int = ORDER
+    _trees: list[_Tree] | None = None
 
     def __getstate__(self):
-        return {"languages": self.languages, "codes": self.codes, "counts": self.counts, "__table": None, "__class": None}
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """(class of each byte, code lengths in bits [language, first, second, next]); bytes not met share class 0."""
-        if self._table is None:
-            met = sorted({int(b) for c in self.codes for shift in (0, 8, 16) for b in np.unique((c >> shift) & 255)})
-            classes = np.zeros(256, dtype=np.int64)
-            classes[met] = np.arange(1, len(met) + 1)
-            size = len(met) + 1
-            table = np.empty((len(self.languages), size**3), dtype=np.float32)
-            for k, (codes, counts) in enumerate(zip(self.codes, self.counts)):
-                deep = np.zeros((size, size, size))
-                np.add.at(deep, (classes[codes >> 16], classes[(codes >> 8) & 255], classes[codes & 255]), counts)
-                blended = np.full(size, 1 / 256.0)
-                for order in (deep.sum((0, 1)), deep.sum(0), deep):
-                    total, kinds = order.sum(-1, keepdims=True), (order > 0).sum(-1, keepdims=True)
-                    seen = total > 0
-                    weight = np.where(seen, total + kinds, 1)
-                    escape = np.where(seen, kinds / weight, 1.0)
-                    blended = np.where(order > 0, order / weight, escape * blended)
-                table[k] = -np.log2(blended).reshape(-1)
-            self._table, self._class = table, classes
-        return self._class, self._table
-
-    def bits(self, text: bytes) -> np.ndarray:
-        """Exact code length of a text under each language."""
-        classes, table = self.table()
-        size = round(table.shape[1] ** (1 / 3))
-        total = np.zeros(len(self.languages))
-        for start in range(0, len(text), 1 << 20):
-            part = np.frombuffer(text, dtype=np.uint8)[max(0, start - 2) : start + (1 << 20)]
-            c = classes[part]
-            if start == 0:
-                c = np.concatenate([np.full(2, classes[0]), c])
-            at = (c[:-2] * size + c[1:-1]) * size + c[2:]
-            for k in range(len(total)):
-                total[k] += table[k].take(at).sum(dtype=np.float64)
+        return {"languages": self.languages, "codes": self.codes, "counts": self.counts, "order": self.order, "_trees": None}
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Exact code length of each text under each language: [text, language]."""
+        if self._trees is None:
+            groups = [slice(k, k + GROUP) for k in range(0, len(self.languages), GROUP)]
+            self._trees = [_Tree([c.astype(np.uint64) for c in self.codes[g]], self.counts[g], self.order) for g in groups]
+        total = np.zeros((len(texts), len(self.languages)))
+        owner, parts, held = [], [], 0
+        for row, text in enumerate(texts):
+            for start in range(0, len(text), PART):
+                before = text[max(0, start - self.order) : start]
+                owner.append(row)
+                parts.append(before.rjust(self.order, b"\0") + text[start : start + PART])
+                held += len(parts[-1])
+                if held >= PART:
+                    self._add(total, owner, parts)
+                    owner, parts, held = [], [], 0
+        if parts:
+            self._add(total, owner, parts)
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language of a text and the share of its code in the sum of two to minus each code length."""
-        if not text or not self.languages or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        bits = self.bits(text.encode("utf-8", "replace"))
-        best = int(bits.argmin())
-        return self.languages[best], float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
-
-
-def _count_strings(batches):
-    """Per batch: counts of (language, three-byte code)."""
-    for batch in batches:
-        found: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            b = np.frombuffer(b"\0\0" + (text or "").encode("utf-8", "replace"), dtype=np.uint8).astype(np.int64)
-            found.setdefault(lang, []).append((b[:-2] << 16) | (b[1:-1] << 8) | b[2:])
-        for lang, parts in found.items():
-            codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype("int32")), pa.array(counts)], names=["lang", "code", "n"])
-
-
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 1000) -> Model:
+    def _add(self, total: np.ndarray, owner: list[int], parts: list[bytes]) -> None:
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = strings(np.frombuffer(b"".join(parts), np.uint8), self.order)
+        own = lengths - self.order
+        firsts = np.cumsum(own) - own
+        # Strings that end in the first bytes of a part reach over its begin; those are left out.
+        at = np.arange(int(own.sum())) + np.repeat((np.cumsum(lengths) - lengths) - firsts, own)
+        codes = codes[at]
+        for k, tree in enumerate(self._trees):
+            sums = np.add.reduceat(tree.bits(codes), firsts, axis=0, dtype=np.float64)
+            np.add.at(total[:, k * GROUP : (k + 1) * GROUP], owner, sums)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of each text and the share of its code in the sum of two to minus each code length."""
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        asked = [k for k, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+        bits = self.bits([texts[k].encode("utf-8", "replace") for k in asked])
+        best = bits.argmin(axis=1) if asked else []
+        for k, own, row in zip(asked, best, bits):
+            names[k], scores[k] = self.languages[own], float(1.0 / np.exp2(np.maximum(row[own] - row, -1000)).sum())
+        return names, scores
+
+
+def strings(data: np.ndarray, order: int) -> np.ndarray:
+    """Every string of ``order`` + 1 bytes in ``data`` as a 64-bit integer, its last byte lowest."""
+    n = max(0, len(data) - order)
+    codes = np.zeros(n, dtype=np.uint64)
+    for k in range(order + 1):
+        codes = (codes << np.uint64(8)) | data[k : k + n]
+    return codes
+
+
+def _count_strings(order: int):
+    """Per batch: counts of (language, string); texts are counted in parts of bounded size."""
+
+    def run(batches):
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = np.frombuffer(bytes(order) + (text or "").encode("utf-8", "replace"), dtype=np.uint8)
+                for start in range(0, max(1, len(data) - order), 1 << 20):
+                    codes, counts = np.unique(strings(data[start : start + (1 << 20) + order], order), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype("int64")), pa.array(counts)], names=["lang", "code", "n"])
+
+    return run
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 1000, order: int = ORDER) -> Model:
     """A model from documents with a non-null language, at most ``sample`` of each.
 
     A bound on the hash, from the number of documents of a language, leaves about four times ``sample`` of them, so
@@ -122,11 +211,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     least = Window.partitionBy("lang").orderBy(place, "__hash")
     ranked = few.select("lang", "text", F.row_number().over(least).alias("__place"))
     chosen = ranked.where(F.col("__place") <= sample).select("lang", "text")
-    counts = chosen.mapInArrow(_count_strings, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    model = Model(sorted(counts["lang"].unique()))
+    counts = chosen.mapInArrow(_count_strings(order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    model = Model(sorted(counts["lang"].unique()), order=order)
     for name in model.languages:
         own = counts[counts["lang"] == name].sort_values("code")
-        model.codes.append(own["code"].to_numpy("int32"))
+        model.codes.append(own["code"].to_numpy("int64"))
         model.counts.append(own["n"].to_numpy("int64"))
     return model
 
@@ -139,7 +228,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
         pa.default_memory_pool().release_unused()
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+        names, scores = own.predict(list(texts))
+        return pd.DataFrame({"lang_pred": names, "score": scores})
 
     df = docs.drop("lang_pred", "score").withColumn("__said", predict(F.col(text)))
     return df.select(*[c for c in df.columns if c != "__said"], F.col("__said.lang_pred"), F.col("__said.score"))

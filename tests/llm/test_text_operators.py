@@ -90,28 +90,41 @@ def test_language_on_held_out_documents(spark, docs):
     assert len(rows) == 8 and (rows[2].lang_pred, rows[2].score) == ("und", 0.0) and rows[8].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in rows.values())
     assert langid.identify(docs.limit(0), langid.train(table.limit(0))).count() == 0
-    assert langid.Model([]).predict("abc") == ("und", 0.0)
-
-
-def test_code_lengths_equal_a_plain_reading_of_the_method(spark):
-    data = b"\0\0abracadabra"
-    codes, counts = np.unique([(data[i] << 16) | (data[i + 1] << 8) | data[i + 2] for i in range(len(data) - 2)], return_counts=True)
-    model = langid.Model(["x"], [codes.astype("int32")], [counts])
-    grams = list(zip(data, data[1:], data[2:]))
-
-    def probability(a, b, c):
-        p = 1 / 256
-        for context in (lambda g: True, lambda g: g[1] == b, lambda g: g[:2] == (a, b)):
-            seen = [g[2] for g in grams if context(g)]
+    assert langid.Model([]).predict(["abc"]) == (["und"], [0.0])
+    texts = ["²½ ①", "12 _ 34", "ª", "ʰ", None, ""]
+    assert [name != "und" for name in model.predict(texts)[0]] == [False, False, True, True, False, False]
+
+
+def plain_bits(grams, text, order):
+    """Code length of a text by the method read plainly; ``grams`` are the strings of order + 1 bytes of the training text."""
+    padded, total = bytes(order) + text, 0.0
+    for i in range(len(text)):
+        own, p = padded[i : i + order + 1], 1 / 256
+        for k in range(order + 1):
+            context = own[order - k : order]
+            seen = [g[-1] for g in grams if g[order - k : order] == context]
             if seen:
                 kinds = len(set(seen))
-                p = seen.count(c) / (len(seen) + kinds) if c in seen else kinds / (len(seen) + kinds) * p
-        return p
-
-    text = b"cabqarda"
-    padded = b"\0\0" + text
-    want = -sum(np.log2(probability(*padded[i : i + 3])) for i in range(len(text)))
-    assert abs(model.bits(text)[0] - want) < 1e-3
+                p = seen.count(own[-1]) / (len(seen) + kinds) if own[-1] in seen else kinds / (len(seen) + kinds) * p
+        total -= np.log2(p)
+    return total
+
+
+def test_code_lengths_equal_a_plain_reading_of_the_method(spark, monkeypatch):
+    monkeypatch.setattr(langid, "GROUP", 2)
+    learned = {"a": "abracadabra abracadabra", "b": "the cat sat on the mat", "c": "éàü ñandú, él también"}
+    rows = [(k, text, lang) for k, (lang, text) in enumerate(learned.items())]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    asked = ["cabqarda", "the cab", "también ñ", "zzz", "a" * 40, "mat on the cat " * 9]
+    for part in (langid.PART, 7):
+        monkeypatch.setattr(langid, "PART", part)
+        bits = model.bits([t.encode() for t in asked])
+        for k, lang in enumerate(model.languages):
+            data = bytes(4) + learned[lang].encode()
+            grams = [data[i : i + 5] for i in range(len(data) - 4)]
+            assert all(abs(bits[j, k] - plain_bits(grams, t.encode(), 4)) < 1e-2 for j, t in enumerate(asked))
+    names = model.predict(asked)[0]
+    assert names == [model.languages[int(np.argmin(b))] for b in bits] and names[:3] == ["a", "b", "c"]
 
 
 def brute_fingerprint(text, k=3):
