@@ -6,8 +6,11 @@ upper bound on their inner product.  A query's candidates are evaluated in the o
 reaches the k-th best score; what is skipped cannot be in the result, ties included.  Pivots come from a bounded sample;
 they only decide how much is skipped.
 
-Queries and candidates are packed into blocks of bounded size, and every block of queries meets every block of
-candidates in a task of its own; each gives at most k rows per query.  The work is queries times vectors.
+Queries and candidates are packed into blocks of bounded size, by their nearest pivot where that has many.  A block of
+queries and one of candidates meet in a task of their own, in rounds: each round takes about eight times as many blocks
+of candidates as those before it, and starts from the k best found so far.  So a query's k-th score is carried over all
+blocks, a pair of blocks whose ranges of pivot distances cannot reach the least k-th score of its queries is never sent,
+and a round yields some 8 * k rows per query, not k per block.  Where bounds are loose the work is queries times vectors.
 
 Defined results: components become floor(scale * x).  A vector that is null, or has a null or non-finite component, or
 whose id is null, takes no part; vectors are compared with those of as many components.  Repeated rows (same id and
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import new_folder, written
 
-QUERY_BLOCK, BLOCK, PIVOTS, PIVOT_SAMPLE = 512, 4096, 32, 256
+QUERY_BLOCK, BLOCK, PIVOTS, PIVOT_SAMPLE, GROWTH = 4096, 2048, 32, 256, 8
 
 
 def integers(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -56,80 +59,151 @@ def _scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, s)) for s in exact], dtype=np.int64)
 
 
-def search_block(qi, qv, qd, ci, cv, cd, k: int):
-    """Top k of each query among the candidates: yields (query id, ids, scores)."""
+def search_block(qi, qv, qd, ci, cv, cd, k: int, floor: np.ndarray | None = None):
+    """Top k of each query among the candidates that reach its ``floor``: yields (query id, ids, scores)."""
     nq, nc = (qv.astype(np.float64) ** 2).sum(1), (cv.astype(np.float64) ** 2).sum(1)
-    apart = np.zeros((len(qi), len(ci)))
-    for p in range(qd.shape[1]):
-        np.maximum(apart, np.abs(qd[:, p, None] - cd[None, :, p]), out=apart)
-    most = (nq[:, None] + nc[None, :] - apart**2) / 2
-    most += 1 + 1e-9 * (nq[:, None] + nc[None, :])  # rounding of the distances never hides a candidate
     exact = cv.astype(np.float64) if float(np.abs(cv).max(initial=0)) < 2**20 else cv
-    for row in range(len(qi)):
-        order = np.argsort(-most[row], kind="stable")
-        order = order[ci[order] != qi[row]]
-        ids, scores, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, max(64, 4 * k)
-        while at < len(order) and (len(ids) < k or most[row, order[at]] >= scores[-1]):
-            some = order[at : at + step]
-            ids, scores = np.concatenate([ids, ci[some]]), np.concatenate([scores, _scores(exact[some], qv[row])])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores, at, step = ids[best], scores[best], at + step, 2 * step
-        yield qi[row], ids, scores
+    floor = np.full(len(qi), -np.inf) if floor is None else floor
+    for start in range(0, len(qi), 128):
+        rows = slice(start, start + 128)
+        apart = np.zeros((len(qi[rows]), len(ci)))
+        for p in range(qd.shape[1]):
+            np.maximum(apart, np.abs(qd[rows, p, None] - cd[None, :, p]), out=apart)
+        both = nq[rows, None] + nc[None, :]
+        most = (both - apart**2) / 2 + 1 + 1e-9 * both  # rounding of the distances never hides a candidate
+        for row in np.flatnonzero((most >= floor[rows, None]).any(axis=1)).tolist():
+            bound, own = most[row], start + row
+            order = np.flatnonzero(bound >= floor[own])
+            order = order[np.argsort(-bound[order], kind="stable")]
+            order = order[ci[order] != qi[own]]
+            ids, scores, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, max(64, 4 * k)
+            while at < len(order) and (len(ids) < k or bound[order[at]] >= scores[-1]):
+                some = order[at : at + step]
+                ids, scores = np.concatenate([ids, ci[some]]), np.concatenate([scores, _scores(exact[some], qv[own])])
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores, at, step = ids[best], scores[best], at + step, 2 * step
+            good = scores >= floor[own]
+            if good.any():
+                yield qi[own], ids[good], scores[good]
+
+
+def _distances(v: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
+    """Distances to the pivots; a number of components that the sample lacks has none and is searched without bounds."""
+    if pivots is None or not len(pivots):
+        return np.zeros((len(v), 0))
+    return np.stack([np.linalg.norm(v.astype(np.float64) - p, axis=1) for p in pivots], axis=1)
+
+
+def _celled(dims_of: dict[int, np.ndarray]):
+    """Adds to vectors the number of their nearest pivot."""
+
+    def run(batches):
+        for batch in batches:
+            cells = []
+            for v in batch.column("v").to_pylist():
+                d = _distances(np.array([v], dtype=np.int64).reshape(1, len(v)), dims_of.get(len(v)))
+                cells.append(int(d.argmin()) if d.size else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], names=[*batch.schema.names, "cell"])
+
+    return run
 
 
 def _packed(dims_of: dict[int, np.ndarray]):
-    """Per block: ids, components and distances to the pivots, one after the other."""
+    """Per block: ids, components and distances to the pivots, one after the other, with the ranges of the latter."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for dim, members in zip(batch.column("dim").to_pylist(), batch.column("members").to_pylist()):
+            rows = []
+            for dim, cell, part, members in zip(*(batch.column(c).to_pylist() for c in ("dim", "cell", "part", "members"))):
                 ids = np.array([m["id"] for m in members], dtype="<i8")
                 v = np.array([m["v"] for m in members], dtype="<i8").reshape(len(ids), dim)
-                pivots = dims_of.get(dim, np.zeros((0, dim)))  # a dimension that the sample lacks is searched without bounds
-                d = np.stack([np.linalg.norm(v.astype(np.float64) - p, axis=1) for p in pivots], axis=1) if len(pivots) else np.zeros((len(ids), 0))
-                out.append(ids.tobytes() + v.tobytes() + d.astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column("block"), pa.array([len(m) for m in batch.column("members").to_pylist()], pa.int64()), pa.array(out, pa.binary())], names=["dim", "block", "n", "data"])
+                d = _distances(v, dims_of.get(dim))
+                wide = bool(len(ids) and np.abs(v).max(initial=0) >= 2**31)
+                norm = float((v.astype(np.float64) ** 2).sum(1).max(initial=0))
+                data = ids.tobytes() + v.astype("<i8" if wide else "<i4").tobytes() + d.astype("<f8").tobytes()
+                rows.append((dim, cell, part, len(ids), wide, norm, d.min(0).tolist(), d.max(0).tolist(), data))
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["dim", "cell", "part", "n", "wide", "norm", "low", "high", "data"])
 
     return run
 
 
-def _unpacked(data: bytes, n: int, dim: int):
+BLOCKS = "dim int, cell int, part bigint, n bigint, wide boolean, norm double, low array<double>, high array<double>, data binary"
+
+
+def _unpacked(data: bytes, n: int, dim: int, wide: bool):
+    width = 8 if wide else 4
     ids, rest = np.frombuffer(data, "<i8", n), data[8 * n :]
-    v, d = np.frombuffer(rest, "<i8", n * dim).reshape(n, dim), np.frombuffer(rest[8 * n * dim :], "<f8")
+    v, d = np.frombuffer(rest, f"<i{width}", n * dim).reshape(n, dim).astype(np.int64), np.frombuffer(rest[width * n * dim :], "<f8")
     return ids, v, d.reshape(n, -1) if n and len(d) else np.zeros((n, 0))
 
 
+def _search(k: int):
+    def run(batches):
+        for batch in batches:
+            for dim, n, wide, data, qn, qwide, q, floors in zip(*(batch.column(c).to_pylist() for c in ("dim", "n", "wide", "data", "qn", "qwide", "q", "floors"))):
+                asked = _unpacked(q, qn, dim, qwide)
+                least = {f["id"]: f["score"] for f in floors or ()}
+                floor = np.array([least.get(i, -np.inf) for i in asked[0].tolist()], dtype=np.float64)
+                # A score near the limits of 64 bits is rounded as a float; its floor is then one step lower.
+                floor = np.where(np.abs(floor) >= 2**53, np.nextafter(floor, -np.inf), floor)
+                found = [(np.full(len(ids), own), ids, scores) for own, ids, scores in search_block(*asked, *_unpacked(data, n, dim, wide), k, floor)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that ``queries`` holds for, its k best other rows."""
     spark = vectors.sparkSession
     folder = new_folder(spark, "topk")
     points = written(integers(vectors, vec_id, vector, scale).withColumn("dim", F.size("v")), f"{folder}/points")
-    asked = written(integers(vectors.where(queries), vec_id, vector, scale).withColumn("dim", F.size("v")), f"{folder}/queries")
+    asked = integers(vectors.where(queries), vec_id, vector, scale).withColumn("dim", F.size("v"))
     sample = [list(r.v) for r in points.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").collect()]
     pivots = choose_pivots(sample, PIVOTS)
 
-    def blocks(df: DataFrame, size: int, seed: int) -> DataFrame:
-        n = df.groupBy("dim").agg(F.ceil(F.count("*") / size).alias("__blocks"))
-        dealt = df.join(n, "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("__blocks")))
-        return dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("members")).mapInArrow(_packed(pivots), "dim int, block bigint, n bigint, data binary")
-
-    few = written(blocks(asked, QUERY_BLOCK, 1), f"{folder}/query-blocks")
-    many = written(blocks(points, BLOCK, 2), f"{folder}/blocks")
-    # The pairs of block numbers are a small table; the blocks themselves meet by equality of dimension and number.
-    n_few = few.groupBy("dim").agg((F.max("block") + 1).alias("__few"))
-    numbers = many.select("dim", "block").join(n_few, "dim").withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__few") - 1)))
-    left = few.select("dim", F.col("block").alias("query_block"), F.col("n").alias("qn"), F.col("data").alias("q"))
-    work = numbers.select("dim", "block", "query_block").join(many, ["dim", "block"]).join(left, ["dim", "query_block"])
-    work = work.select("dim", "qn", "q", "n", "data").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-
-    def search(batches):
-        for batch in batches:
-            for dim, qn, q, n, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "qn", "q", "n", "data"))):
-                found = [(np.full(len(ids), own), ids, scores) for own, ids, scores in search_block(*_unpacked(q, qn, dim), *_unpacked(data, n, dim), k)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
-
-    near = written(work.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint"), f"{folder}/near")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+        """(rows with their block, blocks); pivots with few vectors share blocks."""
+        celled = written(df.mapInArrow(_celled(pivots), "id bigint, v array<bigint>, dim int, cell int"), f"{folder}/{name}-celled")
+        n = celled.groupBy("dim", F.col("cell").alias("__cell")).agg(F.count("*").alias("__n"))
+        n = n.withColumn("cell", F.when(2 * F.col("__n") >= size, F.col("__cell")).otherwise(-1))
+        together = n.groupBy("dim", "cell").agg(F.ceil(F.sum("__n") / size).alias("__parts"))
+        n = n.join(together, ["dim", "cell"]).select(F.col("dim").alias("__dim"), "__cell", F.col("cell").alias("__into"), "__parts")  # rows per number of components and pivot
+        dealt = celled.join(n, (F.col("dim") == F.col("__dim")) & (F.col("cell") == F.col("__cell")))
+        dealt = dealt.select("id", "v", "dim", F.col("__into").alias("cell"), F.pmod(F.xxhash64("id"), F.col("__parts")).alias("part"))
+        packed = dealt.groupBy("dim", "cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("members")).mapInArrow(_packed(pivots), BLOCKS)
+        return dealt.select("id", "dim", "cell", "part"), written(packed, f"{folder}/{name}-blocks")
+
+    at, few = blocks(asked, QUERY_BLOCK, "query")
+    _, many = blocks(points, BLOCK, "candidate")
+    at = written(at, f"{folder}/query-places")
+    turn = F.pmod(F.xxhash64("dim", "cell", "part"), F.lit(1 << 40)) / float(1 << 40)  # blocks come in any order, but always the same
+    n_blocks, begin, step, best = many.count(), 0.0, 2.0, None
+    key = ["dim", "qcell", "qpart"]
+    asking = few.select("dim", F.col("cell").alias("qcell"), F.col("part").alias("qpart"), F.col("n").alias("qn"), F.col("wide").alias("qwide"), F.col("norm").alias("qnorm"), F.col("low").alias("qlow"), F.col("high").alias("qhigh"), F.col("data").alias("q"))
+    heads = many.select("dim", "cell", "part", "norm", "low", "high").withColumn("__turn", turn)
+    while best is None or begin < 1:
+        end = step / n_blocks if n_blocks else 1.0
+        if best is None:
+            floors = at.select("dim", F.col("cell").alias("qcell"), F.col("part").alias("qpart")).distinct().select(*key, F.lit(None).cast("array<struct<id: bigint, score: bigint>>").alias("floors"))
+        else:
+            full = best.groupBy("query_id").agg(F.count("*").alias("__n"), F.min("score").alias("score")).where(F.col("__n") >= k)
+            known = at.join(full, F.col("id") == F.col("query_id")).select("dim", F.col("cell").alias("qcell"), F.col("part").alias("qpart"), F.struct("id", "score").alias("__f"))
+            floors = known.groupBy(*key).agg(F.collect_list("__f").alias("floors"))
+        floors = written(floors, f"{folder}/floors-{step}")
+        least = F.when(F.size("floors") >= F.col("qn"), F.array_min(F.transform("floors", lambda f: f["score"])))
+        # Heads of blocks are small; only pairs of blocks that can reach a floor fetch their vectors.
+        gaps = F.zip_with(F.zip_with("low", "qhigh", lambda a, b: a - b), F.zip_with("qlow", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+        both = F.col("norm") + F.col("qnorm")
+        most = (both - F.pow(F.coalesce(F.array_max(gaps), F.lit(0.0)), 2)) / 2 + 1 + 1e-9 * both
+        pairs = heads.where((F.col("__turn") >= begin) & (F.col("__turn") < end)).join(asking.drop("q", "qwide").join(floors, key, "left"), "dim").withColumn("__least", least)
+        pairs = pairs.where(F.col("__least").isNull() | (most >= F.col("__least").cast("double") - 1)).select("dim", "cell", "part", "qcell", "qpart")
+        work = pairs.join(many.select("dim", "cell", "part", "n", "wide", "data"), ["dim", "cell", "part"]).join(asking.select(*key, "qn", "qwide", "q"), key).join(floors, key, "left")
+        work = work.select("dim", "n", "wide", "data", "qn", "qwide", "q", "floors").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+        near = work.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        found = near if best is None else near.union(best.select("query_id", "vec_id", "score"))
+        best = written(found.withColumn("rank", place).where(F.col("rank") <= k), f"{folder}/best-{step}")
+        begin, step = end, step * GROWTH
+    return best.select("query_id", "rank", "vec_id", "score")
