@@ -30,14 +30,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from .shared import new_folder, written
+from .shared import join_spread, new_folder, written
 
 # Names of HTML elements by what they are, and words that mark boilerplate in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 DROPPED = RAW | frozenset("head template svg math object embed canvas audio video map nav footer aside form button select input datalist dialog menu fieldset".split())
+#: Of what is dropped, elements that stand inside a line and so part no words.
+IN_LINE = INLINE | frozenset("script style noscript template svg math object embed canvas audio video map iframe button input select datalist".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("html body article main section aside nav header footer div table td th tr ul ol dl li dd dt blockquote form figure fieldset button caption".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -56,8 +59,8 @@ CONTENT = frozenset("content article articlebody post entry story maincontent".s
 
 SPREAD = 16
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -282,7 +285,7 @@ def subtrees(html: str | None) -> dict[int, int]:
             holders.add(id(node))
     while stack:
         node = stack.pop()
-        if any(node is a for a in inside) or node.tag in ("head", *RAW):
+        if id(node) in ends or node.tag in ("head", *RAW):
             continue
         if node.letters and node.tag not in INLINE and node.tag not in ("#root", "html", "body") and id(node) not in holders:
             found[node.hash] = root.hash
@@ -313,9 +316,9 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
             continue
         own = own or id(node) in inside
         if node is not main:
-            if _boilerplate(node):
-                continue
-            if not own and (node.hash in template or (node.tag in ("ul", "ol") and 2 * _linked(node) > node.letters)):
+            gone = _boilerplate(node) or (not own and (node.hash in template or (node.tag in ("ul", "ol") and 2 * _linked(node) > node.letters)))
+            if gone:
+                out.append("" if node.tag in IN_LINE else " ")
                 continue
             if node.tag == "header":  # a page's header goes; of an article's own, the headings stay
                 if own:
@@ -323,6 +326,7 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
                     stack.extend((n, True) for n in reversed(list(walk(node))) if re.fullmatch("h[1-6]", n.tag))
                 continue
             if own and node.hash in template and id(node) not in inside and (node.tag not in PROSE | INLINE or 2 * _linked(node) > node.letters):
+                out.append("" if node.tag in IN_LINE else " ")
                 continue
         if node.tag not in INLINE:
             out.append(" ")
@@ -367,16 +371,17 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages:
     """``pages`` with ``text``, their main text.
 
     A page meets its own subtrees that are templates, not its host's whole list; a template on all pages of a large
-    host is spread over SPREAD parts.
+    host is spread over SPREAD parts, and pages with very many copies over all tasks.
     """
     found = _subtrees(pages, html, url)
     often = templates(found, least_pages).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
     met = found.select("doc", "subtree", "key", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("part")).join(often, ["key", "part"])
-    own = met.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("subtree").alias("__template"))
+    own = met.groupBy(F.col("doc").alias("__page")).agg(F.collect_set("subtree").alias("__template"))
     kept = [c for c in pages.columns if c != "text"]
     host = host_of(F.col(url))
     rows = pages.select(*kept, F.when(host.isNotNull(), F.xxhash64(host, F.col(html))).alias("__page"))
-    joined = rows.join(own, F.col("__page") == F.col("__doc"), "left")
+    by = [F.col(f.name) for f in pages.schema.fields if f.name in kept and f.name != html and isinstance(f.dataType, AtomicType)]
+    joined = join_spread(rows, own, ["__page"], by or [F.lit(0)])
 
     @F.pandas_udf("string")
     def text_of(page: pd.Series, template: pd.Series) -> pd.Series:

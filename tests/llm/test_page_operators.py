@@ -22,6 +22,8 @@ CASES = [
     ('<main><article class="comment">c</article><article><p>story</p><section id="comments">z</section></article></main>', "story"),
     ('<body class="has-sidebar"><article class="post with-comments"><header><p>by line</p><h1>T</h1></header>b &#233;&nbsp;x</article>', "T b é x"),
     ('<div class="cookie-notice">cookies</div><p>just a page</p><div role="search">s</div><p hidden>h</p>', "just a page"),
+    ("<p title=it's>one</p><p title='a>b' alt=\"x>y\" q=it\"s>two</p>", "one two"), ("<p>wo<img src=x>rd</p>", "word"),
+    ("<article>before<aside>side</aside>after<script>x</script>wards</article>", "before afterwards"),
     ("", ""), (None, ""), ("<", "<"), ("a < b & c", "a < b & c"), ("<div><script>never closed", ""),
     ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
 ]
@@ -47,6 +49,15 @@ def test_the_article_is_what_has_the_text(page, text):
     assert html.main_text(page) == text
 
 
+def test_very_deep_and_very_flat_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<div>" * 50_000 + "deep" + "</div>" * 50_000, "<article>" + "<p>flat" * 50_000 + "</article>", "<article>x</article>" * 20_000):
+        assert html.subtrees(page) is not None and html.main_text(page)[:4] in ("deep", "flat", "x x ")
+    assert time.perf_counter() - began < 20
+
+
 def test_pages_of_the_table(spark):
     """These pages have one article of plain blocks; its text is what is left without tags."""
     for row in queries.op5_html_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
@@ -113,6 +124,14 @@ def test_warc_round_trip(spark, range_bytes):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_warc_reads_headers_of_any_length(spark):
+    rows = [(1, "http://a/", "first"), (2, "http://long/" + "x" * 1_300_000, "long"), (3, "http://b/", "last")]
+    folder = new_folder(spark, "w")
+    warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), folder)
+    got = warc.read_warc(spark, folder, 1 << 18).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == rows
+
+
 def test_warc_finds_a_broken_file(spark):
     folder = new_folder(spark, "w")
     manifest = warc.write_warc(spark.createDataFrame([(n, "u", f"page {n}") for n in range(50)], "page_id bigint, url string, html string").coalesce(1), folder)

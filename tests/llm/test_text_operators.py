@@ -49,6 +49,34 @@ def test_quality_equals_sql(spark, docs):
     assert judged.where("kept AND n_words > 5").count() >= 2  # a filter on a measure neither fails nor takes for ever
 
 
+def test_stretches_that_share_a_hash_are_told_apart_by_their_words(spark, docs):
+    words = docs.where("doc_id IS NOT NULL").withColumn("__words", quality.word_list(F.col("text")))
+    n = lambda **kw: sorted((r.doc_id, r.n_repeat_words) for r in quality._repeat_words(words, 5, **kw).collect())
+    assert n(key=lambda *w: F.lit(1).cast("bigint")) == n() == n(key=lambda *w: F.length(w[0]).cast("bigint"))
+
+
+def test_rates_equal_plain_bisection(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(z), int(n), goal) for s, goal in (("a", 0.4), ("b", 1.7), ("c", 1.0), (None, 1.2)) for z, n in zip(rng.choice(400, 30, replace=False), rng.integers(1, 50, 30))]
+    whole = {s: sum(z * n for t, z, n, _ in rows if t == s) for s in {r[0] for r in rows}}
+    table = spark.createDataFrame([(s, z, n, whole[s], goal * whole[s]) for s, z, n, goal in rows], "source string, size bigint, n bigint, source_size bigint, target double")
+    got = {(r.source, r.size): r.rate for r in mixing.rates(table).collect()}
+    for source, total in whole.items():
+        own = [(z, n, goal) for s, z, n, goal in rows if s == source]
+        mean, goal, low, high = total / sum(n for _, n, _ in own), own[0][2] * total, -60.0, 60.0
+        rate = lambda z, x: min(2.0, float(np.exp(min(50.0, x * z / mean))))
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(n * z * rate(z, middle) for z, n, _ in own) < goal else (low, middle)
+        assert all(abs(got[source, z] - rate(z, low)) < 1e-6 for z, _, _ in own)
+
+
+def test_mix_of_very_long_texts(spark):
+    rows = [(k, "word " * (200_000 if k == 0 else 10), "a" if k < 30 else "b") for k in range(60)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(mixed) == 60 and all(0 <= r.taken <= 2 * r.size for r in mixed) and max(r.size for r in mixed) == 200_000
+
+
 def test_mix_meets_targets_and_caps(spark, docs):
     many = spark.range(9000).select("id", F.lit("one two three four five").alias("text"), F.lit("hot").alias("source"))
     rest = spark.range(9000, 12000).select("id", F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 90).cast("int")), " ").alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
@@ -191,6 +219,13 @@ def test_a_wide_radius_has_few_moves_on_any_number_of_fingerprints(spark, monkey
     assert asked == [3] and {frozenset(p) for p in ((0, 9), (0, 40), (60, 9), (60, 40))} & found and not any(5 in p for p in found)
 
 
+def test_several_lanes_group_as_brute_force(spark):
+    texts = [f"{a} {b} {c} {d}" for a in "xy" for b in "pq" for c in "mn" for d in "rs"] * 2 + ["", None]
+    rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), lanes=2, radius=40).collect()
+    lanes = {r.doc_id: sum((v % (1 << 64)) << 64 * k for k, v in enumerate(r.lanes)) for r in rows}
+    assert {r.doc_id: r.component_id for r in rows} == brute_components(sorted(lanes.items()), 40)
+
+
 def test_simhash_edge_cases(spark, docs):
     rows = simhash.near_duplicates(docs).select("doc_id", "component_id", "n_chars", "kept").collect()
     assert len(rows) == len(ROWS) and {r.component_id for r in rows if r.doc_id in (2, 3, 8)} == {2}

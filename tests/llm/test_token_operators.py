@@ -7,10 +7,11 @@ from zlib import crc32
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from agora.llm import packing, queries, token_counts, token_files
-from agora.llm.shared import new_folder
+from agora.llm.shared import join_spread, new_folder
 from agora.llm.tokens import WordwiseEncoder, public_path
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +76,15 @@ def test_token_files_query_and_dictionary(spark):
     assert len(rows) == len(texts)
 
 
+def test_shards_are_of_bounded_size_and_single_runs(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("id") % 50 + 1), lambda i: F.hex(F.xxhash64("id", i))), " ").alias("text"))
+    folder = new_folder(spark, "t")
+    shards = token_files.write_token_files(docs, folder, public_path(NAMES[1]), 1, shard_bytes=200_000).collect()
+    assert len(shards) > 5 and max(s.n_bytes for s in shards) < 3 * 200_000
+    rows = token_files.read_token_files(spark, folder)
+    assert rows.count() == 3000 and rows.agg(F.sum("n_tokens")).first()[0] == sum(s.n_tokens for s in shards)
+
+
 def held(rows, lengths, capacity):
     """Every document whole, sequences gapless and within capacity; returns how many there are."""
     pieces, places = {}, {}
@@ -101,6 +111,12 @@ def test_packing_is_whole_and_tight(spark, docs):
     lengths = {r.doc_id: len(ids_of(NAMES[0], r.text, 2)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     n = held(rows, lengths, 1024)
     assert n <= 1.02 * -(-sum(lengths.values()) // 1024) + 1
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in rows:
+        ids = ids_of(NAMES[0], texts[r.doc_id], 2)[r.start : r.start + r.length]
+        assert r.ids_crc32 == crc32(struct.pack(f"<{len(ids)}I", *ids))
+    twice = packing.pack(docs.where("doc_id = 6").union(docs.where("doc_id = 6")), public_path(NAMES[0]), 2, capacity=5).collect()
+    assert len(twice) == 4 and len({(r.sequence_id, r.offset) for r in twice}) == 4
     odd = packing.pack(docs.where("doc_id IS NULL OR doc_id <> 6"), public_path(NAMES[0]), 2, capacity=100, with_ids=True)
     held(odd.collect(), {i: len(ids_of(NAMES[0], t, 2)) for i, t in TEXTS if i != 6}, 100)
     assert packing.sequences(odd).where("length > 100 OR octet_length(ids) <> 4 * length").count() == 0
@@ -134,6 +150,42 @@ def test_counts_come_from_the_cache(spark, docs):
     assert token_counts.count_tokens(docs.limit(0), new_folder(spark, "c"), path).count() == 0
 
 
+def test_counts_query_and_a_text_that_most_documents_have(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = {(i, len(t.encode()), n := len(ids_of(NAMES[0], t)), n > 1024) for i, t in texts.items()}
+    assert {tuple(r) for r in queries.op4_token_counts(spark, SF).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()} == want
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot text").otherwise(F.hex("id")).alias("text"))
+    got = token_counts.count_tokens(many, new_folder(spark, "c"), public_path(NAMES[0])).collect()
+    assert len({r.doc_id for r in got}) == len(got) == 4000
+    assert all(r.n_tokens == len(ids_of(NAMES[0], r.text)) for r in got)
+
+
+def test_joined_rows_are_each_there_once_whatever_the_skew(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).cast("bigint").alias("key"))
+    found = spark.createDataFrame([(7, "hot"), (None, "none"), (9, "nine")], "key bigint, value string")
+    got = {r.id: r.value for r in join_spread(rows, found, ["key"], [F.col("id")]).collect()}
+    assert len(got) == 6000 and all(v == ("hot" if i % 2 == 0 else "none" if i % 7 == 0 else "nine" if i == 9 else None) for i, v in got.items())
+    assert join_spread(rows.limit(0), found, ["key"], [F.col("id")]).count() == 0
+
+
+def test_pipeline_keeps_columns_of_any_name_and_takes_odd_rows(spark):
+    import corpus_pipeline
+
+    text = "the house and the garden of our town were in a street with a view over the hills, but no one had seen them before"
+    names = "score lang_pred kept n_words size target taken copies rate lanes component_id".split()
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, None, "en", "a"), (3, "", None, None), (4, text.replace("house", "barn"), "en", None), (None, text.replace("street", "lane"), "en", "b"), (5, "12 34", "en", "b")]
+    docs = spark.createDataFrame([(*r, *[f"{n}-{r[0]}" for n in names]) for r in rows], "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for some in (docs, docs.limit(0)):
+        out = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, SF)
+            assert out.columns == docs.columns
+            assert all(getattr(r, n) == f"{n}-{r.doc_id}" for r in out.collect() for n in names)
+        left = {r.doc_id for r in out.collect()}
+        assert left <= {1, 4, None} and (bool(left) or some is not docs)
+        assert corpus_pipeline.pack(spark, out, SF).count() == out.count()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from pyspark.sql import functions as F
