@@ -1,6 +1,10 @@
 """A training corpus from raw documents: language ID, quality rules, near-duplicates, source mix, packed sequences.
 
 Each stage works on everything its predecessor kept, written as Parquet to the shared folder and read again.
+
+Defined results: a null or empty text has no letter, so the language stage drops it; a null id or source is a value of its
+own.  Repeated rows are documents of their own up to the near-duplicate stage, which keeps one.  An empty table stays empty.
+Every column of the input, whatever its name, comes out of every stage but the last as it went in.
 """
 
 from __future__ import annotations
@@ -14,16 +18,24 @@ from agora.llm.shared import new_folder, written
 from agora.llm.tokens import public_path
 
 
+ROW = "__document"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """What the operators read, beside the whole row, so that no measure of theirs replaces a column of the input."""
+    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language that was learned: without a letter, or with less than half of the belief."""
     model = langid.train(docs.where(~fold()))
-    said = langid.identify(docs, model)
-    return said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    said = langid.identify(with_row(docs), model)
+    return said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(f"{ROW}.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or the threshold table."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.judge(with_row(docs)).where("kept").select(f"{ROW}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come near their target weights."""
-    return mixing.copied(mixing.mix(docs)).select(*docs.columns)
+    return mixing.copied(mixing.mix(with_row(docs))).select(f"{ROW}.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
