@@ -50,6 +50,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def nfkc_trimmed(texts: pd.Series) -> pd.Series:
+    """Compatibility form with white space around it removed; inner white space stays."""
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t).strip(), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """JSON with keys sorted at every depth and no spaces; text that is not JSON gives null."""

@@ -1,4 +1,4 @@
 """Named queries over the driver's tables."""
 
-from . import behaviour, contents, records, versions  # noqa: F401  they register themselves
+from . import behaviour, contents, knowledge, landings, news, people, records, reports, versions  # noqa: F401  they register themselves
 from .registry import COVERS, QUERIES, SQL  # noqa: F401
