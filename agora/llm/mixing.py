@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_spread, new_folder, written
+from .shared import HOT_SHARE, new_folder, written
 
 WORD_GAPS = r"[\x20\x09-\x0D]+"
 
@@ -120,23 +120,27 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     histogram = written(histogram, new_folder(spark, "mix-histogram"))
     plan = written(group_copies(rates(histogram, cap), cap), new_folder(spark, "mix-plan"))
 
-    # A group is cut into blocks of about block_rows documents; a block's documents are ranked by themselves.
-    plan = plan.withColumn("__blocks", F.ceil(F.col("n") / block_rows)).withColumnsRenamed({"source": "__source", "size": "__size", "n": "__n", "group_copies": "__group_copies"})
-    row = F.xxhash64(F.col(doc_id))
-    # Neither the plan, which grows with the table, is broadcast, nor do documents of one source and size meet in one task.
-    keyed = sized.withColumns({"__source": F.col(source), "__size": F.col("size")})
-    joined = join_spread(keyed, plan, ["__source", "__size"], [F.col(doc_id), F.xxhash64(F.col(text))], plan.select("__source", "__size", F.col("__n").alias("n")))
-    joined = joined.withColumn("__block", F.pmod(row, F.col("__blocks")))
-    # Sizes of blocks are needed for groups of more than one block only; a sum over (source, size, block) gives them all.
-    many = joined.where("__blocks > 1").groupBy("__source", "__size", "__block", "__n", "__group_copies").agg(F.count("*").alias("__m"))
-    along = Window.partitionBy("__source", "__size").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.expr("cast(cast(__end as decimal(38,0)) * __group_copies div __n as bigint)")
-    many = many.withColumn("__end", F.sum("__m").over(along)).withColumn("__share_end", upto)
-    many = many.withColumn("__share", F.col("__share_end") - F.coalesce(F.lag("__share_end").over(Window.partitionBy("__source", "__size").orderBy("__block")), F.lit(0)))
-    many = many.select(F.col("__source").alias("__s"), F.col("__size").alias("__z"), F.col("__block").alias("__b"), "__m", "__share")
-    joined = joined.join(many, (F.col("__blocks") > 1) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__block") == F.col("__b")), "left")
-    n, k = F.coalesce("__m", "__n"), F.coalesce("__share", "__group_copies")
-    place = F.row_number().over(Window.partitionBy("__source", "__size", "__block").orderBy(F.xxhash64(F.col(doc_id), F.lit(1)), F.col(doc_id)))
+    # Documents are ranked within (source, size).  Groups of more than block_rows documents that hold over one in HOT_SHARE
+    # of all, fewer than HOT_SHARE, are cut into blocks of about block_rows, each with its exact share of the group's copies.
+    # Documents and shares then meet by one merge on (source, size, block), which the ranking uses too.
+    keys = ["__none", "__source", "__size"]
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    whole = plan.select(F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source"), F.col("size").alias("__size"), F.col("n").alias("__n"), F.col("group_copies").alias("__group_copies"), "source_size", "target", "rate")
+    large = (F.col("__n") > block_rows) & (F.col("__n") * HOT_SHARE > total)
+    hot = F.broadcast(whole.where(large).select(*keys, F.ceil(F.col("__n") / block_rows).alias("__blocks")))
+    text_source = F.col(source).cast("string")
+    keyed = sized.withColumns({"__none": F.col(source).isNull(), "__source": F.coalesce(text_source, F.lit("")), "__size": F.col("size")}).join(hot, keys, "left")
+    keyed = keyed.withColumn("__block", F.pmod(F.xxhash64(F.col(doc_id)), F.coalesce("__blocks", F.lit(1).cast("bigint"))))
+    many = keyed.where(F.col("__blocks").isNotNull()).groupBy(*keys, "__block").agg(F.count("*").alias("__m")).join(whole, keys)
+    along = Window.partitionBy(*keys).orderBy("__block")
+    many = many.withColumn("__end", F.sum("__m").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    many = many.withColumn("__upto", F.expr("cast(cast(__end as decimal(38,0)) * __group_copies div __n as bigint)"))
+    many = many.withColumn("__share", F.col("__upto") - F.coalesce(F.lag("__upto").over(along), F.lit(0)))
+    own = [*keys, "__block", "__m", "__share", "source_size", "target", "rate"]
+    single = whole.where(~large).withColumns({"__block": F.lit(0).cast("bigint"), "__m": F.col("__n"), "__share": F.col("__group_copies")})
+    joined = keyed.join(many.select(*own).union(single.select(*own)).hint("merge"), [*keys, "__block"])
+    n, k = F.col("__m"), F.col("__share")
+    place = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(F.xxhash64(F.col(doc_id), F.lit(1)), F.col(doc_id)))
     copies = F.expr("0").cast("long") + F.floor(k / n) + F.when(place <= k % n, 1).otherwise(0)
     out = joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*docs.columns, *added)
