@@ -39,8 +39,8 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A key that holds more than one in HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot keys, ever.
-HOT_SHARE = 2048
+#: A key with more than HOT_ROWS rows and more than one in HOT_SHARE of all is hot; so there are fewer than HOT_SHARE hot keys, ever.
+HOT_SHARE, HOT_ROWS = 2048, 1000
 
 
 def join_spread(rows: DataFrame, found: DataFrame, keys: Sequence[str], by: Sequence[Column], counts: DataFrame | None = None) -> DataFrame:
@@ -57,11 +57,15 @@ def join_spread(rows: DataFrame, found: DataFrame, keys: Sequence[str], by: Sequ
         counted = written(rows.select(key.alias("__key")).groupBy("__key").agg(F.count("*").alias("__n")), new_folder(rows.sparkSession, "hot-keys"))
     else:
         counted = counts.select(key.alias("__key"), F.col("n").alias("__n"))
-    total = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first().n
+    size = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.max("__n"), F.lit(0)).alias("most")).first()
+    least = max(HOT_ROWS, size.n // HOT_SHARE)
     own = found.select(key.alias("__of"), *values)
-    hot = counted.where(F.col("__n") * HOT_SHARE > total).select("__key").join(own, F.col("__key") == F.col("__of"), "left")
-    hot = hot.select(F.col("__key").alias("__hot"), *[F.col(v).alias(f"__hot_{v}") for v in values])
-    first = rows.withColumn("__key", key).join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left")
+    keyed = rows.withColumn("__key", key)
+    if size.most <= least:  # nothing is hot
+        return keyed.join(own.hint("merge"), F.col("__key") == F.col("__of"), "left").select(*rows.columns, *values)
+    keys_ = F.broadcast(counted.where(F.col("__n") > least).select(F.col("__key").alias("__hot")))
+    met = F.broadcast(own.join(keys_, F.col("__of") == F.col("__hot"), "left_semi").select(F.col("__of").alias("__hit"), *[F.col(v).alias(f"__hot_{v}") for v in values]))
+    first = keyed.join(keys_, F.col("__key") == F.col("__hot"), "left").join(met, F.col("__hot") == F.col("__hit"), "left")
     first = first.withColumn("__spread", F.when(F.col("__hot").isNotNull(), F.xxhash64(*by).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
     rest = own.withColumn("__none", F.lit(0).cast("bigint"))
     joined = first.join(rest.hint("merge"), (F.col("__key") == F.col("__of")) & (F.col("__spread") == F.col("__none")), "left")
