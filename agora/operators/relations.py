@@ -36,6 +36,24 @@ def valid_at(events: DataFrame, tenures: DataFrame, keys: Sequence[str], at: str
     return joined.where((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end))))
 
 
+def tenure_at(events: DataFrame, tenures: DataFrame, keys: Sequence[str], own: Column) -> DataFrame:
+    """``events`` (keys, day, ...) with the ``tenures`` (keys, tenure, a, b, seen, ...) that hold on their day: both ends count, an
+    open end is the day the tenure was seen, and one without a first day holds on that day alone and only if ``own``."""
+    joined = events.join(tenures, list(keys))
+    day = F.col("day")
+    dated = (day >= F.col("a")) & (day <= F.coalesce("b", "seen"))
+    undated = own & (day == F.col("seen")) & (F.col("b").isNull() | (day <= F.col("b")))
+    return joined.where(F.when(F.col("a").isNotNull(), dated).otherwise(undated))
+
+
+def roster_diff(old: DataFrame, new: DataFrame, key: str, name: str, values: Sequence[str]) -> DataFrame:
+    """(key, status): new, removed, renamed, changed or unchanged, by one full outer join."""
+    a = old.select(key, F.col(name).alias("__on"), F.struct(*values).alias("__ov"), F.lit(True).alias("__o"))
+    b = new.select(key, F.col(name).alias("__nn"), F.struct(*values).alias("__nv"), F.lit(True).alias("__n"))
+    status = F.when(F.col("__o").isNull(), "new").when(F.col("__n").isNull(), "removed").when(~F.col("__on").eqNullSafe(F.col("__nn")), "renamed")
+    return a.join(b, key, "full_outer").select(key, status.when(~F.col("__ov").eqNullSafe(F.col("__nv")), "changed").otherwise("unchanged").alias("status"))
+
+
 def scaffold(days: DataFrame, kinds: DataFrame, found: DataFrame, on: Sequence[str]) -> DataFrame:
     """Every day with every kind, whether found or not; days and kinds are small dimensions."""
     return days.join(kinds).join(found, list(on), "left")

@@ -37,13 +37,17 @@ def dashboard_status_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("JN-20", """
-WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events), k AS (SELECT DISTINCT event_type FROM events), f AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events WHERE user_id % 40 = 1 GROUP BY ALL)
-SELECT strftime(day, '%Y-%m-%d') AS day, event_type, coalesce(n, 0) AS n, n IS NULL AS missed FROM d CROSS JOIN k LEFT JOIN f USING (day, event_type)""")
+WITH d AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events), k AS (SELECT DISTINCT user_id FROM events),
+f AS (SELECT ts::DATE AS day, user_id, count(*) AS n, arg_max(event_type, (ts, event_id)) AS latest FROM events GROUP BY ALL)
+SELECT strftime(day, '%Y-%m-%d') AS day, user_id, coalesce(n, 0) AS n, latest, n IS NULL AS missed FROM d CROSS JOIN k LEFT JOIN f USING (day, user_id)""")
 def calendar_scaffold_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    found = df.where("user_id % 40 = 1").groupBy("day", "event_type").agg(F.count("*").alias("n"))
-    out = relations.scaffold(df.select("day").distinct(), df.select("event_type").distinct(), found, ["day", "event_type"])
-    return out.select("day", "event_type", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missed"))
+    """Every calendar day with every user: how many events, the latest of them, or that there was none."""
+    df = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    ends = df.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    days = ends.select(F.explode(F.sequence("a", "b")).alias("day"))
+    found = df.groupBy("day", "user_id").agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"))
+    out = relations.scaffold(F.broadcast(days), df.select("user_id").distinct(), found, ["day", "user_id"])
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "user_id", F.coalesce("n", F.lit(0)).alias("n"), "latest", F.col("n").isNull().alias("missed"))
 
 
 @query("AG-11 AG-12 FL-23", """
@@ -65,20 +69,21 @@ def distinct_messages_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("AG-05 JN-18", """
 WITH f AS (SELECT user_id, min(ts) AS at FROM events WHERE event_type = 'signup' GROUP BY user_id),
 a AS (SELECT f.user_id, min(ts) AS at FROM f JOIN events e ON e.user_id = f.user_id AND event_type = 'view' AND ts >= f.at GROUP BY f.user_id),
-r AS (SELECT a.user_id, a.at <= (SELECT max(ts) FROM events) - INTERVAL 14 DAY AS eligible,
-  EXISTS (SELECT 1 FROM events e WHERE e.user_id = a.user_id AND event_type = 'view' AND ts >= a.at + INTERVAL 7 DAY AND ts < a.at + INTERVAL 14 DAY) AS returned FROM a)
+r AS (SELECT a.user_id, a.at <= (SELECT max(ts) FROM events) - INTERVAL 28 DAY AS eligible,
+  EXISTS (SELECT 1 FROM events e WHERE e.user_id = a.user_id AND event_type = 'view' AND ts >= a.at + INTERVAL 21 DAY AND ts < a.at + INTERVAL 28 DAY) AS returned FROM a)
 SELECT count(*) AS activated, count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND returned) AS returned,
   round(count(*) FILTER (eligible AND returned) / nullif(count(*) FILTER (eligible), 0), 6) AS retention FROM r""")
-def usage_week4_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Follow, first open after it, return in a later week; the week is the second here, as the events span a month."""
+def usage_week4_retention(spark: SparkSession, sf_dir: str, first_day: int = 21, last_day: int = 28) -> DataFrame:
+    """Follow, first open after it, return from ``first_day`` to before ``last_day`` days later."""
     df = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
     follow = df.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("follow"))
     opens = df.where("event_type = 'view'").join(follow, "user_id").where("ts >= follow")
     first = F.min("ts").over(Window.partitionBy("user_id"))
-    back = (F.col("ts") >= F.col("at") + F.expr("INTERVAL 7 DAYS")) & (F.col("ts") < F.col("at") + F.expr("INTERVAL 14 DAYS"))
+    days = lambda n: F.expr(f"INTERVAL {n} DAYS")
+    back = (F.col("ts") >= F.col("at") + days(first_day)) & (F.col("ts") < F.col("at") + days(last_day))
     per = opens.withColumn("at", first).groupBy("user_id", "at").agg(F.bool_or(back).alias("returned"))
-    now = df.agg(F.max("ts").alias("now"))
-    per = per.join(now).withColumn("eligible", F.col("at") <= F.col("now") - F.expr("INTERVAL 14 DAYS"))
+    now = F.broadcast(df.agg(F.max("ts").alias("now")))  # a single row
+    per = per.join(now).withColumn("eligible", F.col("at") <= F.col("now") - days(last_day))
     eligible, returned = F.count_if("eligible"), F.count_if(F.col("eligible") & F.col("returned"))
     return per.agg(F.count("*").alias("activated"), eligible.alias("eligible"), returned.alias("returned"), F.round(F.try_divide(returned, eligible), 6).alias("retention"))
 
@@ -144,7 +149,7 @@ def rolling_hour_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)).alias("n"))
 
 
-@query("AG-19 SNK-15 SM-15", """
+@query("SM-15", """
 SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, sum(o_totalprice) OVER w <= 500000 AS admitted FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
 def budget_running_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +181,7 @@ def radar_growth_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("event_type").agg(recent.alias("recent"), previous.alias("previous"), growth.alias("growth"))
 
 
-@query("AG-16 WN-04 RT-10", """
+@query("WN-04", """
 WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY event_id DESC) AS r FROM events)
 SELECT event_type, count(*) AS n FROM l WHERE r = 1 GROUP BY event_type""")
 def latest_attempt_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +203,7 @@ def merged_follow_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("event_id").agg(F.min("feed").alias("feed"))
 
 
-@query("AG-21 AG-22 SRC-27", """
+@query("AG-21 AG-22", """
 SELECT o_orderpriority, CASE WHEN count(*) FILTER (o_orderkey % 5 = 0) > 0 THEN NULL ELSE round(sum(o_totalprice), 2) END AS total, count(*) FILTER (o_orderkey % 5 = 0) AS unknown,
   round(100 * count(*) FILTER (o_orderstatus = 'F') / nullif(count(*), 0), 6) AS closed_per_100 FROM orders GROUP BY o_orderpriority""")
 def budget_unknown_not_zero(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def feed_filtered_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(building, orders.o_custkey == building.c_custkey, "left_semi").join(returned, orders.o_orderkey == returned.l_orderkey, "left_semi").select("o_orderkey")
 
 
-@query("JN-08 JN-10 SM-07", """
+@query("JN-08 JN-10", """
 SELECT o_orderkey, o_custkey FROM orders o JOIN customer c ON o_custkey = c_custkey AND c_mktsegment = 'AUTOMOBILE'
 WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')""")
 def digest_undelivered_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def alias_resolved_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.resolved(table(spark, sf_dir, "supplier"), "s_nationkey", aliases, "a", "t").groupBy("s_nationkey").agg(F.count("*").alias("n"))
 
 
-@query("JN-04 SF-08 SF-09", """
+@query("JN-04 SF-09", """
 SELECT term, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE term <> '' GROUP BY term""")
 def lateral_csv_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
@@ -192,7 +192,7 @@ def vote_conflict_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a <> b").select("l_orderkey", "l_suppkey")
 
 
-@query("SF-01 PJ-04", """
+@query("SF-01", """
 SELECT 'customer' AS kind, sha1('person|' || c_name || '|' || c_mktsegment) AS identity, 'p_' || sha256(c_name) AS public_id FROM customer
 UNION ALL SELECT 'supplier', sha1('person|' || s_name || '|'), 'p_' || sha256(s_name) FROM supplier""")
 def identity_hash_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +214,7 @@ def record_key_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", chosen.alias("record_key"))
 
 
-@query("PJ-02 PJ-03", """
+@query("PJ-03", """
 SELECT DISTINCT p_partkey, kind, value FROM (
   SELECT p_partkey, 'brand' AS kind, trim(p_brand) AS value FROM part UNION ALL SELECT p_partkey, 'type', trim(p_type) FROM part
   UNION ALL SELECT p_partkey, 'first', coalesce(nullif(trim(p_name), ''), p_brand) FROM part) WHERE value <> ''""")
@@ -261,7 +261,7 @@ def inventory_union_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("JN-16 WN-18", """
+@query("WN-18", """
 WITH t AS (SELECT o_custkey, o_orderkey, o_orderdate AS a, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders),
 e AS (SELECT o_custkey, l_orderkey, l_linenumber, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 SELECT e.l_orderkey, e.l_linenumber, t.o_orderkey AS tenure FROM e JOIN t ON t.o_custkey = e.o_custkey AND a <= l_shipdate AND (b IS NULL OR l_shipdate < b)""")
@@ -290,7 +290,7 @@ def delete_join_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(gone, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@query("JN-15 JN-32 FL-07 FL-08", """
+@query("JN-15 JN-32", """
 SELECT n_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 WHERE o_orderstatus <> 'P' AND l_returnflag <> 'N' GROUP BY n_name""")
 def published_context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +300,7 @@ def published_context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
-@query("GR-04 GR-10", """
+@query("GR-10", """
 WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 h1 AS (SELECT DISTINCT b AS node FROM u WHERE a = 's1'), h2 AS (SELECT DISTINCT u.b AS node FROM h1 JOIN u ON u.a = h1.node)
 SELECT node, min(d) AS distance FROM (SELECT 's1' AS node, 0 AS d UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node""")
@@ -321,7 +321,7 @@ def artifact_dag_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.valid_artifacts(artifacts, children, 2)
 
 
-@query("JN-26 AG-29 GR-14", """
+@query("JN-26 AG-29", """
 WITH p AS (SELECT DISTINCT l_orderkey AS item, l_partkey AS anchor FROM lineitem), d AS (SELECT anchor, count(*) AS df FROM p GROUP BY anchor HAVING count(*) BETWEEN 2 AND 50)
 SELECT a.item AS "left", b.item AS "right", round(sum(1.0 / df), 6) AS weight FROM p a JOIN d USING (anchor) JOIN p b USING (anchor) WHERE a.item < b.item GROUP BY ALL""")
 def anchor_df_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,20 +366,20 @@ def parameter_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select("r_name").join(table(spark, sf_dir, "nation").select("n_name"))  # two fixed lists
 
 
-@query("SL-04 FL-06 SL-05", """
+@query("FL-06", """
 SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '1') ORDER BY c_name, c_custkey LIMIT 24 OFFSET 24""")
 def people_directory_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.offset_page(table(spark, sf_dir, "customer").where(F.col("c_name").contains("1")), [F.col("c_name"), F.col("c_custkey")], 24, 1).select("c_custkey", "c_name")
 
 
-@query("SL-07 SL-10", """
+@query("SL-07", """
 SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey LIMIT 100""")
 def priority_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     return table(spark, sf_dir, "orders").orderBy(rank, "o_orderpriority", "o_orderkey").limit(100).select("o_orderkey", "o_orderstatus")
 
 
-@query("FL-20 GR-03 GR-15", """
+@query("FL-20 GR-15", """
 SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (p_size <= 10 AND l_returnflag = 'R') OR (p_size > 40 AND l_returnflag = 'A')""")
 def typed_endpoint_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("p_size") <= 10, "R").when(F.col("p_size") > 40, "A")

@@ -22,13 +22,13 @@ def _two_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return old, new
 
 
-@query("SNK-02 SNK-04 SNK-06 SNK-08", _TWO + """
+@query("SNK-02 SNK-04", _TWO + """
 SELECT doc_id, coalesce(n.h, o.h) AS content_hash, CASE WHEN n.h IS NULL OR n.h = o.h THEN 1 ELSE 2 END AS changed_at, CASE WHEN n.h IS NULL THEN 1 ELSE 2 END AS observed_at FROM o FULL JOIN n USING (doc_id)""")
 def upsert_conditional_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.upserted(*_two_versions(spark, sf_dir), "doc_id", "content_hash")
 
 
-@query("CD-05 CD-08 SNK-14", _TWO + """
+@query("CD-05 SNK-14", _TWO + """
 SELECT n.doc_id, CASE WHEN o.h IS NULL THEN 'imported' WHEN o.h = n.h THEN 'replayed' ELSE 'conflict' END AS outcome FROM n LEFT JOIN o USING (doc_id)""")
 def immutable_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.import_outcomes(*_two_versions(spark, sf_dir), "doc_id", "content_hash")
@@ -43,7 +43,7 @@ def archive_and_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.outbox(old, new, "doc_id", "content_hash", ledger)
 
 
-@query("SNK-07 SNK-09", """
+@query("SNK-07", """
 SELECT o_custkey, o_orderkey, content, n > 1 AS reactivated FROM (SELECT o_custkey, o_orderkey, o_orderstatus AS content, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r,
 count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS n FROM orders) WHERE r = 1""")
 def artifact_current_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def artifact_current_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.latest_by(times, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey", "content", (F.col("n") > 1).alias("reactivated"))
 
 
-@query("SRC-02 SRC-03 SRC-07 SRC-14", """
+@query("SRC-02 SRC-03 SRC-07", """
 WITH t AS (SELECT count(*) AS total FROM events)
 SELECT event_id // 100 AS page, total, event_id AS id, count(*) OVER (PARTITION BY event_id // 100) < 100 OR (event_id // 100 + 1) * 100 >= total AS complete FROM events, t WHERE (event_id // 100) % 4 <> 3""")
 def page_envelope_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def page_envelope_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page", F.col("e.total").alias("total"), complete.alias("complete"), F.explode("e.row.id").alias("id"))
 
 
-@query("SM-01 SRC-10 SRC-18", """
+@query("SRC-18", """
 SELECT o_orderkey // 100 AS page, count(*) AS n, count(DISTINCT o_orderkey) = 100 AS accounted FROM orders WHERE o_orderkey // 100 > 3 AND o_orderkey // 100 <= 8 GROUP BY ALL""")
 def resumable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next five pages after a checkpoint, with their count held against what is expected."""
@@ -77,7 +77,7 @@ def resumable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(page.alias("page")).agg(F.count("*").alias("n"), (F.count_distinct("o_orderkey") == 100).alias("accounted"))
 
 
-@query("SM-08 SRC-06 SRC-12 SRC-13", """
+@query("SM-08 SRC-06", """
 WITH r AS (SELECT max(ts) - INTERVAL 1 DAY AS now FROM events)
 SELECT event_id, ts FROM events, r WHERE ts >= now - INTERVAL 72 HOUR AND ts <= now + INTERVAL 5 MINUTE ORDER BY ts DESC, event_id LIMIT 200""")
 def late_future_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def batch_keyset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(after).select("o_custkey", "o_orderkey").orderBy("o_custkey", "o_orderkey").limit(100)
 
 
-@query("SL-06 SL-11 WN-11", """
+@query("SL-06 WN-11", """
 SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50""")
 def top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = ordered.latest_by(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
@@ -126,7 +126,7 @@ def active_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active.select("p_partkey", F.format_string("제%d대", "p_size").alias("label"), (F.lit(100000) + F.col("p_size")).alias("code"))
 
 
-@query("FL-09 SM-02 SM-03 SM-04", """
+@query("FL-09 SM-03", """
 SELECT o_orderkey, o_orderdate >= TIMESTAMP '1997-01-01' AS since_watermark FROM orders WHERE coalesce(o_orderstatus, '') NOT IN ('F', 'P') OR o_orderdate >= TIMESTAMP '1997-01-01'""")
 def nonterminal_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents to be asked again: changed since the watermark, or not in a final state."""
@@ -135,7 +135,7 @@ def nonterminal_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(open_ | recent).select("o_orderkey", recent.alias("since_watermark"))
 
 
-@query("FL-10 PJ-11", """
+@query("FL-10", """
 SELECT source, count(*) AS n, bool_and(coalesce(quality = 1 AND toxic = 0, false)) AS usable, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 0 ELSE 1 END)::BIGINT AS withheld FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
 def evidence_usable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether all of a source's documents may be used, and of how many the text is withheld."""
@@ -151,7 +151,7 @@ def current_office(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderdate <= TIMESTAMP_NTZ '1996-06-01' AND (o_orderstatus = 'O' OR o_orderdate + INTERVAL 365 DAYS >= TIMESTAMP_NTZ '1996-09-01')").select("o_orderkey")
 
 
-@query("SM-11 SM-12", """
+@query("SM-11", """
 WITH l AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id) AS failed FROM events)
 SELECT user_id, failed + 1 AS version FROM l WHERE r = 1 AND event_type = 'error' ORDER BY user_id LIMIT 20""")
 def retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +211,7 @@ def cursor_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.translate(F.base64(F.encode(place, "UTF-8")), "+/=", "-_").alias("cursor"))
 
 
-@query("AG-27 RT-06", """
+@query("AG-27", """
 WITH f AS (SELECT md5(coalesce(text, '')) AS h, min(source) AS source FROM documents GROUP BY h HAVING count(DISTINCT source) = 1)
 SELECT source, count(*) AS facets FROM f GROUP BY source""")
 def facet_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,7 @@ def verification_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(health.alias("health")).agg(F.count("*").alias("n"), F.bool_or(F.col("code").isNull()).alias("due"))
 
 
-@query("AG-23 SRC-29", """
+@query("AG-23", """
 SELECT source, count(l.doc_id) AS labelled, CASE WHEN count(l.doc_id) * 3 >= count(*) THEN count(*) END AS denominator FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""")
 def collection_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress by source; the denominator is withheld until a third is labelled."""
