@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from agora.functions import headlines
-from agora.operators import clustering, knowledge
+from agora.operators import clustering, knowledge, paging, retrieval
 from agora.plans import knowledge as graph_plans
 from agora.plans import news
 from agora.sources import files
@@ -91,6 +91,53 @@ def test_routing_is_the_sequence(spark):
     assert knowledge.routed(spark.createDataFrame([], "id bigint, anchor bigint")).count() == 0
 
 
+def test_promotion_is_the_sequence(spark):
+    rows = [("q", 1, 1, 0.9, [5]), ("q", 2, 2, 0.8, [5, 2]), ("q", 3, 3, 0.7, [2]), ("q", 4, 4, 0.6, []), ("q", 5, 5, 0.9, [2]), ("r", 7, 1, 0.5, [1]), ("r", 8, 2, 0.4, [1])]
+    df = spark.createDataFrame(rows, "question string, proof int, rank int, score double, facets array<int>")
+    got = {}
+    for r in sorted(retrieval.promoted(df).collect(), key=lambda r: r.place):
+        got.setdefault(r.question, []).append(r.proof)
+    # Neighbour 2 is named first and takes its own best proof, then 5; one neighbour alone changes nothing.
+    assert got == {"q": [5, 1, 2, 3, 4], "r": [7, 8]}
+
+
+def test_best_evidence_is_exact_whatever_the_sizes(spark):
+    import random
+
+    chance = random.Random(4)
+    word = lambda: f"w{min(int(chance.expovariate(0.1)), 60)}"
+    asked = [(k, " ".join(word() for _ in range(chance.randint(1, 12)))) for k in range(12)]
+    held = [(k, " ".join(word() for _ in range(chance.choice((1, 3, 9, 30, 200))))) for k in range(300)]
+    got = {}
+    top = retrieval.top_evidence(spark.createDataFrame(asked, "question int, text string"), spark.createDataFrame(held, "document int, text string"), 5, bills=False)
+    for r in sorted(top.collect(), key=lambda r: r.rank):
+        got.setdefault(r.question, []).append((r.document, r.score))
+    for k, q in asked:
+        a, scores = set(q.split()) | set(re.findall("[0-9]+", q)), []
+        for d, t in held:
+            b = set(t.split()) | set(re.findall("[0-9]+", t))
+            if a & b:
+                scores.append((-round(2 * len(a & b) / (len(a) + len(b)) * (0.25 + 0.75 * min(len(t) / 90, 1)), 9), d))
+        assert [(d, pytest_approx(-s)) for s, d in sorted(scores)[:5]] == got.get(k, [])
+
+
+def test_cursors_hold_for_one_query_only():
+    import pytest
+
+    order = [("at", True), ("id", False)]
+    cursor = paging.encode_cursor(["2024", 5], {"kind": "a"}, order)
+    assert paging.decode_cursor(cursor, {"kind": "a"}, order) == ["2024", 5] and "=" not in cursor
+    for filters, o, c in (({"kind": "b"}, order, cursor), ({"kind": "a"}, order[:1], cursor), ({"kind": "a"}, order, "!!"), ({"kind": "a"}, order, "x" * 700)):
+        with pytest.raises(ValueError, match="does not belong"):
+            paging.decode_cursor(c, filters, o)
+
+
+def pytest_approx(value):
+    import pytest
+
+    return pytest.approx(value, abs=2e-9)
+
+
 def test_closure_fails_rather_than_stopping_short(spark):
     import pytest
 
