@@ -318,7 +318,7 @@ def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, leng
     left = tiles.select(F.col("tile").alias("one"), F.col("data").alias("left"))
     right = tiles.select(F.col("tile").alias("two"), F.col("data").alias("right"))
     # Pairs are dealt at random over the tasks: each is work of about the same size.
-    work = pairs.join(left, "one").join(right, "two").withColumn("right", F.when(F.col("one") != F.col("two"), F.col("right")))
+    work = pairs.join(left.hint("merge"), "one").join(right.hint("merge"), "two").withColumn("right", F.when(F.col("one") != F.col("two"), F.col("right")))
     work = work.select("left", "right").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     return written(work.mapInArrow(_compare(n_lanes, radius, sets, jaccard), "a bigint, b bigint"), f"{folder}/links")
 
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = F.col("__lanes")[0] if lanes == 1 and length_ratio is None else F.monotonically_increasing_id()
     distinct = written(counted.select(*keys, own.alias("id"), "least", F.col("__lanes").alias("lanes"), "shingles", "n"), f"{folder}/distinct")
     groups = _groups(distinct, links(distinct, lanes, radius, length_ratio=length_ratio), folder)
-    found = distinct.join(groups, F.col("id") == F.col("__group")).select(*keys, "component_id")
+    found = distinct.join(groups.hint("merge"), F.col("id") == F.col("__group")).select(*keys, "component_id")
     kept = [c for c in docs.columns if c not in ("lanes", "shingles", "component_id") and (keep_text or c != text)]
     if set(kept) <= {doc_id, text} and not keep_text:
         printed = slim.select(F.col("__id").alias(doc_id), F.col("__lanes").alias("lanes"), F.col("__shingles").alias("shingles"))
@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _groups(distinct: DataFrame, linked: DataFrame, folder: str) -> DataFrame:
     """(__group, component_id) for every id of ``distinct``: the least document that its links reach."""
     found = components(linked, "simhash-components")
-    named = written(distinct.join(found, F.col("id") == F.col("node"), "left").select("id", "least", "component"), f"{folder}/named")
+    named = written(distinct.join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "least", "component"), f"{folder}/named")
     # Most fingerprints have no link and name themselves; those of a large group are spread over SPREAD parts of its key.
     linked = named.where(F.col("component").isNotNull()).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
     of_root = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
