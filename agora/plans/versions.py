@@ -54,27 +54,54 @@ def artifact_current_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SRC-02 SRC-03 SRC-07", """
-WITH t AS (SELECT count(*) AS total FROM events)
-SELECT event_id // 100 AS page, total, event_id AS id, count(*) OVER (PARTITION BY event_id // 100) < 100 OR (event_id // 100 + 1) * 100 >= total AS complete FROM events, t WHERE (event_id // 100) % 4 <> 3""")
+WITH t AS (SELECT count(*) AS total FROM events), p AS (SELECT event_id // 100 AS page, count(*) AS n FROM events GROUP BY page)
+SELECT page, total, n < 100 OR (page + 1) * 100 >= total AS complete, event_id AS id FROM events JOIN p ON page = event_id // 100, t""")
 def page_envelope_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of JSON envelopes of 100 records; an envelope with the code for no data is an empty page."""
+    """Rows of JSON envelopes of 100 records; the page after the last has the code for no data and no row."""
     events = table(spark, sf_dir, "events")
-    total = events.agg(F.count("*").alias("total"))
-    pages = events.groupBy((F.floor(F.col("event_id") / 100)).alias("page")).agg(F.collect_list(F.struct(F.col("event_id").alias("id"))).alias("row"))
-    code = F.when(F.col("page") % 4 == 3, "INFO-200").otherwise("INFO-000")
-    raw = pages.crossJoin(F.broadcast(total)).select("page", F.to_json(F.struct(code.alias("code"), "total", "row")).alias("body"))  # a single row
-    read = raw.select("page", F.from_json("body", "code string, total bigint, row array<struct<id: bigint>>").alias("e")).where("e.code <> 'INFO-200'")
+    pages = events.groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(F.collect_list(F.struct(F.col("event_id").alias("id"))).alias("row"))
+    total = F.broadcast(events.agg(F.count("*").alias("total"), (F.floor(F.max("event_id") / 100) + 1).alias("beyond")))  # a single row
+    sent = pages.join(total).select("page", F.to_json(F.struct(F.lit("INFO-000").alias("code"), "total", "row")).alias("body"))
+    empty = total.select(F.col("beyond").alias("page"), F.to_json(F.struct(F.lit("INFO-200").alias("code"))).alias("body"))
+    read = sent.union(empty).select("page", F.from_json("body", "code string, total bigint, row array<struct<id: bigint>>").alias("e")).where("e.code <> 'INFO-200'")
     complete = (F.size("e.row") < 100) | ((F.col("page") + 1) * 100 >= F.col("e.total"))
     return read.select("page", F.col("e.total").alias("total"), complete.alias("complete"), F.explode("e.row.id").alias("id"))
 
 
-@query("SRC-18", """
-SELECT o_orderkey // 100 AS page, count(*) AS n, count(DISTINCT o_orderkey) = 100 AS accounted FROM orders WHERE o_orderkey // 100 > 3 AND o_orderkey // 100 <= 8 GROUP BY ALL""")
+@query("SM-01 SNK-06", """
+WITH c AS (SELECT o_custkey % 20 AS source, max(o_orderkey // 100) AS done FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0 GROUP BY source),
+p AS (SELECT o_custkey % 20 AS source, o_orderkey // 100 AS page, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT p.*, row_number() OVER (PARTITION BY p.source ORDER BY page) AS k FROM p LEFT JOIN c USING (source) WHERE page > coalesce(done // 2, -1))
+SELECT source, page, n, max(page) OVER (PARTITION BY source) AS checkpoint FROM r WHERE k <= 5""")
 def resumable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next five pages after a checkpoint, with their count held against what is expected."""
-    page = F.floor(F.col("o_orderkey") / 100)
-    rows = table(spark, sf_dir, "orders").where("o_orderkey >= 400 AND o_orderkey < 900")
-    return rows.groupBy(page.alias("page")).agg(F.count("*").alias("n"), (F.count_distinct("o_orderkey") == 100).alias("accounted"))
+    """The next five pages of every source after its checkpoint, a row of a control table, and the checkpoint they lead to."""
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("source"), F.floor(F.col("o_orderkey") / 100).alias("page"), "o_orderkey", "o_orderstatus")
+    control = rows.where("o_orderstatus = 'F' AND o_orderkey % 3 = 0").groupBy("source").agg(F.floor(F.max("page") / 2).alias("done"))
+    pages = rows.groupBy("source", "page").agg(F.count("*").alias("n")).join(control, "source", "left").where(F.col("page") > F.coalesce("done", F.lit(-1)))
+    taken = ordered.ranked(pages, ["source"], [F.col("page")]).where("rank <= 5")
+    return taken.select("source", "page", "n", F.max("page").over(Window.partitionBy("source")).alias("checkpoint"))
+
+
+@query("SRC-18", """
+SELECT o_orderkey // 100 AS page, count(*) AS n, count(DISTINCT o_custkey) AS members, 100 AS expected, CASE WHEN count(DISTINCT o_custkey) < count(*) THEN 'duplicate' WHEN count(*) <> 100 THEN 'incomplete' ELSE 'complete' END AS state FROM orders GROUP BY page""")
+def roster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a roster against what they claim to hold: a member twice is worse than one missing."""
+    pages = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 100).alias("page")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("members"))
+    state = F.when(F.col("members") < F.col("n"), "duplicate").when(F.col("n") != 100, "incomplete").otherwise("complete")
+    return pages.select("page", "n", "members", F.lit(100).alias("expected"), state.alias("state"))
+
+
+@query("SRC-10", """
+WITH r AS (SELECT o_custkey AS number, 1 + o_orderkey // 500 AS page, o_orderkey AS k FROM orders), l AS (SELECT max(page) AS last FROM r),
+c AS (SELECT page FROM (SELECT DISTINCT page FROM r), l WHERE page <= 3 OR ((page - 4 - 7) % greatest(1, last - 3) + greatest(1, last - 3)) % greatest(1, last - 3) < 5),
+o AS (SELECT r.*, row_number() OVER (PARTITION BY number ORDER BY page > 3, page, k) AS w FROM r JOIN c USING (page)) SELECT number, page, k FROM o WHERE w = 1""")
+def bill_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle over a board: its three hot pages and five more from the sweep's cursor on, around the end; of a number that
+    stands on several pages the first row met counts."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("number"), (1 + F.floor(F.col("o_orderkey") / 500)).alias("page"), F.col("o_orderkey").alias("k"))
+    last = F.broadcast(rows.agg(F.greatest(F.lit(1), F.max("page") - 3).alias("rest")))  # a single row
+    due = (F.col("page") <= 3) | (F.pmod(F.col("page") - 4 - 7, F.col("rest")) < 5)
+    first = ordered.latest_by(rows.join(last).where(due), ["number"], [F.col("page") > 3, F.col("page"), F.col("k")])
+    return first.select("number", "page", "k")
 
 
 @query("SM-08 SRC-06", """
