@@ -35,7 +35,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` as a table in ``path``, read again: later jobs neither recompute it nor depend on lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
