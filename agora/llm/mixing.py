@@ -116,7 +116,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     sized = docs.withColumn("size", size_of(F.col(text)))
     counted = written(sized.groupBy(F.col(source).alias("source"), "size").agg(F.count("*").alias("n")), new_folder(spark, "mix-sizes"))
     goals = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
-    histogram = counted.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    histogram = counted.join(goals.withColumnRenamed("source", "__source").hint("merge"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     histogram = written(histogram, new_folder(spark, "mix-histogram"))
     plan = written(group_copies(rates(histogram, cap), cap), new_folder(spark, "mix-plan"))
 
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     text_source = F.col(source).cast("string")
     keyed = sized.withColumns({"__none": F.col(source).isNull(), "__source": F.coalesce(text_source, F.lit("")), "__size": F.col("size")}).join(hot, keys, "left")
     keyed = keyed.withColumn("__block", F.pmod(F.xxhash64(F.col(doc_id)), F.coalesce("__blocks", F.lit(1).cast("bigint"))))
-    many = keyed.where(F.col("__blocks").isNotNull()).groupBy(*keys, "__block").agg(F.count("*").alias("__m")).join(whole, keys)
+    many = keyed.where(F.col("__blocks").isNotNull()).groupBy(*keys, "__block").agg(F.count("*").alias("__m")).join(whole.hint("merge"), keys)
     along = Window.partitionBy(*keys).orderBy("__block")
     many = many.withColumn("__end", F.sum("__m").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     many = many.withColumn("__upto", F.expr("cast(cast(__end as decimal(38,0)) * __group_copies div __n as bigint)"))
