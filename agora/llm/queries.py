@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, each over its whole table, and the SQL that some can be held against."""
+"""The registered queries of the numbered operators, each over its whole table, and the SQL that some can be held against."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, mixing, packing, quality, simhash, token_counts, token_files, topk, warc
+from . import collocations, html, langid, licenses, mixing, packing, quality, simhash, token_counts, token_files, topk, warc, whitening
 from .shared import new_folder
 from .tokens import public_path
 
@@ -82,7 +82,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(fold(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_best_fit_packing, op4_token_counts, op5_html_text, op6_exact_top_k, op7_warc, op8_simhash_groups, op9_source_mix, op10_language_id)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 8 whitened components, with its exact deviation; null where that passes 63 bits."""
+    found = whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8), "vec_id")
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of 2 to 3 words of each language."""
+    found = collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside_percent=50, top=2000)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_best_fit_packing, op4_token_counts, op5_html_text, op6_exact_top_k, op7_warc, op8_simhash_groups, op9_source_mix, op10_language_id, op11_whitening, op12_collocations, op13_license_scan)}
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in quality.STOP_WORDS)
 
@@ -146,4 +163,66 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op7_warc": OP7_SQL}
+OP12_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, 1 AS m, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' '))) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) FROM w),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:m], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * cuts.a * cuts.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = cuts.head JOIN f r ON r.lang = cuts.lang AND r.phrase = cuts.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, part, max(a) AS around FROM (
+    SELECT lang, a, array_to_string(ws[1:2], ' ') AS part FROM c WHERE m = 3 UNION ALL SELECT lang, a, array_to_string(ws[2:3], ' ') FROM c WHERE m = 3)
+  GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.part = b.phrase WHERE o.around IS NULL OR 100 * o.around < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT kept.*, n, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept JOIN totals USING (lang))
+WHERE rank <= 2000
+"""
+
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()}, string_split('{t.text}', ' '))" for i, t in enumerate(licenses.BASE + licenses.NOTICES))
+
+OP13_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.GAPS}'), lambda w: w <> '') AS ws
+  FROM documents),
+templates(template, label, base, ws) AS (VALUES {_TEMPLATES}),
+t AS (
+  SELECT *, len(ws) AS m, CASE WHEN len(ws) >= 5 THEN 5 ELSE 2 END AS k,
+    CASE WHEN len(ws) < 8 THEN 0 ELSE len(ws) // 10 END AS band, CASE WHEN len(ws) < 8 THEN 1.0 ELSE 0.8 END AS least
+  FROM templates),
+tw AS (SELECT template, label, base, m, k, band, least, q, array_to_string(ws[q + 1:q + k], ' ') AS gram FROM (SELECT *, unnest(range(0, m - k + 1)) AS q FROM t)),
+dw AS (
+  SELECT row, 2 AS k, unnest(range(0, len(ws) - 1)) AS p, unnest(list_transform(range(0, len(ws) - 1), lambda i: array_to_string(ws[i + 1:i + 2], ' '))) AS gram FROM docs
+  UNION ALL SELECT row, 5, unnest(range(0, len(ws) - 4)), unnest(list_transform(range(0, len(ws) - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' '))) FROM docs),
+met AS (SELECT dw.row, dw.p, tw.* FROM dw JOIN tw ON dw.gram = tw.gram AND dw.k = tw.k),
+steps AS (SELECT *, p - q AS diagonal, CASE WHEN p - q - lag(p - q) OVER (PARTITION BY row, template ORDER BY p - q) <= band THEN 0 ELSE 1 END AS begins FROM met),
+islands AS (SELECT *, sum(begins) OVER (PARTITION BY row, template ORDER BY diagonal RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM steps),
+covered AS (SELECT row, template, label, base, m, least, island, p, unnest(range(q, q + k)) AS word FROM islands),
+places AS (
+  SELECT row, template, label, base, island, min(p) AS first, count(DISTINCT word) / m AS similarity
+  FROM covered GROUP BY row, template, label, base, m, least, island HAVING count(DISTINCT word) / m >= least),
+found AS (
+  SELECT row, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+    coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ','), '') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(similarity) AS score
+  FROM places GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN found USING (row)
+"""
+
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op7_warc": OP7_SQL, "op12_collocations": OP12_SQL, "op13_license_scan": OP13_SQL}
