@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import headlines
+from .mentions import places
 from .ordered import ranked
 
 THRESHOLD, MEMBERS, COPY, CAP = 0.42, 5, 0.82, 2000
@@ -71,8 +72,9 @@ def clustered(articles: DataFrame, cap: int = CAP) -> DataFrame:
 def trend_matches(articles: DataFrame, trends: DataFrame) -> DataFrame:
     """(run, url, keyword): search keywords of two or more characters that stand, without spaces, in a normalised title."""
     asked = trends.where(F.length("keyword") >= 2).select("run", "keyword", F.replace("keyword", F.lit(" "), F.lit("")).alias("__needle")).distinct()
-    met = articles.select("run", "url", headlines.normalised(F.col("title")).alias("__title")).join(asked, "run")
-    return met.where(F.col("__title").contains(F.col("__needle"))).select("run", "url", "keyword")
+    titles = articles.select("run", "url", headlines.normalised(F.col("title")).alias("__title"))
+    met = places(titles, ["run", "url"], "__title", asked, "__needle").select("run", "url", F.col("surface").alias("__needle")).distinct()
+    return met.join(asked, ["run", "__needle"]).select("run", "url", "keyword")
 
 
 def candidates(clusters: DataFrame, runs: DataFrame, trends: DataFrame, limit: int = 10) -> DataFrame:

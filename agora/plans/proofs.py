@@ -71,14 +71,14 @@ def covering_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.covering_units(spans, units, "doc_id", 300).select("doc_id", F.array_join("units", ",").alias("units"))
 
 
-def letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(texts, names, lengths): letters that name customers by name and by nickname, which several share."""
+def letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, names): letters that name customers by name and by nickname, which several share."""
     k = F.col("o_custkey")
     text = F.concat(F.lit("Meeting of Customer#"), F.lpad(k.cast("string"), 9, "0"), F.lit(" and nick <"), k % 40, F.lit("> on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(k % 3 == 0, F.concat(F.lit("; Customer#"), F.lpad(k.cast("string"), 9, "0"))).otherwise(""))
     texts = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
     c = table(spark, sf_dir, "customer")
     names = c.select(F.col("c_name").alias("surface"), F.col("c_custkey").alias("person")).union(c.select(F.concat(F.lit("nick <"), F.col("c_custkey") % 40, F.lit(">")), "c_custkey"))
-    return texts, names, sorted(r[0] for r in names.select(F.length("surface")).distinct().collect())  # a row per length of a name
+    return texts, names
 
 
 @query("TX-12 JN-22 SL-13", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), n AS (SELECT c_custkey % 40 AS nick, count(*) AS n FROM customer GROUP BY nick)
@@ -87,15 +87,15 @@ UNION ALL SELECT k, 'nick <' || c % 40 || '>', 34, 41 + length((c % 40)::VARCHAR
 UNION ALL SELECT k, 'Customer#' || lpad(c::VARCHAR, 9, '0'), 57 + length((c % 40)::VARCHAR), 75 + length((c % 40)::VARCHAR), 1 FROM o WHERE c % 3 = 0""")
 def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a known name with its offsets and how many persons it may mean."""
-    texts, names, lengths = letters(spark, sf_dir)
-    return proofs.mentions(texts, "o_orderkey", "text", names, lengths).select("o_orderkey", "surface", "start", "end", F.size("candidates").cast("bigint").alias("persons"))
+    texts, names = letters(spark, sf_dir)
+    return proofs.mentions(texts, "o_orderkey", "text", names).select("o_orderkey", "surface", "start", "end", F.size("candidates").cast("bigint").alias("persons"))
 
 
 @query("FL-11", """SELECT o_orderkey FROM orders WHERE o_custkey % 2 = 0 OR (o_custkey % 40) % 5 = 0 AND o_custkey % 40 < 10""")
 def reviewed_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters whose evidence span, the first 42 characters, holds a whole approved mention."""
-    texts, names, lengths = letters(spark, sf_dir)
-    found = proofs.mentions(texts, "o_orderkey", "text", names, lengths)
+    texts, names = letters(spark, sf_dir)
+    found = proofs.mentions(texts, "o_orderkey", "text", names)
     number = F.regexp_extract("surface", "([0-9]+)", 1).try_cast("int")
     approved = found.where(F.when(F.col("surface").startswith("nick"), number % 5 == 0).otherwise(number % 2 == 0))
     spans = texts.select("o_orderkey", F.lit(0).alias("span"), F.lit(0).alias("start"), F.lit(42).alias("end"))
