@@ -5,10 +5,10 @@ words; prefix doubling ranks its suffixes by their first words, never beyond a p
 longest common prefix, and its intervals of n words or more are the shard's n-grams with their counts.  Spark adds the counts of
 all shards by (language, phrase).
 
-Lengths are counted one after the other.  A phrase that is frequent enough has only parts that are, so the n-grams of
-one length, once merged and cut at ``least``, leave a filter of bits in the shared folder, and shards count an (n+1)-gram only
-where the filter has both its n-grams.  The filter has a fixed number of bits; one that fills up saves less and loses
-nothing.
+A phrase that is frequent enough has only parts that are, so lengths are counted one after the other: the sums of the
+n-grams' 64-bit keys that reach ``least`` leave a filter of bits in the shared folder, and shards count an (n+1)-gram only where
+the filter has both its n-grams.  A last pass counts the phrases themselves, as strings, that the filters still have.  A filter has
+a fixed number of bits; one that fills up, or two phrases of one key, save less and lose nothing.
 
 Defined results: a null or empty text has no word; a null language is ``und``, as is that name.  Words and pieces are
 those of bytes, so invalid text stays as it is.  Repeated rows count each time.  Other columns are not read.  An empty table, and
@@ -32,7 +32,7 @@ from .shared import file_system, join_spread, new_folder, written
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BYTES = bytes(10 if b in BREAKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 FILTER_BITS = 27
 BUCKETS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -91,41 +91,57 @@ class Shard:
         offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
         data = np.ascontiguousarray(b[~gap])
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        self.words, self.ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        pieces = np.cumsum(b == 10)[begins]
-        last = np.concatenate([pieces[1:] != pieces[:-1], [True]]) if len(begins) else np.zeros(0, dtype=bool)
-        at_last = np.flatnonzero(last)
-        self.room = at_last[np.searchsorted(at_last, np.arange(len(begins)))] - np.arange(len(begins)) + 1 if len(begins) else begins
+        self.words, self.ids = coded.dictionary, coded.indices.to_numpy().astype(np.int32)
+        pieces = np.cumsum(b == 10, dtype=np.int32)[begins]
+        last = np.flatnonzero(np.concatenate([pieces[1:] != pieces[:-1], [True]])) if len(begins) else begins
+        sizes = np.diff(np.concatenate([[-1], last]))
+        self.room = (np.repeat(last, sizes) - np.arange(len(begins)) + 1).astype(np.int32)
         self.own = begins < end
 
-    def keys(self, lang: str, n: int) -> np.ndarray:
-        """A 64-bit key of the n-gram at every place that has room for it."""
+    def hashes(self) -> np.ndarray:
+        """A hash of every different word."""
         from xxhash import xxh64_intdigest
 
-        hashed = np.fromiter((xxh64_intdigest(w) for w in self.words.to_pylist()), dtype=np.uint64, count=len(self.words))[self.ids]
-        return fold([hashed[k : len(hashed) - n + 1 + k] for k in range(n)], np.uint64(xxh64_intdigest(lang.encode())))
+        return np.fromiter(map(xxh64_intdigest, self.words.to_pylist()), dtype=np.uint64, count=len(self.words))
+
+    def starts(self, n: int) -> np.ndarray:
+        """Places of this shard's own where n words follow in the piece."""
+        return np.flatnonzero((self.room >= n) & self.own)
+
+    def keys(self, hashes: np.ndarray, lang: str, places: np.ndarray, n: int) -> np.ndarray:
+        """A 64-bit key of the n-gram at each place."""
+        from xxhash import xxh64_intdigest
+
+        key = np.full(len(places), xxh64_intdigest(lang.encode()), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                key = (key ^ hashes[self.ids[places + k]]) * _MIX
+                key ^= key >> np.uint64(29)
+        return key
 
     def suffixes(self, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(suffix array of ``starts`` by their first n words, longest common prefix with the one before, at most n).
 
         Prefix doubling: ranks by h words and the ranks h places on give ranks by 2 h; the last step overlaps to end at n.
         """
-        rank, h = self.ids + 1, 1
+        rank, h = self.ids.astype(np.int64) + 1, 1
+        key = rank
         while h < n:
             step = min(h, n - h)
             after = np.zeros_like(rank)
             after[: len(rank) - step] = rank[step:]
             after[self.room <= step] = 0  # nothing is left of the piece, which comes before any word
             key = rank * (int(rank.max(initial=0)) + 1) + after
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
             h += step
-        order = starts[np.argsort(rank[starts], kind="stable")]
-        common = np.zeros(len(order), dtype=np.int64)
+            if h < n:
+                rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        order = starts[np.argsort(key[starts], kind="stable")]
+        common = np.zeros(len(order), dtype=np.int8)
         same = np.ones(max(0, len(order) - 1), dtype=bool)
         for k in range(n):
             a, b = order[:-1], order[1:]
-            inside = (self.room[a] > k) & (self.room[b] > k)
-            same &= inside & (self.ids[np.minimum(a + k, len(self.ids) - 1)] == self.ids[np.minimum(b + k, len(self.ids) - 1)])
+            same &= (self.room[a] > k) & (self.room[b] > k)
+            same &= self.ids[np.minimum(a + k, len(self.ids) - 1)] == self.ids[np.minimum(b + k, len(self.ids) - 1)]
             common[1:] += same
         return order, common
 
@@ -147,71 +163,95 @@ def _small(strings: pa.Array) -> tuple[pa.Buffer, pa.Buffer]:
     return strings.buffers()[1], strings.buffers()[2]
 
 
-def fold(words: list[np.ndarray], seed: np.uint64) -> np.ndarray:
-    """Keys of phrases from the hashes of their words."""
-    with np.errstate(over="ignore"):
-        key = np.full(len(words[0]), seed, dtype=np.uint64)
-        for w in words:
-            key = (key ^ w) * _MIX
-            key ^= key >> np.uint64(29)
-        return key
+class _Filter:
+    """The bits of a stored filter."""
 
+    def __init__(self, folder: str, bits: int):
+        fs, path = file_system(folder)
+        found = pq.read_table(path, filesystem=fs)
+        self.table = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        self.table[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
 
-def _load(folder: str, bits: int) -> np.ndarray:
-    fs, path = file_system(folder)
-    found = pq.read_table(path, filesystem=fs)
-    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    table[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return table
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slots = ((keys >> np.uint64(6)) & np.uint64(len(self.table) - 1)).astype(np.int64)
+        return (self.table[slots] >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _counted(n: int, folder: str | None, bits: int, size: int):
-    """Counts of n-grams by shard, of those whose (n-1)-grams are in the filter."""
+def _parts(arrays: list, names: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(arrays, names=names)
+    for start in range(0, whole.num_rows, rows):
+        yield whole.slice(start, rows)
+
+
+def _words_counted(size: int):
+    """(lang, phrase, key, f) of the words of each shard."""
 
     def run(batches):
-        known = None if folder is None else _load(folder, bits)
-        for lang, text, end in shards(batches, n, size):
+        for lang, text, end in shards(batches, 1, size):
             shard = Shard(text, end)
-            good = (shard.room >= n) & shard.own
-            if known is not None and len(shard.ids) >= n:
-                keys = shard.keys(lang, n - 1)
-                slots = (keys >> np.uint64(6)) & np.uint64(len(known) - 1)
-                frequent = (known[slots.astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
-                good[: len(frequent) - 1] &= frequent[:-1] & frequent[1:]
-            places, numbers = shard.counts(np.flatnonzero(good), n)
-            for start in range(0, len(places), 1 << 16):
-                some = places[start : start + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), shard.phrases(some, n), pa.array(numbers[start : start + (1 << 16)], pa.int64())], names=["lang", "phrase", "f"])
-            del shard
+            places, numbers = shard.counts(shard.starts(1), 1)
+            keys = shard.keys(shard.hashes(), lang, places, 1).view(np.int64)
+            yield from _parts([pa.array([lang] * len(places), pa.string()), shard.phrases(places, 1), pa.array(keys), pa.array(numbers, pa.int64())], ["lang", "phrase", "key", "f"])
             pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _bits(bits: int):
-    """The bits that phrases set, put together by batch."""
+def _keys_counted(n: int, below: str, bits: int, size: int):
+    """(key, f) of the n-grams of each shard both of whose (n-1)-grams the filter ``below`` has."""
 
     def run(batches):
-        from xxhash import xxh64_intdigest
+        known = _Filter(below, bits)
+        for lang, text, end in shards(batches, n, size):
+            shard = Shard(text, end)
+            hashes, starts = shard.hashes(), shard.starts(n)
+            for k in (0, 1):
+                starts = starts[known.has(shard.keys(hashes, lang, starts + k, n - 1))]
+            places, numbers = shard.counts(starts, n)
+            yield from _parts([pa.array(shard.keys(hashes, lang, places, n).view(np.int64)), pa.array(numbers, pa.int64())], ["key", "f"])
+            pa.default_memory_pool().release_unused()
+
+    return run
 
-        for batch in batches:
-            keys = np.zeros(batch.num_rows, dtype=np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist())):
-                words = [np.array([xxh64_intdigest(w)], dtype=np.uint64) for w in phrase.split(b" ")]
-                keys[i] = fold(words, np.uint64(xxh64_intdigest(lang.encode())))[0]
-            slots = ((keys >> np.uint64(6)) & np.uint64((1 << (bits - 6)) - 1)).astype(np.int64)
-            order = np.argsort(slots, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(slots[order]) > 0])) if len(order) else order
-            set_ = np.bitwise_or.reduceat((np.uint64(1) << (keys & np.uint64(63)))[order], first) if len(order) else keys
-            yield pa.RecordBatch.from_arrays([pa.array(slots[order][first], pa.int64()), pa.array(set_.view(np.int64))], names=["slot", "bits"])
+
+def _phrases_counted(filters: dict[int, str], bits: int, size: int):
+    """(lang, phrase, words, f) of the n-grams of each shard that the filter of their length has."""
+
+    def run(batches):
+        known = {n: _Filter(folder, bits) for n, folder in filters.items()}
+        for lang, text, end in shards(batches, max(filters), size):
+            shard = Shard(text, end)
+            hashes = shard.hashes()
+            for n, passed in known.items():
+                starts = shard.starts(n)
+                places, numbers = shard.counts(starts[passed.has(shard.keys(hashes, lang, starts, n))], n)
+                count = len(places)
+                yield from _parts([pa.array([lang] * count, pa.string()), shard.phrases(places, n), pa.array([n] * count, pa.int32()), pa.array(numbers, pa.int64())], ["lang", "phrase", "words", "f"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def ngrams(docs: DataFrame, n: int, folder: str, filter_folder: str | None = None, least: int = 1, bits: int = FILTER_BITS, size: int = SHARD_BYTES) -> DataFrame:
-    """A stored table (lang, phrase, f) of the n-grams of ``docs(lang, text)`` with at least ``least`` occurrences."""
-    found = docs.mapInArrow(_counted(n, filter_folder, bits, size), "lang string, phrase string, f bigint")
-    return written(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), folder)
+def _filtered(keys: DataFrame, folder: str, bits: int) -> str:
+    """Stores the bits of ``keys`` (key): at most 2 ** (bits - 6) rows."""
+    slot = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1)).alias("slot")
+    written(keys.groupBy(slot).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")), folder)
+    return folder
+
+
+def ngrams(docs: DataFrame, longest: int, least: int, folder: str, bits: int = FILTER_BITS, size: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(words, phrases) of ``docs(lang, text)``: all words as (lang, phrase, f), phrases of 2 to ``longest`` words with at least
+    ``least`` occurrences as (lang, phrase, words, f)."""
+    found = docs.mapInArrow(_words_counted(size), "lang string, phrase string, key bigint, f bigint")
+    words = written(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.first("key").alias("key")), f"{folder}/words")
+    filters = {1: _filtered(words.where(F.col("f") >= least).select("key"), f"{folder}/filter-1", bits)}
+    for n in range(2, longest + 1):
+        keys = docs.mapInArrow(_keys_counted(n, filters[n - 1], bits, size), "key bigint, f bigint")
+        filters[n] = _filtered(keys.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("key"), f"{folder}/filter-{n}", bits)
+    del filters[1]
+    found = docs.mapInArrow(_phrases_counted(filters, bits, size), "lang string, phrase string, words int, f bigint")
+    phrases = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return words.select("lang", "phrase", "f"), written(phrases, f"{folder}/phrases")
 
 
 def _words(phrase: Column) -> Column:
@@ -232,20 +272,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     spark = docs.sparkSession
     folder = new_folder(spark, "collocations")
     read = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    words = ngrams(read, 1, f"{folder}/1", bits=bits, size=size)
+    words, candidates = ngrams(read, longest, least, folder, bits, size)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    grams = words.where(F.col("f") >= least)
-    levels = [grams.withColumn("words", F.lit(1))]
-    for n in range(2, longest + 1):
-        # As many rows as the filter has slots at most.
-        slots = grams.select("lang", "phrase").mapInArrow(_bits(bits), "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
-        written(slots, f"{folder}/filter-{n}")
-        grams = ngrams(read, n, f"{folder}/{n}", f"{folder}/filter-{n}", least, bits, size)
-        levels.append(grams.withColumn("words", F.lit(n)))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    candidates = every.where("words > 1")
+    every = words.where(F.col("f") >= least).unionByName(candidates.select("lang", "phrase", "f"))
 
     # The parts of a phrase occur as often as it does, so they are in the tables too.
     cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("cut"))
