@@ -35,6 +35,8 @@ _BYTES = bytes(10 if b in BREAKS else 32 if b == 9 else b + 32 if 65 <= b <= 90
 SHARD_BYTES = 8 << 20
 FILTER_BITS = 27
 BUCKETS = 32
+#: Counts that a task puts together before they leave it.
+MERGED_ROWS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,30 +179,46 @@ class _Filter:
         return (self.table[slots] >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _parts(arrays: list, names: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_arrays(arrays, names=names)
-    for start in range(0, whole.num_rows, rows):
-        yield whole.slice(start, rows)
+def _merged(batches: Iterator[pa.RecordBatch], by: list[str], most: int = MERGED_ROWS) -> Iterator[pa.RecordBatch]:
+    """The sums of f by the columns ``by`` of a task's shards; they leave it whenever there are more than ``most``, and at the end."""
+    held, rows = [], 0
+
+    def together() -> pa.Table:
+        table = pa.Table.from_batches(held)
+        summed = table.group_by(by, use_threads=False).aggregate([("f", "sum")])
+        return summed.rename_columns([*by, "f"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > most:
+            table = together()
+            if table.num_rows > most // 2:
+                yield from table.to_batches(max_chunksize=1 << 16)
+                table = table.slice(0, 0)
+            held, rows = table.combine_chunks().to_batches(), table.num_rows
+    if held:
+        yield from together().to_batches(max_chunksize=1 << 16)
+    pa.default_memory_pool().release_unused()
 
 
 def _words_counted(size: int):
     """(lang, phrase, key, f) of the words of each shard."""
 
-    def run(batches):
+    def counted(batches):
         for lang, text, end in shards(batches, 1, size):
             shard = Shard(text, end)
             places, numbers = shard.counts(shard.starts(1), 1)
             keys = shard.keys(shard.hashes(), lang, places, 1).view(np.int64)
-            yield from _parts([pa.array([lang] * len(places), pa.string()), shard.phrases(places, 1), pa.array(keys), pa.array(numbers, pa.int64())], ["lang", "phrase", "key", "f"])
-            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), shard.phrases(places, 1), pa.array(keys), pa.array(numbers, pa.int64())], names=["lang", "phrase", "key", "f"])
 
-    return run
+    return lambda batches: _merged(counted(batches), ["lang", "phrase", "key"])
 
 
 def _keys_counted(n: int, below: str, bits: int, size: int):
     """(key, f) of the n-grams of each shard both of whose (n-1)-grams the filter ``below`` has."""
 
-    def run(batches):
+    def counted(batches):
         known = _Filter(below, bits)
         for lang, text, end in shards(batches, n, size):
             shard = Shard(text, end)
@@ -208,16 +226,15 @@ def _keys_counted(n: int, below: str, bits: int, size: int):
             for k in (0, 1):
                 starts = starts[known.has(shard.keys(hashes, lang, starts + k, n - 1))]
             places, numbers = shard.counts(starts, n)
-            yield from _parts([pa.array(shard.keys(hashes, lang, places, n).view(np.int64)), pa.array(numbers, pa.int64())], ["key", "f"])
-            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array(shard.keys(hashes, lang, places, n).view(np.int64)), pa.array(numbers, pa.int64())], names=["key", "f"])
 
-    return run
+    return lambda batches: _merged(counted(batches), ["key"])
 
 
 def _phrases_counted(filters: dict[int, str], bits: int, size: int):
     """(lang, phrase, words, f) of the n-grams of each shard that the filter of their length has."""
 
-    def run(batches):
+    def counted(batches):
         known = {n: _Filter(folder, bits) for n, folder in filters.items()}
         for lang, text, end in shards(batches, max(filters), size):
             shard = Shard(text, end)
@@ -226,10 +243,9 @@ def _phrases_counted(filters: dict[int, str], bits: int, size: int):
                 starts = shard.starts(n)
                 places, numbers = shard.counts(starts[passed.has(shard.keys(hashes, lang, starts, n))], n)
                 count = len(places)
-                yield from _parts([pa.array([lang] * count, pa.string()), shard.phrases(places, n), pa.array([n] * count, pa.int32()), pa.array(numbers, pa.int64())], ["lang", "phrase", "words", "f"])
-            pa.default_memory_pool().release_unused()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * count, pa.string()), shard.phrases(places, n), pa.array([n] * count, pa.int32()), pa.array(numbers, pa.int64())], names=["lang", "phrase", "words", "f"])
 
-    return run
+    return lambda batches: _merged(counted(batches), ["lang", "phrase", "words"])
 
 
 def _filtered(keys: DataFrame, folder: str, bits: int) -> str:
