@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import feeds, files, landing, pages
+from ..sources import feeds, files, landing, pages, segments
 from ..streaming import incremental
 from .registry import query, table
 
@@ -41,7 +41,7 @@ def board_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(customer() % 5 > 0, F.date_format("o_orderdate", "yyyy.MM.dd")).otherwise("-")
     row = text("<tr><td>1</td><td class=l><a class='x c-board-title' href='?mode=view&amp;articleNo=", number, "'> Notice &amp; ", order_key().cast("string"), "<br> of <b>", F.col("o_orderpriority"), "</b></a></td><td> Agency ", (customer() % 7).cast("string"), "</td><td>", day, "</td></tr>")
     html = joined(table(spark, sf_dir, "orders"), page(), row).select("page", text("<html><body><table><tbody>", F.col("body"), "</tbody></table></body></html>").alias("html"))
-    tree = pages.elements(html, "page", "html", ("a", "td"))
+    tree = pages.elements(html, "page", "html", ("a", "td"), above=("tr",))
     return pages.listing(tree, "page")
 
 
@@ -60,7 +60,7 @@ def bill_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.bills(pages.elements(html, "page", "html", ("a", "td")), "page")
 
 
-@query("SRC-05 SRC-09 SRC-20 SRC-22", """SELECT o_orderkey AS page, field, value FROM (SELECT o_orderkey, unnest(['발의정보', '제안이유 및 주요내용', '소관']) AS field,
+@query("SRC-09 SRC-20", """SELECT o_orderkey AS page, field, value FROM (SELECT o_orderkey, unnest(['발의정보', '제안이유 및 주요내용', '소관']) AS field,
   unnest(['제' || lpad(o_orderkey::VARCHAR, 7, '0') || '호 (' || o_orderpriority || ')', 'Reason of ' || o_custkey || ' in lines', 'Office ' || o_custkey % 3]) AS value FROM orders)""")
 def detail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of detail pages by their headings; of a heading that stands twice the last one counts."""
@@ -70,6 +70,48 @@ def detail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.headed_fields(pages.elements(html, "page", "html", ("th", "td")), "page")
 
 
+@query("SRC-22", r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inner_ FROM pages),
+t AS (SELECT page_id, inner_, list_filter(list_transform(string_split(regexp_replace(inner_, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: trim(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))), lambda x: x <> '') AS parts, strpos(inner_, '<p><b>') AS loose FROM a)
+SELECT page_id, array_to_string(parts, ' ') AS text, (1 + CASE WHEN loose > 0 THEN len(string_split(left(inner_, loose - 1), '<p>')) ELSE len(string_split(inner_, '<p>')) - 1 END)::BIGINT AS segments, true AS mapped FROM t""")
+def article_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the articles of all pages, in order, and whether each is found in the source by its locator: from its opening
+    tag on.  A paragraph that is never closed holds those after it."""
+    read = table(spark, sf_dir, "pages")
+    found = segments.html_segments(read, "page_id", "html", "article")
+    source = found.join(read.select("page_id", "html"), "page_id")
+    there = F.substring("html", F.col("at") + 1, F.lit(3)).isin("<h1", "<p>") & (F.col("upto") > F.col("at"))
+    parts = F.array_sort(F.collect_list(F.struct("container", "block", "text")))
+    return source.withColumn("there", there).groupBy("page_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), F.count("*").alias("segments"), F.bool_and("there").alias("mapped"))
+
+
+@query("SRC-22", """SELECT o_orderkey AS page, place, text FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS place, unnest([CASE WHEN o_custkey % 4 > 0 THEN 'Title ' || o_custkey END, o_orderkey::VARCHAR, CASE WHEN o_custkey % 5 > 0 THEN 'Body of ' || o_orderpriority END]) AS text FROM orders WHERE o_custkey % 13 > 0) WHERE text IS NOT NULL""")
+def json_document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named fields of JSON documents, texts and numbers only; what is no JSON has none."""
+    title = F.when(customer() % 4 > 0, text("Title ", customer().cast("string")))
+    inner = F.when(customer() % 5 > 0, F.struct(F.concat(F.lit("Body of "), "o_orderpriority").alias("text")))
+    made = F.to_json(F.struct(title.alias("title"), order_key().alias("number"), inner.alias("body"), (customer() % 2 == 0).alias("open")))
+    read = table(spark, sf_dir, "orders").select(order_key().alias("page"), F.when(customer() % 13 > 0, made).otherwise("{broken").alias("raw"))
+    return segments.json_segments(read, "page", "raw", ("title", "number", "body.text", "open", "body")).select("page", "place", "text")
+
+
+@query("SRC-05", """SELECT o_orderkey AS page, CASE WHEN o_custkey % 9 = 4 THEN 'structure_missing' ELSE 'ok' END AS status, 'Title ' || o_orderkey AS title, CASE WHEN o_custkey % 9 <> 4 THEN 'First ' || o_orderpriority || ' then ' || o_custkey END AS body,
+  CASE o_custkey % 4 WHEN 0 THEN o_orderdate - INTERVAL 9 HOUR WHEN 1 THEN o_orderdate + INTERVAL 15 HOUR WHEN 2 THEN o_orderdate + INTERVAL 1 HOUR ELSE o_orderdate + INTERVAL 1 HOUR END AS published,
+  CASE WHEN o_custkey % 4 = 0 THEN 'Desk ' || o_custkey % 7 ELSE 'listed' END AS agency FROM orders""")
+def detail_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article pages of two sources: title, body, and the time they give, by linked data, by their date line, or as listed."""
+    day = lambda n, form: F.date_format(F.col("o_orderdate") + F.make_dt_interval(F.lit(n)), form)
+    data = F.to_json(F.struct(day(0, "yyyy-MM-dd").alias("datePublished"), F.struct(text("Desk ", (customer() % 7).cast("string")).alias("name")).alias("author")))
+    linked = F.when(customer() % 4 == 0, text("<script type='application/ld+json'>", F.when(customer() % 8 == 0, text("[", data, "]")).otherwise(data), "</script>")).otherwise("")
+    # A date line of the listing's own day keeps the listing's time; one of another day goes before it.
+    line = F.when(customer() % 4 == 1, day(1, "yyyy. M. d.")).when(customer() % 4 == 2, day(0, "yyyy/MM/dd")).otherwise("no date")
+    body = text("<p>First ", F.col("o_orderpriority"), "</p> then <b>", customer().cast("string"), "</b>")
+    first = text(linked, "<div class=view><h1> Title ", order_key().cast("string"), "</h1><p class=info>", line, "</p>", F.when(customer() % 9 == 4, "").otherwise(text("<div class='txt main'>", body, "</div>")), "</div>")
+    second = text("<h4>Title ", order_key().cast("string"), "</h4><span data-on='x'>", line, "</span>", linked, F.when(customer() % 9 == 4, "").otherwise(text("<section id=content>", body, "</section>")))
+    even = order_key() % 2 == 0
+    read = table(spark, sf_dir, "orders").select(order_key().alias("page"), F.when(even, "a").otherwise("b").alias("source"), F.when(even, first).otherwise(second).alias("html"), (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 1 HOUR")).alias("listed"), F.lit("listed").alias("agency"))
+    return segments.details(read, [segments.Detail("a", ".view > h1", ".view .info", ".view .txt"), segments.Detail("b", "h4", "span[data-on]", "section#content")])
+
+
 @query("SRC-16 SRC-17", """WITH b AS (SELECT o_orderkey // 10 AS page, 'Party ' || o_orderkey AS party, o_orderkey AS k, o_custkey % 5 AS kind FROM orders)
 SELECT page, party, '대표' AS position, unnest(['Kim' || k, 'Lee' || k]) AS name FROM b WHERE kind = 0 UNION ALL SELECT page, party, '대표', 'Park' || k FROM b WHERE kind = 1
 UNION ALL SELECT page, party, 'vacant', NULL FROM b WHERE kind = 2 UNION ALL SELECT page, party, '대표 권한대행', 'Choi' || k FROM b WHERE kind = 3 UNION ALL SELECT page, party, '비상대책위원장', 'Jung' || k FROM b WHERE kind = 4""")
