@@ -3,12 +3,14 @@
 Tasks read documents in shards of one language and bounded bytes.  numpy cuts a shard into words and pieces and numbers the
 words; prefix doubling ranks its suffixes by their first words, never beyond a piece; neighbours in the suffix array have a
 longest common prefix, and its intervals of n words or more are the shard's n-grams with their counts.  Spark adds the counts of
-all shards by (language, phrase).
+all shards by key.
 
-A phrase that is frequent enough has only parts that are, so lengths are counted one after the other: the sums of the
-n-grams' 64-bit keys that reach ``least`` leave a filter of bits in the shared folder, and shards count an (n+1)-gram only where
-the filter has both its n-grams.  A last pass counts the phrases themselves, as strings, that the filters still have.  A filter has
-a fixed number of bits; one that fills up, or two phrases of one key, save less and lose nothing.
+A word's key is a 64-bit hash of word and language.  The table of all words shows whether two of them share one; if ever, another
+seed is taken, so keys are exact and an n-gram is its words' keys.  Phrases are spelt at the end, for those that can be reported.
+
+A phrase that is frequent enough has only parts that are, so lengths are counted one after the other: the n-grams that reach
+``least`` leave a filter of bits in the shared folder, and shards count an (n+1)-gram only where the filter has both its n-grams.
+A filter has a fixed number of bits; one that fills up, or two n-grams of one bit, save less and lose nothing.
 
 Defined results: a null or empty text has no word; a null language is ``und``, as is that name.  Words and pieces are
 those of bytes, so invalid text stays as it is.  Repeated rows count each time.  Other columns are not read.  An empty table, and
@@ -19,11 +21,10 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +35,11 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BYTES = bytes(10 if b in BREAKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHARD_BYTES = 8 << 20
 FILTER_BITS = 27
+#: By how many bits a key turns before the next word goes in.
+TURN = 23
 BUCKETS = 32
 #: Counts that a task puts together before they leave it.
 MERGED_ROWS = 2_000_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def blocks(text: bytes, longest: int, size: int = SHARD_BYTES) -> Iterator[tuple[bytes, int]]:
@@ -100,27 +102,17 @@ class Shard:
         self.room = (np.repeat(last, sizes) - np.arange(len(begins)) + 1).astype(np.int32)
         self.own = begins < end
 
-    def hashes(self) -> np.ndarray:
-        """A hash of every different word."""
+    def word_keys(self, lang: str, seed: int) -> np.ndarray:
+        """The key of the word at every place."""
         from xxhash import xxh64_intdigest
 
-        return np.fromiter(map(xxh64_intdigest, self.words.to_pylist()), dtype=np.uint64, count=len(self.words))
+        seed = xxh64_intdigest(lang.encode(), seed)
+        return np.fromiter((xxh64_intdigest(w, seed) for w in self.words.to_pylist()), dtype=np.uint64, count=len(self.words))[self.ids]
 
     def starts(self, n: int) -> np.ndarray:
         """Places of this shard's own where n words follow in the piece."""
         return np.flatnonzero((self.room >= n) & self.own)
 
-    def keys(self, hashes: np.ndarray, lang: str, places: np.ndarray, n: int) -> np.ndarray:
-        """A 64-bit key of the n-gram at each place."""
-        from xxhash import xxh64_intdigest
-
-        key = np.full(len(places), xxh64_intdigest(lang.encode()), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(n):
-                key = (key ^ hashes[self.ids[places + k]]) * _MIX
-                key ^= key >> np.uint64(29)
-        return key
-
     def suffixes(self, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(suffix array of ``starts`` by their first n words, longest common prefix with the one before, at most n).
 
@@ -153,16 +145,25 @@ class Shard:
         first = np.flatnonzero(common < n)
         return order[first], np.diff(np.concatenate([first, [len(order)]]))
 
-    def phrases(self, places: np.ndarray, n: int) -> pa.Array:
-        parts = [self.words.take(pa.array(self.ids[places + k])) for k in range(n)]
-        joined = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
-        return pa.StringArray.from_buffers(len(joined), *_small(joined)) if len(joined) else pa.array([], pa.string())
+    def spelt(self, places: np.ndarray) -> pa.Array:
+        """The words at some places; their bytes are taken as they are."""
+        words = self.words.take(pa.array(self.ids[places])).cast(pa.binary())
+        return pa.StringArray.from_buffers(len(words), words.buffers()[1], words.buffers()[2]) if len(words) else pa.array([], pa.string())
 
 
-def _small(strings: pa.Array) -> tuple[pa.Buffer, pa.Buffer]:
-    """Offsets and data of a large binary array, with 32-bit offsets."""
-    strings = strings.cast(pa.binary())
-    return strings.buffers()[1], strings.buffers()[2]
+def fold(words: Sequence[np.ndarray]) -> np.ndarray:
+    """One key of the keys of an n-gram's words, as ``_folded`` has it."""
+    key = words[0]
+    for w in words[1:]:
+        key = ((key << np.uint64(TURN)) | (key >> np.uint64(64 - TURN))) ^ w
+    return key
+
+
+def _folded(words: Sequence[str]) -> Column:
+    key = F.col(words[0])
+    for w in words[1:]:
+        key = F.shiftleft(key, TURN).bitwiseOR(F.shiftrightunsigned(key, 64 - TURN)).bitwiseXOR(F.col(w))
+    return key
 
 
 class _Filter:
@@ -202,80 +203,71 @@ def _merged(batches: Iterator[pa.RecordBatch], by: list[str], most: int = MERGED
     pa.default_memory_pool().release_unused()
 
 
-def _words_counted(size: int):
-    """(lang, phrase, key, f) of the words of each shard."""
+def _words_counted(seed: int, size: int):
+    """(lang, phrase, w1, f) of the words of each shard."""
 
     def counted(batches):
         for lang, text, end in shards(batches, 1, size):
             shard = Shard(text, end)
             places, numbers = shard.counts(shard.starts(1), 1)
-            keys = shard.keys(shard.hashes(), lang, places, 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), shard.phrases(places, 1), pa.array(keys), pa.array(numbers, pa.int64())], names=["lang", "phrase", "key", "f"])
+            keys = shard.word_keys(lang, seed)[places].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), shard.spelt(places), pa.array(keys), pa.array(numbers, pa.int64())], names=["lang", "phrase", "w1", "f"])
 
-    return lambda batches: _merged(counted(batches), ["lang", "phrase", "key"])
+    return lambda batches: _merged(counted(batches), ["lang", "phrase", "w1"])
 
 
-def _keys_counted(n: int, below: str, bits: int, size: int):
-    """(key, f) of the n-grams of each shard both of whose (n-1)-grams the filter ``below`` has."""
+def _phrases_counted(n: int, below: str, seed: int, bits: int, size: int):
+    """(w1, ..., wn, f) of the n-grams of each shard both of whose (n-1)-grams the filter ``below`` has."""
+    names = [f"w{k}" for k in range(1, n + 1)]
 
     def counted(batches):
         known = _Filter(below, bits)
         for lang, text, end in shards(batches, n, size):
             shard = Shard(text, end)
-            hashes, starts = shard.hashes(), shard.starts(n)
-            for k in (0, 1):
-                starts = starts[known.has(shard.keys(hashes, lang, starts + k, n - 1))]
+            keys, starts = shard.word_keys(lang, seed), shard.starts(n)
+            for first in (0, 1):
+                starts = starts[known.has(fold([keys[starts + k] for k in range(first, first + n - 1)]))]
             places, numbers = shard.counts(starts, n)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.keys(hashes, lang, places, n).view(np.int64)), pa.array(numbers, pa.int64())], names=["key", "f"])
-
-    return lambda batches: _merged(counted(batches), ["key"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(keys[places + k].view(np.int64)) for k in range(n)], pa.array(numbers, pa.int64())], names=[*names, "f"])
 
+    return lambda batches: _merged(counted(batches), names)
 
-def _phrases_counted(filters: dict[int, str], bits: int, size: int):
-    """(lang, phrase, words, f) of the n-grams of each shard that the filter of their length has."""
 
-    def counted(batches):
-        known = {n: _Filter(folder, bits) for n, folder in filters.items()}
-        for lang, text, end in shards(batches, max(filters), size):
-            shard = Shard(text, end)
-            hashes = shard.hashes()
-            for n, passed in known.items():
-                starts = shard.starts(n)
-                places, numbers = shard.counts(starts[passed.has(shard.keys(hashes, lang, starts, n))], n)
-                count = len(places)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * count, pa.string()), shard.phrases(places, n), pa.array([n] * count, pa.int32()), pa.array(numbers, pa.int64())], names=["lang", "phrase", "words", "f"])
-
-    return lambda batches: _merged(counted(batches), ["lang", "phrase", "words"])
-
-
-def _filtered(keys: DataFrame, folder: str, bits: int) -> str:
-    """Stores the bits of ``keys`` (key): at most 2 ** (bits - 6) rows."""
-    slot = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1)).alias("slot")
-    written(keys.groupBy(slot).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")), folder)
+def _filtered(grams: DataFrame, n: int, folder: str, bits: int) -> str:
+    """Stores the bits of n-grams: at most 2 ** (bits - 6) rows."""
+    key = _folded([f"w{k}" for k in range(1, n + 1)])
+    slot = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1)).alias("slot")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), key.bitwiseAND(F.lit(63)).cast("int"))
+    written(grams.groupBy(slot).agg(F.bit_or(bit).alias("bits")), folder)
     return folder
 
 
-def ngrams(docs: DataFrame, longest: int, least: int, folder: str, bits: int = FILTER_BITS, size: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(words, phrases) of ``docs(lang, text)``: all words as (lang, phrase, f), phrases of 2 to ``longest`` words with at least
-    ``least`` occurrences as (lang, phrase, words, f)."""
-    found = docs.mapInArrow(_words_counted(size), "lang string, phrase string, key bigint, f bigint")
-    words = written(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.first("key").alias("key")), f"{folder}/words")
-    filters = {1: _filtered(words.where(F.col("f") >= least).select("key"), f"{folder}/filter-1", bits)}
+def ngrams(docs: DataFrame, longest: int, least: int, folder: str, bits: int = FILTER_BITS, size: int = SHARD_BYTES, hashed: int = 64) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """(words, phrases) of ``docs(lang, text)``: all words as (lang, phrase, w1, f), and by length, from 2 to ``longest``, the n-grams of
+    at least ``least`` occurrences as (w1, ..., wn, f).  ``w1`` to ``wn`` are keys of words; only tests take fewer ``hashed`` bits."""
+    seed = 0
+    while True:
+        found = docs.mapInArrow(_words_counted(seed, size), "lang string, phrase string, w1 bigint, f bigint")
+        key = F.col("w1").bitwiseAND(F.lit((1 << min(hashed + seed, 63)) - 1)) if hashed < 64 else F.col("w1")
+        words = written(found.groupBy("lang", "phrase", "w1").agg(F.sum("f").alias("f")), f"{folder}/words-{seed}")
+        if words.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            break
+        seed += 1
+    below = _filtered(words.where(F.col("f") >= least), 1, f"{folder}/filter-1", bits)
+    phrases = {}
     for n in range(2, longest + 1):
-        keys = docs.mapInArrow(_keys_counted(n, filters[n - 1], bits, size), "key bigint, f bigint")
-        filters[n] = _filtered(keys.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("key"), f"{folder}/filter-{n}", bits)
-    del filters[1]
-    found = docs.mapInArrow(_phrases_counted(filters, bits, size), "lang string, phrase string, words int, f bigint")
-    phrases = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return words.select("lang", "phrase", "f"), written(phrases, f"{folder}/phrases")
-
-
-def _words(phrase: Column) -> Column:
-    return F.split(phrase, " ")
+        names = [f"w{k}" for k in range(1, n + 1)]
+        found = docs.mapInArrow(_phrases_counted(n, below, seed, bits, size), ", ".join(f"{c} bigint" for c in (*names, "f")))
+        phrases[n] = written(found.groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= least), f"{folder}/{n}")
+        if n < longest:
+            below = _filtered(phrases[n], n, f"{folder}/filter-{n}", bits)
+    return words, phrases
 
 
-def _part(phrase: Column, start: Column, length: Column) -> Column:
-    return F.array_join(F.slice(_words(phrase), start, length), " ")
+def _part(start: Column, length: Column, longest: int) -> list[Column]:
+    """The words of a part as as many columns as the longest phrase has, null after its end."""
+    part = F.slice("ids", start, length)
+    return [F.get(part, F.lit(k)).alias(f"p{k + 1}") for k in range(longest)]
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, inside_percent: int = 50, top: int = 2000, bits: int = FILTER_BITS, size: int = SHARD_BYTES) -> DataFrame:
@@ -288,33 +280,50 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     spark = docs.sparkSession
     folder = new_folder(spark, "collocations")
     read = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    words, candidates = ngrams(read, longest, least, folder, bits, size)
+    words, phrases = ngrams(read, longest, least, folder, bits, size)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    every = words.where(F.col("f") >= least).unionByName(candidates.select("lang", "phrase", "f"))
+    part = [f"p{k + 1}" for k in range(longest)]
+    of = lambda df, n, *more: df.select(F.array(*[f"w{k}" for k in range(1, n + 1)]).alias("ids"), F.col("f"), *more)
+    grams = [of(words.where(F.col("f") >= least), 1), *[of(df, n) for n, df in phrases.items()]]
+    every = candidates = None
+    for n, df in enumerate(grams, 1):
+        every = df if every is None else every.unionByName(df)
+        if n > 1:
+            candidates = df if candidates is None else candidates.unionByName(df)
+    size_ = F.size("ids")
+    counted = every.select(*_part(F.lit(1), size_, longest), "f")
 
     # The parts of a phrase occur as often as it does, so they are in the tables too.
-    cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("cut"))
-    cuts = cuts.withColumn("first", _part(F.col("phrase"), F.lit(1), F.col("cut"))).withColumn("rest", _part(F.col("phrase"), F.col("cut") + 1, F.col("words") - F.col("cut")))
-    side = [F.col("phrase")]
-    cuts = written(cuts, f"{folder}/cuts")
-    cuts = join_spread(cuts, every.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"], side)
-    cuts = join_spread(written(cuts, f"{folder}/left"), every.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"], side)
-    wide = {c: F.col(c).cast("decimal(16,0)") for c in ("a", "l", "r")}
-    score = F.expr("(1000000 * (__a * __a)) div (__l * __r)")
-    cuts = cuts.withColumns({f"__{c}": v for c, v in wide.items()}).withColumn("score", score.cast("long"))
-    scored = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r")).alias("s")).select("lang", "phrase", "s.*")
+    cuts = candidates.select("ids", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size_ - 1)).alias("cut"))
+    cuts = written(cuts.select("ids", "a", "cut", *_part(F.lit(1), F.col("cut"), longest)), f"{folder}/cuts")
+    cuts = join_spread(cuts, counted.withColumnRenamed("f", "l"), part, [F.col("ids")]).select("ids", "a", "cut", "l")
+    cuts = written(cuts.select("ids", "a", "cut", "l", *_part(F.col("cut") + 1, size_ - F.col("cut"), longest)), f"{folder}/left")
+    cuts = join_spread(cuts, counted.withColumnRenamed("f", "r"), part, [F.col("ids")])
+    cuts = cuts.withColumns({f"__{c}": F.col(c).cast("decimal(16,0)") for c in ("a", "l", "r")})
+    cuts = cuts.withColumn("score", F.expr("(1000000 * (__a * __a)) div (__l * __r)").cast("long"))
+    scored = cuts.groupBy("ids").agg(F.min(F.struct("score", "cut", "a", "l", "r")).alias("s")).select("ids", "s.a", "s.l", "s.r", "s.score")
 
     # Parts shorter than the whole, with the most frequent phrase around them.
-    longer = candidates.where("words > 2")
-    length = F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("length")
-    parts = longer.select("lang", "phrase", "f", "words", length)
-    parts = parts.withColumn("start", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("length") + 1)))
-    around = parts.select("lang", _part(F.col("phrase"), F.col("start"), F.col("length")).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("around"))
-    kept = scored.join(around, ["lang", "phrase"], "left").where(F.col("around").isNull() | (100 * F.col("around") < inside_percent * F.col("a")))
-
-    # A language's best of each of BUCKETS parts meet in one task, BUCKETS * top rows at most.
-    best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    bucket = F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))
-    some = kept.withColumn("__bucket", bucket).withColumn("__place", F.row_number().over(Window.partitionBy("lang", "__bucket").orderBy(*best))).where(F.col("__place") <= top)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
+    longer = candidates.where(size_ > 2).select("ids", "f", F.explode(F.sequence(F.lit(2), size_ - 1)).alias("length"))
+    longer = longer.select("ids", "f", "length", F.explode(F.sequence(F.lit(1), size_ - F.col("length") + 1)).alias("start"))
+    around = longer.groupBy(F.slice("ids", F.col("start"), F.col("length")).alias("ids")).agg(F.max("f").alias("around"))
+    kept = scored.join(around, "ids", "left").where(F.col("around").isNull() | (100 * F.col("around") < inside_percent * F.col("a"))).drop("around")
+    first = kept.withColumn("p1", F.get("ids", F.lit(0)))
+    kept = written(join_spread(written(first, f"{folder}/kept"), words.select(F.col("w1").alias("p1"), "lang"), ["p1"], [F.col("ids")]).drop("p1"), f"{folder}/scored")
+
+    # What ties with a language's last place may be in its list, so it is spelt too; the best of each of BUCKETS parts of a
+    # language meet in one task, BUCKETS * top rows at most.
+    def best(df: DataFrame, order: list[Column], tie: Column) -> DataFrame:
+        some = df.withColumn("__bucket", F.pmod(F.xxhash64(tie), F.lit(BUCKETS)))
+        some = some.withColumn("__place", F.row_number().over(Window.partitionBy("lang", "__bucket").orderBy(*order))).where(F.col("__place") <= top)
+        return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("__bucket", "__place")
+
+    order = [F.col("score").desc(), F.col("a").desc()]
+    last = best(kept, order, F.col("ids")).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("__last"))
+    likely = written(kept.join(last, "lang").where(F.struct("score", "a") >= F.col("__last")).drop("__last"), f"{folder}/likely")
+    places = likely.select("ids", F.posexplode("ids").alias("at", "p1"))
+    spelt = join_spread(places, words.select(F.col("w1").alias("p1"), "phrase"), ["p1"], [F.col("ids")])
+    spelt = spelt.groupBy("ids").agg(F.array_sort(F.collect_list(F.struct("at", "phrase"))).alias("__words"))
+    spelt = spelt.select("ids", F.array_join(F.transform("__words", lambda w: w["phrase"]), " ").alias("phrase"))
+    ranked = best(likely.join(spelt, "ids"), [*order, F.col("phrase")], F.col("phrase"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -140,11 +140,18 @@ def test_blocks_lose_and_repeat_nothing():
             for block, end in collocations.blocks(text, n, size):
                 shard = collocations.Shard(block, end)
                 places, numbers = shard.counts(shard.starts(n), n)
-                found.update(dict(zip(shard.phrases(places, n).to_pylist(), numbers.tolist())))
+                spelt = [shard.spelt(places + k).to_pylist() for k in range(n)]
+                found.update(dict(zip(map(" ".join, zip(*spelt)), numbers.tolist())))
             want = Counter(" ".join(w[i : i + n]) for p in text.decode().split("\n") for w in [p.split()] for i in range(len(w) - n + 1))
             assert found == want
 
 
+def test_words_of_one_key_take_another_seed(spark, tmp_path):
+    docs = spark.createDataFrame([("en", " ".join(f"w{i}" for i in range(300)))], "lang string, text string")
+    words, _ = collocations.ngrams(docs, 2, 1, str(tmp_path), hashed=12)
+    assert words.count() == words.select("w1").distinct().count() == 300 and len(list(tmp_path.glob("words-*"))) > 1
+
+
 GPL = licenses.NOTICES[11].text
 
 
