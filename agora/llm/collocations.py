@@ -33,13 +33,13 @@ from .shared import file_system, join_spread, new_folder, written
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BYTES = bytes(10 if b in BREAKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 FILTER_BITS = 27
 #: By how many bits a key turns before the next word goes in.
 TURN = 23
 BUCKETS = 32
 #: Counts that a task puts together before they leave it.
-MERGED_ROWS = 2_000_000
+MERGED_ROWS = 1_000_000
 
 
 def blocks(text: bytes, longest: int, size: int = SHARD_BYTES) -> Iterator[tuple[bytes, int]]:
