@@ -38,8 +38,6 @@ FILTER_BITS = 27
 #: By how many bits a key turns before the next word goes in.
 TURN = 23
 BUCKETS = 32
-#: Counts that a task puts together before they leave it.
-MERGED_ROWS = 1_000_000
 
 
 def blocks(text: bytes, longest: int, size: int = SHARD_BYTES) -> Iterator[tuple[bytes, int]]:
@@ -180,47 +178,31 @@ class _Filter:
         return (self.table[slots] >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _merged(batches: Iterator[pa.RecordBatch], by: list[str], most: int = MERGED_ROWS) -> Iterator[pa.RecordBatch]:
-    """The sums of f by the columns ``by`` of a task's shards; they leave it whenever there are more than ``most``, and at the end."""
-    held, rows = [], 0
-
-    def together() -> pa.Table:
-        table = pa.Table.from_batches(held)
-        summed = table.group_by(by, use_threads=False).aggregate([("f", "sum")])
-        return summed.rename_columns([*by, "f"])
-
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows > most:
-            table = together()
-            if table.num_rows > most // 2:
-                yield from table.to_batches(max_chunksize=1 << 16)
-                table = table.slice(0, 0)
-            held, rows = table.combine_chunks().to_batches(), table.num_rows
-    if held:
-        yield from together().to_batches(max_chunksize=1 << 16)
+def _parts(arrays: list[pa.Array], names: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(arrays, names=names)
+    for start in range(0, whole.num_rows, rows):
+        yield whole.slice(start, rows)
     pa.default_memory_pool().release_unused()
 
 
 def _words_counted(seed: int, size: int):
     """(lang, phrase, w1, f) of the words of each shard."""
 
-    def counted(batches):
+    def run(batches):
         for lang, text, end in shards(batches, 1, size):
             shard = Shard(text, end)
             places, numbers = shard.counts(shard.starts(1), 1)
             keys = shard.word_keys(lang, seed)[places].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), shard.spelt(places), pa.array(keys), pa.array(numbers, pa.int64())], names=["lang", "phrase", "w1", "f"])
+            yield from _parts([pa.array([lang] * len(places), pa.string()), shard.spelt(places), pa.array(keys), pa.array(numbers, pa.int64())], ["lang", "phrase", "w1", "f"])
 
-    return lambda batches: _merged(counted(batches), ["lang", "phrase", "w1"])
+    return run
 
 
 def _phrases_counted(n: int, below: str, seed: int, bits: int, size: int):
     """(w1, ..., wn, f) of the n-grams of each shard both of whose (n-1)-grams the filter ``below`` has."""
     names = [f"w{k}" for k in range(1, n + 1)]
 
-    def counted(batches):
+    def run(batches):
         known = _Filter(below, bits)
         for lang, text, end in shards(batches, n, size):
             shard = Shard(text, end)
@@ -228,9 +210,9 @@ def _phrases_counted(n: int, below: str, seed: int, bits: int, size: int):
             for first in (0, 1):
                 starts = starts[known.has(fold([keys[starts + k] for k in range(first, first + n - 1)]))]
             places, numbers = shard.counts(starts, n)
-            yield pa.RecordBatch.from_arrays([*[pa.array(keys[places + k].view(np.int64)) for k in range(n)], pa.array(numbers, pa.int64())], names=[*names, "f"])
+            yield from _parts([*[pa.array(keys[places + k].view(np.int64)) for k in range(n)], pa.array(numbers, pa.int64())], [*names, "f"])
 
-    return lambda batches: _merged(counted(batches), names)
+    return run
 
 
 def _filtered(grams: DataFrame, n: int, folder: str, bits: int) -> str:
