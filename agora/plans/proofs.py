@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import forms
-from ..operators import ordered, proofs, retrieval
+from ..operators import batching, ordered, proofs, retrieval
 from .knowledge import dag
 from .people import case
 from .registry import query, table
@@ -192,7 +192,7 @@ def promoted_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT p.question, p.rank, CASE WHEN used + p.bytes <= 100 THEN used + p.bytes ELSE p.bytes END, batch + (used + p.bytes > 100)::INTEGER FROM b JOIN p ON p.question = b.question AND p.rank = b.rank + 1) SELECT question, rank, batch FROM b""")
 def reduction_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of a question in order, as many to a batch as fit."""
-    return retrieval.batched(ranked_lines(spark, sf_dir), "question", "rank", "bytes", 100).select("question", "rank", "batch")
+    return batching.batched(ranked_lines(spark, sf_dir), "question", "rank", "bytes", 100).select("question", "rank", "batch")
 
 
 @query("RT-02", f"""WITH RECURSIVE {_RANKED}, b AS (SELECT question, 0 AS rank, 0 AS used, 0 AS kept, false AS took FROM p WHERE rank = 1
@@ -200,7 +200,7 @@ def reduction_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT question, rank FROM b WHERE took""")
 def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs that go into a request when tried in order: three at most, none that passes the budget."""
-    return retrieval.fitting(ranked_lines(spark, sf_dir), "question", "rank", "bytes", 90, 3).select("question", "rank")
+    return batching.fitting(ranked_lines(spark, sf_dir), "question", "rank", "bytes", 90, 3).select("question", "rank")
 
 
 @query("RT-03", """WITH a AS (SELECT p_partkey AS id, p_size AS version, p_partkey % 53 <> 5 AS safe FROM part), c AS (SELECT p_partkey AS id, p_partkey // 3 AS child, q.p_size + (p_partkey % 97 = 7)::INTEGER AS child_version FROM part JOIN (SELECT p_partkey AS k, p_size FROM part) q ON q.k = p_partkey // 3 WHERE p_partkey > 2),
@@ -286,7 +286,7 @@ def issue_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts.where("__contexts").join(evidence.where("__evidence"), "o_custkey").join(people_, "o_custkey", "left_semi").select(F.col("o_custkey").alias("reading"), "contexts", "evidence")
 
 
-@query("RT-12 RT-13 SM-11", """WITH c AS (SELECT DISTINCT o_custkey AS subject, l_partkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'),
+@query("RT-12", """WITH c AS (SELECT DISTINCT o_custkey AS subject, l_partkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'),
 k AS (SELECT DISTINCT o_custkey AS subject, l_partkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')
 SELECT subject, target, row_number() OVER (ORDER BY subject, target) AS place FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.subject = c.subject AND k.target = c.target) ORDER BY place LIMIT 500""")
 def review_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,16 +298,6 @@ def review_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy("subject", "target")).cast("bigint"))
 
 
-@query("RT-01", """WITH s AS (SELECT left(sha256(doc_id::VARCHAR), 2) AS bucket, doc_id || '|' || sha256(coalesce(text, '')) AS line FROM documents), b AS (SELECT bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM s GROUP BY bucket)
-SELECT sha256(string_agg(bucket || ':' || h, chr(10) ORDER BY bucket)) AS snapshot FROM b""")
-def snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash of all sources in two levels, so that no list holds more than a bucket of them."""
-    line = F.concat_ws("|", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
-    s = table(spark, sf_dir, "documents").select(F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(2)).alias("bucket"), line.alias("line"))
-    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    return s.groupBy("bucket").agg(joined(F.col("line")).alias("h")).agg(joined(F.concat_ws(":", "bucket", "h")).alias("snapshot"))
-
-
 @query("FL-18 FL-21", """SELECT o_orderkey, (['available', 'unavailable', 'disclaimer_only', 'available'])[1 + o_custkey % 4] AS body, (['restricted', 'allowed', 'unknown'])[1 + o_orderkey % 3] AS licence FROM orders""")
 def body_and_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a body says more than a notice, and which licence a page names."""

@@ -154,7 +154,7 @@ def incremental_refetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(marks, "source").groupBy("source").agg(F.count_if(again).alias("refetch"))
 
 
-@query("SM-12 SRC-21", """WITH a AS (SELECT o_custkey AS key, o_orderkey AS seq, o_orderstatus AS state, o_orderpriority AS reason FROM orders), l AS (SELECT key, arg_max(state, seq) AS state, arg_max(reason, seq) AS reason, count(*) AS attempts FROM a GROUP BY key)
+@query("SM-12", """WITH a AS (SELECT o_custkey AS key, o_orderkey AS seq, o_orderstatus AS state, o_orderpriority AS reason FROM orders), l AS (SELECT key, arg_max(state, seq) AS state, arg_max(reason, seq) AS reason, count(*) AS attempts FROM a GROUP BY key)
 SELECT key, CASE WHEN reason = '1-URGENT' THEN 'shorter' WHEN reason IN ('2-HIGH', '3-MEDIUM') THEN 'repair' ELSE 'same' END AS plan, attempts + 1 AS version FROM l WHERE state = 'O' AND attempts < 12""")
 def retry_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for every logical key whose latest attempt failed: what is changed follows from why, the version goes up."""
@@ -170,7 +170,7 @@ def coverage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.explode(levels).alias("l")).groupBy("l.level", "l.name").agg(F.count("*").alias("n"))
 
 
-@query("AG-28 RT-14", """WITH s AS (SELECT l_orderkey AS artifact, 's' || l_suppkey AS scope, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY l_orderkey, l_suppkey) SELECT artifact, string_agg(scope || ':' || part, ',' ORDER BY scope) AS sources FROM s GROUP BY artifact""")
+@query("AG-28", """WITH s AS (SELECT l_orderkey AS artifact, 's' || l_suppkey AS scope, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY l_orderkey, l_suppkey) SELECT artifact, string_agg(scope || ':' || part, ',' ORDER BY scope) AS sources FROM s GROUP BY artifact""")
 def merged_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of an artifact, the last of each scope, in the order of scopes."""
     last = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("artifact"), F.concat(F.lit("s"), "l_suppkey").alias("scope")).agg(F.max_by("l_partkey", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("part"))
