@@ -7,8 +7,9 @@ counts in numpy, only if their counts can differ by no more than the radius.  Wi
 most 8, the population is counted in 2, 4 or 8 parts of a fingerprint, and classes farther apart than the radius in the sum over the parts are
 skipped; this is still exact, and keeps the compared share of all pairs falling as the table grows.
 
-A pair of tiles yields at most one link per fingerprint (a forest that spans the links found there), so a group of
-thousands of copies of each other never becomes all of its pairs.  Groups are the connected components of the links.
+Tiles lie in files of the shared folder and pairs of tiles carry places only, so what is shuffled does not grow with the pairs.
+A pair yields at most one link per fingerprint (a forest that spans the links found there), so a group of thousands of
+copies of each other never becomes all of its pairs.  Groups are the connected components of the links.
 
 With ``jaccard`` the estimate only proposes: fingerprints are taken over the set of a text's different shingles, the sets
 lie in files of the shared folder, and a pair within the radius becomes a link only if its sets, read from there, have at
@@ -34,14 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import file_system, join_spread, new_folder, written
+from .shared import HOT_SHARE, file_system, join_spread, new_folder, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 SEED = 42
 TILE = 8192
-SPREAD = 64
-SETS_BYTES = 32 << 20
+SPREAD_ROWS = 4096
+SETS_BYTES, TILES_BYTES = 32 << 20, 48 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> tuple[list[int], int]:
@@ -201,10 +202,11 @@ def _steps(parts: int, radius: int) -> list[list[int]]:
     return found
 
 
-def _forest(left: np.ndarray, right: np.ndarray | None, radius: int, check=None) -> list[tuple[int, int]]:
+def _forest(left: np.ndarray, right: np.ndarray | None, radius: int, check=None, small: tuple[np.ndarray, int] | None = None) -> list[tuple[int, int]]:
     """Links (places in left, then right) within the radius, reduced to a spanning forest; right None: within left.
 
-    ``check`` tells which of some places are similar to a place; only those become links.
+    ``check`` tells which of some places are similar to a place; only those become links.  ``small`` has a flag per place and the
+    radius of pairs with one of these.
     """
     both = left if right is None else np.concatenate([left, right])
     label = np.arange(len(both))
@@ -220,6 +222,8 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int, check=None)
             for k in range(1, left.shape[1]):
                 apart += np.bitwise_count(block[:, None, k] ^ other[None, :, k])
         near = apart <= radius
+        if small is not None and small[0].any():
+            near |= (apart <= small[1]) & (small[0][start : start + len(block), None] | small[0][None, first:])
         for i in np.flatnonzero(near.any(axis=1)).tolist():
             at = start + i
             hits = np.flatnonzero(near[i]) + first
@@ -240,20 +244,40 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int, check=None)
     return links
 
 
-def _compare(n_lanes: int, radius: int, folder: str | None = None, jaccard: float | None = None):
+class _Tiles:
+    """Tiles in the files of a folder: rows of ``width`` integers; those read last stay in memory, up to TILES_BYTES."""
+
+    def __init__(self, folder: str, width: int):
+        (self.fs, self.path), self.width, self.kept, self.bytes = file_system(folder), width, OrderedDict(), 0
+
+    def read(self, name: int, place: int, size: int) -> np.ndarray:
+        key = (name, place)
+        if key not in self.kept:
+            with self.fs.open_input_file(f"{self.path}/{name}") as file:
+                self.kept[key] = np.frombuffer(file.read_at(size, place), dtype="<i8").view(np.uint64).reshape(-1, self.width)
+            self.bytes += size
+            while self.bytes > TILES_BYTES and len(self.kept) > 2:
+                self.bytes -= self.kept.popitem(last=False)[1].nbytes
+        self.kept.move_to_end(key)
+        return self.kept[key]
+
+
+def _compare(n_lanes: int, radius: int, tiles_folder: str, folder: str | None = None, jaccard: float | None = None, few: int = 0, wide: int = 0):
+    """Links of pairs of tiles; sets of up to ``few`` shingles are candidates within ``wide`` bits."""
     width = n_lanes + (1 if folder is None else 4)
 
     def run(batches):
-        sets = None if folder is None else _Sets(folder)
+        sets, tiles = None if folder is None else _Sets(folder), _Tiles(tiles_folder, width)
         for batch in batches:
             a, b = [], []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                one = np.frombuffer(left, dtype="<i8").view(np.uint64).reshape(-1, width)
-                two = None if right is None else np.frombuffer(right, dtype="<i8").view(np.uint64).reshape(-1, width)
+            for left, right in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+                one = tiles.read(left["file"], left["place"], left["size"])
+                two = None if left == right else tiles.read(right["file"], right["place"], right["size"])
                 ids = one[:, 0] if two is None else np.concatenate([one[:, 0], two[:, 0]])
-                check = None
+                check = small = None
                 if sets is not None:
                     where = (one if two is None else np.concatenate([one, two]))[:, n_lanes + 1 :].astype(np.int64)
+                    small = (where[:, 2] <= few, wide)
 
                     def check(at, hits, where=where):
                         n, m = where[at, 2], where[hits, 2]
@@ -263,7 +287,7 @@ def _compare(n_lanes: int, radius: int, folder: str | None = None, jaccard: floa
                         return good
 
                 lanes = slice(1, n_lanes + 1)
-                for x, y in _forest(one[:, lanes], None if two is None else two[:, lanes], radius, check):
+                for x, y in _forest(one[:, lanes], None if two is None else two[:, lanes], radius, check, small):
                     a.append(ids[x])
                     b.append(ids[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in (a, b)], names=["a", "b"])
@@ -271,18 +295,35 @@ def _compare(n_lanes: int, radius: int, folder: str | None = None, jaccard: floa
     return run
 
 
-def _packed(batches):
-    """Per tile: its members as little-endian 64-bit integers, id first, then the lanes."""
-    for batch in batches:
-        rows = [np.array(m, dtype="<i8").tobytes() for m in batch.column("members").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(rows, type=pa.binary())], names=["tile", "data"])
+def _packed(folder: str):
+    """Per tile: where it is in the files of ``folder``, as little-endian 64-bit integers, of each member the id, then the lanes.
+
+    A file's name is drawn by the attempt that writes it, so rows of the attempt that counts name its own files.
+    """
+
+    def run(batches):
+        fs, path = file_system(folder)
+        fs.create_dir(path, recursive=True)
+        name, at = uuid.uuid4().int >> 65, 0
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            for batch in batches:
+                places, sizes = [], []
+                for members in batch.column("members"):
+                    data = members.values.to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+                    out.write(data)
+                    places.append(at)
+                    sizes.append(len(data))
+                    at += len(data)
+                yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array([name] * len(places), pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], names=["tile", "file", "place", "size"])
+
+    return run
 
 
-def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, length_ratio: float | None = None, sets: str | None = None, jaccard: float | None = None) -> DataFrame:
+def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, length_ratio: float | None = None, sets: str | None = None, jaccard: float | None = None, few: int = 0, wide: int = 0) -> DataFrame:
     """Links (a, b) between rows of ``distinct(id, lanes, shingles)`` that join all pairs within the radius.
 
     With ``sets``, the folder of shingle sets, ``distinct`` has their ``file`` and ``place`` too, and only pairs within
-    the radius whose sets have a similarity of ``jaccard`` or more are joined.
+    the radius (``wide``, if one has up to ``few`` shingles) whose sets have a similarity of ``jaccard`` or more are joined.
 
     With ``length_ratio``, a pair also needs numbers of shingles of at least this ratio up to one class of lengths:
     documents whose similarity reaches the ratio have it, so classes of lengths that are not neighbours are skipped.
@@ -297,14 +338,14 @@ def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, leng
     df = distinct.select("id", F.concat(*member).alias("__member"), span.alias("__span"), F.array(*keys).alias("__pop"))
     reach = radius
     if radius > 8:  # classes as wide as the radius: those within it are the same class and the next
-        df, reach = df.withColumn("__pop", F.array((F.col("__pop")[0] / radius).cast("int"))), 1
+        df, reach = df.withColumn("__pop", F.array((F.col("__pop")[0] / max(radius, wide)).cast("int"))), 1
     sizes = written(df.groupBy("__span", "__pop").agg(F.count("*").alias("__n")), f"{folder}/classes")
     sizes = sizes.select("__span", "__pop", F.ceil(F.col("__n") / tile).alias("__tiles"))
     name = lambda span, pop, k: F.concat_ws(":", span, F.concat_ws(".", pop.cast("array<string>")), k)
 
     dealt = df.join(sizes, ["__span", "__pop"]).withColumn("tile", name(F.col("__span"), F.col("__pop"), F.pmod(F.xxhash64("id"), F.col("__tiles"))))
     grouped = dealt.groupBy("tile").agg(F.flatten(F.collect_list("__member")).alias("members"))
-    tiles = written(grouped.mapInArrow(_packed, "tile string, data binary"), f"{folder}/tiles")
+    tiles = written(grouped.mapInArrow(_packed(f"{folder}/data"), "tile string, file bigint, place bigint, size bigint"), f"{folder}/tiles")
 
     moves = _steps(parts, reach)
     spans = (0,) if length_ratio is None else (-1, 0, 1)
@@ -315,12 +356,12 @@ def links(distinct: DataFrame, n_lanes: int, radius: int, tile: int = TILE, leng
     )
     pairs = near.join(sizes, ["__span", "__pop"]).withColumn("__k1", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__tiles1") - 1))).withColumn("__k2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__tiles") - 1)))
     pairs = pairs.select(name(F.col("__span1"), F.col("__pop1"), F.col("__k1")).alias("one"), name(F.col("__span"), F.col("__pop"), F.col("__k2")).alias("two")).where("one <= two")
-    left = tiles.select(F.col("tile").alias("one"), F.col("data").alias("left"))
-    right = tiles.select(F.col("tile").alias("two"), F.col("data").alias("right"))
-    # Pairs are dealt at random over the tasks: each is work of about the same size.
-    work = pairs.join(left, "one").join(right, "two").withColumn("right", F.when(F.col("one") != F.col("two"), F.col("right")))
-    work = work.select("left", "right").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    return written(work.mapInArrow(_compare(n_lanes, radius, sets, jaccard), "a bigint, b bigint"), f"{folder}/links")
+    at = F.struct("file", "place", "size")
+    left, right = tiles.select(F.col("tile").alias("one"), at.alias("__one")), tiles.select(F.col("tile").alias("two"), at.alias("__two"))
+    work = pairs.join(left, "one").join(right, "two").select(F.col("__one").alias("one"), F.col("__two").alias("two"))
+    # Pairs are dealt over the tasks as they come: each is work of about the same size.  In a task a tile meets its partners in turn.
+    work = work.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)).sortWithinPartitions("one", "two")
+    return written(work.mapInArrow(_compare(n_lanes, radius, f"{folder}/data", sets, jaccard, few, wide), "a bigint, b bigint"), f"{folder}/links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, lanes: int = 1, radius: int = 3, length_ratio: float | None = None, keep_text: bool = True) -> DataFrame:
@@ -350,20 +391,27 @@ def _groups(distinct: DataFrame, linked: DataFrame, folder: str) -> DataFrame:
     """(__group, component_id) for every id of ``distinct``: the least document that its links reach."""
     found = components(linked, "simhash-components")
     named = written(distinct.join(found, F.col("id") == F.col("node"), "left").select("id", "least", "component"), f"{folder}/named")
-    # Most fingerprints have no link and name themselves; those of a large group are spread over SPREAD parts of its key.
-    linked = named.where(F.col("component").isNotNull()).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
-    of_root = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
-    together = linked.join(of_root, ["component", "part"]).select(F.col("id").alias("__group"), "component_id")
+    # Most fingerprints have no link and name themselves; those of a large group are spread over parts of some SPREAD_ROWS.
+    linked = named.where(F.col("component").isNotNull())
+    of_root = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.ceil(F.count("*") / SPREAD_ROWS).alias("parts"))
+    of_root = written(of_root, f"{folder}/roots")
+    spread = of_root.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    # The largest groups, at most HOT_SHARE, are spread; the rows of any other meet its part 0.
+    large = F.broadcast(of_root.where("parts > 1").orderBy(F.col("parts").desc(), "component").limit(HOT_SHARE).select(F.col("component").alias("__large"), F.col("parts").alias("__parts")))
+    parted = linked.join(large, F.col("component") == F.col("__large"), "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("__parts", F.lit(1).cast("bigint"))))
+    together = parted.join(spread.select("component", "part", "component_id"), ["component", "part"]).select(F.col("id").alias("__group"), "component_id")
     alone = named.where(F.col("component").isNull()).select(F.col("id").alias("__group"), F.col("least").alias("component_id"))
     return written(together.union(alone), f"{folder}/groups")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, radius: int = 52, jaccard: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, radius: int = 52, jaccard: float = 0.8, few: int = 24, wide: int = 80) -> DataFrame:
     """One row of each near-duplicate group, that with the least id (null last); of repeated ids any one row.
 
     Linked are texts whose sets of five-word shingles have a Jaccard similarity of at least ``jaccard``, counted on
-    64-bit hashes.  Pairs to be counted are those of equal sets and those within the radius, of similar numbers of shingles;
-    at 0.8 a pair differs in 39 of 256 bits on average, with a standard deviation below 6.
+    64-bit hashes.  Pairs to be counted are those of equal sets and those within the radius, of similar numbers of shingles:
+    at 0.8 a pair of long texts differs in 39 of 256 bits on average, with a standard deviation below 6.  A set of few
+    shingles says less by its bits (at four shingles against five the average is 48), so pairs with a set of up to ``few``
+    are counted within ``wide`` bits, five deviations on.
     """
     folder = new_folder(docs.sparkSession, "simhash-keep")
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/rows")
@@ -376,6 +424,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     # A set goes by the row of its first document, which no other set has.
     distinct = slim.groupBy("__own").agg(F.min("__id").alias("least"), F.first("__lanes").alias("lanes"), F.first("__shingles").alias("shingles"), place.alias("at"))
     distinct = written(distinct.select(F.col("least.row").alias("id"), "least", "lanes", "shingles", F.col("at.__file").alias("file"), F.col("at.__place").alias("place")), f"{folder}/distinct")
-    groups = _groups(distinct, links(distinct, lanes, radius, length_ratio=jaccard, sets=f"{folder}/sets", jaccard=jaccard), folder)
+    groups = _groups(distinct, links(distinct, lanes, radius, length_ratio=jaccard, sets=f"{folder}/sets", jaccard=jaccard, few=few, wide=max(radius, wide)), folder)
     first = groups.select(F.col("component_id.row").alias("__row"))
     return rows.join(first, "__row", "left_semi").select(*docs.columns)

@@ -275,3 +275,20 @@ def test_near_copies_are_checked_exactly(spark):
     want = sorted({root(i) for i in range(len(sets))})
     kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3))
     assert sorted(r.doc_id for r in kept.collect()) == want and 150 < len(want) < len(texts)
+
+
+def test_pairs_at_the_least_similarity_are_found_whatever_the_size_of_their_sets(spark):
+    """Pairs of Jaccard similarity 0.8 or just above, by the number of shingles of the smaller set."""
+    rng = np.random.default_rng(8)
+    rows, pairs, k = [], {}, 0
+    for size in (4, 5, 8, 9, 12, 16, 17, 24, 25, 40, 80):
+        for _ in range(60):
+            # The longer text goes on for as many words as keep the similarity.
+            words = [f"w{rng.integers(1 << 40)}" for _ in range(size + 4 + size // 4)]
+            pairs.setdefault(size, []).append((k, k + 1))
+            rows += [(k, " ".join(words[: size + 4])), (k + 1, " ".join(words))]
+            k += 2
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id").collect()}
+    found = {size: sum(b not in kept for _, b in some) / len(some) for size, some in pairs.items()}
+    assert all(a in kept for some in pairs.values() for a, _ in some)
+    assert min(found.values()) >= 0.95 and all(found[s] == 1 for s in found if s <= 24), found
