@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from .shared import join_spread, new_folder, written
+from .shared import HOT_SHARE, join_spread, new_folder, written
 
 # Names of HTML elements by what they are, and words that mark boilerplate in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,36 +57,58 @@ ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo comment c
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CONTENT = frozenset("content article articlebody post entry story maincontent".split())
 
-SPREAD = 16
+#: Marks of boxes that may be prose: inside of an article such a box stays if it has SOFT_LETTERS or more that are mostly no links.
+SOFT = frozenset("related recommended recommendations discussion search copyright skip social share sharing".split())
+SOFT_LETTERS = 200
+#: A paragraph in an article's own header with so many letters is a lead, not a line of names and dates.
+LEAD_LETTERS = 60
+
+SPREAD_PAGES = 4096
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|[^<]+|<", re.S)
+#: The same for what follows a tag whose quotes reach the end of the page: quotes mean nothing, a tag ends at the next bracket.
+_BROKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[^<]+|<", re.S)
+_OPENS = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hash", "letters")
+    __slots__ = ("tag", "attributes", "children", "hash", "letters", "linked", "holds", "gone")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children, self.hash, self.letters = tag, attributes, [], 0, 0
+        self.tag, self.attributes, self.children = tag, attributes, []
+        self.hash = self.letters = self.linked = 0
+        self.holds = self.gone = False
 
 
 def parse(html: str) -> Node:
     """The element tree of a page; contents of scripts, styles and the like are left out."""
     root = Node("#root", {})
     stack = [root]
-    at, end = 0, len(html)
+    at, end, last = 0, len(html), html.rfind(">")
+    token_of, places = _TOKEN, {"#root": [0]}
+
+    def top(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags, within) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in within:
-                return
+        """Ends the innermost open element of ``tags``, and what is in it, unless one of ``within`` is around it."""
+        k = top(tags)
+        if k and k >= top(within):
+            for node in stack[k:]:
+                places[node.tag].pop()
+            del stack[k:]
 
     while at < end:
-        token = _TOKEN.match(html, at)
+        if at > last and _OPENS.match(html, at):  # no tag ends any more
+            stack[-1].children.append("<")
+            at += 1
+            continue
+        token = token_of.match(html, at)
+        if token_of is _TOKEN and token[0] == "<" and _OPENS.match(html, at):
+            token_of = _BROKEN  # its quotes reach the end
+            continue
         at = token.end()
         name = token[2]
         if name is None:
@@ -100,7 +122,7 @@ def parse(html: str) -> Node:
             else:
                 close((name,), ("html",) if name in ("body", "html") else ("body",))
             continue
-        if name in ("html", "body") and any(n.tag == name for n in stack):
+        if name in ("html", "body") and places.get(name):
             continue
         if name == "body":
             close(("head",), ())
@@ -118,6 +140,7 @@ def parse(html: str) -> Node:
             found = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
             at = found.end() if found else end
         elif name not in VOID and not token[3].endswith("/"):
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -128,6 +151,7 @@ def _marks(node: Node) -> set[str]:
 
 
 def _boilerplate(node: Node) -> bool:
+    """What an element by itself is; ``holds`` must be known: whether it has an article or main element that is none."""
     tag, attributes = node.tag, node.attributes
     if tag in DROPPED:
         return True
@@ -140,7 +164,12 @@ def _boilerplate(node: Node) -> bool:
         return bool(marks & ARTICLE_MARKS)
     if attributes.get("role", "").lower() in ROLES:
         return True
-    return bool(marks & MARKS) and not any(n.tag in ("article", "main") and not _boilerplate(n) for n in walk(node) if n is not node)
+    return bool(marks & MARKS) and not node.holds
+
+
+def _prose(node: Node) -> bool:
+    """A box inside of an article that only its soft marks call boilerplate, and that reads as prose."""
+    return bool(node.attributes) and node.tag not in DROPPED and _marks(node) & MARKS <= SOFT and node.letters >= SOFT_LETTERS and 2 * node.linked <= node.letters and "hidden" not in node.attributes and node.attributes.get("aria-hidden") != "true" and "none" not in node.attributes.get("style", "").lower() and node.attributes.get("role", "").lower() not in ROLES
 
 
 def walk(node: Node):
@@ -153,11 +182,11 @@ def walk(node: Node):
 
 
 def digest(root: Node) -> None:
-    """Sets the hash and the number of letters of every subtree, children first."""
+    """Sets hash, letters, letters in links, and what is boilerplate, of every subtree, children first."""
     from xxhash import xxh64_intdigest
 
     for node in reversed(list(walk(root))):
-        parts, letters = [node.tag, node.attributes.get("class", ""), node.attributes.get("id", "")], 0
+        parts, letters, linked = [node.tag, node.attributes.get("class", ""), node.attributes.get("id", "")], 0, 0
         for child in node.children:
             if type(child) is str:
                 text = " ".join(child.split())
@@ -166,7 +195,10 @@ def digest(root: Node) -> None:
             else:
                 parts.append(f"\x1f{child.hash:016x}")
                 letters += child.letters
-        node.letters = letters
+                linked += child.linked
+                node.holds = node.holds or child.holds or (child.tag in ("article", "main") and not child.gone)
+        node.letters, node.linked = letters, linked + (letters if node.tag == "a" else 0)
+        node.gone = _boilerplate(node)
         node.hash = xxh64_intdigest("\x1e".join(parts).encode("utf-8", "replace"))
 
 
@@ -177,10 +209,10 @@ def _letters(root: Node, template: frozenset[int]) -> dict[int, int]:
     while stack:
         node = stack.pop()
         nodes.append(node)
-        stack.extend(c for c in node.children if type(c) is not str and not (_boilerplate(c) or c.tag == "header" or c.hash in template))
+        stack.extend(c for c in node.children if type(c) is not str and not (c.gone or c.tag == "header" or c.hash in template))
     for node in reversed(nodes):
         letters = sum(len(" ".join(c.split())) if type(c) is str else own.get(id(c), 0) for c in node.children)
-        own[id(node)] = 0 if node.tag in ("ul", "ol") and 2 * _linked(node) > node.letters else letters
+        own[id(node)] = 0 if node.tag in ("ul", "ol") and 2 * node.linked > node.letters else letters
     return own
 
 
@@ -231,7 +263,7 @@ def _articles(root: Node) -> list[Node]:
     found, stack = [], [root]
     while stack:
         node = stack.pop()
-        if _boilerplate(node):
+        if node.gone:
             continue
         if node.tag == "article" and node.letters:
             found.append(node)
@@ -297,8 +329,16 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _linked(node: Node) -> int:
-    return sum(n.letters for n in walk(node) if n.tag == "a")
+def _told(header: Node) -> list[Node]:
+    """Headings, and paragraphs of LEAD_LETTERS or more that are mostly no links, in an article's header, in page order."""
+    found, stack = [], [header]
+    while stack:
+        node = stack.pop()
+        if re.fullmatch("h[1-6]", node.tag) or (node.tag in ("p", "blockquote") and node.letters >= LEAD_LETTERS and 2 * node.linked <= node.letters and not node.gone):
+            found.append(node)
+        elif node is header or not node.gone:
+            stack.extend(c for c in reversed(node.children) if type(c) is not str)
+    return found
 
 
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
@@ -316,16 +356,16 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
             continue
         own = own or id(node) in inside
         if node is not main:
-            gone = _boilerplate(node) or (not own and (node.hash in template or (node.tag in ("ul", "ol") and 2 * _linked(node) > node.letters)))
+            gone = (node.gone and not (own and _prose(node))) or (not own and (node.hash in template or (node.tag in ("ul", "ol") and 2 * node.linked > node.letters)))
             if gone:
                 out.append("" if node.tag in IN_LINE else " ")
                 continue
-            if node.tag == "header":  # a page's header goes; of an article's own, the headings stay
+            if node.tag == "header":  # a page's header goes; of an article's own, headings and leads stay
                 if own:
                     out.append(" ")
-                    stack.extend((n, True) for n in reversed(list(walk(node))) if re.fullmatch("h[1-6]", n.tag))
+                    stack.extend((n, True) for n in reversed(_told(node)))
                 continue
-            if own and node.hash in template and id(node) not in inside and (node.tag not in PROSE | INLINE or 2 * _linked(node) > node.letters):
+            if own and node.hash in template and id(node) not in inside and (node.tag not in PROSE | INLINE or 2 * node.linked > node.letters):
                 out.append("" if node.tag in IN_LINE else " ")
                 continue
         if node.tag not in INLINE:
@@ -362,20 +402,25 @@ def _subtrees(pages: DataFrame, html: str, url: str) -> DataFrame:
 
 
 def templates(found: DataFrame, least_pages: int = 5) -> DataFrame:
-    """(key): the subtrees in ``found`` on at least ``least_pages`` different pages of a host."""
-    counted = found.select("key", "once").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= least_pages).select("key")
+    """(key, parts): the subtrees in ``found`` on at least ``least_pages`` different pages of a host, and into how many parts the
+    rows of each are cut."""
+    counted = found.groupBy("key", "once").agg(F.count("*").alias("rows")).groupBy("key").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    return counted.where(F.col("n") >= least_pages).select("key", F.ceil(F.col("rows") / SPREAD_PAGES).alias("parts"))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = 5) -> DataFrame:
     """``pages`` with ``text``, their main text.
 
-    A page meets its own subtrees that are templates, not its host's whole list; a template on all pages of a large
-    host is spread over SPREAD parts, and pages with very many copies over all tasks.
+    A page meets its own subtrees that are templates, not its host's whole list; a template is spread over a part per
+    SPREAD_PAGES of the pages that have it, and pages with very many copies over all tasks.
     """
     found = _subtrees(pages, html, url)
-    often = templates(found, least_pages).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
-    met = found.select("doc", "subtree", "key", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("part")).join(often, ["key", "part"])
+    often = written(templates(found, least_pages), new_folder(pages.sparkSession, "html-templates"))
+    # Templates on more than SPREAD_PAGES pages: no more than the most frequent HOT_SHARE of them are spread.
+    large = F.broadcast(often.where(F.col("parts") > 1).orderBy(F.col("parts").desc(), "key").limit(HOT_SHARE).select(F.col("key").alias("__large"), F.col("parts").alias("__parts")))
+    parted = found.select("doc", "subtree", "key").join(large, F.col("key") == F.col("__large"), "left")
+    parted = parted.select("doc", "subtree", "key", F.pmod(F.xxhash64("doc"), F.coalesce("__parts", F.lit(1).cast("bigint"))).alias("part"))
+    met = parted.join(often.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")), ["key", "part"])
     own = met.groupBy(F.col("doc").alias("__page")).agg(F.collect_set("subtree").alias("__template"))
     kept = [c for c in pages.columns if c != "text"]
     host = host_of(F.col(url))

@@ -22,6 +22,7 @@ import base64
 import hashlib
 import re
 import uuid
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,8 +33,10 @@ from .shared import file_system, join_spread, new_folder, written
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC_BYTES = 10
-_LENGTH = re.compile(rb"(?:^|\r\n)content-length:[ \t]*([0-9]{1,18})[ \t]*(?=\r\n)", re.I)
-HEAD_BYTES = 1 << 16  # how much of a header is read at first; a longer one is read on to its end
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]{0,64}([0-9]{1,18})[ \t]{0,64}(?=\r\n)", re.I)
+_BLANK = re.compile(rb"\r\n(?=\r\n)")
+HEAD_BYTES = 1 << 16  # how much is read beyond a range at first; a longer header is read on to its end
+_LINE = 256  # a line of a length is no longer
 PREFIX = "urn:agora:page:"
 MANIFEST = "file string, n_records bigint, n_bytes bigint"
 RECORDS = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, payload binary, refers_to bigint"
@@ -112,24 +115,59 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     return written(dealt.mapInArrow(write, MANIFEST), f"{folder}/manifest")
 
 
-def _head(file, size: int, at: int, buffer: bytes, origin: int) -> tuple[bytes, int] | None:
-    """(header, offset of the block) of a candidate at ``at``; ``buffer`` holds the bytes from ``origin`` on."""
-    head, asked = buffer[at - origin : at - origin + HEAD_BYTES], HEAD_BYTES
-    end = head.find(b"\r\n\r\n")
-    while end < 0 and at + len(head) < size:
-        before = len(head)
-        head, asked = head + file.read_at(min(asked, size - at - before), at + before), 4 * asked
-        end = head.find(b"\r\n\r\n", max(0, before - 3))
-    return None if end < 0 else (head[: end + 2], at + end + 4)
-
-
-def _successor(file, size: int, at: int, buffer: bytes, origin: int) -> int | None:
-    found = _head(file, size, at, buffer, origin)
-    length = _LENGTH.search(found[0]) if found else None
-    if not length:
-        return None
-    after = found[1] + int(length[1]) + 4
-    return after if after <= size else None
+class _Heads:
+    """Headers of records in a range of a file, in time linear in the range.
+
+    One pass over the bytes notes where blank lines and lengths stand.  Only what stands after the last blank line of the
+    range reads on, once for all candidates, to the next one in the file.
+    """
+
+    def __init__(self, file, size: int, start: int, end: int):
+        self.file, self.size, self.start = file, size, start
+        self.buffer = file.read_at(min(size, end + HEAD_BYTES) - start, start)
+        self.blanks = [start + m.start() for m in _BLANK.finditer(self.buffer)]
+        self.lengths = [(start + m.start(), start + m.end(), int(m[1])) for m in _LENGTH.finditer(self.buffer)]
+        self.upto = start + len(self.buffer)
+
+    def _read_on(self) -> None:
+        """Notes what stands between the end of the buffer and the next blank line."""
+        while self.upto < self.size:
+            # What may straddle the end is read again with it: a blank line, or a length's line.
+            begin = max(self.start, self.upto - _LINE)
+            part = self.file.read_at(min(self.size - begin, HEAD_BYTES + _LINE), begin)
+            last = self.blanks[-1] if self.blanks else -1
+            known = self.lengths[-1][0] if self.lengths else -1
+            self.blanks += [b for m in _BLANK.finditer(part) if (b := begin + m.start()) > last]
+            self.lengths += [(begin + m.start(), begin + m.end(), int(m[1])) for m in _LENGTH.finditer(part) if begin + m.start() > known]
+            self.upto = begin + len(part)
+            if self.blanks and self.blanks[-1] > last:
+                return
+
+    def blank(self, at: int) -> int | None:
+        """Where the first blank line after ``at`` begins."""
+        k = bisect_left(self.blanks, at)
+        if k == len(self.blanks) and self.upto < self.size:
+            self._read_on()
+        return self.blanks[k] if k < len(self.blanks) else None
+
+    def block(self, at: int) -> tuple[int, int] | None:
+        """(begin, length) of the block of a candidate at ``at``."""
+        blank = self.blank(at)
+        if blank is None:
+            return None
+        k = bisect_left(self.lengths, (at,))
+        return (blank + 4, self.lengths[k][2]) if k < len(self.lengths) and self.lengths[k][1] <= blank else None
+
+    def head(self, at: int) -> bytes:
+        """The header of a record at ``at``, up to its blank line."""
+        blank = self.blank(at)
+        found = self.buffer[at - self.start : blank + 2 - self.start]
+        return found if len(found) == blank + 2 - at else self.file.read_at(blank + 2 - at, at)
+
+    def successor(self, at: int) -> int | None:
+        block = self.block(at)
+        after = block and block[0] + block[1] + 4
+        return after if after and after <= self.size else None
 
 
 def _candidates(folder: str):
@@ -140,12 +178,12 @@ def _candidates(folder: str):
         for batch in batches:
             for name, size, start, end in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "start", "end"))):
                 with fs.open_input_file(f"{path}/{name}") as file:
-                    buffer = file.read_at(min(size, end + 65536) - start, start)
+                    heads = _Heads(file, size, start, end)
                     next_of = {}
-                    for found in MAGIC.finditer(buffer, 0, min(len(buffer), end - start + _MAGIC_BYTES)):
+                    for found in MAGIC.finditer(heads.buffer, 0, min(len(heads.buffer), end - start + _MAGIC_BYTES)):
                         at = start + found.start()
                         if at < end:
-                            next_of[at] = _successor(file, size, at, buffer, start)
+                            next_of[at] = heads.successor(at)
                 leaves: dict[int, int | None] = {}
                 for at in sorted(next_of, reverse=True):
                     after = next_of[at]
@@ -213,11 +251,10 @@ def _parse(folder: str, range_bytes: int):
                 for name, size, at in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "start"))):
                     end = min(size, (at // range_bytes + 1) * range_bytes)
                     with fs.open_input_file(f"{path}/{name}") as file:
-                        origin, buffer = at, file.read_at(min(size, end + 65536) - at, at)
+                        origin, heads = at, _Heads(file, size, at, end)
                         while at < end:
-                            head, block_at = _head(file, size, at, buffer, origin)
-                            length = int(_LENGTH.search(head)[1])
-                            block = buffer[block_at - origin : block_at - origin + length]
+                            head, (block_at, length) = heads.head(at), heads.block(at)
+                            block = heads.buffer[block_at - origin : block_at - origin + length]
                             if len(block) < length:
                                 block = file.read_at(length, block_at)
                             at = block_at + length + 4

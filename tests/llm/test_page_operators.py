@@ -4,8 +4,10 @@ import base64
 import hashlib
 import html as entities
 import re
+import time
 
 import numpy as np
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,14 +52,32 @@ def test_the_article_is_what_has_the_text(page, text):
 
 
 def test_very_deep_and_very_flat_pages_take_linear_time():
-    import time
-
     began = time.perf_counter()
     for page in ("<div>" * 50_000 + "deep" + "</div>" * 50_000, "<article>" + "<p>flat" * 50_000 + "</article>", "<article>x</article>" * 20_000):
         assert html.subtrees(page) is not None and html.main_text(page)[:4] in ("deep", "flat", "x x ")
     assert time.perf_counter() - began < 20
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 330_000, "<a<b=\"" * 160_000, "<a " * 300_000 + "x=\">\"", "<p x='" * 160_000 + ">", "<i>" * 160_000 + "</b>" * 130_000, "<p><div>" + "<i>" * 160_000 + "<hr>" * 120_000,
+    "<ul><li>x" * 110_000, "<div class=ad>" * 70_000 + "x", "<header><p>a</p>" * 60_000, "<article><header>" * 50_000, "<li>x" * 200_000, "<div class=related>x" * 50_000, "<!--" * 250_000, "<script>" * 120_000, "&amp" * 250_000,
+])
+def test_megabytes_of_odd_markup_take_linear_time(page):
+    began = time.perf_counter()
+    html.subtrees(page)
+    html.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_leads_and_prose_in_soft_boxes_stay():
+    lead = "A lead paragraph that says in more than a line what the article is about."
+    prose = "<p>" + "This section reads as prose and belongs to the article. " * 4 + "</p>"
+    page = f"<article><header><h1>T</h1><p>By A. B.</p><p>{lead}</p><nav>n</nav></header><p>Body text.</p><div class=related-work><h2>Related work</h2>{prose}</div><div class=related><a href=x>other</a></div><div class=share>Share this</div></article>"
+    want = f"T {lead} Body text. Related work " + " ".join(("This section reads as prose and belongs to the article. " * 4).split())
+    assert html.main_text(page) == want
+    assert html.main_text("<article>a<p title='x>b</p>c</article>") == "a b c" and html.main_text("<p>a <b") == "a <b"
+
+
 def test_pages_of_the_table(spark):
     """These pages have one article of plain blocks; its text is what is left without tags."""
     for row in queries.op5_html_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
@@ -132,6 +152,24 @@ def test_warc_reads_headers_of_any_length(spark):
     assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == rows
 
 
+@pytest.mark.parametrize("piece", ["WARC/1.1\r\n", "WARC/1.1\r\nContent-Length: 9\r\n", "WARC/1.0\r\n\r\n", "\r\n\r\n", "\r\nContent-Length: 7\r\n"])
+def test_payloads_full_of_magic_take_linear_time(spark, tmp_path, piece):
+    payload = (piece * (1_000_000 // len(piece) + 1))[:1_000_000]
+    records = [warc.page_record(n, "u", body.encode(), None, "2024-01-01T00:00:00Z") for n, body in enumerate(("a", payload, "b"))]
+    data = b"".join(records)
+    path = tmp_path / "one.warc"
+    path.write_bytes(data)
+    began, ends = time.perf_counter(), np.cumsum([0, *map(len, records)]).tolist()
+    with pafs.LocalFileSystem().open_input_file(str(path)) as file:
+        for start in range(0, len(data), 300_000):
+            heads = warc._Heads(file, len(data), start, min(len(data), start + 300_000))
+            next_of = {start + m.start(): heads.successor(start + m.start()) for m in warc.MAGIC.finditer(heads.buffer)}
+            for at, after in zip(ends, ends[1:]):
+                if start <= at < start + 300_000:
+                    assert next_of[at] == after and heads.head(at).startswith(b"WARC/1.1\r\nWARC-Type: response")
+    assert time.perf_counter() - began < 5
+
+
 def test_warc_finds_a_broken_file(spark):
     folder = new_folder(spark, "w")
     manifest = warc.write_warc(spark.createDataFrame([(n, "u", f"page {n}") for n in range(50)], "page_id bigint, url string, html string").coalesce(1), folder)
