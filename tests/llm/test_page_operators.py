@@ -190,6 +190,8 @@ def test_warc_finds_a_broken_file(spark):
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "HEADS", 3)
+    monkeypatch.setattr(topk, "FILES_BYTES", 5000)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).astype("float32")]) for i in range(0, 600)]
     rows += [(1000 + i, rows[3][1]) for i in range(60)] + [(3, rows[3][1])]
