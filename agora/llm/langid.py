@@ -11,9 +11,10 @@ Trees are held sparsely: for each order the strings (context and next byte) that
 group of languages, and the contexts with the cost of their escapes.  A byte is looked up at the highest order first and
 goes down, paying escapes, while its string is unknown to the group.
 
-Training reads whole texts of at most ``sample`` labelled documents per language (those with the least hash of their
-id: a bound on the model, not on what is predicted) and counts in tasks; only counts of different strings of
-``order`` + 1 bytes, bounded by the bytes of the sample, reach the driver.
+Training reads whole texts of at most ``sample`` labelled documents per language, those with the least hash of their id, as long
+as they have ``sample_bytes`` bytes together (the first is always read): a bound on the model, not on what is predicted.  Counts
+of strings of ``order`` + 1 bytes are a table in the shared folder, sorted by language; the driver has the names of the languages
+only.  A worker builds the trees of GROUP languages when it needs them and keeps those of KEPT groups.
 
 Defined results: ``und`` with score 0 for a null text, an empty one, one without a letter (Unicode category L), or if no
 language was learned.  Ties between languages go to the smaller name.  Rows are judged one by one; a column of the input
@@ -22,18 +23,25 @@ with the name of an added one is replaced.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import file_system, new_folder, written
+
 UNKNOWN = "und"
 ORDER = 4
 GROUP = 8
+KEPT = 4
+MERGED = 2_000_000
 PART = 1 << 18
 _HASHES = 1 << 40
 
@@ -116,24 +124,39 @@ class _Tree:
 
 @dataclass
 class Model:
-    """Counts of strings of ``order`` + 1 bytes per language; zero bytes stand for what is before the start."""
+    """Languages, and where the counts of their strings of ``order`` + 1 bytes are; zero bytes stand for what is before the start.
+
+    The table in ``folder`` has lang, code (a string as a 64-bit integer, the next byte lowest) and n.
+    """
 
     languages: list[str]
-    #: Per language: strings as 64-bit integers, the next byte lowest, and their counts.
-    codes: list[np.ndarray] = field(default_factory=list)
-    counts: list[np.ndarray] = field(default_factory=list)
+    folder: str | None = None
     order: int = ORDER
-    _trees: list[_Tree] | None = None
+    _trees: OrderedDict[tuple[str, ...], _Tree] = field(default_factory=OrderedDict)
 
     def __getstate__(self):
-        return {"languages": self.languages, "codes": self.codes, "counts": self.counts, "order": self.order, "_trees": None}
+        return {"languages": self.languages, "folder": self.folder, "order": self.order, "_trees": OrderedDict()}
+
+    def _tree(self, names: tuple[str, ...]) -> _Tree:
+        if names not in self._trees:
+            while len(self._trees) >= KEPT:
+                self._trees.popitem(last=False)
+            fs, path = file_system(self.folder)
+            table = pq.read_table(path, filesystem=fs, filters=[("lang", "in", list(names))]).combine_chunks()
+            lang, codes, counts = table.column("lang"), table.column("code").to_numpy(), table.column("n").to_numpy()
+            codes_of, counts_of = [], []
+            for name in names:
+                own = pc.equal(lang, name).to_numpy()
+                order = np.argsort(codes[own], kind="stable")
+                codes_of.append(codes[own][order].astype(np.uint64))
+                counts_of.append(counts[own][order])
+            self._trees[names] = _Tree(codes_of, counts_of, self.order)
+        self._trees.move_to_end(names)
+        return self._trees[names]
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Exact code length of each text under each language: [text, language]."""
-        if self._trees is None:
-            groups = [slice(k, k + GROUP) for k in range(0, len(self.languages), GROUP)]
-            self._trees = [_Tree([c.astype(np.uint64) for c in self.codes[g]], self.counts[g], self.order) for g in groups]
-        total = np.zeros((len(texts), len(self.languages)))
+        chunks: list[tuple[list[int], list[bytes]]] = []
         owner, parts, held = [], [], 0
         for row, text in enumerate(texts):
             for start in range(0, len(text), PART):
@@ -142,23 +165,26 @@ class Model:
                 parts.append(before.rjust(self.order, b"\0") + text[start : start + PART])
                 held += len(parts[-1])
                 if held >= PART:
-                    self._add(total, owner, parts)
+                    chunks.append((owner, parts))
                     owner, parts, held = [], [], 0
         if parts:
-            self._add(total, owner, parts)
+            chunks.append((owner, parts))
+        total = np.zeros((len(texts), len(self.languages)))
+        for k in range(0, len(self.languages) if chunks else 0, GROUP):
+            tree = self._tree(tuple(self.languages[k : k + GROUP]))
+            for owner, parts in chunks:
+                np.add.at(total[:, k : k + GROUP], owner, self._sums(tree, parts))
         return total
 
-    def _add(self, total: np.ndarray, owner: list[int], parts: list[bytes]) -> None:
+    def _sums(self, tree: _Tree, parts: list[bytes]) -> np.ndarray:
+        """Code length of each part, which begins with ``order`` bytes that are only context."""
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         codes = strings(np.frombuffer(b"".join(parts), np.uint8), self.order)
         own = lengths - self.order
         firsts = np.cumsum(own) - own
         # Strings that end in the first bytes of a part reach over its begin; those are left out.
         at = np.arange(int(own.sum())) + np.repeat((np.cumsum(lengths) - lengths) - firsts, own)
-        codes = codes[at]
-        for k, tree in enumerate(self._trees):
-            sums = np.add.reduceat(tree.bits(codes), firsts, axis=0, dtype=np.float64)
-            np.add.at(total[:, k * GROUP : (k + 1) * GROUP], owner, sums)
+        return np.add.reduceat(tree.bits(codes[at]), firsts, axis=0, dtype=np.float64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text and the share of its code in the sum of two to minus each code length."""
@@ -181,21 +207,47 @@ def strings(data: np.ndarray, order: int) -> np.ndarray:
 
 
 def _count_strings(order: int):
-    """Per batch: counts of (language, string); texts are counted in parts of bounded size."""
+    """Counts of (language, string); a task puts its texts together, up to MERGED different strings, and counts them in parts."""
 
     def run(batches):
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        fresh: dict[str, list[np.ndarray]] = {}
+        rows = 0
+
+        def put_together():
+            for lang, parts in fresh.items():
+                codes, counts = held.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                new, n = np.unique(np.concatenate(parts), return_counts=True)
+                every, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+                held[lang] = every, np.bincount(at, np.concatenate([counts, n]), len(every)).astype(np.int64)
+            fresh.clear()
+
+        def emit():
+            for lang, (codes, counts) in held.items():
+                for start in range(0, len(codes), 1 << 16):
+                    some = codes[start : start + (1 << 16)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(counts[start : start + (1 << 16)])], names=["lang", "code", "n"])
+            held.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = np.frombuffer(bytes(order) + (text or "").encode("utf-8", "replace"), dtype=np.uint8)
                 for start in range(0, max(1, len(data) - order), 1 << 20):
-                    codes, counts = np.unique(strings(data[start : start + (1 << 20) + order], order), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype("int64")), pa.array(counts)], names=["lang", "code", "n"])
+                    fresh.setdefault(lang, []).append(strings(data[start : start + (1 << 20) + order], order))
+                    rows += len(fresh[lang][-1])
+                    if rows >= MERGED:
+                        put_together()
+                        rows = 0
+                        if sum(len(c) for c, _ in held.values()) >= MERGED:
+                            yield from emit()
+        put_together()
+        yield from emit()
 
     return run
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 1000, order: int = ORDER) -> Model:
-    """A model from documents with a non-null language, at most ``sample`` of each.
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 1000, order: int = ORDER, sample_bytes: int = 16 << 20) -> Model:
+    """A model from documents with a non-null language: at most ``sample`` of each, and no more once they have ``sample_bytes`` bytes.
 
     A bound on the hash, from the number of documents of a language, leaves about four times ``sample`` of them, so
     that what is ranked does not grow with the table or its number of tasks.
@@ -209,20 +261,18 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
         bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
         few = usable.where(bound.isNull() | (place < bound))
     least = Window.partitionBy("lang").orderBy(place, "__hash")
-    ranked = few.select("lang", "text", F.row_number().over(least).alias("__place"))
-    chosen = ranked.where(F.col("__place") <= sample).select("lang", "text")
-    counts = chosen.mapInArrow(_count_strings(order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    model = Model(sorted(counts["lang"].unique()), order=order)
-    for name in model.languages:
-        own = counts[counts["lang"] == name].sort_values("code")
-        model.codes.append(own["code"].to_numpy("int64"))
-        model.counts.append(own["n"].to_numpy("int64"))
-    return model
+    before = F.sum(F.octet_length("text").cast("long")).over(least.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = few.select("lang", "text", F.row_number().over(least).alias("__place"), F.coalesce(before, F.lit(0)).alias("__before"))
+    chosen = ranked.where((F.col("__place") <= sample) & (F.col("__before") < sample_bytes)).select("lang", "text")
+    counted = chosen.mapInArrow(_count_strings(order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    folder = new_folder(labelled.sparkSession, "langid-model")
+    counts = written(counted.sortWithinPartitions("lang", "code"), folder)
+    return Model(sorted(r.lang for r in counts.select("lang").distinct().collect()), folder, order)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was trained on
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # names of languages and a path
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts: pd.Series) -> pd.DataFrame:

@@ -140,6 +140,8 @@ def plain_bits(grams, text, order):
 
 def test_code_lengths_equal_a_plain_reading_of_the_method(spark, monkeypatch):
     monkeypatch.setattr(langid, "GROUP", 2)
+    monkeypatch.setattr(langid, "KEPT", 1)
+    monkeypatch.setattr(langid, "MERGED", 9)
     learned = {"a": "abracadabra abracadabra", "b": "the cat sat on the mat", "c": "éàü ñandú, él también"}
     rows = [(k, text, lang) for k, (lang, text) in enumerate(learned.items())]
     model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
@@ -155,6 +157,16 @@ def test_code_lengths_equal_a_plain_reading_of_the_method(spark, monkeypatch):
     assert names == [model.languages[int(np.argmin(b))] for b in bits] and names[:3] == ["a", "b", "c"]
 
 
+def test_a_language_is_learned_from_bounded_bytes(spark):
+    rows = [(k, chr(97 + k) * 30, lang) for k, lang in enumerate("xxxyy")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = lambda **kw: {(r.lang, r.letter): r.n for r in spark.read.parquet(langid.train(table, **kw).folder).groupBy("lang", (F.col("code") % 256).alias("letter")).agg(F.sum("n").alias("n")).collect()}
+    assert sum(learned().values()) == 150 and len(learned()) == 5
+    for bytes_, docs in ((1, 1), (30, 1), (31, 2)):
+        got = learned(sample_bytes=bytes_)
+        assert sorted(sum(lang == own for lang, _ in got) for own in "xy") == [docs, docs] and set(got.values()) == {30}
+
+
 def brute_fingerprint(text, k=3):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
