@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import feeds, files, landing, pages, segments
-from ..streaming import incremental
+from ..streaming import incremental, relay
 from .registry import query, table
 
 
@@ -249,3 +249,26 @@ def streamed_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders.where("o_orderkey % 4 = 3").write.mode("append").parquet(f"{path}/landed")
     incremental.run_now(incremental.landed(spark, f"{path}/landed", orders.schema), f"{path}/checkpoint", each=incremental.append_new(["o_orderkey"], f"{path}/table"))
     return spark.read.schema(orders.schema).parquet(f"{path}/table")
+
+
+@query("SNK-12", """WITH m AS (SELECT o_orderkey, o_custkey % 6 AS failures, o_orderkey % 11 = 3 AS lost FROM orders)
+SELECT o_orderkey::VARCHAR AS message, CASE WHEN lost THEN 'queued' WHEN failures >= 3 THEN 'dead' ELSE 'sent' END AS state, (CASE WHEN lost THEN 1 ELSE least(failures + 1, 3) END)::INTEGER AS attempts FROM m""")
+def outbox_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each message of an outbox ends: sent after some failures, dead after three, or still queued.  What happened is landed
+    in two lots, the second with half of the first again, and streamed with a checkpoint."""
+    path = landing.folder(spark, "relay")
+    orders = table(spark, sf_dir, "orders").select(order_key().cast("string").alias("message"), (customer() % 6).cast("int").alias("failures"), (order_key() % 11 == 3).alias("lost"), F.lit("2024-01-01").cast("timestamp").alias("t"))
+    minute = lambda n: F.col("t") + F.make_dt_interval(F.lit(0), F.lit(0), n)
+    event = lambda kind, attempt, n: F.struct(F.lit(kind).alias("kind"), attempt.cast("int").alias("attempt"), minute(n).alias("at"))
+    tries = F.transform(F.sequence(F.lit(1), F.least(F.col("failures"), F.lit(3))), lambda k: event("failed", k, k * 10))
+    failed = F.when(F.col("lost") | (F.col("failures") == 0), F.array().cast("array<struct<kind: string, attempt: int, at: timestamp>>")).otherwise(tries)
+    # A receipt after the third failure comes too late.
+    sent = F.when(~F.col("lost"), event("sent", F.col("failures") + 1, F.when(F.col("failures") < 3, F.col("failures") * 10 + 5).otherwise(55)))
+    every = F.array_compact(F.concat(F.array(event("queued", F.lit(1), F.lit(0))), failed, F.array(sent)))
+    events = orders.select("message", F.explode(every).alias("e")).select("message", "e.*")
+    early = F.minute("at") < 20
+    for lot in (events.where(early), events.where(~early | (F.crc32("message") % 2 == 0))):
+        lot.write.mode("append").parquet(f"{path}/events")
+        stream = relay.relay(incremental.landed(spark, f"{path}/events", events.schema), most=3, wait_seconds=60)
+        incremental.run_now(stream, f"{path}/checkpoint", path=f"{path}/transitions")
+    return relay.last_states(spark.read.schema(relay.TRANSITION).parquet(f"{path}/transitions")).select("message", F.when(F.col("state").isin("retry", "waiting"), "queued").otherwise(F.col("state")).alias("state"), "attempts")

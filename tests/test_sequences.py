@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from agora.functions import headlines
-from agora.operators import clustering, knowledge, paging, retrieval
+from agora.operators import clustering, knowledge, paging, retrieval, routing
 from agora.plans import knowledge as graph_plans
 from agora.plans import news
 from agora.sources import files
@@ -88,7 +88,7 @@ def test_routing_is_the_sequence(spark):
             free.discard(k)
             want[k] = seed
     assert {r.id: r.seed for r in graph_plans.routed_reports(spark, SF).collect()} == want
-    assert knowledge.routed(spark.createDataFrame([], "id bigint, anchor bigint")).count() == 0
+    assert routing.routed(spark.createDataFrame([], "id bigint, anchor bigint")).count() == 0
 
 
 def test_promotion_is_the_sequence(spark):
