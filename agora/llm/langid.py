@@ -41,7 +41,7 @@ UNKNOWN = "und"
 ORDER = 4
 GROUP = 8
 KEPT = 4
-MERGED = 2_000_000
+MERGED = 300_000
 PART = 1 << 18
 _HASHES = 1 << 40
 
@@ -156,24 +156,21 @@ class Model:
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Exact code length of each text under each language: [text, language]."""
-        chunks: list[tuple[list[int], list[bytes]]] = []
-        owner, parts, held = [], [], 0
+        chunks: list[list[tuple[int, int]]] = []
+        held = PART
         for row, text in enumerate(texts):
             for start in range(0, len(text), PART):
-                before = text[max(0, start - self.order) : start]
-                owner.append(row)
-                parts.append(before.rjust(self.order, b"\0") + text[start : start + PART])
-                held += len(parts[-1])
                 if held >= PART:
-                    chunks.append((owner, parts))
-                    owner, parts, held = [], [], 0
-        if parts:
-            chunks.append((owner, parts))
+                    chunks.append([])
+                    held = 0
+                chunks[-1].append((row, start))
+                held += min(PART, len(text) - start)
         total = np.zeros((len(texts), len(self.languages)))
         for k in range(0, len(self.languages) if chunks else 0, GROUP):
             tree = self._tree(tuple(self.languages[k : k + GROUP]))
-            for owner, parts in chunks:
-                np.add.at(total[:, k : k + GROUP], owner, self._sums(tree, parts))
+            for chunk in chunks:
+                parts = [texts[row][max(0, start - self.order) : start].rjust(self.order, b"\0") + texts[row][start : start + PART] for row, start in chunk]
+                np.add.at(total[:, k : k + GROUP], [row for row, _ in chunk], self._sums(tree, parts))
         return total
 
     def _sums(self, tree: _Tree, parts: list[bytes]) -> np.ndarray:
