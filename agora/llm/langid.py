@@ -88,20 +88,21 @@ class _Tree:
             mask = np.uint64((1 << 8 * (k + 1)) - 1)
             strings = np.unique(np.concatenate([c & mask for c in codes]))
             contexts = np.unique(strings >> np.uint64(8))
-            seen = np.zeros((len(strings), len(codes)))
-            for lang, (c, n) in enumerate(zip(codes, counts)):
-                np.add.at(seen[:, lang], np.searchsorted(strings, c & mask), n)
             of = np.searchsorted(contexts, strings >> np.uint64(8))
-            total, kinds = np.zeros((len(contexts), len(codes))), np.zeros((len(contexts), len(codes)))
-            np.add.at(total, of, seen)
-            np.add.at(kinds, of, seen > 0)
-            weight = np.where(total > 0, total + kinds, 1.0)
-            escapes = -np.log2(np.where(total > 0, kinds / weight, 1.0))
-            shorter = 8.0 if below is None else below[1][np.searchsorted(below[0], strings & np.uint64((1 << 8 * k) - 1))]
-            lengths = np.where(seen > 0, np.log2(weight[of]) - np.log2(np.maximum(seen, 1)), escapes[of] + shorter)
+            shorter = None if below is None else np.searchsorted(below[0], strings & np.uint64((1 << 8 * k) - 1))
+            lengths = np.zeros((len(strings), len(codes)), dtype=np.float32)
+            escapes = np.zeros((len(contexts), len(codes)), dtype=np.float32)
+            for lang, (c, n) in enumerate(zip(codes, counts)):  # a language at a time, so that little is held beside the result
+                seen = np.bincount(np.searchsorted(strings, c & mask), n, len(strings))
+                total, kinds = np.bincount(of, seen, len(contexts)), np.bincount(of, seen > 0, len(contexts))
+                weight = np.where(total > 0, total + kinds, 1.0)
+                escape = -np.log2(np.where(total > 0, kinds / weight, 1.0))
+                further = escape[of] + (8.0 if below is None else below[1][shorter, lang])
+                lengths[:, lang] = np.where(seen > 0, np.log2(weight)[of] - np.log2(np.maximum(seen, 1)), further)
+                escapes[:, lang] = escape
             below = strings, lengths
             keys, roots = _Keys(strings), _Keys(contexts)
-            self.levels.append((keys, lengths[keys.order].astype(np.float32), roots, escapes[roots.order].astype(np.float32)))
+            self.levels.append((keys, lengths[keys.order], roots, escapes[roots.order]))
 
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """Code length of the last byte of each string, after the bytes before it: [string, language]."""
