@@ -296,30 +296,3 @@ def review_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = pairs.where("l_returnflag <> 'R'").select("subject", "target").distinct().join(known, ["subject", "target"], "left_anti")
     top = fresh.orderBy("subject", "target").limit(500)
     return top.withColumn("place", F.row_number().over(Window.orderBy("subject", "target")).cast("bigint"))
-
-
-@query("FL-18 FL-21", """SELECT o_orderkey, (['available', 'unavailable', 'disclaimer_only', 'available'])[1 + o_custkey % 4] AS body, (['restricted', 'allowed', 'unknown'])[1 + o_orderkey % 3] AS licence FROM orders""")
-def body_and_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a body says more than a notice, and which licence a page names."""
-    wrapping = r"""[ \t\r\n“”"'‘’「」\[\](){}<>.,;:。]+"""
-    notice = r"(?:무단\s*)?전재\s*(?:및|·)?\s*재배포\s*금지"
-    text = case(F.col("o_custkey"), "본문 내용", " “” . ", "[무단 전재 및 재배포 금지]", "본문. 무단 전재 및 재배포 금지")
-    bare = lambda c: F.regexp_replace(c, wrapping, "")
-    body = F.when(bare(text) == "", "unavailable").when(bare(F.regexp_replace(text, notice, "")) == "", "disclaimer_only").otherwise("available")
-    said = case(F.col("o_orderkey"), "공공누리 제 2 유형 <img src=open_type2.jpg>", "공공누리 제1유형", "all rights")
-    licence = F.when(said.rlike(r"제\s*[234]\s*유형|비상업|변형.*금지|(?:type|mark)[234]"), "restricted").when(said.rlike(r"제\s*[10]\s*유형|(?:type|mark)1"), "allowed").otherwise("unknown")
-    return table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"), licence.alias("licence"))
-
-
-@query("TX-15 FL-25", """SELECT o_orderkey, (['internal_member_alias', 'internal_graph_id', 'scheduled_source_rendered_completed', '', ''])[1 + o_custkey % 5] AS flags FROM orders""")
-def claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims that leak an internal alias or id, or turn what is scheduled into what was done."""
-    # Patterns of aliases, ids, and of scheduled and completed actions.
-    alias, graph_id = r"(?<![A-Za-z0-9])(?:E|N)\d+(?![A-Za-z0-9])", r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]{0,24}_[0-9a-f]{32,}(?![0-9a-f])"
-    scheduled = "개최한다|개최할 예정|개최 예정|열릴 예정|주재할 예정|참석할 예정|진행할 예정"
-    completed = "개최했다|개최함|주재했다|주재함|참석했다|참석함|진행했다|진행함"
-    who = F.col("o_custkey")
-    text = case(who, F.concat(F.lit("구성원 E"), who, F.lit(" 발언")), F.concat(F.lit("ge_"), F.md5(who.cast("string")), F.lit(" 참조")), "회의를 개최했다", "회의를 개최했다", F.concat(F.lit("NE"), who))
-    quote = case(who, "x", "x", "회의를 개최할 예정", "회의를 개최했다", "x")
-    flags = F.array_compact(F.array(F.when(text.rlike(alias), "internal_member_alias"), F.when(text.rlike(graph_id), "internal_graph_id"), F.when(quote.rlike(scheduled) & text.rlike(completed), "scheduled_source_rendered_completed")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(flags, ",").alias("flags"))
