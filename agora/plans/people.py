@@ -104,26 +104,44 @@ def stable_identity_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("identity_key", F.coalesce("__bound", "__known", hashed).alias("entity_id"), hashed.alias("alias_id"), (F.col("__bound").isNull() & F.col("__known").isNull()).alias("new_entity"))
 
 
-@query("FL-16 SF-25", """SELECT o_orderkey AS id, o_custkey % 9 < 6 AS contact,
-  (['문의', '담당자', '', '청사', '문의', '', '번호 1234567890123 은 아님', '그냥 글', '가격 12,000원'])[1 + o_custkey % 9] AS prefix FROM orders""")
+_CONTACTS = ("문의 전화: 02-345-1234 까지", "담당자 kim.7@example.go.kr 로", "01012345678", "청사 주소: 서울", "문의 Tel 1588-1234", "우편: 서울특별시 종로", "번호 1234567890123 은 아님", "그냥 글", "가격 12,000원")
+_MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}|(?:직장주소|주소)\s*[:：]|(?:\(\s*우편\s*\)|우편\s*[:：])\s*[가-힣]{2,}(?:특별자치시|특별자치도|특별시|광역시|도)\s+[가-힣0-9]"
+_PHONE = r"(?:\(?0\d{1,2}\)?[\s.)-]?)\d{3,4}[\s.-]\d{4}|01\d{8,9}|1[568]\d{2}[\s.-]?\d{4}"
+
+
+@query("FL-16 SF-25", rf"""WITH t AS (SELECT doc_id, coalesce(text, '') || chr(10) || ([{', '.join(f"'{c}'" for c in _CONTACTS)}])[1 + doc_id % {len(_CONTACTS)}] AS text FROM documents),
+m AS (SELECT *, regexp_matches(text, '{_MAIL}') AS mail, regexp_matches(text, '(?:^|[^0-9])(?:{_PHONE})(?:[^0-9]|$)') AS phone FROM t),
+p AS (SELECT *, CASE WHEN mail THEN regexp_extract(text, '(?s)^(.*?)(?:{_MAIL})', 1) END AS a, CASE WHEN phone THEN regexp_extract(text, '(?s)^(|.*?[^0-9])(?:{_PHONE})(?:[^0-9]|$)', 1) END AS b FROM m),
+c AS (SELECT *, CASE WHEN a IS NULL OR length(b) < length(a) THEN b ELSE a END AS before FROM p),
+l AS (SELECT *, rtrim(regexp_replace(before, '(?i)(?:연락처|전화번호|전화|휴대전화|휴대폰|팩스|Fax|Tel|직장주소|주소)\s*[:：]?\s*$', ''), ' ') AS kept FROM c)
+SELECT doc_id, mail OR phone AS contact, CASE WHEN NOT (mail OR phone) THEN text WHEN regexp_matches(kept, '{_MAIL}') OR regexp_matches(kept, '(?:^|[^0-9])(?:{_PHONE})(?:[^0-9]|$)') THEN '' ELSE kept END AS prefix FROM l""")
 def contact_free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which texts hold contact data, and what is left before it."""
-    k = F.col("o_orderkey")
-    text = case(F.col("o_custkey"), F.concat(F.lit("문의 전화: 02-"), 1000 + k % 9000, F.lit("-1234 까지")), F.concat(F.lit("담당자 kim"), k, F.lit("@example.go.kr 로")), "01012345678", "청사 주소: 서울", "문의 Tel 1588-1234", "우편: 서울특별시 종로", "번호 1234567890123 은 아님", "그냥 글", "가격 12,000원")
-    return table(spark, sf_dir, "orders").select(k.alias("id"), forms.has_contact(text).alias("contact"), forms.contact_free_prefix(text).alias("prefix"))
+    """Which documents hold contact data, each with a line more at its end, and what is left before the first."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), case(F.col("doc_id"), *_CONTACTS))
+    return table(spark, sf_dir, "documents").select("doc_id", forms.has_contact(text).alias("contact"), forms.contact_free_prefix(text).alias("prefix"))
+
 
+_SPELT = ("의원 홍길동 발언", "의원 홍 길 동 발언", "홍 길동 그리고 홍  길동", "김홍길 동의", "의원 홍  길동, 질의", "")
 
-@query("SF-23 SF-24", """SELECT o_orderkey AS id, (['홍길동', '홍 길 동', NULL, '홍길 동', '홍  길동'])[1 + o_custkey % 5] AS spelling, (['홍길동', '홍 길 동', '홍 길동', NULL, '홍  길동'])[1 + o_custkey % 5] AS surface FROM orders""")
+
+@query("SF-23 SF-24", rf"""WITH t AS (SELECT doc_id, coalesce(text, '') || ' ' || ([{', '.join(f"'{c}'" for c in _SPELT)}])[1 + doc_id % {len(_SPELT)}] AS text FROM documents),
+f AS (SELECT *, list_distinct(regexp_extract_all(text, '홍[ \t\xa0]{{0,8}}길[ \t\xa0]{{0,8}}동')) AS found, regexp_extract(text, '(?:^|[^\p{{L}}\p{{N}}_])(홍\s*길\s*동)(?:[^\p{{L}}\p{{N}}_]|$)', 1) AS surface FROM t)
+SELECT doc_id, CASE WHEN contains(text, '홍길동') THEN '홍길동' WHEN len(found) = 1 THEN found[1] END AS spelling, nullif(surface, '') AS surface FROM f""")
 def source_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one spelling of a name in a text, spaces between letters aside; several spellings are none."""
-    text = case(F.col("o_custkey"), "의원 홍길동 발언", "의원 홍 길 동 발언", "홍 길동 그리고 홍  길동", "김홍길 동의", "의원 홍  길동, 질의")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), forms.spelling(text, F.lit("홍길동")).alias("spelling"), F.nullif(forms.spaced_name(text, F.lit("홍길동")), F.lit("")).alias("surface"))
+    """The one spelling of a name in a document, spaces between letters aside, and as a word of its own; several spellings are none."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), case(F.col("doc_id"), *_SPELT))
+    return table(spark, sf_dir, "documents").select("doc_id", forms.spelling(text, F.lit("홍길동")).alias("spelling"), F.nullif(forms.spaced_name(text, F.lit("홍길동")), F.lit("")).alias("surface"))
+
+
+_LABELS = ("경기도 화성시 홍길동", " 홍길동 서울시 ", "누가 발의 했나", "표결 결과", "장관 발언 내용", "투표 시 홍길동은", "홍길동")
 
 
-@query("TX-11", """SELECT o_orderkey AS id, o_custkey % 6 IN (0, 1) AS label, (['', '', 'lead_sponsor,co_sponsor', 'voter', 'holds_office,speaker', 'voter'])[1 + o_custkey % 6] AS hints FROM orders""")
+@query("TX-11", rf"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE '' END || ([{', '.join(f"'{c}'" for c in _LABELS)}])[1 + doc_id % {len(_LABELS)}] AS text FROM documents)
+SELECT doc_id, regexp_matches(trim(text), '{forms.LABEL}') AS label, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(text, '{words}') THEN '{','.join(roles)}' END" for words, roles in forms.HINTS)}], lambda c: c IS NOT NULL), ',') AS hints FROM t""")
 def labels_and_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = case(F.col("o_custkey"), "경기도 화성시 홍길동", " 홍길동 서울시 ", "누가 발의 했나", "표결 결과", "장관 발언 내용", "투표 시 홍길동은")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), forms.is_label(text).alias("label"), F.array_join(forms.role_hints(text), ",").alias("hints"))
+    """Texts that are only a label of name and place, and the roles that a text asks for."""
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.coalesce("text", F.lit(""))).otherwise(""), case(F.col("doc_id"), *_LABELS))
+    return table(spark, sf_dir, "documents").select("doc_id", forms.is_label(text).alias("label"), F.array_join(forms.role_hints(text), ",").alias("hints"))
 
 
 @query("TX-14", """SELECT p_partkey AS id, string_split(p_name, ' ')[1] || '|' || string_split(p_name, ' ')[2] || '|Brand-' || p_size || '|' || p_type || '|' || p_name || '|Brand-' || p_size || ' ' || p_type AS names FROM part WHERE len(string_split(p_name, ' ')) = 2""")
