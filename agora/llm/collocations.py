@@ -29,7 +29,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import file_system, join_spread, new_folder, written
+from .shared import file_system, give_back, join_spread, new_folder, written
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BYTES = bytes(10 if b in BREAKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -182,7 +182,7 @@ def _parts(arrays: list[pa.Array], names: list[str], rows: int = 1 << 16) -> Ite
     whole = pa.RecordBatch.from_arrays(arrays, names=names)
     for start in range(0, whole.num_rows, rows):
         yield whole.slice(start, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _words_counted(seed: int, size: int):

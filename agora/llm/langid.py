@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import file_system, new_folder, written
+from .shared import file_system, give_back, new_folder, written
 
 UNKNOWN = "und"
 ORDER = 4
@@ -275,7 +275,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
-        pa.default_memory_pool().release_unused()
+        give_back()
         names, scores = own.predict(list(texts))
         return pd.DataFrame({"lang_pred": names, "score": scores})
 

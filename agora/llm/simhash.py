@@ -35,14 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import HOT_SHARE, file_system, join_spread, new_folder, written
+from .shared import HOT_SHARE, file_system, give_back, join_spread, new_folder, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 SEED = 42
 TILE = 8192
 SPREAD_ROWS = 4096
-SETS_BYTES, TILES_BYTES = 32 << 20, 48 << 20
+SETS_BYTES, TILES_BYTES = 32 << 20, 16 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> tuple[list[int], int]:
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, lanes: i
     @F.pandas_udf("struct<lanes: array<bigint>, shingles: bigint>")
     def of(texts: pd.Series) -> pd.DataFrame:
         found = [fingerprint(t, shingle, lanes) for t in texts]
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pd.DataFrame({"lanes": [np.array(f, dtype=np.uint64).view(np.int64) for f, _ in found], "shingles": [n for _, n in found]})
 
     df = docs.drop("lanes", "shingles", "__print").withColumn("__print", of(F.col(text)))
@@ -137,7 +137,7 @@ def _stored(folder: str, shingle: int, lanes: int):
                     arrays = [some.column("__id"), pa.array(prints, pa.list_(pa.int64())), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())]
                     arrays += [pa.array([name] * len(places), pa.int64()), pa.array(places, pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__lanes", "__shingles", "__own", "__file", "__place"])
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     return run
 
@@ -291,6 +291,8 @@ def _compare(n_lanes: int, radius: int, tiles_folder: str, folder: str | None =
                     a.append(ids[x])
                     b.append(ids[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in (a, b)], names=["a", "b"])
+        sets = tiles = None
+        give_back()
 
     return run
 

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import give_back
+
 _CUT = re.compile(r" (?<=\S )(?=\S)")
 #: White space that is not a single space or line feed between two other characters (for Arrow's regular expressions).
 _UNSURE = r"[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
@@ -159,7 +161,7 @@ class WordwiseEncoder:
             odd = pc.match_substring_regex(texts, _UNSURE).to_numpy(zero_copy_only=False) if self._wordwise else np.ones(len(texts), bool)
             yield texts, odd
             start = end
-        pa.default_memory_pool().release_unused()  # workers stay alive beside the executor between tasks
+        give_back()  # workers stay alive beside the executor between tasks
 
     def ids_of(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each whole text; a null or empty text has none."""
