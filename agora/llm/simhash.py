@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -406,6 +407,37 @@ def _groups(distinct: DataFrame, linked: DataFrame, folder: str) -> DataFrame:
     return written(together.union(alone), f"{folder}/groups")
 
 
+class _Among:
+    """Which rows are among those of a stored table (part, row), sorted by row; ``part`` is what a row's number has above 33 bits.
+
+    Numbers of rows that were written together share few parts, so a task reads little of the table, and no row is moved.
+    """
+
+    def __init__(self, folder: str):
+        self.folder, self.kept = folder, OrderedDict()
+
+    def __getstate__(self):
+        return {"folder": self.folder, "kept": OrderedDict()}
+
+    def _part(self, part: int) -> np.ndarray:
+        if part not in self.kept:
+            while len(self.kept) >= 4:
+                self.kept.popitem(last=False)
+            fs, path = file_system(self.folder)
+            self.kept[part] = np.sort(pq.read_table(path, filesystem=fs, columns=["row"], filters=[("part", "=", part)]).column("row").to_numpy())
+        self.kept.move_to_end(part)
+        return self.kept[part]
+
+    def has(self, numbers: pd.Series) -> pd.Series:
+        rows = numbers.to_numpy()
+        found = np.zeros(len(rows), dtype=bool)
+        for part in np.unique(rows >> 33).tolist():
+            own, held = rows >> 33 == part, self._part(part)
+            at = np.minimum(np.searchsorted(held, rows[own]), max(0, len(held) - 1))
+            found[own] = held[at] == rows[own] if len(held) else False
+        return pd.Series(found)
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, radius: int = 52, jaccard: float = 0.8, few: int = 24, wide: int = 80) -> DataFrame:
     """One row of each near-duplicate group, that with the least id (null last); of repeated ids any one row.
 
@@ -427,5 +459,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     distinct = slim.groupBy("__own").agg(F.min("__id").alias("least"), F.first("__lanes").alias("lanes"), F.first("__shingles").alias("shingles"), place.alias("at"))
     distinct = written(distinct.select(F.col("least.row").alias("id"), "least", "lanes", "shingles", F.col("at.__file").alias("file"), F.col("at.__place").alias("place")), f"{folder}/distinct")
     groups = _groups(distinct, links(distinct, lanes, radius, length_ratio=jaccard, sets=f"{folder}/sets", jaccard=jaccard, few=few, wide=max(radius, wide)), folder)
-    first = groups.select(F.col("component_id.row").alias("__row"))
-    return rows.join(first, "__row", "left_semi").select(*docs.columns)
+    first = groups.select(F.shiftrightunsigned("component_id.row", 33).alias("part"), F.col("component_id.row").alias("row"))
+    written(first.repartitionByRange("row").sortWithinPartitions("row"), f"{folder}/first")
+    among = _Among(f"{folder}/first")
+
+    @F.pandas_udf("boolean")
+    def is_first(numbers: pd.Series) -> pd.Series:
+        return among.has(numbers)
+
+    return rows.where(is_first("__row")).select(*docs.columns)
