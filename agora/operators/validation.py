@@ -76,37 +76,37 @@ def integrity(b: Batch) -> DataFrame:
         missing = F.lit(False)
         for k in keys:
             missing = missing | F.col(k).isNull()
-        out.append(_found(same.where((F.col("n") > 1) | missing), f"duplicate or missing identifier in {name}", keys[-1] if name in ("segments", "mentions") else keys[0]))
+        out.append(_found(same.where((F.col("n") > 1) | missing), f"identifier in {name}", keys[-1] if name in ("segments", "mentions") else keys[0]))
 
-    out.append(_found(entities.where(_none_of("kind", KINDS)), "unsupported entity kind"))
-    out.append(_found(entities.where(_blank("name", 500)), "invalid entity name"))
+    out.append(_found(entities.where(_none_of("kind", KINDS)), "entity: kind"))
+    out.append(_found(entities.where(_blank("name", 500)), "entity: name"))
 
     bad = {
-        "document version is no hash": F.col("version").isNull() | ~F.col("version").rlike("^[a-f0-9]{64}$"), "unsupported document format": _none_of("format", FORMATS), "unsupported body status": _none_of("body", BODIES),
-        "unsupported licence status": _none_of("licence", LICENCES), "collection time required": F.col("collected_at").isNull(), "unsafe storage key": F.col("storage").isNull() | ~F.col("storage").rlike(STORAGE), "source address is not secure": F.col("url").isNull() | ~F.col("url").rlike(r"^https://[^/\s@]+(/\S*)?$"),
+        "document: version": F.col("version").isNull() | ~F.col("version").rlike("^[a-f0-9]{64}$"), "document: format": _none_of("format", FORMATS), "document: body": _none_of("body", BODIES),
+        "document: licence": _none_of("licence", LICENCES), "document: collected": F.col("collected_at").isNull(), "document: storage": F.col("storage").isNull() | ~F.col("storage").rlike(STORAGE), "document: address": F.col("url").isNull() | ~F.col("url").rlike(r"^https://[^/\s@]+(/\S*)?$"),
     }
     out += [_found(documents.where(c), rule) for rule, c in bad.items()]
     version = ["document", "version", "extraction"]
     of = documents.select("batch", F.col("id").alias("document"), "version", "extraction", "body", "licence")
     held = segments.join(of, ["batch", *version], "left")
-    out.append(_found(held.where(F.col("body").isNull()), "segment document unavailable"))
-    out.append(_found(held.where(F.col("body").isNotNull() & ~F.col("body").isin(*READABLE)), "unavailable body cannot have segments"))
-    out.append(_found(segments.where(_blank("text", 100_000)), "invalid segment text"))
+    out.append(_found(held.where(F.col("body").isNull()), "segment: no document"))
+    out.append(_found(held.where(F.col("body").isNotNull() & ~F.col("body").isin(*READABLE)), "segment: no body"))
+    out.append(_found(segments.where(_blank("text", 100_000)), "segment: text"))
 
     text = segments.select("batch", *version, F.col("id").alias("segment"), F.col("text").alias("__text"))
     inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("__text"))
     people = entities.where("kind = 'person'").select("batch", F.col("id").alias("person"), F.lit(True).alias("__person"))
     named = mentions.join(text, ["batch", *version, "segment"], "left").join(people, ["batch", "person"], "left")
     words = F.substring("__text", F.col("start") + 1, F.col("end") - F.col("start"))
-    out.append(_found(named.where(~F.coalesce(inside & (words == F.col("surface")), F.lit(False))), "mention surface mismatch"))
-    out.append(_found(named.where(_none_of("decision", DECISIONS)), "unsupported decision"))
-    out.append(_found(named.where(F.col("person").isNotNull() & F.col("__person").isNull()), "person entity unavailable"))
-    out.append(_found(named.where((F.col("decision") == "approved") & F.col("person").isNull()), "approved mention requires person"))
+    out.append(_found(named.where(~F.coalesce(inside & (words == F.col("surface")), F.lit(False))), "mention: surface"))
+    out.append(_found(named.where(_none_of("decision", DECISIONS)), "decision"))
+    out.append(_found(named.where(F.col("person").isNotNull() & F.col("__person").isNull()), "no such person"))
+    out.append(_found(named.where((F.col("decision") == "approved") & F.col("person").isNull()), "mention: nobody"))
 
     cited = evidence.join(of.select("batch", *version, F.lit(True).alias("__document")), ["batch", *version], "left").join(text, ["batch", *version, "segment"], "left")
-    out.append(_found(cited.where(F.col("__document").isNull()), "evidence document version unavailable"))
-    out.append(_found(cited.where(F.col("__document").isNotNull() & F.col("__text").isNull()), "evidence segment unavailable"))
-    out.append(_found(cited.where(F.col("__text").isNotNull() & ~F.coalesce(inside, F.lit(False))), "invalid code point range"))
+    out.append(_found(cited.where(F.col("__document").isNull()), "evidence: no document"))
+    out.append(_found(cited.where(F.col("__document").isNotNull() & F.col("__text").isNull()), "evidence: no segment"))
+    out.append(_found(cited.where(F.col("__text").isNotNull() & ~F.coalesce(inside, F.lit(False))), "evidence: span"))
 
     # What the ends of a relation are: a kind of entity, an activity, or a document.
     ends = entities.select("batch", F.col("id").alias("end"), "kind").unionByName(activities.select("batch", F.col("id").alias("end"), F.lit("activity").alias("kind"))).unionByName(documents.select("batch", F.col("id").alias("end"), F.lit("document").alias("kind")))
@@ -116,33 +116,33 @@ def integrity(b: Batch) -> DataFrame:
     is_ = lambda c, *wanted: F.arrays_overlap(F.coalesce(f"__{c}", F.array().cast("array<string>")), F.array(*map(F.lit, wanted)))
     type_, both = F.col("type"), F.col("__subject").isNotNull() & F.col("__object").isNotNull()
     typed = type_.isin(*PERSON_ROLES, *ORGANIZATION_ROLES, LINEAGE, CONCERNS, RECORDS)
-    out.append(_found(met.where(~both), "relation target unavailable"))
-    out.append(_found(met.where(~F.coalesce(typed, F.lit(False))), "unsupported relationship"))
-    out.append(_found(met.where(both & type_.isin(*PERSON_ROLES) & ~is_("subject", "person")), "person entity unavailable"))
-    out.append(_found(met.where(both & type_.isin(*PERSON_ROLES) & ~(is_("object", "activity") | (type_.isin(*BILL_ROLES) & is_("object", "bill")))), "invalid person role target"))
-    out.append(_found(met.where(both & type_.isin(*ORGANIZATION_ROLES) & ~is_("subject", "organization")), "organization role required"))
-    out.append(_found(met.where(both & type_.isin(*ORGANIZATION_ROLES) & ~is_("object", "activity", "bill", "policy")), "invalid organization role target"))
-    out.append(_found(met.where(both & (type_ == LINEAGE) & ~(is_("subject", "bill") & is_("object", "bill") & (F.col("subject") != F.col("object")))), "invalid bill lineage"))
+    out.append(_found(met.where(~both), "relation: end"))
+    out.append(_found(met.where(~F.coalesce(typed, F.lit(False))), "relation: type"))
+    out.append(_found(met.where(both & type_.isin(*PERSON_ROLES) & ~is_("subject", "person")), "no such person"))
+    out.append(_found(met.where(both & type_.isin(*PERSON_ROLES) & ~(is_("object", "activity") | (type_.isin(*BILL_ROLES) & is_("object", "bill")))), "role: object"))
+    out.append(_found(met.where(both & type_.isin(*ORGANIZATION_ROLES) & ~is_("subject", "organization")), "role: subject"))
+    out.append(_found(met.where(both & type_.isin(*ORGANIZATION_ROLES) & ~is_("object", "activity", "bill", "policy")), "role: object of an organization"))
+    out.append(_found(met.where(both & (type_ == LINEAGE) & ~(is_("subject", "bill") & is_("object", "bill") & (F.col("subject") != F.col("object")))), "lineage: ends"))
     again = relations.where(type_ == LINEAGE).groupBy("batch", "subject", "object").agg(F.count("*").alias("n"), F.max("id").alias("id")).where("n > 1")
-    out.append(_found(again, "duplicate bill lineage edge within one batch"))
-    out.append(_found(met.where(both & (type_ == CONCERNS) & ~(is_("subject", "bill", "activity") & is_("object", "policy"))), "invalid policy relationship"))
-    out.append(_found(met.where(both & (type_ == RECORDS) & ~(is_("subject", "document") & is_("object", "activity"))), "invalid document relationship"))
-    out.append(_found(relations.where(_none_of("decision", DECISIONS)), "unsupported decision"))
-    out.append(_found(relations.where(_blank("reason", 1000)), "invalid relation reason"))
-    out.append(_found(relations.where((F.col("decision") == "approved") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)), "relation evidence required"))
-    out.append(_absent(_listed(relations, "evidence"), evidence, "relation evidence unavailable"))
+    out.append(_found(again, "lineage: twice"))
+    out.append(_found(met.where(both & (type_ == CONCERNS) & ~(is_("subject", "bill", "activity") & is_("object", "policy"))), "policy: ends"))
+    out.append(_found(met.where(both & (type_ == RECORDS) & ~(is_("subject", "document") & is_("object", "activity"))), "record: ends"))
+    out.append(_found(relations.where(_none_of("decision", DECISIONS)), "decision"))
+    out.append(_found(relations.where(_blank("reason", 1000)), "relation: reason"))
+    out.append(_found(relations.where((F.col("decision") == "approved") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)), "relation: no proof"))
+    out.append(_absent(_listed(relations, "evidence"), evidence, "relation: proof unknown"))
 
     counts = activities.groupBy("batch").agg(F.count("*").alias("a")).join(contexts.groupBy("batch").agg(F.count("*").alias("c")), "batch", "full")
-    out.append(_found(counts.where(~F.col("a").eqNullSafe(F.col("c"))), "each activity requires one context", F.lit("contexts")))
+    out.append(_found(counts.where(~F.col("a").eqNullSafe(F.col("c"))), "contexts and activities differ", F.lit("contexts")))
     known = activities.select("batch", F.col("id").alias("event"), "version")
-    out.append(_found(contexts.join(known, ["batch", "event", "version"], "left_anti"), "context activity unavailable", "event"))
-    out.append(_found(contexts.where(_none_of("change", CHANGES)), "unsupported change kind", "event"))
-    out.append(_found(contexts.where(F.col("precision").isNotNull() & ~F.col("precision").isin(*PRECISIONS)), "unsupported scheduled precision", "event"))
-    out.append(_found(contexts.where(F.col("scheduled_at").isNotNull() & F.col("precision").isNull()), "scheduled date precision required", "event"))
-    out.append(_found(contexts.where(F.col("scheduled_at").isNull() & F.coalesce(F.col("precision") != "unknown", F.lit(False))), "unknown scheduled date must remain null", "event"))
-    out.append(_found(contexts.where(F.coalesce(F.size("evidence"), F.lit(0)) <= 0), "context evidence required", "event"))
+    out.append(_found(contexts.join(known, ["batch", "event", "version"], "left_anti"), "context: no activity", "event"))
+    out.append(_found(contexts.where(_none_of("change", CHANGES)), "context: change", "event"))
+    out.append(_found(contexts.where(F.col("precision").isNotNull() & ~F.col("precision").isin(*PRECISIONS)), "context: precision", "event"))
+    out.append(_found(contexts.where(F.col("scheduled_at").isNotNull() & F.col("precision").isNull()), "context: date without precision", "event"))
+    out.append(_found(contexts.where(F.col("scheduled_at").isNull() & F.coalesce(F.col("precision") != "unknown", F.lit(False))), "context: precision without date", "event"))
+    out.append(_found(contexts.where(F.coalesce(F.size("evidence"), F.lit(0)) <= 0), "context: no proof", "event"))
     for column, table in (("evidence", evidence), ("relations", relations), ("documents", documents)):
-        out.append(_absent(_listed(contexts, column, "event"), table, f"context {column.removesuffix('s')} unavailable"))
+        out.append(_absent(_listed(contexts, column, "event"), table, f"context: {column.removesuffix('s')} unknown"))
     return _together(out)
 
 
@@ -167,7 +167,7 @@ def publication(b: Batch) -> DataFrame:
     out = []
     order = Window.partitionBy("batch", "document", "version", "extraction", "segment").orderBy("start", "end")
     approved = mentions.where("decision = 'approved'").withColumn("__reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    out.append(_found(approved.where(F.col("start") < F.col("__reach")), "approved mention overlap"))
+    out.append(_found(approved.where(F.col("start") < F.col("__reach")), "mention: overlap"))
 
     acts = b["activities"].select("batch", F.col("id").alias("event"), "version", "bill", "people")
     pinned = contexts.join(acts, ["batch", "event", "version"]).select("batch", "event", "version", "bill", "people", F.explode_outer("relations").alias("__relation"))
@@ -175,12 +175,12 @@ def publication(b: Batch) -> DataFrame:
     met = pinned.join(roles, ["batch", "__relation"], "left").withColumn("__actor", F.when((F.col("object") == F.col("event")) | (F.col("object") == F.col("bill")), F.col("subject")))
     actors = met.groupBy("batch", "event", "version").agg(F.array_sort(F.collect_set("__actor")).alias("__actors"), F.first("people").alias("people"))
     listed = F.array_sort(F.array_distinct(F.coalesce("people", F.array().cast("array<string>"))))
-    out.append(_found(actors.where(F.col("__actors") != listed), "activity participant roles are not approved or missing", "event"))
-    out.append(_absent(_listed(contexts, "evidence", "event"), shown, "public context evidence unavailable or restricted"))
-    out.append(_absent(_listed(relations.where("decision = 'approved'"), "evidence"), shown, "public relation evidence unavailable or restricted"))
+    out.append(_found(actors.where(F.col("__actors") != listed), "activity: actors", "event"))
+    out.append(_absent(_listed(contexts, "evidence", "event"), shown, "context: proof not public"))
+    out.append(_absent(_listed(relations.where("decision = 'approved'"), "evidence"), shown, "relation: proof not public"))
     people = b["entities"].where("kind = 'person'")
     proven = reviewed(b).select("batch", F.col("person").alias("id")).distinct()
-    out.append(_found(people.join(proven, ["batch", "id"], "left_anti"), "public person identity evidence is not approved or usable"))
+    out.append(_found(people.join(proven, ["batch", "id"], "left_anti"), "person: not identified"))
     return _together(out)
 
 
