@@ -89,3 +89,26 @@ def violations(df: DataFrame, key: str, other: DataFrame, other_key: str, kind:
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``table`` and those of ``rows`` whose key it lacks."""
     return table.unionByName(rows.join(table, list(keys), "left_anti"))
+
+
+def looked_up(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are, all together, a row of ``asked``: one join on all of them in place of a list of alternatives.
+
+    A null is a value as others; repeated rows of ``asked`` do not repeat what they find.
+    """
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(asked.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), same, "left_semi")
+
+
+def voters(votes: DataFrame, identifiers: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``votes`` (bill, session, namespace, value, name, vote) with ``person`` and ``how``.
+
+    A voter is known by an identifier of the session's namespace (``identifiers`` namespace, value, person), and one identifier of
+    two persons is a ``conflict``; else unknown.  Votes of sessions that are not held (``sessions`` bill, session) have no row.
+    """
+    bound = identifiers.groupBy("namespace", "value").agg(F.min("person").alias("__person"), F.count_distinct("person").alias("__n"))
+    met = votes.join(sessions.select("bill", "session").distinct(), ["bill", "session"], "left_semi").join(bound, ["namespace", "value"], "left")
+    how = F.when(F.col("__n") > 1, "conflict").when(F.col("__n") == 1, "identifier").otherwise("unknown")
+    return met.select(*votes.columns, F.when(F.col("__n") == 1, F.col("__person")).alias("person"), how.alias("how"))

@@ -194,7 +194,7 @@ def first_and_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"), F.count("*").alias("n"))
 
 
-@query("ST-02 ST-08 JN-24 FL-19 PJ-14", """
+@query("ST-08 JN-24 PJ-14", """
 WITH u AS (SELECT event_id, user_id, 0 AS feed FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, user_id, 1 FROM events WHERE user_id % 2 = 0)
 SELECT event_id, min(feed) AS feed FROM u GROUP BY event_id""")
 def merged_follow_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def campaign_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.when(size % 3 == 0, "").otherwise(text(F.col("p_name"), ', "', F.col("p_brand"), '"'))
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), note.alias("note"), F.when(size % 2 == 0, "").otherwise(size.cast("string")).alias("size"))
     rows.write.option("header", True).option("escape", '"').csv(path)
-    return spark.read.option("escape", '"').option("header", True).csv(path).select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("id", "note", "size")])
+    return files.read_csv(spark, path, ["id", "note", "size"])
 
 
 @query("SRC-29 AG-23", """WITH p AS (SELECT l_suppkey AS source, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'F' THEN 'complete' ELSE 'running' END AS state, l_orderkey AS done, 60000 AS total,

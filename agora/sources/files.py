@@ -10,9 +10,13 @@ from ..operators.ordered import ranked
 from .landing import folder, landed
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, all columns as text; blanks stay blank, a byte order mark is passed over."""
-    df = spark.read.option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A CSV with a header, all columns as text; blanks stay blank, a byte order mark is passed over, quotes are doubled in quotes.
+
+    With ``columns`` the file is not read an extra time for its header.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", columns is not None)
+    df = reader.csv(path) if columns is None else reader.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("\ufeff")) for c in df.columns])
 
 
