@@ -24,6 +24,7 @@ with the name of an added one is replaced.  An empty table gives an empty table.
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -155,6 +156,10 @@ class Model:
         self._trees.move_to_end(names)
         return self._trees[names]
 
+    def forget(self) -> None:
+        """Drops the trees; they are built again when they are needed."""
+        self._trees.clear()
+
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Exact code length of each text under each language: [text, language]."""
         chunks: list[list[tuple[int, int]]] = []
@@ -270,14 +275,15 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # names of languages and a path
-
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        own = shared.value
-        give_back()
-        names, scores = own.predict(list(texts))
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in parts:
+                names, scores = model.predict(list(texts))
+                yield pd.DataFrame({"lang_pred": names, "score": scores})
+        finally:  # a worker outlives the task, and other operators need its memory
+            model.forget()
+            give_back()
 
     df = docs.drop("lang_pred", "score").withColumn("__said", predict(F.col(text)))
     return df.select(*[c for c in df.columns if c != "__said"], F.col("__said.lang_pred"), F.col("__said.score"))
