@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merges, ordered, proofs, relations
+from ..sources import manifests
 from .registry import query, table
 
 
@@ -115,3 +116,34 @@ def inventory_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = docs.where("lang = 'en'").select("doc_id", "n_chars")
     payload = docs.where("doc_id % 10 = 0").select("doc_id", F.length("text").alias("payload"))
     return listed.join(payload, "doc_id", "left").select("doc_id", "n_chars", "payload")
+
+
+@query("SRC-21", """WITH m AS (SELECT DISTINCT l_orderkey AS job, l_partkey AS part, l_suppkey AS supp FROM lineitem), c AS (SELECT job, count(*) AS n, count(DISTINCT part) AS d, count(*) FILTER (part % 10 <> 3) AS found FROM m GROUP BY job)
+SELECT job, CASE WHEN n > 5 OR d < n THEN 'invalid' WHEN job % 7 = 1 THEN 'replayed' WHEN job % 7 = 2 THEN 'conflict' WHEN found = n THEN 'complete' ELSE 'partial' END AS outcome, found, n - found AS missing FROM c""")
+def manifest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that collect the parts of an order: invalid lists, replays, conflicts with a receipt, complete and partial ones."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), F.concat_ws("-", F.lpad(F.col("l_partkey").cast("string"), 9, "0"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("place"), F.col("l_partkey").alias("document"), F.concat(F.lit("https://a.go.kr/"), "l_partkey").alias("url")).distinct()
+    landed = table(spark, sf_dir, "part").where("p_partkey % 10 <> 3").select(F.concat(F.lit("https://a.go.kr/"), "p_partkey").alias("url"), F.col("p_name").alias("body"))
+    first = manifests.collected(lines, landed, lines.select("job", F.lit("").alias("manifest")).limit(0), most=5)[0]
+    receipts = first.where("job % 7 IN (1, 2)").select("job", F.when(F.col("job") % 7 == 1, F.col("manifest")).otherwise("another").alias("manifest"))
+    return manifests.collected(lines, landed, receipts, most=5)[0].select("job", "outcome", "found", "missing")
+
+
+@query("SRC-26", """SELECT s_suppkey AS id, CASE WHEN s_nationkey % 6 > 0 THEN 'issue ' || s_nationkey END AS issue, ps.p_partkey AS plan, ps.p_size AS values FROM supplier LEFT JOIN part ps ON ps.p_partkey % 150 = s_suppkey WHERE s_acctbal > 0""")
+def active_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active sources with their issues and parameter plans."""
+    issues = table(spark, sf_dir, "nation").where("n_nationkey % 6 > 0").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("issue "), "n_nationkey").alias("name"))
+    plans = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 150).alias("source"), F.col("p_size").alias("values"))
+    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("issue"), (F.col("s_acctbal") > 0).alias("active"))
+    return manifests.active(sources, plans, issues)
+
+
+@query("SRC-26", """SELECT 'sources' AS dimension, 'no such issues' AS rule, s_suppkey::VARCHAR AS id FROM supplier WHERE s_nationkey % 6 = 0 UNION ALL SELECT 'plans', 'no such sources', p_partkey::VARCHAR FROM part WHERE p_partkey % 150 NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 'issues', 'key twice', n_regionkey::VARCHAR FROM (SELECT n_regionkey FROM nation WHERE n_nationkey % 6 > 0 GROUP BY n_regionkey HAVING count(*) > 1)""")
+def broken_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the dimensions: issues keyed by region stand twice, sources of issues and plans of sources that are not there."""
+    kept = table(spark, sf_dir, "nation").where("n_nationkey % 6 > 0")
+    suppliers, parts = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    good = {"issues": kept.select(F.col("n_nationkey").alias("id")), "sources": suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("issue")), "plans": parts.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 150).alias("source"))}
+    lost = manifests.broken(good, {("sources", "issue"): "issues", ("plans", "source"): "sources"})
+    return lost.unionByName(manifests.broken({"issues": kept.select(F.col("n_regionkey").alias("id"))}, {}))

@@ -53,7 +53,7 @@ def artifact_current_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.latest_by(times, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey", "content", (F.col("n") > 1).alias("reactivated"))
 
 
-@query("SRC-02 SRC-03 SRC-07", """
+@query("SRC-02 SRC-03", """
 WITH t AS (SELECT count(*) AS total FROM events), p AS (SELECT event_id // 100 AS page, count(*) AS n FROM events GROUP BY page)
 SELECT page, total, n < 100 OR (page + 1) * 100 >= total AS complete, event_id AS id FROM events JOIN p ON page = event_id // 100, t""")
 def page_envelope_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def nested_document_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("doc_id", "e.line", F.length("e.t").cast("bigint").alias("n_chars"))
 
 
-@query("FL-03 SRC-26 SF-33", """
+@query("FL-03 SF-33", """
 SELECT p_partkey, '제' || p_size || '대' AS label, 100000 + p_size AS code FROM part WHERE p_size <= 25 AND p_type <> 'ECONOMY'""")
 def active_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = table(spark, sf_dir, "part").where("p_size <= 25 AND p_type <> 'ECONOMY'")

@@ -4,7 +4,6 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from agora.sources import pages, profiles, segments, selectors
 
