@@ -29,14 +29,14 @@ from .tokens import encoder
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, kept_words: int = 500_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of the pieces of every document."""
     end = struct.pack("<I", end_id)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def cut(batches):
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, kept_words)
         for batch in batches:
             rows = []
             for own, body in zip(batch.column("__id").to_pylist(), encode.ids_of(batch.column("__text"))):
@@ -161,9 +161,9 @@ def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     return ranked.select(*names, "__rank").mapInArrow(dealt, f"{fields}, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row per piece with its place; with ``with_ids`` also its ids."""
-    cut = written(pieces(docs, vocabulary, end_id, capacity, doc_id, text, with_ids), new_folder(docs.sparkSession, "packing-pieces"))
+def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, kept_words: int = 500_000) -> DataFrame:
+    """A row per piece with its place; with ``with_ids`` also its ids.  A worker remembers the ids of ``kept_words`` words, some 200 bytes each."""
+    cut = written(pieces(docs, vocabulary, end_id, capacity, doc_id, text, with_ids, kept_words), new_folder(docs.sparkSession, "packing-pieces"))
     return place(cut, capacity)
 
 

@@ -200,9 +200,9 @@ class WordwiseEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordwiseEncoder:
+def encoder(path: str, kept: int = 500_000) -> WordwiseEncoder:
     """One encoder for a vocabulary file and Python worker."""
-    return WordwiseEncoder(path)
+    return WordwiseEncoder(path, kept)
 
 
 def public_path(name: str) -> str:
