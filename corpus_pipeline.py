@@ -49,8 +49,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document with its place in a sequence of at most 1024 tokens."""
-    return packing.pack(docs, public_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    """A row per piece of a document with its place in a sequence of at most 1024 tokens.
+
+    Workers remember fewer words than the operator's default, as they stand beside executors that other stages have filled.
+    """
+    return packing.pack(docs, public_path("byte_bpe_50k.json"), end_id=2, capacity=1024, kept_words=100_000)
 
 
 STAGES = [("language_id", language), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("source_mix", source_mix), ("best_fit_packing", pack)]
