@@ -19,6 +19,12 @@ from agora.llm.tokens import public_path
 
 
 ROW = "__document"
+#: Rows that go to a Python worker at once; texts are long, and both sides hold such a batch in memory of their own.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def with_row(docs: DataFrame) -> DataFrame:
@@ -28,6 +34,7 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language that was learned: without a letter, or with less than half of the belief."""
+    small_batches(spark)
     model = langid.train(docs.where(~fold()))
     said = langid.identify(with_row(docs), model)
     return said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(f"{ROW}.*")
@@ -40,6 +47,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of similar ones: five-word shingles, Jaccard similarity of 0.8 or more."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -53,6 +61,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers remember fewer words than the operator's default, as they stand beside executors that other stages have filled.
     """
+    small_batches(spark)
     return packing.pack(docs, public_path("byte_bpe_50k.json"), end_id=2, capacity=1024, kept_words=100_000)
 
 
