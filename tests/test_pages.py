@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 
+from agora.plans import landings
 from agora.sources import pages
 
 
@@ -37,3 +38,9 @@ def test_one_reading_of_a_page(spark, html, read, wanted):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(wanted, key=repr)
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("MapInArrow") == 1
+
+
+def test_references_that_are_not_closed_are_text(spark, tmp_path):
+    page = "<article><h1>a &amp;&amp</h1><p>b &lt; &#65 c</p></article>"
+    spark.createDataFrame([(1, page)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in landings.article_segments(spark, str(tmp_path)).collect()] == [(1, "a &&amp b < &#65 c", 2, True)]
