@@ -26,38 +26,60 @@ def _similar(a: tuple, b: tuple) -> float:
     return shared / max(1, min(len(a[0]), len(b[0]))) if shared >= 4 else 0.0
 
 
+def _copies(title: str, other: SequenceMatcher) -> bool:
+    """Whether the ratio reaches COPY; its upper bounds are asked first."""
+    other.set_seq1(title)
+    return other.real_quick_ratio() >= COPY and other.quick_ratio() >= COPY and other.ratio() >= COPY
+
+
 def greedy(run: pd.DataFrame) -> pd.DataFrame:
     """Each article, newest first, joins the most similar cluster by its first members, or opens one; in a cluster it is
     a representative unless it copies one."""
     run = run.sort_values(["published_at", "url"], ascending=[False, True], kind="stable")
     clusters: list[list[tuple]] = []
-    kept: list[list[str]] = []
+    kept: list[list[SequenceMatcher]] = []
+    met: list[set[str]] = []
+    # Similarities of an article's words with the members of clusters; a cluster's figure is final once it is full.
+    nearest: dict[tuple, list[tuple[int, float]]] = {}
     numbers, own = [], []
     for pairs, long, specific, title in zip(run["pairs"], run["long"], run["specific"], run["normalised"]):
         article = (frozenset(pairs), frozenset(long), frozenset(specific))
+        known = nearest.setdefault(article, [])
         best, most = -1, THRESHOLD
         for k, members in enumerate(clusters):
-            near = max(_similar(article, m) for m in members)
+            if k == len(known):
+                known.append((0, 0.0))
+            n, near = known[k]
+            if n < len(members):
+                near = max(near, *(_similar(article, m) for m in members[n:]))
+                known[k] = (len(members), near)
             if near > most or (near == most and best < 0):
                 best, most = k, near
         if best < 0:
             best = len(clusters)
             clusters.append([])
             kept.append([])
+            met.append(set())
         if len(clusters[best]) < MEMBERS:
             clusters[best].append(article)
-        copy = any(SequenceMatcher(None, title, other).ratio() >= COPY for other in kept[best])
+        # A title that the cluster has met is a representative's or a copy's, so it is a copy again.
+        copy = title in met[best] or any(_copies(title, other) for other in kept[best])
+        met[best].add(title)
         if not copy:
-            kept[best].append(title)
+            kept[best].append(SequenceMatcher(None, "", title))
         numbers.append(best)
         own.append(not copy)
     return pd.DataFrame({"run": run["run"], "url": run["url"], "cluster": numbers, "representative": own})
 
 
+def once(articles: DataFrame) -> DataFrame:
+    """One article per run and URL, the newest."""
+    return ranked(articles, ["run", "url"], [F.col("published_at").desc(), F.col("title")], "__rank").where("__rank = 1").drop("__rank")
+
+
 def newest(articles: DataFrame, cap: int = CAP) -> DataFrame:
     """One article per run and URL, the newest; of a run the ``cap`` newest."""
-    once = ranked(articles, ["run", "url"], [F.col("published_at").desc(), F.col("title")], "__rank").where("__rank = 1").drop("__rank")
-    return ranked(once, ["run"], [F.col("published_at").desc(), F.col("url")], "__rank").where(F.col("__rank") <= cap).drop("__rank")
+    return ranked(once(articles), ["run"], [F.col("published_at").desc(), F.col("url")], "__rank").where(F.col("__rank") <= cap).drop("__rank")
 
 
 def clustered(articles: DataFrame, cap: int = CAP) -> DataFrame:

@@ -86,7 +86,8 @@ k AS (SELECT run, unnest([(['반도체 지원', '철도 노조', 'Budget', '연
 SELECT run, url, keyword FROM once JOIN k USING (run) WHERE length(keyword) >= 2
   AND contains(lower(regexp_replace(regexp_replace(title, '\\[[^\\]]*\\]|\\([^)]*\\)', '', 'g'), '[^가-힣a-zA-Z0-9]', '', 'g')), replace(keyword, ' ', ''))""")
 def trend_keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.trend_matches(clustering.newest(articles(spark, sf_dir)), trends(spark, sf_dir))
+    """Search keywords in the titles of all articles of their week."""
+    return clustering.trend_matches(clustering.once(articles(spark, sf_dir)), trends(spark, sf_dir))
 
 
 @query("TX-06 AG-13 WN-16 SL-08")
