@@ -22,6 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.landing import folder, landed
+
 # Kinds, roles and states that records may have, and how many of a kind a batch may hold.
 KINDS = ("person", "organization", "bill", "policy")
 DECISIONS = ("pending", "approved", "rejected")
@@ -45,6 +47,13 @@ def _found(df: DataFrame, rule: str, id_: str | Column = "id") -> DataFrame:
     return df.select("batch", F.lit(rule).alias("rule"), key.cast("string").alias("id"))
 
 
+def _broken(df: DataFrame, rules: Mapping[str, Column], id_: str | Column = "id") -> DataFrame:
+    """Findings of several rules over the same rows, told in one pass, so that the joins behind them run once."""
+    named = [F.when(broken, F.lit(rule)) for rule, broken in rules.items()]
+    key = F.col(id_) if isinstance(id_, str) else id_
+    return df.select("batch", F.explode(F.array_compact(F.array(*named))).alias("rule"), key.cast("string").alias("id"))
+
+
 def _blank(c: str, most: int) -> Column:
     return F.col(c).isNull() | (F.trim(c) == "") | (F.length(c) > most)
 
@@ -68,79 +77,86 @@ def integrity(b: Batch) -> DataFrame:
     entities, documents, segments, mentions, evidence = (b[n] for n in ("entities", "documents", "segments", "mentions", "evidence"))
     relations, activities, contexts = (b[n] for n in ("relations", "activities", "contexts"))
     out = []
-    for name, most in MOST.items():
-        out.append(_found(b[name].groupBy("batch").agg(F.count("*").alias("n")).where(F.col("n") > most), f"too many {name}", F.lit(name)))
     keyed = {"entities": ["id"], "documents": ["id", "version", "extraction"], "evidence": ["id"], "relations": ["id"], "activities": ["id", "version"], "contexts": ["event", "version"], "segments": ["document", "version", "extraction", "id"], "mentions": ["document", "version", "extraction", "segment", "id"]}
     for name, keys in keyed.items():
-        same = b[name].groupBy("batch", *keys).agg(F.count("*").alias("n"))
+        # A batch stays whole in a partition: its identifiers and its size are counted there.
+        same = b[name].select("batch", *keys).repartition("batch").groupBy("batch", *keys).agg(F.count("*").alias("n"))
         missing = F.lit(False)
         for k in keys:
             missing = missing | F.col(k).isNull()
-        out.append(_found(same.where((F.col("n") > 1) | missing), f"identifier in {name}", keys[-1] if name in ("segments", "mentions") else keys[0]))
+        finding = lambda rule, id_: F.struct(F.lit(rule).alias("rule"), id_.cast("string").alias("id"))
+        found = [F.when((F.col("n") > 1) | missing, finding(f"identifier in {name}", F.col(keys[-1] if name in ("segments", "mentions") else keys[0])))]
+        if name in MOST:
+            same = same.withColumn("__all", F.sum("n").over(Window.partitionBy("batch")))
+            found.append(F.when(F.col("__all") > MOST[name], finding(f"too many {name}", F.lit(name))))
+        out.append(same.select("batch", F.explode(F.array_compact(F.array(*found))).alias("f")).select("batch", "f.rule", "f.id"))
 
-    out.append(_found(entities.where(_none_of("kind", KINDS)), "entity: kind"))
-    out.append(_found(entities.where(_blank("name", 500)), "entity: name"))
+    out.append(_broken(entities, {"entity: kind": _none_of("kind", KINDS), "entity: name": _blank("name", 500)}))
 
     bad = {
         "document: version": F.col("version").isNull() | ~F.col("version").rlike("^[a-f0-9]{64}$"), "document: format": _none_of("format", FORMATS), "document: body": _none_of("body", BODIES),
         "document: licence": _none_of("licence", LICENCES), "document: collected": F.col("collected_at").isNull(), "document: storage": F.col("storage").isNull() | ~F.col("storage").rlike(STORAGE), "document: address": F.col("url").isNull() | ~F.col("url").rlike(r"^https://[^/\s@]+(/\S*)?$"),
     }
-    out += [_found(documents.where(c), rule) for rule, c in bad.items()]
+    out.append(_broken(documents, bad))
     version = ["document", "version", "extraction"]
-    of = documents.select("batch", F.col("id").alias("document"), "version", "extraction", "body", "licence")
-    held = segments.join(of, ["batch", *version], "left")
-    out.append(_found(held.where(F.col("body").isNull()), "segment: no document"))
-    out.append(_found(held.where(F.col("body").isNotNull() & ~F.col("body").isin(*READABLE)), "segment: no body"))
-    out.append(_found(segments.where(_blank("text", 100_000)), "segment: text"))
+    of = documents.select("batch", F.col("id").alias("document"), "version", "extraction", "body")
+    held = segments.select("batch", *version, "id", _blank("text", 100_000).alias("__blank")).join(of, ["batch", *version], "left")
+    out.append(_broken(held, {"segment: no document": F.col("body").isNull(), "segment: no body": F.col("body").isNotNull() & ~F.col("body").isin(*READABLE), "segment: text": F.col("__blank")}))
 
     text = segments.select("batch", *version, F.col("id").alias("segment"), F.col("text").alias("__text"))
-    inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("__text"))
+    inside = lambda length: (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= length)
     people = entities.where("kind = 'person'").select("batch", F.col("id").alias("person"), F.lit(True).alias("__person"))
-    named = mentions.join(text, ["batch", *version, "segment"], "left").join(people, ["batch", "person"], "left")
     words = F.substring("__text", F.col("start") + 1, F.col("end") - F.col("start"))
-    out.append(_found(named.where(~F.coalesce(inside & (words == F.col("surface")), F.lit(False))), "mention: surface"))
-    out.append(_found(named.where(_none_of("decision", DECISIONS)), "decision"))
-    out.append(_found(named.where(F.col("person").isNotNull() & F.col("__person").isNull()), "no such person"))
-    out.append(_found(named.where((F.col("decision") == "approved") & F.col("person").isNull()), "mention: nobody"))
+    said = mentions.join(text, ["batch", *version, "segment"], "left").select("batch", "id", "decision", "person", (~F.coalesce(inside(F.length("__text")) & (words == F.col("surface")), F.lit(False))).alias("__other"))
+    rules = {"mention: surface": F.col("__other"), "decision": _none_of("decision", DECISIONS), "no such person": F.col("person").isNotNull() & F.col("__person").isNull(), "mention: nobody": (F.col("decision") == "approved") & F.col("person").isNull()}
+    out.append(_broken(said.join(people, ["batch", "person"], "left"), rules))
 
-    cited = evidence.join(of.select("batch", *version, F.lit(True).alias("__document")), ["batch", *version], "left").join(text, ["batch", *version, "segment"], "left")
-    out.append(_found(cited.where(F.col("__document").isNull()), "evidence: no document"))
-    out.append(_found(cited.where(F.col("__document").isNotNull() & F.col("__text").isNull()), "evidence: no segment"))
-    out.append(_found(cited.where(F.col("__text").isNotNull() & ~F.coalesce(inside, F.lit(False))), "evidence: span"))
+    cited = evidence.join(of.select("batch", *version, F.lit(True).alias("__document")), ["batch", *version], "left").join(text.withColumn("__text", F.length("__text")), ["batch", *version, "segment"], "left")
+    known, read = F.col("__document").isNotNull(), F.col("__text").isNotNull()
+    out.append(_broken(cited, {"evidence: no document": ~known, "evidence: no segment": known & ~read, "evidence: span": read & ~F.coalesce(inside(F.col("__text")), F.lit(False))}))
 
     # What the ends of a relation are: a kind of entity, an activity, or a document.
     ends = entities.select("batch", F.col("id").alias("end"), "kind").unionByName(activities.select("batch", F.col("id").alias("end"), F.lit("activity").alias("kind"))).unionByName(documents.select("batch", F.col("id").alias("end"), F.lit("document").alias("kind")))
     kinds = ends.groupBy("batch", "end").agg(F.collect_set("kind").alias("kinds"))
     side = lambda c: kinds.select("batch", F.col("end").alias(c), F.col("kinds").alias(f"__{c}"))
-    met = relations.join(side("subject"), ["batch", "subject"], "left").join(side("object"), ["batch", "object"], "left")
+    bare = (F.col("decision") == "approved") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)
+    own = relations.select("batch", "id", "type", "subject", "object", _none_of("decision", DECISIONS).alias("__undecided"), _blank("reason", 1000).alias("__reason"), bare.alias("__bare"))
+    met = own.join(side("subject"), ["batch", "subject"], "left").join(side("object"), ["batch", "object"], "left")
     is_ = lambda c, *wanted: F.arrays_overlap(F.coalesce(f"__{c}", F.array().cast("array<string>")), F.array(*map(F.lit, wanted)))
     type_, both = F.col("type"), F.col("__subject").isNotNull() & F.col("__object").isNotNull()
     typed = type_.isin(*PERSON_ROLES, *ORGANIZATION_ROLES, LINEAGE, CONCERNS, RECORDS)
-    out.append(_found(met.where(~both), "relation: end"))
-    out.append(_found(met.where(~F.coalesce(typed, F.lit(False))), "relation: type"))
-    out.append(_found(met.where(both & type_.isin(*PERSON_ROLES) & ~is_("subject", "person")), "no such person"))
-    out.append(_found(met.where(both & type_.isin(*PERSON_ROLES) & ~(is_("object", "activity") | (type_.isin(*BILL_ROLES) & is_("object", "bill")))), "role: object"))
-    out.append(_found(met.where(both & type_.isin(*ORGANIZATION_ROLES) & ~is_("subject", "organization")), "role: subject"))
-    out.append(_found(met.where(both & type_.isin(*ORGANIZATION_ROLES) & ~is_("object", "activity", "bill", "policy")), "role: object of an organization"))
-    out.append(_found(met.where(both & (type_ == LINEAGE) & ~(is_("subject", "bill") & is_("object", "bill") & (F.col("subject") != F.col("object")))), "lineage: ends"))
+    rules = {
+        "relation: end": ~both,
+        "relation: type": ~F.coalesce(typed, F.lit(False)),
+        "no such person": both & type_.isin(*PERSON_ROLES) & ~is_("subject", "person"),
+        "role: object": both & type_.isin(*PERSON_ROLES) & ~(is_("object", "activity") | (type_.isin(*BILL_ROLES) & is_("object", "bill"))),
+        "role: subject": both & type_.isin(*ORGANIZATION_ROLES) & ~is_("subject", "organization"),
+        "role: object of an organization": both & type_.isin(*ORGANIZATION_ROLES) & ~is_("object", "activity", "bill", "policy"),
+        "lineage: ends": both & (type_ == LINEAGE) & ~(is_("subject", "bill") & is_("object", "bill") & (F.col("subject") != F.col("object"))),
+        "policy: ends": both & (type_ == CONCERNS) & ~(is_("subject", "bill", "activity") & is_("object", "policy")),
+        "record: ends": both & (type_ == RECORDS) & ~(is_("subject", "document") & is_("object", "activity")),
+        "decision": F.col("__undecided"),
+        "relation: reason": F.col("__reason"),
+        "relation: no proof": F.col("__bare"),
+    }
+    out.append(_broken(met, rules))
     again = relations.where(type_ == LINEAGE).groupBy("batch", "subject", "object").agg(F.count("*").alias("n"), F.max("id").alias("id")).where("n > 1")
     out.append(_found(again, "lineage: twice"))
-    out.append(_found(met.where(both & (type_ == CONCERNS) & ~(is_("subject", "bill", "activity") & is_("object", "policy"))), "policy: ends"))
-    out.append(_found(met.where(both & (type_ == RECORDS) & ~(is_("subject", "document") & is_("object", "activity"))), "record: ends"))
-    out.append(_found(relations.where(_none_of("decision", DECISIONS)), "decision"))
-    out.append(_found(relations.where(_blank("reason", 1000)), "relation: reason"))
-    out.append(_found(relations.where((F.col("decision") == "approved") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)), "relation: no proof"))
     out.append(_absent(_listed(relations, "evidence"), evidence, "relation: proof unknown"))
 
     counts = activities.groupBy("batch").agg(F.count("*").alias("a")).join(contexts.groupBy("batch").agg(F.count("*").alias("c")), "batch", "full")
     out.append(_found(counts.where(~F.col("a").eqNullSafe(F.col("c"))), "contexts and activities differ", F.lit("contexts")))
     known = activities.select("batch", F.col("id").alias("event"), "version")
     out.append(_found(contexts.join(known, ["batch", "event", "version"], "left_anti"), "context: no activity", "event"))
-    out.append(_found(contexts.where(_none_of("change", CHANGES)), "context: change", "event"))
-    out.append(_found(contexts.where(F.col("precision").isNotNull() & ~F.col("precision").isin(*PRECISIONS)), "context: precision", "event"))
-    out.append(_found(contexts.where(F.col("scheduled_at").isNotNull() & F.col("precision").isNull()), "context: date without precision", "event"))
-    out.append(_found(contexts.where(F.col("scheduled_at").isNull() & F.coalesce(F.col("precision") != "unknown", F.lit(False))), "context: precision without date", "event"))
-    out.append(_found(contexts.where(F.coalesce(F.size("evidence"), F.lit(0)) <= 0), "context: no proof", "event"))
+    precision, scheduled = F.col("precision"), F.col("scheduled_at")
+    rules = {
+        "context: change": _none_of("change", CHANGES),
+        "context: precision": precision.isNotNull() & ~precision.isin(*PRECISIONS),
+        "context: date without precision": scheduled.isNotNull() & precision.isNull(),
+        "context: precision without date": scheduled.isNull() & F.coalesce(precision != "unknown", F.lit(False)),
+        "context: no proof": F.coalesce(F.size("evidence"), F.lit(0)) <= 0,
+    }
+    out.append(_broken(contexts, rules, "event"))
     for column, table in (("evidence", evidence), ("relations", relations), ("documents", documents)):
         out.append(_absent(_listed(contexts, column, "event"), table, f"context: {column.removesuffix('s')} unknown"))
     return _together(out)
@@ -152,9 +168,9 @@ def usable(b: Batch) -> DataFrame:
     return b["evidence"].join(allowed, ["batch", "document", "version", "extraction"], "left_semi").select("batch", "id").distinct()
 
 
-def reviewed(b: Batch) -> DataFrame:
-    """(batch, person, id): usable evidence whose span holds a whole approved mention of a person."""
-    spans = b["evidence"].join(usable(b), ["batch", "id"], "left_semi").select("batch", "document", "version", "extraction", "segment", "id", F.col("start").alias("__a"), F.col("end").alias("__b"))
+def reviewed(b: Batch, shown: DataFrame | None = None) -> DataFrame:
+    """(batch, person, id): usable evidence (``shown``) whose span holds a whole approved mention of a person."""
+    spans = b["evidence"].join(usable(b) if shown is None else shown, ["batch", "id"], "left_semi").select("batch", "document", "version", "extraction", "segment", "id", F.col("start").alias("__a"), F.col("end").alias("__b"))
     said = b["mentions"].where("decision = 'approved' AND person IS NOT NULL").select("batch", "document", "version", "extraction", "segment", "person", "start", "end")
     met = said.join(spans, ["batch", "document", "version", "extraction", "segment"])
     return met.where((F.col("__a") <= F.col("start")) & (F.col("end") <= F.col("__b"))).select("batch", "person", "id").distinct()
@@ -163,7 +179,7 @@ def reviewed(b: Batch) -> DataFrame:
 def publication(b: Batch) -> DataFrame:
     """(batch, rule, id) of what keeps a batch that may be stored from being published."""
     contexts, relations, mentions = b["contexts"], b["relations"], b["mentions"]
-    shown = usable(b)
+    shown = landed(usable(b), f"{folder(contexts.sparkSession, 'publication')}/usable")
     out = []
     order = Window.partitionBy("batch", "document", "version", "extraction", "segment").orderBy("start", "end")
     approved = mentions.where("decision = 'approved'").withColumn("__reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -179,7 +195,7 @@ def publication(b: Batch) -> DataFrame:
     out.append(_absent(_listed(contexts, "evidence", "event"), shown, "context: proof not public"))
     out.append(_absent(_listed(relations.where("decision = 'approved'"), "evidence"), shown, "relation: proof not public"))
     people = b["entities"].where("kind = 'person'")
-    proven = reviewed(b).select("batch", F.col("person").alias("id")).distinct()
+    proven = reviewed(b, shown).select("batch", F.col("person").alias("id")).distinct()
     out.append(_found(people.join(proven, ["batch", "id"], "left_anti"), "person: not identified"))
     return _together(out)
 
