@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import headlines
+from ..sources.landing import folder, landed
 from .mentions import places
 from .ordered import ranked
 
@@ -101,6 +102,8 @@ def trend_matches(articles: DataFrame, trends: DataFrame) -> DataFrame:
 
 def candidates(clusters: DataFrame, runs: DataFrame, trends: DataFrame, limit: int = 10) -> DataFrame:
     """The ``limit`` best clusters of each run by score and time; ``runs`` has run, now and baseline."""
+    # Clusters are read twice, and found in Python: once is enough.
+    clusters = landed(clusters, f"{folder(clusters.sparkSession, 'candidates')}/clusters")
     hit = trend_matches(clusters, trends).select("run", "url").distinct().withColumn("__hit", F.lit(True))
     df = clusters.join(hit, ["run", "url"], "left").join(runs, "run")
     seen, now, hours = F.coalesce("first_seen", "published_at"), F.col("now"), lambda n: F.expr(f"INTERVAL {n} HOURS")
