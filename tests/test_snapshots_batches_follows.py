@@ -81,3 +81,13 @@ def test_follows_equal_a_comparison_of_all(spark):
     whole = lambda ms: {m for m in ms or [] if m[1] is not None}
     assert got == sorted((a, f, who) for f, who, need in stored for a, has in seen if whole(need) and whole(need) <= whole(has)) and len(got) > 100
     assert indexed.count() == sum(bool(whole(need)) for _, _, need in stored)
+
+
+def test_equal_follows_are_compared_once(spark):
+    """An activity meets each different condition once: comparisons do not grow with the number of follows that share them."""
+    marks = "array<struct<kind: string, value: string>>"
+    need = [[("n", "1"), ("t", "a")], [("t", "a"), ("n", "1"), ("n", "1")], [("n", "1"), ("t", "b")], [("n", "1:1"), ("t", "b")]]
+    indexed = follows.index(spark.createDataFrame([(i, "u", need[i % 4]) for i in range(200)], f"follow int, follower string, marks {marks}"))
+    assert indexed.select("condition").distinct().count() == 3 and indexed.count() == 200
+    seen = spark.createDataFrame([(1, [("n", "1"), ("t", "a"), ("x", "y")])], f"activity int, marks {marks}")
+    assert sorted(r.follow for r in follows.matches(seen, indexed).collect()) == [i for i in range(200) if i % 4 < 2]
