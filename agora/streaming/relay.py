@@ -1,6 +1,8 @@
 """An outbox relayed with states: queued, sent, waiting for another attempt, dead.
 
-The relay is a stream of what happens to messages (queued, sent, failed) and keeps the state of each message by key.  A failed
+The relay is a stream of what happens to messages (queued, sent, failed) and keeps the state of each message.  Messages are dealt
+by hash over ``buckets``, and the states of a bucket are one value of the state store with one timer, the earliest of its
+messages': a call of Python per message would cost milliseconds, a message within a call costs microseconds.  A failed
 attempt waits twice as long as the one before; when event time has passed the wait, a timer asks for the next attempt.  The last
 attempt's failure makes a message dead.  ``sent`` and ``dead`` are final, whatever comes after or again, so replayed batches,
 repeated rows and late receipts change nothing.  Transitions are appended, and their table is the log of the relay.
@@ -13,6 +15,7 @@ repeated rows and late receipts change nothing.  Transitions are appended, and t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRANSITION = "message string, state string, attempt int, at timestamp"
-STATE = "state string, attempt int, due bigint"
+STATE = "messages string"
 FINAL = ("sent", "dead")
 
 
@@ -38,39 +41,50 @@ def _step(state: str | None, attempt: int, kind: str, of: int, most: int) -> tup
     return None
 
 
-def relay(events: DataFrame, most: int = 3, wait_seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+def relay(events: DataFrame, most: int = 3, wait_seconds: int = 60, late: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """Transitions (message, state, attempt, at) of a stream ``events`` (message, kind, attempt, at).
 
     Events of a batch are taken in the order of time; of one time, ``queued`` comes first and ``sent`` before ``failed``.  Null
-    messages and unknown kinds are left out.
+    messages and unknown kinds are left out.  A call holds what a batch has for one of the ``buckets``; their number belongs to
+    the checkpoint.
     """
-    order = {"queued": 0, "sent": 1, "failed": 2}
+    kinds = ["queued", "sent", "failed"]
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now, attempt, due = state.get if state.exists else (None, 0, 0)
+        # message: [state, attempt, due, timer]; the timer is later than the watermark that set it.
+        known = json.loads(state.get[0]) if state.exists else {}
+        watermark = state.getCurrentWatermarkMs()
+        rows = []
+        if not state.hasTimedOut:
+            for part in parts:
+                rows.extend(zip(part["us"].tolist(), part["place"].tolist(), part["of"].tolist(), part["message"].tolist()))
+            rows.sort()
         out = []
-        if state.hasTimedOut:
-            attempt += 1
-            now = "queued"
-            out.append((key[0], "retry", attempt, pd.Timestamp(due, unit="ms")))
-            due = 0
-        else:
-            rows = pd.concat(list(parts))
-            rows = rows.assign(place=rows["kind"].map(order)).sort_values(["at", "place", "attempt"], kind="stable")
-            for kind, of, at in zip(rows["kind"], rows["attempt"], rows["at"]):
-                after = _step(now, attempt, kind, int(of), most)
-                if after is not None:
-                    now, attempt = after
-                    out.append((key[0], now, attempt, at))
-                    due = int(at.value // 1_000_000) + 1000 * wait_seconds * 2 ** (attempt - 1) if now == "waiting" else 0
-        state.update((now, attempt, due))
-        if now == "waiting":
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["message", "state", "attempt", "at"])
+        for us, place, of, message in rows:
+            now, attempt, due, timer = known.get(message, (None, 0, 0, 0))
+            after = _step(now, attempt, kinds[place], of, most)
+            if after is not None:
+                now, attempt = after
+                out.append((message, now, attempt, us))
+                due = us // 1000 + 1000 * wait_seconds * 2 ** (attempt - 1) if now == "waiting" else 0
+            known[message] = (now, attempt, due, max(due, watermark + 1))
+        here = {row[3] for row in rows}
+        for message, (now, attempt, due, timer) in known.items():
+            if now == "waiting" and timer < watermark and message not in here:
+                out.append((message, "retry", attempt + 1, due * 1000))
+                known[message] = ("queued", attempt + 1, 0, 0)
+        state.update((json.dumps(known),))
+        timers = [timer for now, _, _, timer in known.values() if now == "waiting"]
+        if timers:
+            state.setTimeoutTimestamp(max(min(timers), watermark + 1))
+        if out:
+            made = pd.DataFrame(out, columns=["message", "state", "attempt", "at"])
+            yield made.assign(at=pd.to_datetime(made["at"], unit="us", utc=True))
 
-    known = events.where(F.col("message").isNotNull() & F.col("kind").isin(*order) & F.col("at").isNotNull())
-    timed = known.select(F.col("message").cast("string").alias("message"), "kind", F.coalesce("attempt", F.lit(1)).cast("int").alias("attempt"), F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
-    return timed.groupBy("message").applyInPandasWithState(update, TRANSITION, STATE, "append", "EventTimeTimeout")
+    wanted = events.where(F.col("message").isNotNull() & F.col("kind").isin(*kinds) & F.col("at").isNotNull())
+    timed = wanted.select(F.col("message").cast("string").alias("message"), (F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")) - 1).alias("place"), F.coalesce("attempt", F.lit(1)).cast("int").alias("of"), F.col("at").cast("timestamp").alias("at"))
+    dealt = timed.withColumns({"us": F.unix_micros("at"), "bucket": F.pmod(F.xxhash64("message"), F.lit(buckets))}).withWatermark("at", late)
+    return dealt.groupBy("bucket").applyInPandasWithState(update, TRANSITION, STATE, "append", "EventTimeTimeout")
 
 
 def last_states(transitions: DataFrame) -> DataFrame:

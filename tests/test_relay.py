@@ -47,3 +47,25 @@ def test_steps():
     assert step("queued", 1, "failed", 1, 3) == ("waiting", 1) and step("waiting", 1, "failed", 1, 3) is None and step("queued", 2, "failed", 1, 3) is None
     assert step("queued", 3, "failed", 3, 3) == ("dead", 3) and step("waiting", 2, "sent", 2, 3) == ("sent", 2)
     assert all(step(final, 2, kind, 3, 3) is None for final in relay.FINAL for kind in ("queued", "sent", "failed"))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Seoul"])
+def test_messages_of_one_bucket_keep_their_own_states_and_timers(spark, tmp_path, zone):
+    """Python is called per bucket, not per message; timers are of event time in any zone."""
+    lots = [[(f"m{i}", "failed", 1, f"2024-01-01T00:{i:02d}:00Z") for i in range(40)], [("m0", "sent", 2, "2024-01-01T00:41:00Z"), ("late", "queued", 1, "2024-01-01T00:41:00Z")], [("z", "queued", 1, "2024-01-01T00:42:00Z")]]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for lot in lots:
+            spark.createDataFrame(lot, "message string, kind string, attempt int, at string").selectExpr("message", "kind", "attempt", "to_timestamp(at) AS at").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+            stream = incremental.landed(spark, f"{tmp_path}/events", spark.createDataFrame([], EVENT).schema)
+            incremental.run_now(relay.relay(stream, most=3, wait_seconds=60, buckets=1), f"{tmp_path}/checkpoint", path=f"{tmp_path}/log")
+        log = spark.read.schema(relay.TRANSITION).parquet(f"{tmp_path}/log").selectExpr("message", "state", "attempt", "unix_seconds(at) AS at").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    start = 1704067200
+    assert sorted(r.message for r in log if r.state == "waiting") == sorted(f"m{i}" for i in range(40))
+    # The watermark ends at 00:32; whose wait of a minute had passed before then is asked again, at the time it was due.
+    asked = {r.message: r.at for r in log if r.state == "retry"}
+    assert asked == {f"m{i}": start + 60 * (i + 1) for i in range(31) if f"m{i}" in asked} and {f"m{i}" for i in range(1, 29)} <= set(asked)
+    assert all(r.attempt == 2 for r in log if r.state == "retry") and [r.state for r in log if r.message == "late"] == ["queued"]
