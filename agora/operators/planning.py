@@ -108,30 +108,42 @@ def retracted(supports: DataFrame, gone: DataFrame) -> DataFrame:
     """(fact, lost): derived facts that go with the facts ``gone`` (fact), and how many supports each had.
 
     ``supports`` has fact, support, premise: a fact holds if all premises of one of its supports do; facts without supports are
-    grounds.  First everything that rests on what is gone is suspected, support by support; then suspects come back that have a
-    support none of whose premises is gone or still suspected, until none does.  Both steps read only what is suspected.
+    grounds.  All supports are read by premise and by fact once: a fact with a support on grounds that stay is safe, one all of
+    whose supports have a premise that is gone is lost, and only what is between goes on.  Of that, what rests on what is lost is
+    suspected; then suspects come back that have a support none of whose premises is lost or still suspected, until none does.
     """
     stage = folder(supports.sparkSession, "retracted")
-    held = landed(supports.select("fact", "support", "premise").where("fact IS NOT NULL").distinct(), f"{stage}/supports")
+    held = supports.select("fact", "support", "premise").where("fact IS NOT NULL")  # repeated rows do no harm below
     lost = landed(gone.select(F.col("fact").alias("premise")).where("premise IS NOT NULL").distinct(), f"{stage}/gone")
-    suspected = landed(held.join(lost, "premise", "left_semi").select("fact").distinct(), f"{stage}/suspected-0")
+    known = held.select(F.col("fact").alias("premise"), F.lit(False).alias("__gone")).union(lost.select("premise", F.lit(True)))
+    marked = held.join(known.groupBy("premise").agg(F.max("__gone").alias("__gone")), "premise", "left")
+    # What is gone speaks against a support, what is derived makes it depend, other premises are grounds.
+    met = marked.select("fact", "support", F.when(~F.col("__gone"), F.col("premise")).alias("premise"), F.coalesce("__gone", F.lit(False)).alias("bad")).repartition("fact")
+    support, fact = Window.partitionBy("fact", "support"), Window.partitionBy("fact")
+    met = met.withColumns({"bad": F.max("bad").over(support), "rests": F.max(F.col("premise").isNotNull()).over(support), "first": F.row_number().over(support.orderBy("fact")) == 1})
+    counted = {"lost": F.count(F.when(F.col("first"), F.col("support"))).over(fact), "safe": F.max(~F.col("bad") & ~F.col("rests")).over(fact), "touched": F.max("bad").over(fact), "dead": F.min("bad").over(fact)}
+    read = met.withColumns(counted).where("NOT safe").withColumn("head", F.row_number().over(fact.orderBy("fact")) == 1).where("head OR NOT bad AND premise IS NOT NULL")
+    # One row for each fact, and those of its supports that may hold.
+    read = landed(read, f"{stage}/between")
+    facts_ = read.where("head").select("fact", "lost", "touched", "dead")
+    depend = read.where("NOT bad AND premise IS NOT NULL").select("fact", "support", "premise")
+    suspected = landed(facts_.where("touched").select("fact"), f"{stage}/suspected-0")
     fresh, turn = suspected, 0
     while not fresh.isEmpty():
         turn += 1
-        up = held.join(fresh.select(F.col("fact").alias("premise")), "premise", "left_semi").select("fact").distinct()
+        up = depend.join(fresh.select(F.col("fact").alias("premise")), "premise", "left_semi").select("fact").distinct()
         fresh = landed(up.join(suspected, "fact", "left_anti"), f"{stage}/fresh-{turn}")
         suspected = landed(suspected.unionByName(fresh), f"{stage}/suspected-{turn}")
-    # Premises that count against a support: what is gone, and suspects that have not come back.
-    mine = landed(held.join(suspected, "fact", "left_semi").join(lost.withColumn("__gone", F.lit(True)), "premise", "left"), f"{stage}/mine")
+    mine = landed(depend.join(suspected, "fact", "left_semi"), f"{stage}/mine")
     open_ = suspected
-    back = open_
+    back = mine
     while not back.isEmpty():
         turn += 1
         doubtful = mine.join(open_.select(F.col("fact").alias("premise"), F.lit(True).alias("__open")), "premise", "left")
-        good = doubtful.groupBy("fact", "support").agg(F.bool_or(F.coalesce("__gone", "__open", F.lit(False))).alias("bad")).where("NOT bad").select("fact").distinct()
+        good = doubtful.groupBy("fact", "support").agg(F.bool_or(F.coalesce("__open", F.lit(False))).alias("bad")).where("NOT bad").select("fact").distinct()
         back = landed(open_.join(good, "fact", "left_semi"), f"{stage}/back-{turn}")
         open_ = landed(open_.join(back, "fact", "left_anti"), f"{stage}/open-{turn}")
-    out = mine.join(open_, "fact", "left_semi").groupBy("fact").agg(F.count_distinct("support").alias("lost"))
+    out = facts_.join(open_, "fact", "left_semi").select("fact", "lost")
     return out.join(lost.withColumnRenamed("premise", "fact"), "fact", "left_anti")
 
 
