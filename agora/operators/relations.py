@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,14 +72,47 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataF
 def anchor_similarity(df: DataFrame, item: str, anchor: str, least: int = 2, most: int = 50) -> DataFrame:
     """(left, right, weight): items that share anchors of document frequency ``least`` to ``most``, weight sum of 1 / df.
 
-    The cap bounds the pairs of an anchor; an anchor on more items says nothing about any two of them.
+    The cap bounds the pairs of an anchor; an anchor on more items says nothing about any two of them.  Pairs are not shuffled:
+    an item gets the lists of those that follow it on its anchors, sorted by item, and adds up its own pairs.
     """
-    pairs = df.select(item, anchor).distinct()
-    often = pairs.groupBy(anchor).agg(F.count("*").alias("__df")).where(F.col("__df").between(least, most))
-    kept = pairs.join(often, anchor)
-    right = kept.select(anchor, F.col(item).alias("right"))
-    both = kept.withColumnRenamed(item, "left").join(right, anchor).where("left < right")
-    return both.groupBy("left", "right").agg(F.sum(1 / F.col("__df")).alias("weight"))
+    pairs = df.select(item, anchor).where(F.col(anchor).isNotNull()).distinct()
+    # One item more than ``most`` shows that an anchor is too common; no list is longer.
+    first = pairs.withColumn("__n", F.row_number().over(Window.partitionBy(anchor).orderBy(item))).where(F.col("__n") <= most + 1)
+    listed = first.groupBy(anchor).agg(F.count("*").alias("__df"), F.array_sort(F.collect_list(item)).alias("__items")).where(F.col("__df").between(least, most))
+    met = listed.select(F.posexplode("__items").alias("__at", "left"), "__items", "__df")
+    met = met.select("left", F.slice("__items", F.col("__at") + 2, F.size("__items")).alias("right"), "__df").where(F.size("right") > 0)
+    kind = df.schema[item].dataType.simpleString()
+    return met.repartition("left").sortWithinPartitions("left").mapInArrow(_added_pairs, f"left {kind}, right {kind}, weight double")
+
+
+def _added_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (left, right) with the sum of 1 / df, from rows (left, right: array, __df) in the order of left."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        # Rows of the last item wait for the next batch.
+        lefts = table.column("left")
+        last = pc.index(pc.equal(lefts, lefts[-1]), True).as_py()
+        if last:
+            yield from _pairs(pa.concat_tables([*held, table.slice(0, last)]))
+            held = [table.slice(last)]
+        elif held and held[-1].column("left")[-1] != lefts[-1]:
+            yield from _pairs(pa.concat_tables(held))
+            held = [table]
+        else:
+            held.append(table)
+    if held:
+        yield from _pairs(pa.concat_tables(held))
+
+
+def _pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    table = table.combine_chunks()
+    rows = pc.list_parent_indices(table.column("right"))
+    flat = pa.table({"left": table.column("left").take(rows), "right": pc.list_flatten(table.column("right")), "weight": pc.divide(1.0, table.column("__df").cast(pa.float64())).take(rows)})
+    summed = flat.group_by(["left", "right"], use_threads=False).aggregate([("weight", "sum")])
+    yield from summed.select(["left", "right", "weight_sum"]).rename_columns(["left", "right", "weight"]).to_batches(max_chunksize=20_000)
 
 
 def violations(df: DataFrame, key: str, other: DataFrame, other_key: str, kind: str) -> DataFrame:

@@ -59,3 +59,23 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):
     for checkpoint in ("c2", "c3"):  # a new checkpoint replays the whole input
         incremental.run_now(stream, str(tmp_path / checkpoint), each=incremental.append_new(["id"], str(tmp_path / "ledger")))
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 4
+
+
+def test_pairs_of_anchors_are_added_up_where_their_left_item_is(spark):
+    rows = [(i, f"a{a}") for a in range(40) for i in range(a, 60, 1 + a % 7)] + [(1, "a39"), (None, "two"), (2, "two"), (3, None), (4, None)]
+    df = spark.createDataFrame(rows + rows[:9], "item int, anchor string")
+    by = {}
+    for i, a in set(rows):
+        by.setdefault(a, []).append(i)
+    want = {}
+    for a, items in by.items():
+        for x in items if a and 2 <= len(items) <= 12 else ():
+            for y in items:
+                if x is not None and y is not None and x < y:
+                    want[x, y] = want.get((x, y), 0) + 1 / len(items)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # items go over the ends of batches
+    found = relations.anchor_similarity(df, "item", "anchor", 2, 12)
+    got = {(r["left"], r["right"]): r.weight for r in found.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and len(got) > 100 and all(abs(got[k] - w) < 1e-9 for k, w in want.items())
+    assert "hashpartitioning(left#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", right#" not in plan.split("hashpartitioning(left#")[1].split(")")[0]
