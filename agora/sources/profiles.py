@@ -152,8 +152,12 @@ def observe(read: DataFrame, profiles: DataFrame, key: str = "page") -> DataFram
 
     Each row of ``read`` is one observation of the page of one profile; its key is unique.  A null body is one that was not
     answered.  What makes a candidate is null unless the status is success.  Observations of no profile have no row.
+    Equal bodies of one specification are read once.
     """
-    df = read.select(F.col(key).alias("__key"), "spec", "body").join(profiles, "spec")
+    digest = F.coalesce(F.sha2("body", 256), F.lit(""))  # no digest is empty
+    seen = read.select(F.col(key).alias("__seen"), "spec", "body").join(profiles.select("spec"), "spec")
+    different = seen.select("spec", "body").distinct().select(digest.alias("__key"), "spec", "body")
+    df = landed(different, f"{folder(read.sparkSession, 'profiles')}/different").join(profiles, "spec")
     keys = ["__key", "spec"]
     listed = _listed(df.where("json_list_path IS NOT NULL"))
     selected = _selected(df.where("json_list_path IS NULL"), keys)
@@ -161,4 +165,5 @@ def observe(read: DataFrame, profiles: DataFrame, key: str = "page") -> DataFram
     won = F.col("status") == "success"
     made = {"surface": F.col("surface"), "context": F.col("context"), "locator": F.col("locator"), "format": F.col("format"), "record_id": F.coalesce("source_record_id", provisional)}
     both = [d.withColumn("record_id", F.lit(None).cast("string")).select(*keys, "status", F.col("expected_name").alias("name"), "position", *[F.when(won, v).alias(n) for n, v in made.items()]) for d in (listed, selected)]
-    return both[0].unionByName(both[1]).withColumnRenamed("__key", key)
+    found = landed(both[0].unionByName(both[1]), f"{folder(read.sparkSession, 'profiles')}/found")
+    return seen.select("__seen", "spec", digest.alias("__key")).join(found, keys).drop("__key").withColumnRenamed("__seen", key).select(key, "spec", "status", "name", "position", *made)

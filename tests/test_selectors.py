@@ -162,6 +162,17 @@ def test_all_outcomes_of_profiles(spark):
     assert by["l0"].record_id.startswith("provisional-profile:") and by["p1"].record_id is None and by["p0"].surface == "홍길동"
 
 
+def test_equal_bodies_of_a_profile_are_read_once(spark, monkeypatch):
+    specs = [profiles.Profile(**NAMED), profiles.Profile(**NAMED | {"spec": "b", "expected_name": "김철수"}), profiles.Profile(**LISTED | {"spec": "c"})]
+    read = [(i, "abcd"[i % 4], (CASES[0][0], None, CASES[2][0])[i % 3]) for i in range(120)]
+    counts, kept = [], profiles.landed
+    monkeypatch.setattr(profiles, "landed", lambda df, path: (lambda d: (counts.append(d.count()), d)[1])(kept(df, path)))
+    found = profiles.observe(spark.createDataFrame(read, "page int, spec string, body string"), profiles.table(spark, specs)).collect()
+    want = {"a": ("success", "failed", "identity_changed"), "b": ("identity_changed", "failed", "attribute_review_required"), "c": ("failed",) * 3}
+    assert {r.page: r.status for r in found} == {i: want[s][i % 3] for i, s, _ in read if s != "d"} and len(found) == 90
+    assert counts[0] == 9 and max(counts) < 90
+
+
 @pytest.mark.parametrize("change", [{"name_selector": None}, {"name_selector": "a:b"}, {"name_attribute": "href"}, {"name_template": "x {name}"}, {"spec": "a b"}, {"json_text_path": ("a.b",)}, {"json_list_path": ("l",)}, {"expected_name": ""}])
 def test_profiles_that_are_refused(change):
     with pytest.raises(ValueError):
