@@ -92,6 +92,30 @@ def clustered(articles: DataFrame, cap: int = CAP) -> DataFrame:
     return kept.join(found, ["run", "url"])
 
 
+def similar_titles(articles: DataFrame, least: float = THRESHOLD) -> DataFrame:
+    """(run, left, right, similarity): different titles of a run, left before right, whose similarity is ``least`` or more.
+
+    Titles of a run that are made of the same pairs and words form a class.  Classes are numbered within the run and meet in an
+    index of pairs, long and specific words, where what two of them share is counted; titles come back only to similar classes.
+    """
+    kept = articles.select("run", "title").distinct().withColumn("s", headlines.signature(F.col("title")))
+    sets = [F.array_sort(f"s.{c}").alias(c) for c in ("pairs", "long", "specific")]
+    classes = kept.groupBy("run", *sets).agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    classes = ranked(classes, ["run"], [F.get("titles", F.lit(0))], "class")
+    # Read three times, and the numbers must stay.
+    classes = landed(classes, f"{folder(articles.sparkSession, 'titles')}/classes")
+    tag = lambda c, kind: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+    index = classes.select("run", "class", F.size("pairs").alias("n"), F.explode(F.concat(tag("pairs", 0), tag("long", 1), tag("specific", 2))).alias("k")).select("run", "k.kind", "k.key", "class", "n")
+    met = index.select("run", "kind", "key", F.col("class").alias("a"), F.col("n").alias("na")).join(index.select("run", "kind", "key", F.col("class").alias("b"), F.col("n").alias("nb")), ["run", "kind", "key"]).where("a <= b")
+    shared = met.groupBy("run", "a", "b", "na", "nb").agg(F.count_if(F.col("kind") == 0).alias("shared"), F.bool_or(F.col("kind") == 1).alias("long"), F.bool_or(F.col("kind") == 2).alias("specific"))
+    overlap = F.when(F.col("shared") >= 4, F.col("shared") / F.greatest(F.lit(1), F.least("na", "nb"))).otherwise(0.0)
+    alike = shared.withColumn("similarity", F.when(F.col("long") & F.col("specific"), 0.5).otherwise(overlap)).where(F.col("similarity") >= least)
+    of = lambda c: classes.select("run", F.col("class").alias(c), F.col("titles").alias(f"of_{c}"))
+    titles = alike.select("run", "a", "b", "similarity").join(of("a"), ["run", "a"]).join(of("b"), ["run", "b"])
+    each = titles.select("run", "similarity", "a", "b", F.explode("of_a").alias("x"), "of_b").select("run", "similarity", "a", "b", "x", F.explode("of_b").alias("y"))
+    return each.where("a < b OR x < y").select("run", F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "similarity")
+
+
 def trend_matches(articles: DataFrame, trends: DataFrame) -> DataFrame:
     """(run, url, keyword): search keywords of two or more characters that stand, without spaces, in a normalised title."""
     asked = trends.where(F.length("keyword") >= 2).select("run", "keyword", F.replace("keyword", F.lit(" "), F.lit("")).alias("__needle")).distinct()

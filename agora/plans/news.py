@@ -64,14 +64,8 @@ SELECT a.run, a.title AS "left", b.title AS "right", round(CASE WHEN list_has_an
 FROM t a JOIN t b ON a.run = b.run AND a.title < b.title
 WHERE (list_has_any(a.l, b.l) AND list_has_any(a.s, b.s)) OR (len(list_intersect(a.p, b.p)) >= 4 AND len(list_intersect(a.p, b.p)) / greatest(1, least(len(a.p), len(b.p))) >= 0.42)""")
 def headline_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar titles of a run.  Candidates share a character pair or a long word within the run, whose size is capped."""
-    kept = articles(spark, sf_dir).select("run", "title").distinct().withColumn("s", headlines.signature(F.col("title")))
-    index = kept.select("run", "title", F.explode(F.array_union("s.pairs", "s.long")).alias("key"))
-    met = index.withColumnRenamed("title", "left").join(index.withColumnRenamed("title", "right"), ["run", "key"]).where("left < right").select("run", "left", "right").distinct()
-    one = kept.select("run", F.col("title").alias("left"), F.col("s").alias("a"))
-    two = kept.select("run", F.col("title").alias("right"), F.col("s").alias("b"))
-    scored = met.join(one, ["run", "left"]).join(two, ["run", "right"]).withColumn("similarity", headlines.similarity(F.col("a"), F.col("b")))
-    return scored.where(F.col("similarity") >= clustering.THRESHOLD).select("run", "left", "right", F.round("similarity", 6).alias("similarity"))
+    """Similar titles of a run.  Titles of the same words are compared once, by what they share in an index of the run."""
+    return clustering.similar_titles(articles(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("TX-04 TX-05 ST-08")

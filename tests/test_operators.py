@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from agora.operators import graph, ordered, paging, relations
+from agora.functions import headlines
+from agora.operators import clustering, graph, ordered, paging, relations
 from agora.streaming import incremental
 
 
@@ -79,3 +80,16 @@ def test_pairs_of_anchors_are_added_up_where_their_left_item_is(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got.keys() == want.keys() and len(got) > 100 and all(abs(got[k] - w) < 1e-9 for k, w in want.items())
     assert "hashpartitioning(left#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", right#" not in plan.split("hashpartitioning(left#")[1].split(")")[0]
+
+
+def test_titles_of_the_same_words_are_compared_once(spark, monkeypatch):
+    words = ("국회", "소방안전 예산", "반도체 지원", "철도노조 파업", "개인정보 해킹", "연금 개정안", "budget plan 2024", "소방 x")
+    titles = [(run, f"{a} {b} {c}") for run in (1, 2) for i, a in enumerate(words) for b in words[: 5 + run] for c in words[i % 3 :: 3]] + [(3, None), (None, "a"), (1, "")]
+    df = spark.createDataFrame(titles + titles[:50], "run int, title string")
+    kept = df.distinct().withColumn("s", headlines.signature(F.col("title")))
+    plain = kept.alias("x").join(kept.alias("y"), F.expr("x.run = y.run AND x.title < y.title")).select("x.run", F.col("x.title").alias("left"), F.col("y.title").alias("right"), headlines.similarity(F.col("x.s"), F.col("y.s")).alias("similarity"))
+    want = sorted(tuple(r) for r in plain.where("similarity >= 0.42").collect())
+    counts, landed = [], clustering.landed
+    monkeypatch.setattr(clustering, "landed", lambda d, path: (lambda x: (counts.append(x.count()), x)[1])(landed(d, path)))
+    assert sorted(tuple(r) for r in clustering.similar_titles(df).collect()) == want and len(want) > 1000
+    assert 0 < counts[0] < kept.count() / 2
