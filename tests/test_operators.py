@@ -27,6 +27,15 @@ def test_claim_dies_when_any_scope_is_touched(spark):
     assert {r.c: r.survives for r in ordered.surviving_claims(df, "e", "s", "r", "c").collect()} == {"old": False, "new": True}
 
 
+def test_claims_of_many_rows_are_spread_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 10)
+    rows = [(e, s, r, f"{e}-{r}") for e in range(20) for r in range(3) for s in range(r, 4)]
+    df = spark.createDataFrame(rows + rows[::3], "e int, s int, r int, c string")
+    found = ordered.surviving_claims(df, "e", "s", "r", "c", len(rows) * 2)
+    assert found.rdd.getNumPartitions() == -(-len(rows) * 2 // 10) > 4
+    assert {(r.c, r.survives, r.scopes) for r in found.collect()} == {(f"{e}-{r}", r == 2, 4 - r) for e in range(20) for r in range(3)}
+
+
 def test_keyset_pages_cover_everything_once(spark):
     df = spark.range(25).select("id", (F.col("id") % 3).alias("k"))
     order, seen, cursor = [("k", True), ("id", True)], [], None
