@@ -1,8 +1,8 @@
 """Reports put together by the entities they share: greedy groups in the order of ids, and the hierarchy that they make.
 
 The greedy order is a sequence, but what an id takes only depends on ids that links of similarity connect with it.  So connected
-components are found first, in rounds logarithmic on chains; those of bounded size are each walked in order by one task, a path of
-many thousand ids in a single step.  In a larger component, rounds open every group that no smaller free id can touch, after which
+components are found first, in rounds logarithmic on chains, and once for all levels of a hierarchy; those of bounded size are each
+walked in order by one task, a path of many thousand ids in a single step.  In a larger component, rounds open every group that no smaller free id can touch, after which
 it is split into components again.
 """
 
@@ -21,12 +21,24 @@ TASK_LINKS = 400_000
 
 
 def similarities(anchors: DataFrame, degree: int = 50) -> DataFrame:
-    """(id, other, weight), both ways, of ids that share an anchor of 2 to ``degree`` ids: the sum of 1 / frequency, in 10**-12."""
-    pairs = anchors.select("id", "anchor").distinct()
-    often = pairs.groupBy("anchor").agg(F.count("*").alias("df")).where(F.col("df").between(2, degree))
-    kept = pairs.join(often, "anchor")
+    """(id, other, weight), both ways, of ids that share an anchor of 2 to ``degree`` ids: the sum of 1 / frequency, in 10**-12.
+    A column ``component`` of ids is kept."""
+    held = [c for c in anchors.columns if c == "component"]
+    pairs = anchors.select("id", "anchor", *held).distinct()
+    kept = pairs.join(_often(pairs, degree), "anchor")
     met = kept.join(kept.select("anchor", F.col("id").alias("other")), "anchor").where("id <> other")
-    return met.groupBy("id", "other").agg(F.sum(F.round(10**12 / F.col("df")).cast("bigint")).alias("weight"))
+    return met.groupBy("id", "other").agg(F.sum(F.round(10**12 / F.col("df")).cast("bigint")).alias("weight"), *[F.min(c).alias(c) for c in held])
+
+
+def _often(pairs: DataFrame, degree: int) -> DataFrame:
+    return pairs.groupBy("anchor").agg(F.count("*").alias("df")).where(F.col("df").between(2, degree))
+
+
+def connected(anchors: DataFrame) -> DataFrame:
+    """(id, component) of ids that anchors connect in any number of steps: each with the least id of every anchor it has."""
+    pairs = anchors.select("id", "anchor")
+    least = pairs.groupBy("anchor").agg(F.min("id").alias("target"))
+    return components(pairs.join(least, "anchor").select(F.col("id").alias("source"), "target"))
 
 
 def _walked(most: int):
@@ -47,54 +59,68 @@ def _walked(most: int):
     return run
 
 
-def routed(anchors: DataFrame, most: int = 3, degree: int = 50, task_links: int = TASK_LINKS) -> DataFrame:
-    """(id, seed): reports of ``anchors`` (id, anchor) in groups of up to ``most``, as if ids were taken in order, each opening a group
-    and taking the most similar reports that are still free, by id in ties.
+def _grouped(anchors: DataFrame, most: int, degree: int, task_links: int, wide: bool) -> DataFrame | None:
+    """(id, seed) of ids of ``anchors`` (id, anchor, component) in the groups of ``routed``, but for those that are left without a
+    similar free id; None if none are similar.
 
-    Reports are similar by the sum of 1 / frequency over shared anchors of 2 to ``degree`` reports; one without such an anchor is a
-    group of its own.
+    Components are walked apart, so any division that no link crosses gives the same groups.  ``wide`` says that components may be
+    wider than what links connect: those too large for a task are divided by their links first.
     """
-    spark = anchors.sparkSession
+    spark, turn, groups = anchors.sparkSession, 0, []
     stage = folder(spark, "routing")
-    near = landed(similarities(anchors, degree), f"{stage}/near")
-    kind = near.schema["id"].dataType.simpleString()
-    every = anchors.select("id").distinct()
-    groups, turn, open_ = [], 0, near
-    while not open_.isEmpty():
+    keyed = landed(similarities(anchors, degree), f"{stage}/near")
+    kind, fits = keyed.schema["id"].dataType.simpleString(), F.col("n") <= task_links
+    while True:
         turn += 1
-        of = components(open_.select(F.col("id").alias("source"), F.col("other").alias("target")))
-        keyed = landed(open_.join(of.withColumnRenamed("node", "id"), "id"), f"{stage}/keyed-{turn}")
         sizes = landed(keyed.groupBy("component").agg(F.count("*").alias("n")), f"{stage}/sizes-{turn}")
-        small = sizes.where(F.col("n") <= task_links)
-        total = small.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-        if total:
-            # Whole components are dealt over tasks of about task_links links.
-            parts = max(1, -(-total // task_links)) * 2
-            dealt = keyed.join(small.select("component"), "component", "left_semi").withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts)))
-            walked = dealt.groupBy("part").applyInPandas(_walked(most), f"id {kind}, seed {kind}")
+        known = sizes.agg(F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("small"), F.count(F.when(~fits, 1)).alias("large")).first()
+        if known.small:
+            # Whole components are dealt over tasks of about an eighth of what a task may walk.
+            parts = -(-8 * known.small // task_links)
+            dealt = keyed.join(sizes.where(fits).select("component"), "component", "left_semi") if known.large else keyed
+            dealt = dealt.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts))).repartition(parts, "part")
+            walked = dealt.select("part", "id", "other", "weight").groupBy("part").applyInPandas(_walked(most), f"id {kind}, seed {kind}")
             landed(walked, f"{stage}/groups-{turn}-walked")
             groups.append(f"{stage}/groups-{turn}-walked")
-        large = sizes.where(F.col("n") > task_links)
-        if large.isEmpty():
+        if not known.large:
             break
-        free = landed(keyed.join(large.select("component"), "component", "left_semi").select("id", "other", "weight"), f"{stage}/free-{turn}")
-        least = free.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("least"))
-        beyond = free.join(least.select(F.col("id").alias("other"), F.col("least").alias("far")), "other").groupBy("id").agg(F.min("far").alias("far"))
-        first = landed(least.join(beyond, "id").where((F.col("id") == F.col("least")) & (F.col("far") >= F.col("id"))).select("id"), f"{stage}/first-{turn}")
-        taken = ranked(free.join(first, "id", "left_semi"), ["id"], [F.col("weight").desc(), F.col("other")]).where(F.col("rank") < most)
-        group = landed(taken.select(F.col("other").alias("id"), F.col("id").alias("seed")).union(first.select("id", F.col("id").alias("seed"))), f"{stage}/groups-{turn}")
-        groups.append(f"{stage}/groups-{turn}")
-        rest = free.join(group.select("id"), "id", "left_anti").join(group.select(F.col("id").alias("other")), "other", "left_anti")
-        open_ = landed(rest.select("id", "other", "weight"), f"{stage}/open-{turn}")
-    if not groups:
+        open_ = landed(keyed.join(sizes.where(~fits).select("component"), "component", "left_semi").select("id", "other", "weight"), f"{stage}/free-{turn}")
+        if turn > 1 or not wide:
+            free = open_
+            least = free.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("least"))
+            beyond = free.join(least.select(F.col("id").alias("other"), F.col("least").alias("far")), "other").groupBy("id").agg(F.min("far").alias("far"))
+            first = landed(least.join(beyond, "id").where((F.col("id") == F.col("least")) & (F.col("far") >= F.col("id"))).select("id"), f"{stage}/first-{turn}")
+            taken = ranked(free.join(first, "id", "left_semi"), ["id"], [F.col("weight").desc(), F.col("other")]).where(F.col("rank") < most)
+            group = landed(taken.select(F.col("other").alias("id"), F.col("id").alias("seed")).union(first.select("id", F.col("id").alias("seed"))), f"{stage}/groups-{turn}")
+            groups.append(f"{stage}/groups-{turn}")
+            rest = free.join(group.select("id"), "id", "left_anti").join(group.select(F.col("id").alias("other")), "other", "left_anti")
+            open_ = landed(rest.select("id", "other", "weight"), f"{stage}/open-{turn}")
+            if open_.isEmpty():
+                break
+        of = components(open_.select(F.col("id").alias("source"), F.col("other").alias("target")))
+        keyed = landed(open_.join(of.withColumnRenamed("node", "id"), "id"), f"{stage}/keyed-{turn}")
+    return spark.read.schema(f"id {kind}, seed {kind}").parquet(*groups) if groups else None
+
+
+def routed(anchors: DataFrame, most: int = 3, degree: int = 50, task_links: int = TASK_LINKS) -> DataFrame:
+    """(id, seed): reports of ``anchors`` (id, anchor) in groups of up to ``most``, as if ids were taken in order, each opening a group
+    and taking the most similar reports that are still free, by id in ties.
+
+    Reports are similar by the sum of 1 / frequency over shared anchors of 2 to ``degree`` reports; one without such an anchor is a
+    group of its own.
+    """
+    every = anchors.select("id").distinct()
+    pairs = landed(anchors.select("id", "anchor").distinct(), f"{folder(anchors.sparkSession, 'anchors')}/pairs")
+    of = connected(pairs.join(_often(pairs, degree), "anchor"))
+    found = _grouped(pairs.join(of.withColumnRenamed("node", "id"), "id"), most, degree, task_links, False)
+    if found is None:
         return every.select("id", F.col("id").alias("seed"))
-    found = spark.read.schema(f"id {kind}, seed {kind}").parquet(*groups)
     # Whoever has no free neighbour left opens a group alone.
     alone = every.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("seed"))
     return found.unionByName(alone)
 
 
-def hierarchy(leaves: DataFrame, most: int = 3, degree: int = 50, levels: int = 8) -> DataFrame:
+def hierarchy(leaves: DataFrame, most: int = 3, degree: int = 50, levels: int = 8, task_links: int = TASK_LINKS) -> DataFrame:
     """(level, parent, child): reports of ``leaves`` (id, anchor) under parents that cover them, level by level.
 
     The reports of a level are grouped by the anchors they share; groups of two or more become parents, which inherit all
@@ -102,12 +128,14 @@ def hierarchy(leaves: DataFrame, most: int = 3, degree: int = 50, levels: int =
     ``levels``.  A parent's name is its level and a hash of its children in order.  Ids are texts.
     """
     stage = folder(leaves.sparkSession, "hierarchy")
-    anchors = landed(leaves.select(F.col("id").cast("string").alias("id"), "anchor").distinct(), f"{stage}/0")
+    pairs = landed(leaves.select(F.col("id").cast("string").alias("id"), "anchor").distinct(), f"{stage}/pairs")
+    # What leaves' anchors do not connect is not connected above either, so one division serves all levels.
+    anchors = landed(pairs.join(connected(pairs).withColumnRenamed("node", "id"), "id"), f"{stage}/0")
     found = anchors.select(F.lit(0).alias("level"), F.col("id").alias("parent"), F.col("id").alias("child")).limit(0)
     for level in range(1, levels + 1):
-        if anchors.select("id").distinct().limit(2).count() < 2:
+        grouped = _grouped(anchors, most, degree, task_links, True)
+        if grouped is None:
             break
-        grouped = landed(routed(anchors, most, degree), f"{stage}/grouped-{level}")
         members = F.array_sort(F.collect_list("id"))
         linked = grouped.groupBy("seed").agg(members.alias("children")).where(F.size("children") > 1)
         parent = F.concat(F.lit(f"parent:{level}:"), F.sha2(F.concat_ws("\n", "children"), 256))
@@ -115,7 +143,7 @@ def hierarchy(leaves: DataFrame, most: int = 3, degree: int = 50, levels: int =
         if named.isEmpty():
             break
         found = found.unionByName(named)
-        anchors = landed(anchors.join(named.select(F.col("child").alias("id"), "parent"), "id").select(F.col("parent").alias("id"), "anchor").distinct(), f"{stage}/{level}")
+        anchors = landed(anchors.join(named.select(F.col("child").alias("id"), "parent"), "id").select(F.col("parent").alias("id"), "anchor", "component").distinct(), f"{stage}/{level}")
     return found
 
 

@@ -107,3 +107,14 @@ def test_hierarchies_cover_each_level_once(spark):
     bad = spark.createDataFrame([(1, "p", "x"), (1, "q", "x"), (1, "q", "y"), (2, "t", "q"), (2, "t", "zz")], "level int, parent string, child string")
     assert sorted(tuple(r) for r in routing.cover_findings(bad).collect()) == [(1, "x", "alone"), (1, "x", "twice"), (2, "zz", "unknown")]
     assert routing.hierarchy(spark.createDataFrame([], "id string, anchor string")).count() == 0
+
+
+def test_a_hierarchy_divides_its_leaves_once(spark, monkeypatch):
+    """Components of the leaves serve all levels, but for those that one task may not walk; either way the tree is the same."""
+    rng = random.Random(9)
+    rows = sorted({(f"leaf{i:02}", f"a{rng.randrange(30)}") for i in range(40) for _ in range(2)}) + [("far1", "b"), ("far2", "b"), ("none", None)]
+    df, calls = spark.createDataFrame(rows, "id string, anchor string"), []
+    monkeypatch.setattr(routing, "components", lambda edges: calls.append(1) or graph.components(edges))
+    once = {tuple(r) for r in routing.hierarchy(df).collect()}
+    assert len(calls) == 1 and len({level for level, *_ in once}) > 2 and not any("none" in row for row in once)
+    assert {tuple(r) for r in routing.hierarchy(df, levels=1, task_links=6).collect()} == {row for row in once if row[0] < 2} and len(calls) > 2
