@@ -190,7 +190,7 @@ def _candidates(folder: str):
                     leaves[at] = after if after is None or after >= end else leaves.get(after)
                 order = sorted(next_of)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(order)), pa.array(order, pa.int64()), pa.array([next_of[a] for a in order], pa.int64()), pa.array([leaves[a] for a in order], pa.int64())],
+                    [pa.array([name] * len(order), pa.string()), pa.array(order, pa.int64()), pa.array([next_of[a] for a in order], pa.int64()), pa.array([leaves[a] for a in order], pa.int64())],
                     names=["file", "offset", "successor", "leaves"],
                 )
 

@@ -7,6 +7,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,16 @@ def test_payloads_full_of_magic_take_linear_time(spark, tmp_path, piece):
     assert time.perf_counter() - began < 5
 
 
+def test_warc_ranges_without_a_record_have_the_same_columns(tmp_path):
+    data = b"".join(warc.page_record(n, "u", body, None, "2024-01-01T00:00:00Z") for n, body in enumerate((b"a", b"x" * 5000, b"b")))
+    (tmp_path / "one.warc").write_bytes(data)
+    cut = [("one.warc", len(data), start, min(len(data), start + 1000)) for start in range(0, len(data), 1000)]
+    asked = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cut)], names=["file", "size", "start", "end"])
+    found = list(warc._candidates(str(tmp_path))(iter([asked])))
+    assert 0 in [b.num_rows for b in found] and sum(b.num_rows for b in found) == 3
+    assert len({b.schema.to_string() for b in found}) == 1
+
+
 def test_warc_finds_a_broken_file(spark):
     folder = new_folder(spark, "w")
     manifest = warc.write_warc(spark.createDataFrame([(n, "u", f"page {n}") for n in range(50)], "page_id bigint, url string, html string").coalesce(1), folder)
