@@ -13,6 +13,9 @@ A batch is given as tables that share the column ``batch``:
 
 Findings are (batch, rule, id): which rule a record breaks.  A batch without findings may be stored; one without findings of
 ``publication`` either may be published.  Null fields break the rule that asks for them; a null list is an empty one.
+
+Every table is grouped and joined by its batch and more, so tables that lie by ``batch`` (``landing.dealt``) are not shuffled
+where ``landing.parts_kept`` holds.
 """
 
 from __future__ import annotations
@@ -22,8 +25,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.landing import folder, landed
-
 # Kinds, roles and states that records may have, and how many of a kind a batch may hold.
 KINDS = ("person", "organization", "bill", "policy")
 DECISIONS = ("pending", "approved", "rejected")
@@ -79,15 +80,17 @@ def integrity(b: Batch) -> DataFrame:
     out = []
     keyed = {"entities": ["id"], "documents": ["id", "version", "extraction"], "evidence": ["id"], "relations": ["id"], "activities": ["id", "version"], "contexts": ["event", "version"], "segments": ["document", "version", "extraction", "id"], "mentions": ["document", "version", "extraction", "segment", "id"]}
     for name, keys in keyed.items():
-        # A batch stays whole in a partition: its identifiers and its size are counted there.
-        same = b[name].select("batch", *keys).repartition("batch").groupBy("batch", *keys).agg(F.count("*").alias("n"))
+        same = b[name].select("batch", *keys)
+        if name in MOST:
+            # A batch stays whole in a partition: its size and its identifiers are counted there.
+            same = same.withColumn("__all", F.count("*").over(Window.partitionBy("batch")))
+        same = same.groupBy("batch", *keys).agg(F.count("*").alias("n"), *([F.max("__all").alias("__all")] if name in MOST else []))
         missing = F.lit(False)
         for k in keys:
             missing = missing | F.col(k).isNull()
         finding = lambda rule, id_: F.struct(F.lit(rule).alias("rule"), id_.cast("string").alias("id"))
         found = [F.when((F.col("n") > 1) | missing, finding(f"identifier in {name}", F.col(keys[-1] if name in ("segments", "mentions") else keys[0])))]
         if name in MOST:
-            same = same.withColumn("__all", F.sum("n").over(Window.partitionBy("batch")))
             found.append(F.when(F.col("__all") > MOST[name], finding(f"too many {name}", F.lit(name))))
         out.append(same.select("batch", F.explode(F.array_compact(F.array(*found))).alias("f")).select("batch", "f.rule", "f.id"))
 
@@ -115,13 +118,17 @@ def integrity(b: Batch) -> DataFrame:
     known, read = F.col("__document").isNotNull(), F.col("__text").isNotNull()
     out.append(_broken(cited, {"evidence: no document": ~known, "evidence: no segment": known & ~read, "evidence: span": read & ~F.coalesce(inside(F.col("__text")), F.lit(False))}))
 
-    # What the ends of a relation are: a kind of entity, an activity, or a document.
-    ends = entities.select("batch", F.col("id").alias("end"), "kind").unionByName(activities.select("batch", F.col("id").alias("end"), F.lit("activity").alias("kind"))).unionByName(documents.select("batch", F.col("id").alias("end"), F.lit("document").alias("kind")))
-    kinds = ends.groupBy("batch", "end").agg(F.collect_set("kind").alias("kinds"))
-    side = lambda c: kinds.select("batch", F.col("end").alias(c), F.col("kinds").alias(f"__{c}"))
+    # What the ends of a relation are: a kind of entity, an activity, or a document.  Rows that are the same in all of this count once.
     bare = (F.col("decision") == "approved") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)
     own = relations.select("batch", "id", "type", "subject", "object", _none_of("decision", DECISIONS).alias("__undecided"), _blank("reason", 1000).alias("__reason"), bare.alias("__bare"))
-    met = own.join(side("subject"), ["batch", "subject"], "left").join(side("object"), ["batch", "object"], "left")
+    end = lambda place, c: F.struct(F.lit(place).alias("__place"), F.col(c).alias("end"))
+    met = own.select(*own.columns, F.inline(F.array(end(0, "subject"), end(1, "object"))))
+    met = met.join(entities.groupBy("batch", F.col("id").alias("end")).agg(F.collect_set("kind").alias("__kinds")), ["batch", "end"], "left")
+    for name, table in (("activity", activities), ("document", documents)):
+        met = met.join(table.select("batch", F.col("id").alias("end"), F.lit(name).alias(f"__{name}")).distinct(), ["batch", "end"], "left")
+    others = F.array_compact(F.array("__activity", "__document"))
+    kinds = F.when(F.col("__kinds").isNotNull() | (F.size(others) > 0), F.concat(F.coalesce("__kinds", F.array().cast("array<string>")), others))
+    met = met.groupBy(*own.columns).agg(*[F.max(F.when(F.col("__place") == place, kinds)).alias(f"__{c}") for place, c in enumerate(("subject", "object"))])
     is_ = lambda c, *wanted: F.arrays_overlap(F.coalesce(f"__{c}", F.array().cast("array<string>")), F.array(*map(F.lit, wanted)))
     type_, both = F.col("type"), F.col("__subject").isNotNull() & F.col("__object").isNotNull()
     typed = type_.isin(*PERSON_ROLES, *ORGANIZATION_ROLES, LINEAGE, CONCERNS, RECORDS)
@@ -179,7 +186,7 @@ def reviewed(b: Batch, shown: DataFrame | None = None) -> DataFrame:
 def publication(b: Batch) -> DataFrame:
     """(batch, rule, id) of what keeps a batch that may be stored from being published."""
     contexts, relations, mentions = b["contexts"], b["relations"], b["mentions"]
-    shown = landed(usable(b), f"{folder(contexts.sparkSession, 'publication')}/usable")
+    shown = usable(b)
     out = []
     order = Window.partitionBy("batch", "document", "version", "extraction", "segment").orderBy("start", "end")
     approved = mentions.where("decision = 'approved'").withColumn("__reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
