@@ -1,23 +1,29 @@
-"""News candidates: headlines of a bounded run clustered newest first, copies discounted, candidates scored.
+"""News candidates: headlines of a run clustered newest first, copies discounted, candidates scored.
 
-Clustering depends on the order of articles, so a run, of at most ``cap`` newest articles, is one group of
-``applyInPandas``; everything before and after it is declarative, and runs are independent of each other.
+Clustering depends on the order of articles, so a run, whole, is read in order by one task; runs are dealt over all tasks and are
+independent of each other.  A task keeps no articles, but the first members and different titles of the clusters of the run at
+hand.  Everything before and after it is declarative.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions import headlines
 from ..sources.landing import folder, landed
 from .mentions import places
 from .ordered import ranked
 
-THRESHOLD, MEMBERS, COPY, CAP = 0.42, 5, 0.82, 2000
+THRESHOLD, MEMBERS, COPY = 0.42, 5, 0.82
+#: Titles whose nearest cluster a task remembers.
+REMEMBERED = 20_000
 
 
 def _similar(a: tuple, b: tuple) -> float:
@@ -33,63 +39,108 @@ def _copies(title: str, other: SequenceMatcher) -> bool:
     return other.real_quick_ratio() >= COPY and other.quick_ratio() >= COPY and other.ratio() >= COPY
 
 
-def greedy(run: pd.DataFrame) -> pd.DataFrame:
-    """Each article, newest first, joins the most similar cluster by its first members, or opens one; in a cluster it is
-    a representative unless it copies one."""
-    run = run.sort_values(["published_at", "url"], ascending=[False, True], kind="stable")
-    clusters: list[list[tuple]] = []
-    kept: list[list[SequenceMatcher]] = []
-    met: list[set[str]] = []
-    # Similarities of an article's words with the members of clusters; a cluster's figure is final once it is full.
-    nearest: dict[tuple, list[tuple[int, float]]] = {}
-    numbers, own = [], []
-    for pairs, long, specific, title in zip(run["pairs"], run["long"], run["specific"], run["normalised"]):
-        article = (frozenset(pairs), frozenset(long), frozenset(specific))
-        known = nearest.setdefault(article, [])
-        best, most = -1, THRESHOLD
-        for k, members in enumerate(clusters):
-            if k == len(known):
-                known.append((0, 0.0))
-            n, near = known[k]
-            if n < len(members):
-                near = max(near, *(_similar(article, m) for m in members[n:]))
-                known[k] = (len(members), near)
-            if near > most or (near == most and best < 0):
+class _Clusters:
+    """The clusters of a run, of which articles come newest first.
+
+    A pair or word leads to the members that have it, so an article is compared with no others.  What is nearest to an article
+    stays so until a cluster takes a member.
+    """
+
+    def __init__(self):
+        self.members: list[list[tuple]] = []
+        self.kept: list[list[SequenceMatcher]] = []
+        self.met: list[set[str]] = []
+        self.having: dict[tuple, list[tuple[int, tuple]]] = {}
+        self.nearest: dict[tuple, tuple[int, int]] = {}
+        self.taken = 0
+
+    def _near(self, article: tuple) -> int:
+        """The first of the most similar clusters, or -1."""
+        at, best = self.nearest.get(article, (-1, -1))
+        if at == self.taken:
+            return best
+        met = {(k, id(m)): m for kind, keys in enumerate(article) for key in keys for k, m in self.having.get((kind, key), ())}
+        most, best = THRESHOLD, -1
+        for (k, _), member in met.items():
+            near = _similar(article, member)
+            if near > most or (near == most and (best < 0 or k < best)):
                 best, most = k, near
+        if len(self.nearest) >= REMEMBERED:
+            self.nearest.clear()
+        self.nearest[article] = self.taken, best
+        return best
+
+    def put(self, article: tuple, title: str) -> tuple[int, bool]:
+        """Its cluster, and whether it represents it: it copies no other representative."""
+        best = self._near(article)
         if best < 0:
-            best = len(clusters)
-            clusters.append([])
-            kept.append([])
-            met.append(set())
-        if len(clusters[best]) < MEMBERS:
-            clusters[best].append(article)
+            best = len(self.members)
+            self.members.append([])
+            self.kept.append([])
+            self.met.append(set())
+        if len(self.members[best]) < MEMBERS:
+            if article not in self.members[best]:
+                self.taken += 1
+                for kind, keys in enumerate(article):
+                    for key in keys:
+                        self.having.setdefault((kind, key), []).append((best, article))
+            self.members[best].append(article)
         # A title that the cluster has met is a representative's or a copy's, so it is a copy again.
-        copy = title in met[best] or any(_copies(title, other) for other in kept[best])
-        met[best].add(title)
+        copy = title in self.met[best] or any(_copies(title, other) for other in self.kept[best])
+        self.met[best].add(title)
         if not copy:
-            kept[best].append(SequenceMatcher(None, "", title))
-        numbers.append(best)
-        own.append(not copy)
-    return pd.DataFrame({"run": run["run"], "url": run["url"], "cluster": numbers, "representative": own})
+            self.kept[best].append(SequenceMatcher(None, "", title))
+        return best, not copy
 
 
-def once(articles: DataFrame) -> DataFrame:
-    """One article per run and URL, the newest."""
-    return ranked(articles, ["run", "url"], [F.col("published_at").desc(), F.col("title")], "__rank").where("__rank = 1").drop("__rank")
+def greedy(run: pd.DataFrame) -> pd.DataFrame:
+    """Each article, newest first, joins the most similar cluster by its first members, or opens one; in a cluster it is
+    a representative unless it copies one."""
+    run = run.sort_values(["published_at", "url"], ascending=[False, True], kind="stable")
+    clusters = _Clusters()
+    put = [clusters.put((frozenset(pairs), frozenset(long), frozenset(specific)), title) for pairs, long, specific, title in zip(run["pairs"], run["long"], run["specific"], run["normalised"])]
+    return pd.DataFrame({"run": run["run"], "url": run["url"], "cluster": [k for k, _ in put], "representative": [own for _, own in put]})
 
 
-def newest(articles: DataFrame, cap: int = CAP) -> DataFrame:
-    """One article per run and URL, the newest; of a run the ``cap`` newest."""
-    return ranked(once(articles), ["run"], [F.col("published_at").desc(), F.col("url")], "__rank").where(F.col("__rank") <= cap).drop("__rank")
+def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Articles of whole runs, one run after the other and each newest first, with cluster and representative.
+
+    Ahead of a run's articles are its different titles with their signatures, which only these have: the last five columns are
+    whether a row is an article, and normalised, pairs, long and specific.
+    """
+    run, clusters, signed = None, None, {}
+    for batch in batches:
+        n, numbers, own = batch.num_columns - 5, [], []
+        known = batch.column(n)
+        runs, titles = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("run", "title"))
+        for i, (of, title, article) in enumerate(zip(runs, titles, known.to_pylist())):
+            if clusters is None or of != run:
+                run, clusters, signed = of, _Clusters(), {}
+            if not article:
+                # A title that is null has neither letters nor words.
+                signed[title] = tuple(frozenset(batch.column(n + 2 + k)[i].as_py() or ()) for k in range(3)), batch.column(n + 1)[i].as_py() or ""
+                continue
+            k, first = clusters.put(*signed[title])
+            numbers.append(k)
+            own.append(first)
+        kept = [c.filter(known) for c in batch.columns[:n]]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), pa.array(own, pa.bool_())], names=[*batch.schema.names[:n], "cluster", "representative"])
+
+
+def newest(articles: DataFrame) -> DataFrame:
+    """One article per run and URL, the newest."""
+    return ranked(articles, ["run", "url"], [F.col("published_at").desc(), F.col("title")], "__rank").where("__rank = 1").drop("__rank")
 
 
-def clustered(articles: DataFrame, cap: int = CAP) -> DataFrame:
-    """``articles`` (run, url, title, publisher, published_at, first_seen) with cluster and representative."""
-    kept = newest(articles, cap)
-    signed = kept.select("run", "url", "published_at", headlines.normalised(F.col("title")).alias("normalised"), headlines.signature(F.col("title")).alias("s")).select("run", "url", "published_at", "normalised", "s.*")
-    run_type = articles.schema["run"].dataType.simpleString()
-    found = signed.groupBy("run").applyInPandas(greedy, f"run {run_type}, url string, cluster int, representative boolean")
-    return kept.join(found, ["run", "url"])
+def clustered(articles: DataFrame) -> DataFrame:
+    """``articles`` (run, url, title, publisher, published_at, first_seen) with cluster and representative: all of each run."""
+    titles = articles.select("run", "title").distinct().select("run", "title", headlines.normalised(F.col("title")).alias("__normalised"), headlines.signature(F.col("title")).alias("__s"))
+    rows = newest(articles).withColumn("__article", F.lit(True))
+    every = rows.unionByName(titles.select("run", "title", F.lit(False).alias("__article"), "__normalised", *[F.col(f"__s.{c}").alias(f"__{c}") for c in ("pairs", "long", "specific")]), allowMissingColumns=True)
+    # As a run is one task's, runs are dealt out even where their rows are small.
+    tasks = 4 * articles.sparkSession.sparkContext.defaultParallelism
+    along = every.repartition(tasks, "run").sortWithinPartitions("run", "__article", F.col("published_at").desc(), F.col("url").asc_nulls_last())
+    return along.mapInArrow(_along, StructType([*articles.schema.fields, StructField("cluster", IntegerType()), StructField("representative", BooleanType())]))
 
 
 def similar_titles(articles: DataFrame, least: float = THRESHOLD) -> DataFrame:

@@ -70,7 +70,7 @@ def headline_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("TX-04 TX-05 ST-08")
 def radar_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of each weekly run; order-dependent, tested against a plain reading."""
+    """Clusters of all articles of each weekly run; order-dependent, tested against a plain reading."""
     return clustering.clustered(articles(spark, sf_dir)).select("run", "url", "title", "cluster", "representative")
 
 
@@ -81,7 +81,7 @@ SELECT run, url, keyword FROM once JOIN k USING (run) WHERE length(keyword) >= 2
   AND contains(lower(regexp_replace(regexp_replace(title, '\\[[^\\]]*\\]|\\([^)]*\\)', '', 'g'), '[^가-힣a-zA-Z0-9]', '', 'g')), replace(keyword, ' ', ''))""")
 def trend_keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search keywords in the titles of all articles of their week."""
-    return clustering.trend_matches(clustering.once(articles(spark, sf_dir)), trends(spark, sf_dir))
+    return clustering.trend_matches(clustering.newest(articles(spark, sf_dir)), trends(spark, sf_dir))
 
 
 @query("TX-06 AG-13 WN-16 SL-08")
