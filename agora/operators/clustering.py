@@ -22,8 +22,9 @@ from .mentions import places
 from .ordered import ranked
 
 THRESHOLD, MEMBERS, COPY = 0.42, 5, 0.82
-#: Titles whose nearest cluster a task remembers.
-REMEMBERED = 20_000
+#: Titles whose nearest cluster, and pairs of titles whose ratio, a task remembers.
+REMEMBERED, PAIRS = 20_000, 200_000
+_RATIOS: dict[tuple[str, str], bool] = {}
 
 
 def _similar(a: tuple, b: tuple) -> float:
@@ -36,7 +37,14 @@ def _similar(a: tuple, b: tuple) -> float:
 def _copies(title: str, other: SequenceMatcher) -> bool:
     """Whether the ratio reaches COPY; its upper bounds are asked first."""
     other.set_seq1(title)
-    return other.real_quick_ratio() >= COPY and other.quick_ratio() >= COPY and other.ratio() >= COPY
+    if other.real_quick_ratio() < COPY or other.quick_ratio() < COPY:
+        return False
+    # Headlines recur in other runs.
+    if (pair := (title, other.b)) not in _RATIOS:
+        if len(_RATIOS) >= PAIRS:
+            _RATIOS.clear()
+        _RATIOS[pair] = other.ratio() >= COPY
+    return _RATIOS[pair]
 
 
 class _Clusters:
