@@ -44,3 +44,15 @@ def test_references_that_are_not_closed_are_text(spark, tmp_path):
     page = "<article><h1>a &amp;&amp</h1><p>b &lt; &#65 c</p></article>"
     spark.createDataFrame([(1, page)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in landings.article_segments(spark, str(tmp_path)).collect()] == [(1, "a &&amp b < &#65 c", 2, True)]
+
+
+def test_plain_markup_is_read_without_the_parser_and_alike(monkeypatch):
+    plain = ["", "<p>a &amp; b\n c<p class=x>d</p>", "<table><tr><td id='q r'>1</td><td data-a=\"2\">x<br>\ny</td></tr></div>z", "<p>a&ltb</p>", "<a href='/q?x=1'> </a> end"]
+    other = ["<p>a</p>&lt", "<P>a</p>", "<br/>a", "a < b<p>c", "<script>x<p></script><p>y", "<!-- <p> --><p>z", "<p a='1&amp;2' b>c", "<title>x<b></title>", "<p"]
+    read = lambda page: list(pages._Elements(page, frozenset(("p", "td")), ("tr",), True))
+    found = {page: read(page) for page in plain + other}
+    with monkeypatch.context() as m:
+        m.setattr(pages._Elements, "_plain", lambda self, page: False, raising=False)
+        assert found == {page: read(page) for page in plain + other}
+    monkeypatch.setattr(pages._Elements, "feed", lambda self, page: pytest.fail("the parser was asked"))
+    assert [read(page) for page in plain] == [found[page] for page in plain]
